@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import benchmark_hits
+from .mpeg import FEATURES, media_column, media_features
+from .packing import packed
+from .sharding import kd_tree, with_slots
+from .warc import archived
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archived(table(spark, sf_dir, "pages"))
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS original FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < original THEN original END AS refers_to
+FROM m
+"""
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +59,36 @@ FROM low l LEFT JOIN words_hit h USING (doc_id) LEFT JOIN owners o USING (doc_id
 """
 
 
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = with_slots(kd_tree(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+    return sharded.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_column(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media_features(stored).select("doc_id", *FEATURES.names)
+
+
 def queries() -> dict:
     return {
+        "op3_warc_revisits": op3_warc_revisits,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op7_kd_sharding": op7_kd_sharding,
+        "op8_packing": op8_packing,
+        "op9_mpeg_audio": op9_mpeg_audio,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_revisits": _OP3_SQL,
         "op5_benchmark_decontamination": _OP5_SQL,
     }

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that are worked on at once; arrays of eight bytes for each of them are made.
+PIECE = 2_000_000
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``most`` bytes in a string or binary column, or a single longer row."""
+    for batch in batches:
+        at = size = 0
+        for k, x in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if size and size + x > most:
+                yield batch.slice(at, k - at)
+                at, size = k, 0
+            size += x
+        if at < batch.num_rows:
+            yield batch.slice(at)
 
 
 def _class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -81,7 +99,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return range_hash(_byte_codes(seed)[self.data], self.start, self.end, seed)
+        out, codes, a = np.empty(len(self.start), np.uint64), _byte_codes(seed), 0
+        while a < len(out):  # by stretches of words, so that a very long text needs no more memory than a short one
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + PIECE)))
+            at = self.start[a]
+            out[a:b] = range_hash(codes[self.data[at : self.end[b - 1]]], self.start[a:b] - at, self.end[a:b] - at, seed)
+            a = b
+        return out
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
