@@ -10,9 +10,18 @@ from .decontaminate import benchmark_hits
 from .mpeg import FEATURES, media_column, media_features
 from .packing import packed
 from .sharding import kd_tree, with_slots
+from .lines import without_boilerplate
+from .quality import with_quality
+from .toxicity import fit, held_out, scored
 from .warc import archived
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out()))
+    return scored(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archived(table(spark, sf_dir, "pages"))
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -28,6 +37,28 @@ FROM m
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return without_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+_OP4_SQL = r"""
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+own AS (SELECT DISTINCT r, source, line FROM (SELECT r, source, trim(translate(unnest(lines), chr(13) || chr(9), '  ')) AS line FROM cut) WHERE line <> ''),
+totals AS (SELECT source, count(*) AS pages FROM cut GROUP BY source),
+drops AS (
+  SELECT o.source, list(o.line) AS lines FROM (SELECT source, line, count(*) AS n FROM own GROUP BY source, line) o
+  JOIN totals t ON o.source IS NOT DISTINCT FROM t.source WHERE o.n >= 3 AND o.n > 0.1::DOUBLE * t.pages GROUP BY o.source),
+kept AS (
+  SELECT c.doc_id, c.text, c.lines,
+    CASE WHEN d.lines IS NULL THEN c.lines ELSE list_filter(c.lines, lambda x: NOT list_contains(d.lines, trim(translate(x, chr(13) || chr(9), '  ')))) END AS k
+  FROM cut c LEFT JOIN drops d ON c.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(k), 0) AS BIGINT) AS n_dropped,
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(k, chr(10)), '') END AS text
+FROM kept
+"""
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return hits.select(
@@ -77,18 +108,26 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored).select("doc_id", *FEATURES.names)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_warc_revisits": op3_warc_revisits,
+        "op4_line_dedup": op4_line_dedup,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op7_kd_sharding": op7_kd_sharding,
         "op8_packing": op8_packing,
         "op9_mpeg_audio": op9_mpeg_audio,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_revisits": _OP3_SQL,
+        "op4_line_dedup": _OP4_SQL,
         "op5_benchmark_decontamination": _OP5_SQL,
     }
