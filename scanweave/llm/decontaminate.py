@@ -95,7 +95,7 @@ def _count(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         total = np.zeros(len(block.keys), np.int64)
-        for batch in batches:
+        for batch in W.pieces(batches):
             w = W.words(batch.column(0), W.ALNUM, lower=True)
             for _, k in block.found(w):
                 total += np.bincount(k, minlength=len(total))
@@ -124,7 +124,7 @@ def _mark(shared: Broadcast, text: str, keep: list[str], schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        for batch in batches:
+        for batch in W.pieces(batches, text):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             w = W.words(col[text], W.ALNUM, lower=True)
             start, window = hits(w, block)
