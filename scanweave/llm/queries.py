@@ -11,7 +11,9 @@ from .mpeg import FEATURES, media_column, media_features
 from .packing import packed
 from .sharding import kd_tree, with_slots
 from .lines import without_boilerplate
+from .neardup import with_class
 from .quality import with_quality
+from .substrings import without_repeats
 from .toxicity import fit, held_out, scored
 from .warc import archived
 
@@ -22,6 +24,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_OP2_SQL = r"""
+WITH own AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM own WHERE len(w) >= 20)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM own),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT o.doc_id, CAST(len(o.w) AS BIGINT) AS n_words, CAST(len(o.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM own o LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archived(table(spark, sf_dir, "pages"))
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -90,6 +111,10 @@ FROM low l LEFT JOIN words_hit h USING (doc_id) LEFT JOIN owners o USING (doc_id
 """
 
 
+def op6_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_class(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = with_slots(kd_tree(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
     return sharded.select(
@@ -115,9 +140,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_warc_revisits": op3_warc_revisits,
         "op4_line_dedup": op4_line_dedup,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_minhash_classes": op6_minhash_classes,
         "op7_kd_sharding": op7_kd_sharding,
         "op8_packing": op8_packing,
         "op9_mpeg_audio": op9_mpeg_audio,
@@ -127,6 +154,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": _OP2_SQL,
         "op3_warc_revisits": _OP3_SQL,
         "op4_line_dedup": _OP4_SQL,
         "op5_benchmark_decontamination": _OP5_SQL,
