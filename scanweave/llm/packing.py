@@ -35,7 +35,7 @@ CUT_DOCUMENT, CUT_SENTENCE, SEQUENCE = 4, 64, 8
 #: Tokens of a stretch.
 STRETCH = 200_000
 #: Pieces of text that a worker remembers the tokens of.
-MEMORY = 400_000
+MEMORY = 800_000
 
 PIECE = T.StructType(
     [
@@ -63,22 +63,40 @@ class Tokens:
         self.tool.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         vocabulary = self.tool.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends, self.begins = np.zeros((2, max(vocabulary.values()) + 1), bool)
         for token, k in vocabulary.items():
+            self.begins[k] = token.startswith("Ġ")
             self.ends[k] = token.endswith((".", "!", "?", "Ċ"))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[x] if "  " in x else x.replace(" ", "\0 ").split("\0") if "\0" not in x else [x] for x in texts]
+        cut = [[x] if "  " in x or "\0" in x else x.replace(" ", "\0 ").split("\0") for x in texts]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        short = [p for p in new if len(p) <= 200]
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = []
-        for pieces in cut:
-            out.append(np.frombuffer(b"".join([known.get(p) or fresh.get(p, b"") for p in pieces]), "<u4"))
-        known.update({p: fresh[p] for p in short})
+        fresh = self._fresh(set().union(*cut).difference(known))
+        known.update(fresh)
+        out = [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in cut]
+        for p in fresh:
+            if len(p) > 200:
+                del known[p]
+        return out
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Pieces of one space and then others are tokenized in long runs, and parted again where a token begins with a space."""
+        joined = [p for p in new if p[:1] == " " and 1 < len(p) <= 200 and p.count(" ") == 1]
+        single = list(new.difference(joined))
+        runs = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
+        out: dict[str, bytes] = {}
+        for run, e in zip(runs, self.tool.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
+            if len(at) == len(run) + 1:
+                raw, at = ids.tobytes(), at.tolist()
+                out.update(zip(run, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                single += run
+        for p, e in zip(single, self.tool.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
