@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import scene
+
 FLAGSHIP = "scene_pipeline"
+_MODULES = [scene]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
