@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import scene
+from . import scene, tracking
 
 FLAGSHIP = "scene_pipeline"
-_MODULES = [scene]
+_MODULES = [scene, tracking]
 
 
 def queries() -> dict:

@@ -1,19 +1,17 @@
-"""Column sets and defaults of the point, frame, detection and track tables."""
+"""Column sets (as DDL) and defaults of the point, frame, detection and track tables."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
-POINTS = T.StructType.fromDDL("point_id BIGINT, device_id STRING, sequence_id STRING, scan_idx INT, x DOUBLE, y DOUBLE, z DOUBLE, intensity FLOAT, r SMALLINT, g SMALLINT, b SMALLINT, ring SMALLINT")
+POINTS = "point_id BIGINT, device_id STRING, sequence_id STRING, scan_idx INT, x DOUBLE, y DOUBLE, z DOUBLE, intensity FLOAT, r SMALLINT, g SMALLINT, b SMALLINT, ring SMALLINT"
 _CAMERA = "STRUCT<file_path: STRING, filename: STRING, timestamp: DOUBLE>"
-FRAME = T.StructType.fromDDL(
-    f"frame_id INT, device_id STRING, sequence_id STRING, intersection_id STRING, reference_timestamp DOUBLE, lidar {_CAMERA}, cam0 {_CAMERA}, cam1 {_CAMERA}, "
-    "synchronization STRUCT<sync_quality: STRING>"
+CATALOGUE = (
+    "correspondence_frames ARRAY<STRUCT<frame_id: INT, device_id: STRING, sequence_id: STRING, intersection_id: STRING, reference_timestamp: DOUBLE, "
+    f"lidar: {_CAMERA}, cam0: {_CAMERA}, cam1: {_CAMERA}, synchronization: STRUCT<sync_quality: STRING>>>"
 )
-CATALOGUE = T.StructType([T.StructField("correspondence_frames", T.ArrayType(FRAME))])
-CALIBRATION = T.StructType.fromDDL("cam_0 STRUCT<intrinsic: ARRAY<ARRAY<DOUBLE>>, extrinsic: ARRAY<ARRAY<DOUBLE>>>, cam_1 STRUCT<intrinsic: ARRAY<ARRAY<DOUBLE>>, extrinsic: ARRAY<ARRAY<DOUBLE>>>")
+_MATRICES = "STRUCT<intrinsic: ARRAY<ARRAY<DOUBLE>>, extrinsic: ARRAY<ARRAY<DOUBLE>>>"
+CALIBRATION = f"cam_0 {_MATRICES}, cam_1 {_MATRICES}"
 #: The semantic classes of labelled points.
 CLASSES = {0: "ground", 1: "exterior", 2: "interior", 3: "human", 4: "seats", 5: "other"}
 #: Synchronisation levels from worst to best.
