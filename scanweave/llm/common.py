@@ -1,81 +1,21 @@
-"""What the corpus operators share: table reading, shared scratch tables, component labels."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from scanweave.functions.scratch import clear_shared, shared_dir, written
+from scanweave.operators.graph import components
+
+__all__ = ["NULL_ID", "clear_shared", "components", "partitions", "shared_dir", "table", "written"]
 
 #: Stands for a null id inside an operator, where ids are compared; it sorts before every other.
 NULL_ID = -(2**63)
 
-_local: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (tests) gets a temporary folder of its own; a cluster session is an error.
-    """
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/scanweave-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="scanweave-")
-        atexit.register(shutil.rmtree, _local[app], True)
-    return f"file://{_local[app]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder. Cuts lineage, survives lost executors, and tells the planner its real size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_shared(spark: SparkSession) -> None:
-    """Delete this session's scratch tables. Only call it once no result that reads them is still to be computed."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: a row ``(node, label)`` for each node, label the component's least node.
-
-    Alternating large-star and small-star steps: each round is a grouped minimum and a join, hot nodes are combined before the shuffle, and
-    the number of rounds grows with the logarithm of the longest path. Every round is written to the shared folder.
-    """
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        nbr = both(now)
-        low = nbr.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = nbr.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), "edges")
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
-            return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node").union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
