@@ -195,7 +195,7 @@ def _table(frame: bytes, h: Header, out: Stream) -> bool:
 
 def parse(data: bytes) -> Stream:
     out, at, n = Stream(), 0, len(data)
-    trusted = False
+    trusted, kind = False, None  # right after a frame, one of its kind is taken even if damage follows it
     while at < n:
         if size := _id3(data, at, out):
             at += size
@@ -205,7 +205,7 @@ def parse(data: bytes) -> Stream:
             break
         h = header(data[at : at + 4])
         end = at + h.length if h else 0
-        if not h or end > n or not (trusted or end == n or header(data[end : end + 4]) or data[end : end + 3] in (b"TAG", b"ID3")):
+        if not h or end > n or not (trusted and (h.mpeg1, h.layer, h.rate) == kind or end == n or header(data[end : end + 4]) or data[end : end + 3] in (b"TAG", b"ID3")):
             nxt = data.find(b"\xff", at + 1)
             tag = data.find(b"ID3", at + 1, nxt if nxt >= 0 else n)
             nxt = n if nxt < 0 else nxt
@@ -225,7 +225,7 @@ def parse(data: bytes) -> Stream:
                 out.checked += 1
                 out.damaged += crc16(frame[2:4] + frame[6:body]) != int.from_bytes(frame[4:6], "big")
             out.ancillary.append(frame[body:])
-        at, trusted = end, True
+        at, trusted, kind = end, True, (h.mpeg1, h.layer, h.rate)
     return out
 
 
