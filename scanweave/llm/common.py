@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanweave.functions.scratch import clear_shared, shared_dir, written
 from scanweave.operators.graph import components
 
-__all__ = ["NULL_ID", "clear_shared", "components", "partitions", "shared_dir", "table", "written"]
+__all__ = ["NULL_ID", "clear_shared", "components", "maybe_in", "partitions", "shared_dir", "table", "written"]
 
 #: Stands for a null id inside an operator, where ids are compared; it sorts before every other.
 NULL_ID = -(2**63)
@@ -19,3 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def maybe_in(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false where ``key`` is surely not in the one column of ``members``.
+
+    A bitmap of 4 MB at most is broadcast, whatever the number of members; it only spares shuffles, and an exact join has to follow
+    (inner or left: the optimizer moves semi and anti joins before the test).
+    """
+    spot = lambda c: F.xxhash64(c)
+    bucket, place = lambda c: F.pmod(spot(c), F.lit(1024)), lambda c: F.pmod(F.shiftright(spot(c), 20), F.lit(32768))
+    name = members.columns[0]
+    maps = members.groupBy(bucket(name).alias("__bucket")).agg(F.bitmap_construct_agg(place(name)).alias("__map"))
+    own = rows.withColumns({"__bucket": bucket(key), "__place": place(key)}).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.floor(F.col("__place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    own = own.withColumn("__byte", byte).withColumn("__maybe", F.coalesce(F.expr("shiftright(__byte, CAST(__place % 8 AS INT)) & 1 = 1"), F.lit(False)))
+    return own.select(*rows.columns, "__maybe")

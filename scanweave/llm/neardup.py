@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import NULL_ID, components, partitions, written
+from .common import NULL_ID, components, maybe_in, partitions, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
@@ -183,7 +183,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
     # equal ids may stand for several texts: the sets of a node are then several rows, and each is compared
     needed = bucket.select("node").distinct()
-    text_of = own.select("t", F.col("doc").alias("node")).join(needed, "node", "left_semi").select("t", "node")
+    text_of = maybe_in(own.select("t", F.col("doc").alias("node")), "node", needed).where("__maybe").join(needed, "node").select("t", "node")
     sets = written(text_of.mapInArrow(_sets, "node long, shingles binary").where(F.length("shingles") > 0), "sets")
     set_of = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out))
     pairs = star.join(set_of("b", "sb"), "b").join(set_of("a", "sa"), "a")
