@@ -95,11 +95,13 @@ def _medians(points: DataFrame, key: str, base: int, target: dict[int, float], b
     return found
 
 
-def kd_tree(docs: DataFrame, leaves: int = 16, id_col: str = "doc_id", text_col: str = "text", dims: list[Column] | None = None) -> DataFrame:
-    """``id, size, crc, shard`` of each row. ``leaves`` is a power of two: the total bytes over the target bytes of a leaf."""
+def kd_tree(docs: DataFrame, leaves: int = 16, id_col: str = "doc_id", text_col: str = "text", dims: list[Column] | None = None, target_bytes: int | None = None) -> DataFrame:
+    """``id, size, crc, shard`` of each row. ``leaves`` is a power of two; with ``target_bytes``, the least at which no leaf is to hold more."""
     if dims is None:
         dims = [F.log2(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1), F.log2(F.coalesce(F.length(text_col), F.lit(0)) + 1), F.crc32(F.col("lang").cast("binary"))]
     points = _points(docs, id_col, text_col, dims)
+    if target_bytes:
+        leaves = 1 << max(0, -(-(points.agg(F.sum("size")).first()[0] or 1) // target_bytes) - 1).bit_length()
     tree: dict[int, Cut] = {}
     base = 1
     while base < leaves:

@@ -273,6 +273,12 @@ def test_one_text_is_split_by_id(spark):
     assert len(n) == 16 and max(n) - min(n) <= 2
 
 
+def test_leaves_reach_the_target(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x" * 99).alias("text"), F.lit("en").alias("lang"))
+    sizes = [r[0] for r in sharding.kd_tree(df, target_bytes=13_000).groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 13_000
+
+
 def test_shards_defined_cases(odd, nothing):
     assert sharding.with_slots(sharding.kd_tree(odd)).count() == len(ODD) and sharding.with_slots(sharding.kd_tree(nothing)).count() == 0
 
