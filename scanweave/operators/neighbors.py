@@ -33,10 +33,10 @@ def local_density(points: DataFrame, keys: list[str], r: float) -> DataFrame:
     return radius_pairs(points, points, keys, r).groupBy(*keys, F.col("a").alias("point_id")).agg(F.count("*").alias("neighbours"))
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float = 0.5, rounds: int = 24) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float = 0.5, growth: float = 4.0, rounds: int = 16) -> DataFrame:
     """``keys, a, b, d2, rank`` of the k nearest points (all, in a smaller cloud), ties by id; a point counts as its own neighbour.
 
-    Searches a radius, keeps the queries that are certain (k hits, or the whole cloud), and goes on with the rest at twice the radius.
+    Searches a radius, keeps the queries that are certain (k hits, or the whole cloud), and goes on with the rest at a larger radius.
     """
     size = points.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("__want"))
     left, done, r = queries, None, start
@@ -49,7 +49,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, st
         left = written(left.join(got.select(*keys, F.col("a").alias("point_id")).distinct(), [*keys, "point_id"], "left_anti").join(size.select(*keys), keys, "left_semi"), "left")
         if left.isEmpty():
             return done
-        r *= 2
+        r *= growth
     raise RuntimeError(f"points farther than {r} apart; begin with a larger radius")
 
 
@@ -70,7 +70,7 @@ def nearest_in_each(points: DataFrame, scans: DataFrame, keys: list[str], scan:
 def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float = 2.0) -> DataFrame:
     """Points and the boxes that hold them, for any number of boxes: boxes are spread over the cells they touch in x and y, and joined by cell."""
     span = lambda a: F.sequence(F.floor(F.col(f"{a}_min") / cell), F.floor(F.col(f"{a}_max") / cell))
-    ok = boxes.where("x_min <= x_max and y_min <= y_max and z_min <= z_max")
+    ok = boxes.where("x_min <= x_max and y_min <= y_max and z_min <= z_max and not isnan(x_max) and not isnan(y_max) and not isnan(z_max)")
     spread = ok.withColumn("__cx", F.explode(span("x"))).withColumn("__cy", F.explode(span("y")))
     own = points.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell)})
     inside = "x >= x_min and x <= x_max and y >= y_min and y <= y_max and z >= z_min and z <= z_max"

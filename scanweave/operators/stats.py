@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import in_box
 from .geometry import voxels
+from .neighbors import in_boxes
 
 AXES = ("x", "y", "z")
 
@@ -38,13 +38,16 @@ def _volume(floor: float | None = None) -> Column:
 
 
 def selection_statistics(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """A4: for each cloud and box (``box_id, x_min .. z_max``): totals, share, volume, density, centroid, spread. Inverted boxes give an error row."""
+    """A4: for each cloud and box (``box_id, x_min .. z_max``): totals, share, volume, density, centroid, spread. Inverted boxes give an error row.
+
+    Points meet boxes by grid cell; only clouds and boxes, which are the rows of the result, are combined freely.
+    """
     valid = boxes.withColumn("valid", (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max")) & (F.col("z_min") < F.col("z_max")))
-    hit = in_box()
-    pick = lambda f, a: f(F.when(hit, F.col(a)))
-    own = points.join(F.broadcast(valid.where("valid")), F.lit(True))  # boxes are a stated query set
-    stats = [pick(f, a).alias(f"{n}_{a}") for a in AXES for n, f in (("mean", F.avg), ("sigma", F.stddev_pop))]
-    got = own.groupBy(*keys, "box_id").agg(F.count("*").alias("total"), F.count_if(hit).alias("selected"), F.first(_volume()).alias("volume"), *stats)
+    good = valid.where("valid")
+    stats = [f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("mean", F.avg), ("sigma", F.stddev_pop))]
+    inside = in_boxes(points, good, keys).groupBy(*keys, "box_id").agg(F.count("*").alias("selected"), *stats)
+    total = points.groupBy(*keys).agg(F.count("*").alias("total")).crossJoin(good.select("box_id", _volume().alias("volume")))
+    got = total.join(inside, [*keys, "box_id"], "left").fillna(0, ["selected"])
     got = got.withColumns({"percent": 100.0 * F.col("selected") / F.col("total"), "density": F.col("selected") / F.col("volume"), "error": F.lit(None).cast("string")})
     return got.unionByName(valid.where("not valid").select("box_id", F.lit("invalid bounds").alias("error")), allowMissingColumns=True)
 
