@@ -117,3 +117,16 @@ def test_ground_falls_back(spark):
     got = sc.with_ground(df, ["k"], Params())
     low = df.agg(F.min("z")).first()[0]
     assert got.where("is_ground").count() == df.where(F.col("z") <= low + 0.2).count()
+
+
+def test_small_geometry(spark):
+    from scanweave.operators import filters as fl
+
+    t = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0, 0.0), (float("nan"), 0.0, 0.0, 0.0, None)], "cx double, cy double, cz double, scale double, rotation_deg double")
+    assert [r.errors for r in fl.transform_problems(t).collect()] == ["", "centre,scale,rotation"]
+    r = spark.range(1).select(ge.clamp(F.lit(9.0), 0.1, 3.0).alias("a"), ge.normal_rotation(F.lit(-30.0)).alias("b")).first()
+    assert (r.a, r.b) == (3.0, 330.0)
+    _, df = cloud(spark, 100)
+    a, b = ge.jittered(df, 0.1).collect(), ge.jittered(df, 0.1).collect()
+    assert a == b and a != df.collect()
+    assert fl.range_outliers(df, ["k"], accuracy=10_000).count() in range(90, 97)

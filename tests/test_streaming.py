@@ -44,3 +44,19 @@ def test_tracker_stream_is_the_batch_tracker(spark, sf, tmp_path):
     want = tr.basic_tracks(d, fx.TRACK_KEYS).collect()
     groups = lambda rows: {frozenset(r.det_id for r in rows if (r.sequence_no, r.track_id) == k) for k in {(r.sequence_no, r.track_id) for r in rows}}
     assert len(got) == d.count() and groups(got) == groups(want)
+
+
+def test_fused_stream_is_the_batch_join(spark, sf, tmp_path):
+    from scanweave.operators import fusion as fu
+    from scanweave.plans import tracking as tq
+
+    at = (F.col("scan_idx") + 100).cast("double")
+    p = fx.points(spark, sf).withColumn("ts", at)
+    d = tq._boxes_in_view(spark, sf).withColumn("ts", at)
+    for name, df in (("p", p), ("d", d)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    cal = spark.sql(fx.CALIBRATION)
+    s = live.fused_stream(live.frame_stream(spark, str(tmp_path / "p"), schema_of(p)), live.frame_stream(spark, str(tmp_path / "d"), schema_of(d)), cal, tq.FRAME)
+    got = run(s.select("point_id", "det_id"), "f", tmp_path)
+    want = fu.attached(tq._shot(spark, sf), d, tq.FRAME).select("point_id", "det_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
