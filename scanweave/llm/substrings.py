@@ -5,8 +5,9 @@ are hashed whose number modulo ``PERIOD`` is in the ``COVER``, a set that has ev
 window begins at, some place inside it is in the cover in both texts, at the same distance from the beginning, and leaves room for an anchor
 of ``ANCHOR`` words. So a repeated window always shares an anchor, of which there are 4 for 13 words.
 
-1. Count anchors; keep those that occur twice or more (partial counts are combined before the shuffle).
-2. Semi-join the occurrences with them: places of a text where a repeat may lie. Only their lists by document are kept.
+1. Texts that equal an earlier document's go as wholes, and take no part in what follows: whatever they hold begins earlier there.
+2. Count anchors; keep those that occur twice or more (partial counts are combined before the shuffle). Semi-join the occurrences with them: places of
+   a text where a repeat may lie. Only their lists by document are kept. A bitmap of bounded size spares shuffling most of the other anchors.
 3. Extend: in those texts, hash each window around such a place with 128 bits; the least (document, place) of each hash is its first occurrence.
 4. Windows that are not the first of their hash take their words away.
 
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
-from .common import NULL_ID, written
+from .common import NULL_ID, maybe_in, written
 
 WINDOW, PERIOD = 20, 13
 COVER = (0, 1, 3, 9)
@@ -55,10 +57,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in W.pieces(batches):
-        h, row, place = _anchors(b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(1).to_numpy()[row]), pa.array(place.astype(np.int32))], ["h", "doc", "place"])
+#: Bits of the bitmap of repeated anchors, as a power of two: 4 MB.
+_BITS = 25
+
+
+def _bitmap(often: DataFrame) -> bytes:
+    """A bit for each possible value of the first bits of an anchor's hash."""
+    spot = F.shiftrightunsigned("h", 64 - _BITS)
+    rows = often.groupBy(F.shiftright(spot, 15).alias("k")).agg(F.bitmap_construct_agg(spot.bitwiseAND(2**15 - 1)).alias("bits")).collect()  # 1024 rows of 4 kB at most
+    out = bytearray(2 ** (_BITS - 3))
+    for k, bits in rows:
+        out[k * 4096 : k * 4096 + len(bits)] = bits
+    return bytes(out)
+
+
+def _places(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for b in W.pieces(batches):
+            h, row, place = _anchors(b.column(0))
+            spot = (h.view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)
+            some = bits[spot >> 3] >> (spot & 7) & 1 == 1
+            h, row, place = h[some], row[some], place[some]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(1).to_numpy()[row]), pa.array(place.astype(np.int32))], ["h", "doc", "place"])
+
+    return run
 
 
 def _windows(text: int):
@@ -90,15 +113,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     base = docs.select(F.col(text).cast("string").alias("__text"), doc.alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("same"), *keep)
 
-    own = docs.select(F.col(text).cast("string"), doc.alias("doc"))
-    often = own.select(text).mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    places = own.mapInArrow(_places, "h long, doc long, place int").join(often, "h", "left_semi")
+    same = [F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(1), "t").alias("t2")]
+    rows = docs.select(F.col(text).cast("string").alias("t"), doc.alias("doc")).where("t is not null").select("t", "doc", *same)
+    least = rows.groupBy("t1", "t2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("t1", "t2", "least")
+    copies = written(rows.select("doc", "t1", "t2").join(least, ["t1", "t2"]).where("doc > least").select("doc", "t1", "t2").distinct(), "copies")
+    key = F.xxhash64("doc", "t1", "t2").alias("key")
+    judged = maybe_in(rows.select("*", key), "key", copies.select(key))
+    own = judged.where("not __maybe").select("t", "doc").union(judged.where("__maybe").join(copies.withColumn("copy", F.lit(True)), ["doc", "t1", "t2"], "left").where("copy is null").select("t", "doc"))
+
+    often = written(own.select("t").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
+    likely = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
+    places = own.mapInArrow(_places(likely), "h long, doc long, place int").join(often, "h", "left_semi")
     marks = written(places.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
 
     windows = base.join(marks, "doc").select("__text", "doc", "same", *keep, "places").mapInArrow(_windows(0), "a long, b long, doc long, same long, place int")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first, ["a", "b"]).where(F.struct("doc", "place") > F.col("first"))
-    gone = later.groupBy("doc").agg(F.collect_set(F.struct("same", "place")).alias("gone"))
+    whole = copies.select("doc", F.col("t1").alias("same"), F.lit(-1).alias("place"))
+    gone = later.select("doc", "same", "place").union(whole).groupBy("doc").agg(F.collect_set(F.struct("same", "place")).alias("gone"))
     gone = gone.select("doc", F.col("gone.same").alias("of"), F.col("gone.place").alias("at"))
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -111,9 +143,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for raw, (same, of, at) in zip(b.column(0).cast(pa.binary()).to_pylist(), lists, strict=True):
                 w = (raw or b"").split()  # at ASCII white space, as bytes do
                 words.append(len(w))
-                if at.is_valid:
+                place = at.values.to_numpy()[of.values.to_numpy() == same] if at.is_valid else []
+                if len(place) and place.min() < 0:  # a copy
+                    w = w if len(w) < WINDOW else []
+                elif len(place):
                     step = np.zeros(len(w) + 1, np.int64)
-                    place = at.values.to_numpy()[of.values.to_numpy() == same]
                     np.add.at(step, place, 1)
                     np.add.at(step, place + WINDOW, -1)
                     w = [w[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
