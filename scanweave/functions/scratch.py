@@ -29,11 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder; it also tells the planner its real size."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder; it also tells the planner its real size.
+
+    ``release`` asks the driver's JVM to collect garbage then, upon which Spark deletes the shuffle files that the table replaces; otherwise large
+    ones may take disk until the driver happens to collect.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    if release:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def clear_shared(spark: SparkSession) -> None:
