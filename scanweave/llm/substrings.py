@@ -8,7 +8,7 @@ of ``ANCHOR`` words. So a repeated window always shares an anchor, of which ther
 1. Texts that equal an earlier document's go as wholes, and take no part in what follows: whatever they hold begins earlier there.
 2. Count anchors; keep those that occur twice or more (partial counts are combined before the shuffle). Semi-join the occurrences with them: places of
    a text where a repeat may lie. Only their lists by document are kept. A bitmap of bounded size spares shuffling most of the other anchors.
-3. Extend: in those texts, hash each window around such a place with 128 bits; the least (document, place) of each hash is its first occurrence.
+3. Extend: in those texts, hash each window around such a place with 96 bits; the least (document, place) of each hash is its first occurrence.
 4. Windows that are not the first of their hash take their words away.
 
 Hot anchors and windows are only ever counted, minimised or joined, never gathered; sort-merge joins split hot keys at run time. Texts are shuffled
@@ -99,8 +99,8 @@ def _windows(text: int):
             start = W.window_starts(w, WINDOW)
             start = start[near[start]]
             doc = w.doc[start]
-            pair = [W.range_hash(w.hashes(s), start, start + WINDOW, s).view(np.int64) for s in (2, 3)]
-            cols = [*pair, b.column("doc").to_numpy()[doc], b.column("same").to_numpy()[doc], (start - w.first[doc]).astype(np.int32)]
+            a, b_ = (W.range_hash(w.hashes(s), start, start + WINDOW, s) for s in (2, 3))
+            cols = [a.view(np.int64), (b_ >> np.uint64(32)).astype(np.uint32).view(np.int32), b.column("doc").to_numpy()[doc], b.column("same").to_numpy()[doc], (start - w.first[doc]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "doc", "same", "place"])
 
     return run
@@ -121,12 +121,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     judged = maybe_in(rows.select("*", key), "key", copies.select(key))
     own = judged.where("not __maybe").select("t", "doc").union(judged.where("__maybe").join(copies.withColumn("copy", F.lit(True)), ["doc", "t1", "t2"], "left").where("copy is null").select("t", "doc"))
 
-    often = written(own.select("t").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
+    often = written(own.select("t").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors", release=True)
     likely = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
-    places = own.mapInArrow(_places(likely), "h long, doc long, place int").join(often, "h", "left_semi")
-    marks = written(places.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    marks = written(
+        own.mapInArrow(_places(likely), "h long, doc long, place int").join(often, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")), "places", release=True
+    )
 
-    windows = base.join(marks, "doc").select("__text", "doc", "same", *keep, "places").mapInArrow(_windows(0), "a long, b long, doc long, same long, place int")
+    windows = base.join(marks, "doc").select("__text", "doc", "same", *keep, "places").mapInArrow(_windows(0), "a long, b int, doc long, same long, place int")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first, ["a", "b"]).where(F.struct("doc", "place") > F.col("first"))
     whole = copies.select("doc", F.col("t1").alias("same"), F.lit(-1).alias("place"))
