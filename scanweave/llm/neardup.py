@@ -117,7 +117,7 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         pairs = zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)
         ok = pa.array([_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY for x, y in pairs], pa.bool_())
         yield b.select(["a", "b"]).filter(ok)
@@ -215,7 +215,15 @@ def with_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each class whose id is its least, with the columns of ``docs``; of rows that repeat that id, one."""
-    found = classes(docs, id_col, text).where("node = class_id").select(F.col("node").alias("__node"))
-    own = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    return own.join(found, F.col("__doc") == F.col("__node"), "left_semi").dropDuplicates(["__doc"]).select(*docs.columns)
+    """The row of each class whose id is its least, with the columns of ``docs``; of rows that repeat that id, one.
+
+    Rows that neither go nor repeat an id, which are most, are passed on in place.
+    """
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    gone = classes(docs, id_col, text).where("node <> class_id").select(F.col("node").alias("__node"), F.lit(True).alias("__gone"))
+    again = docs.groupBy(doc.alias("__node")).agg(F.count("*").alias("n")).where("n > 1").select("__node", F.lit(False).alias("__gone"))
+    special = written(gone.union(again).groupBy("__node").agg(F.max("__gone").alias("__gone")), "special")
+    own = maybe_in(docs.withColumn("__doc", doc), "__doc", special.select("__node"))
+    judged = own.where("__maybe").join(special, F.col("__doc") == F.col("__node"), "left").where("not coalesce(__gone, false)")
+    one = judged.where("__gone is not null").dropDuplicates(["__doc"]).unionByName(judged.where("__gone is null"))
+    return own.where("not __maybe").select(*docs.columns).unionByName(one.select(*docs.columns))

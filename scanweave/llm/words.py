@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; arrays of eight bytes for each of them are made.
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int = PIECE) -> Iterator[pa.RecordBatch]:
