@@ -5,14 +5,15 @@ from its hash alone, to random registers; a register keeps the shingle that came
 the text's latest register (early termination), so work is about the number of shingles plus that of registers times its logarithm. Two registers
 agree with the probability Jaccard similarity of the texts.
 
-Classes. Equal texts are one class member each, by the least id. Members that agree in all ``ROWS`` registers of one of ``BANDS`` bands share a
+Classes. The members are the distinct texts, whatever the ids of their rows, and a member's number means nothing else. Members that agree in all ``ROWS`` registers of one of ``BANDS`` bands share a
 bucket (0.05 % of pairs at exactly 0.8 never do). A bucket's members are first verified against its least member only, and connected. Buckets that
 still hold several components go on: there each pair of different components whose first common band this is, and whose signatures let 0.8 seem
 possible, is verified, in blocks of bounded size; a pair that a component already joins needs no check. Verification is exact: the Jaccard similarity
 of the shingle sets is at least ``SIMILARITY``. So no link found by banding is lost and no bucket is expanded into pairs of rows.
 
 Defined cases: a null text is an empty one; a text of fewer than five words, but not none, is one shingle; texts without words are alike only if they
-are equal; null ids are less than any other; rows that share an id are one node: their classes are one; a column named like a result is replaced.
+are equal; an id only labels a class, so rows that share an id, or have none, are of one class only if their texts are; null ids come after any other;
+a column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -167,23 +168,33 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _marks(text: str) -> list[Column]:
+    """Two hashes that stand for a text."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(whole), F.xxhash64(F.lit(1), whole)]
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``node`` (the id, or the least number for null) and ``class_id``, the least id of its class; a row for each id."""
+    """A row for each distinct text, by its hashes ``t1, t2``: ``class_id``, the least id of its class, and ``l1, l2``, the text of the least (id, text) there."""
     spark = docs.sparkSession
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(whole.alias("t"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"))
-    own = own.withColumns({"t1": F.xxhash64("t"), "t2": F.xxhash64(F.lit(1), "t")})
+    t1, t2 = _marks(text)
+    own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"))
     signed = own.mapInArrow(_signed, "doc long, t1 long, t2 long, sig binary")
-    member = written(signed.groupBy("t1", "t2").agg(F.min("doc").alias("node"), F.max("sig").alias("sig")), "signatures")
+    member = signed.groupBy("t1", "t2").agg(F.min("doc").alias("doc"), F.max("sig").alias("sig"))
+    member = written(member.withColumn("node", F.monotonically_increasing_id()), "signatures")
 
     rows = member.where(F.length("sig") > 0).select("node", "sig").mapInArrow(_banded, "key long, node long")
     low = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
     bucket = written(rows.join(low, "key").distinct(), "buckets")
     star = bucket.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
-    # equal ids may stand for several texts: the sets of a node are then several rows, and each is compared
-    needed = bucket.select("node").distinct()
-    text_of = maybe_in(own.select("t", F.col("doc").alias("node")), "node", needed).where("__maybe").join(needed, "node").select("t", "node")
+    # of the rows of a text only those with its least id, and of these one
+    key = F.xxhash64("doc", "t1", "t2").alias("key")
+    needed = bucket.select("node").distinct().join(member.select("node", "doc", "t1", "t2"), "node")
+    needed = written(needed.select("node", F.coalesce("doc", F.lit(NULL_ID)).alias("doc"), "t1", "t2"), "needed")
+    each = own.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
+    likely = maybe_in(each.select("t", "doc", "t1", "t2", key), "key", needed.select(key)).where("__maybe").select("t", "doc", "t1", "t2")
+    text_of = likely.join(needed, ["doc", "t1", "t2"]).dropDuplicates(["doc", "t1", "t2"]).select("t", "node")
     sets = written(text_of.mapInArrow(_sets, "node long, shingles binary").where(F.length("shingles") > 0), "sets")
     set_of = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out))
     pairs = star.join(set_of("b", "sb"), "b").join(set_of("a", "sa"), "a")
@@ -201,29 +212,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     more = full.select("key", "i", "j", "g", "node", "label", "sig", "shingles").mapInArrow(_compared, "a long, b long")
 
     found = components(links.union(more))
-    equal = own.select("doc", "t1", "t2").join(member.select("t1", "t2", "node"), ["t1", "t2"]).select("doc", "node")
-    mine = equal.join(found, "node", "left").select("doc", F.coalesce("label", "node").alias("class_id"))
-    return mine.groupBy("doc").agg(F.min("class_id").alias("class_id")).withColumnRenamed("doc", "node")
+    chain = found.join(member.select("node", "doc", "t1", "t2"), "node")
+    chain = chain.select("label", "t1", "t2", F.struct(F.col("doc").isNull().alias("none"), "doc", "t1", "t2").alias("one"))
+    lead = chain.groupBy("label").agg(F.min("one").alias("lead"))
+    linked = written(chain.join(lead, "label").select("t1", "t2", "lead.doc", F.col("lead.t1").alias("l1"), F.col("lead.t2").alias("l2")), "linked")
+    both = member.select("t1", "t2", F.col("doc").alias("own")).join(linked, ["t1", "t2"], "left")
+    return both.select("t1", "t2", F.when(F.col("l1").isNull(), F.col("own")).otherwise(F.col("doc")).alias("class_id"), F.coalesce("l1", "t1").alias("l1"), F.coalesce("l2", "t2").alias("l2"))
 
 
 def with_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` of ``docs`` (all if None) and ``class_id``, null for a class that only null ids have."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "class_id"]
-    found = classes(docs, id_col, text).select(F.col("node").alias("__node"), F.nullif(F.col("class_id"), F.lit(NULL_ID)).alias("class_id"))
-    own = docs.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__doc"))
-    return own.join(found, F.col("__doc") == F.col("__node")).select(*keep, "class_id")
+    t1, t2 = _marks(text)
+    found = classes(docs, id_col, text).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "class_id")
+    return docs.select(*keep, t1.alias("__t1"), t2.alias("__t2")).join(found, ["__t1", "__t2"]).select(*keep, "class_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each class whose id is its least, with the columns of ``docs``; of rows that repeat that id, one.
+    """The row of each class with the least id, and of texts that share it the least hashes, with the columns of ``docs``; of rows that repeat both, one.
 
-    Rows that neither go nor repeat an id, which are most, are passed on in place.
+    Rows that neither go nor repeat an id and text, which are most, are passed on in place.
     """
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    gone = classes(docs, id_col, text).where("node <> class_id").select(F.col("node").alias("__node"), F.lit(True).alias("__gone"))
-    again = docs.groupBy(doc.alias("__node")).agg(F.count("*").alias("n")).where("n > 1").select("__node", F.lit(False).alias("__gone"))
-    special = written(gone.union(again).groupBy("__node").agg(F.max("__gone").alias("__gone")), "special")
-    own = maybe_in(docs.withColumn("__doc", doc), "__doc", special.select("__node"))
-    judged = own.where("__maybe").join(special, F.col("__doc") == F.col("__node"), "left").where("not coalesce(__gone, false)")
-    one = judged.where("__gone is not null").dropDuplicates(["__doc"]).unionByName(judged.where("__gone is null"))
+    t1, t2 = _marks(text)
+    row = ["__doc", "__t1", "__t2"]
+    own = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__t1": t1, "__t2": t2})
+    found = classes(docs, id_col, text).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.coalesce("class_id", F.lit(NULL_ID)).alias("lead"), "l1", "l2")
+    each = own.groupBy(*row).agg(F.count("*").alias("n")).join(found, ["__t1", "__t2"])
+    each = each.withColumn("__stays", (F.col("__doc") == F.col("lead")) & (F.col("__t1") == F.col("l1")) & (F.col("__t2") == F.col("l2")))
+    special = written(each.where("n > 1 or not __stays").select(*row, "__stays"), "special")
+    key = F.xxhash64(*row).alias("__key")
+    own = maybe_in(own.withColumn("__key", key), "__key", special.select(key))
+    judged = own.where("__maybe").join(special, row, "left").where("coalesce(__stays, true)")
+    one = judged.where("__stays is not null").dropDuplicates(row).unionByName(judged.where("__stays is null"))
     return own.where("not __maybe").select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -243,6 +243,19 @@ def test_classes_defined_cases(odd, nothing):
     assert neardup.with_class(nothing).count() == 0 and neardup.one_of_each(odd).columns == odd.columns
 
 
+def test_ids_do_not_join_classes(spark):
+    rng = random.Random(7)
+    u, v, x, y, z = ([f"{c}{rng.randrange(5000)}" for _ in range(120)] for c in "uvxyz")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    docs = [(None, " ".join(u)), (None, " ".join(v)), (10, near(u)), (11, near(v)), (7, " ".join(x)), (7, " ".join(y)), (8, near(y)), (None, " ".join(z)), (None, near(z)), (9, "own"), (9, "own")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.text): r.class_id for r in neardup.with_class(df).collect()}
+    assert got == dict(zip(docs, (10, 11, 10, 11, 7, 7, 7, None, None, 9, 9), strict=True))
+    kept = Counter((r.doc_id, r.text) for r in neardup.one_of_each(df).collect())
+    null = [d for d in docs[7:9] if d in kept]
+    assert len(null) == 1 and kept == Counter([docs[k] for k in (2, 3, 4, 5, 9)] + null)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]
