@@ -7,12 +7,12 @@ of ``ANCHOR`` words. So a repeated window always shares an anchor, of which ther
 
 1. Texts that equal an earlier document's go as wholes, and take no part in what follows: whatever they hold begins earlier there.
 2. Count anchors; keep those that occur twice or more (partial counts are combined before the shuffle). Semi-join the occurrences with them: places of
-   a text where a repeat may lie. Only their lists by document are kept. A bitmap of bounded size spares shuffling most of the other anchors.
+   a text where a repeat may lie. Only their lists by document and text are kept. A bitmap of bounded size spares shuffling most of the other anchors.
 3. Extend: in those texts, hash each window around such a place with 96 bits; the least (document, place) of each hash is its first occurrence.
 4. Windows that are not the first of their hash take their words away.
 
 Hot anchors and windows are only ever counted, minimised or joined, never gathered; sort-merge joins split hot keys at run time. Texts are shuffled
-once, by document; both joins use that exchange.
+once, by a hash of document and text, so rows that share an id do not meet; both joins use that exchange.
 
 Defined cases: a null text has no words; a null id is less than any other; rows that share an id are one document for the order of places, and
 windows at the same place of it are not earlier than one another; texts of fewer words than a window lose none; a column named like a result is
@@ -79,7 +79,7 @@ def _places(shared: Broadcast):
             spot = (h.view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)
             some = bits[spot >> 3] >> (spot & 7) & 1 == 1
             h, row, place = h[some], row[some], place[some]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(1).to_numpy()[row]), pa.array(place.astype(np.int32))], ["h", "doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column(1).to_numpy()[row]), pa.array(place.astype(np.int32))], ["h", "row", "place"])
 
     return run
 
@@ -91,6 +91,8 @@ def _windows(text: int):
             marks = b.column("places")
             row = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
             at = marks.flatten().to_numpy()
+            own = at + ANCHOR <= np.diff(w.first)[row]  # hashes of rows may collide
+            row, at = row[own], at[own]
             # a window holds the anchor at most PERIOD - 1 words after its beginning
             step = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(step, w.first[row] + np.maximum(at - PERIOD + 1, 0), 1)
@@ -111,7 +113,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     made = ("n_words", "n_removed", text)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    base = docs.select(F.col(text).cast("string").alias("__text"), doc.alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("same"), *keep)
+    base = docs.select(F.col(text).cast("string").alias("__text"), doc.alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("same"), *keep)
+    row = lambda same: F.xxhash64("doc", same).alias("__row")  # noqa: E731  of rows with equal texts only those with equal ids share it
+    base = base.withColumn("__row", row("same"))
 
     same = [F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(1), "t").alias("t2")]
     rows = docs.select(F.col(text).cast("string").alias("t"), doc.alias("doc")).where("t is not null").select("t", "doc", *same)
@@ -119,20 +123,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     copies = written(rows.select("doc", "t1", "t2").join(least, ["t1", "t2"]).where("doc > least").select("doc", "t1", "t2").distinct(), "copies")
     key = F.xxhash64("doc", "t1", "t2").alias("key")
     judged = maybe_in(rows.select("*", key), "key", copies.select(key))
-    own = judged.where("not __maybe").select("t", "doc").union(judged.where("__maybe").join(copies.withColumn("copy", F.lit(True)), ["doc", "t1", "t2"], "left").where("copy is null").select("t", "doc"))
+    own = judged.where("not __maybe").select("t", row("t1")).union(judged.where("__maybe").join(copies.withColumn("copy", F.lit(True)), ["doc", "t1", "t2"], "left").where("copy is null").select("t", row("t1")))
 
     often = written(own.select("t").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors", release=True)
     likely = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
     marks = written(
-        own.mapInArrow(_places(likely), "h long, doc long, place int").join(often, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")), "places", release=True
+        own.mapInArrow(_places(likely), "h long, row long, place int").join(often, "h", "left_semi").groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_set("place")).alias("places")), "places", release=True
     )
 
-    windows = base.join(marks, "doc").select("__text", "doc", "same", *keep, "places").mapInArrow(_windows(0), "a long, b int, doc long, same long, place int")
+    windows = base.join(marks, "__row").select("__text", "doc", "same", *keep, "places").mapInArrow(_windows(0), "a long, b int, doc long, same long, place int")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first, ["a", "b"]).where(F.struct("doc", "place") > F.col("first"))
     whole = copies.select("doc", F.col("t1").alias("same"), F.lit(-1).alias("place"))
-    gone = later.select("doc", "same", "place").union(whole).groupBy("doc").agg(F.collect_set(F.struct("same", "place")).alias("gone"))
-    gone = gone.select("doc", F.col("gone.same").alias("of"), F.col("gone.place").alias("at"))
+    gone = later.select("doc", "same", "place").union(whole).groupBy(row("same")).agg(F.collect_set(F.struct("same", "place")).alias("gone"))
+    gone = gone.select("__row", F.col("gone.same").alias("of"), F.col("gone.place").alias("at"))
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = to_arrow_schema(schema)
@@ -156,4 +160,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 kept.append(b" ".join(w))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words), pa.array(removed)], schema=out)
 
-    return base.join(gone, "doc", "left").select("__text", "doc", "same", *keep, "of", "at").mapInArrow(strip, schema)
+    return base.join(gone, "__row", "left").select("__text", "doc", "same", *keep, "of", "at").mapInArrow(strip, schema)

@@ -130,6 +130,14 @@ def test_substrings_defined_cases(odd, nothing):
     assert substrings.without_repeats(nothing).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    docs = [(d, f"{words(c, 300)} {words('same', 40)}") for d, c in ((None, "a"), (7, "b"), (9, "c"))] + [(None, words("d", 25)), (7, words("e", 30))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.text) for r in substrings.without_repeats(df).collect()}
+    assert got == {docs[0], (7, words("b", 300)), (9, words("c", 300)), docs[3], docs[4]}
+
+
 # 3
 
 def test_warc_round_trip(spark):
