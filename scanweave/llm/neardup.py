@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Signatures. A text's shingles are five words each, weighted by 1 + ln(count). Each shingle sends arrivals of a Poisson process of that rate, drawn
-from its hash alone, to random registers; a register keeps the shingle that came first. Arrivals of a shingle end as soon as they come later than
-the text's latest register (early termination), so work is about the number of shingles plus that of registers times its logarithm. Two registers
-agree with the probability Jaccard similarity of the texts.
+Signatures. A text's shingles are five words each. Each shingle sends arrivals of a Poisson process, drawn from its hash alone, to random registers;
+a register keeps the shingle that came first. Arrivals of a shingle end as soon as they come later than the text's latest register (early
+termination), so work is about the number of shingles plus that of registers times its logarithm. Two registers agree with the probability Jaccard
+similarity of the texts. ``signatures`` takes counts for rates of 1 + ln(count); classes are sought with a rate of 1 for each shingle, where that
+similarity is the one of the sets, which is what is verified.
 
 Classes. The members are the distinct texts, whatever the ids of their rows, and a member's number means nothing else. Members that agree in all ``ROWS`` registers of one of ``BANDS`` bands share a
 bucket (0.05 % of pairs at exactly 0.8 never do). A bucket's members are first verified against its least member only, and connected. Buckets that
@@ -32,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that are compared in one task, and the share of agreeing registers below which 0.8 is out of reach (seven deviations).
-BLOCK, LIKELY = 1024, 0.62
+BLOCK, LIKELY = 1024, SIMILARITY - 7 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 
 
 def shingles(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,8 +85,8 @@ def _band_codes(sig: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in W.pieces(batches):
-        doc, h, count = shingles(W.words(b.column(0)))
-        sig = signatures(doc, h, count, b.num_rows)
+        doc, h, _ = shingles(W.words(b.column(0)))
+        sig = signatures(doc, h, np.ones(len(h), int), b.num_rows)
         n = np.bincount(doc, minlength=b.num_rows)
         raw = [s.tobytes() if k else b"" for s, k in zip(sig, n, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("t1"), b.column("t2"), pa.array(raw, pa.binary())], ["doc", "t1", "t2", "sig"])

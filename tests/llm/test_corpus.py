@@ -243,6 +243,15 @@ def test_registers_estimate_similarity():
     assert abs(share - (1 + np.log(3)) / (2 + np.log(3))) < 0.04
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    docs = []
+    for k in range(60):
+        whole = " ".join(f"{k}w{i}" for i in range(84))
+        docs += [(2 * k, whole), (2 * k + 1, whole + f" {' '.join(f'{k}r{i}' for i in range(14))}" * (10 if k < 30 else 100))]
+    got = {r.doc_id: r.class_id for r in neardup.with_class(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == exact_classes(docs) == {d: d // 2 * 2 for d, _ in docs}
+
+
 def test_classes_defined_cases(odd, nothing):
     rows = neardup.with_class(odd).collect()
     assert len(rows) == len(ODD)
