@@ -32,12 +32,12 @@ SELECT i AS det_id, s % 2 AS device_no, s AS sequence_no, f AS frame_id, CASE WH
   CAST(o*10 AS DOUBLE) + CAST(f AS DOUBLE)/5 AS cx, CAST(o AS DOUBLE) AS cy, CAST(1 AS DOUBLE) AS cz, (i*7) % 40 AS n_points, CAST(2 AS INT) AS class_id
 FROM (SELECT event_id AS i, event_id % 6 AS o, (event_id {div} 6) % 40 AS f, event_id {div} 240 AS s FROM {events}) k
 """
-#: Each tenth ground or clutter point seen in five scans, every third of them 5.5 cm farther in the last two; scans of one device.
+#: Each event is a point seen in five scans, every third of them 5.5 cm farther in the last two; scans of one device.
 _MOVING = """
 SELECT i * 5 + s AS point_id, i % 2 AS device_no, s AS scan_idx, x + CASE WHEN i % 3 = 0 AND s >= 3 THEN CAST(0.055 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x, y, z
-FROM (SELECT event_id AS i, CAST((event_id*7919 + 104729) % 100003 AS DOUBLE) / 100003 * 400 AS x,
-    CAST((event_id*event_id*31 + event_id*15485863 + 7) % 100019 AS DOUBLE) / 100019 * 400 AS y,
-    CAST((event_id*event_id*17 + event_id*49979687 + 13) % 100043 AS DOUBLE) / 100043 AS z FROM {events} WHERE event_id % 10 < 4) p
+FROM (SELECT event_id AS i, CAST((event_id*7919 + 104729) % 100003 AS DOUBLE) / 100003 * 4000 AS x,
+    CAST((event_id*event_id*31 + event_id*15485863 + 7) % 100019 AS DOUBLE) / 100019 * 4000 AS y,
+    CAST((event_id*event_id*17 + event_id*49979687 + 13) % 100043 AS DOUBLE) / 100043 AS z FROM {events}) p
 CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) q
 """
 _FRAMES = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scanweave.functions.scratch import written
 from scanweave.operators import filters as fl
 from scanweave.operators import fusion as fu
 from scanweave.operators import geometry as ge
@@ -246,10 +247,19 @@ def a31_footprints(spark, sf):
 
 @query()
 def m7_static_points(spark, sf):
-    s = mo.static_points(fx.moving(spark, sf), ["device_no"], voxel=None)
+    s = mo.static_points(fx.moving(spark, sf), ["device_no"])
     return mo.static_statistics(s, ["device_no"]).select("device_no", "n", "n_static", "n_dynamic", *_r("static_ratio"))
 
 
+@query()
+def m7_m8_temporal_change(spark, sf):
+    """M7's dynamic points of all scans through M8 and its statistics; ``m8_moving_points`` and ``a22_a24_movement`` stay with scan 0, as their SQL does."""
+    m = fx.moving(spark, sf)
+    dynamic = written(mo.static_points(m, ["device_no"]).where("not is_static"), "dynamic")
+    s = mo.movement_statistics(mo.moving_points(dynamic, m, ["device_no"]), dynamic, ["device_no"])
+    return s.select("device_no", "n_dynamic", "n_moving", *_r("mean_displacement", "max_displacement", "moving_ratio", "filtered"))
+
+
 _NEAR = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
 
 

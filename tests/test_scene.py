@@ -10,6 +10,7 @@ from scanweave.operators import neighbors as nb
 from scanweave.operators import scene as sc
 from scanweave.operators import tracking as tr
 from scanweave.plans import fixtures as fx
+from scanweave.plans import tracking
 from scanweave.schema import Params
 
 
@@ -89,6 +90,31 @@ def test_static_and_dynamic_are_the_kept_set(spark, sf):
     assert s.count() == kept.count()
 
 
+def test_temporal_change_of_all_scans(spark, sf):
+    m = fx.moving(spark, sf)
+    assert m.count() == 5 * spark.read.parquet(f"{sf}/events.parquet").count()
+    got = {r.device_no: r for r in tracking.m7_m8_temporal_change(spark, sf).collect()}
+    for device, g in m.toPandas().sort_values("point_id").groupby("device_no"):
+        p, scan = g[["x", "y", "z"]].to_numpy(), g.scan_idx.to_numpy()  # no two points of a scan share a voxel here
+        square = lambda q: ((p - q) ** 2).sum(1)
+        gone, dynamic = np.zeros(len(p), bool), []
+        for i, q in enumerate(p):
+            if not gone[i]:
+                near = square(q) <= 0.05**2
+                gone |= near
+                if len(set(scan[near])) / 5 < 0.7:
+                    dynamic.append(q)
+        far = []
+        for q in dynamic:
+            d = square(q)
+            ends = [p[near[d[near].argmin()]] for s in range(5) if len(near := np.flatnonzero((scan == s) & (d <= 0.06**2)))]
+            if len(ends) >= 2 and (step := np.sqrt(((ends[-1] - ends[0]) ** 2).sum())) > 0.05:
+                far.append(step)
+        r = got[device]
+        assert (r.n_dynamic, r.n_moving) == (len(dynamic), len(far)) and len(far) > 0
+        assert abs(r.mean_displacement - np.mean(far)) < 1e-5
+
+
 def test_rotations_undo_each_other(spark):
     p, df = cloud(spark, 50)
     c = F.lit(1.0)
