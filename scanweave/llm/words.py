@@ -27,7 +27,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int =
             yield batch.slice(at)
 
 
-def _class(*ranges: tuple[int, int]) -> np.ndarray:
+def lookup(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which bytes are in one of the ranges, ends included."""
     lut = np.zeros(256, bool)
     for lo, hi in ranges:
         lut[lo : hi + 1] = True
@@ -35,9 +36,9 @@ def _class(*ranges: tuple[int, int]) -> np.ndarray:
 
 
 #: Bytes of words that end at ASCII white space.
-SPACED = ~_class((0x20, 0x20), (0x09, 0x0D))
+SPACED = ~lookup((0x20, 0x20), (0x09, 0x0D))
 #: Bytes of words of ASCII digits and letters and everything beyond ASCII.
-ALNUM = _class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+ALNUM = lookup((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 

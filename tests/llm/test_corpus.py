@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -315,13 +316,16 @@ def test_shards_defined_cases(odd, nothing):
 
 # 8
 
-def tokens(text):
+@cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def tokens(text):
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def check_pieces(rows, docs):
@@ -352,7 +356,20 @@ def test_packing(spark, sf):
     assert check_pieces(rows, docs) < 0.03 * sum(r.length for r in rows)
 
 
-def test_packing_defined_cases(spark, nothing):
+def test_pieces_of_text_have_the_ids_of_whole_texts():
+    import public_tokenizers
+
+    known, rng = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4)
+    parts = ["a", "b", " ", " ", " ", "\n", "\t", "\r", "'", "s", "'s", "re", "1", ".", ",", "-", "é", "ñ", "\u3000", "\xa0", "\u2003", "\x85", "\x1c", "漢", "…", "<|endoftext|>", "\0", "\u0301", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(4000)]
+    ids, n = known.of(pa.array([*texts, None]))
+    at = np.append(0, np.cumsum(n))
+    assert n[-1] == 0
+    for k, t in enumerate(texts):
+        assert known.tool.encode(t, add_special_tokens=False).ids == ids[at[k] : at[k + 1]].tolist(), t
+
+
+def test_packing_defined_cases(spark, odd, nothing):
     import public_tokenizers
 
     texts = [None, "", "a  b\n\n c", " x", "x ", "a\0b c", "<|endoftext|> a", "q" * 5000, "w " * 3000, "tab\t and\r\n more ", "  y　z"]
@@ -360,22 +377,40 @@ def test_packing_defined_cases(spark, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     check_pieces(packing.packed(df, path).collect(), dict(enumerate(texts)))
     assert packing.packed(nothing, path).count() == 0
+    whole = packing.packed(odd.withColumn("start", F.lit("mine")).coalesce(1), path)
+    assert whole.columns == [c for c in odd.columns if c != "text"] + packing.PIECE.names
+    assert Counter(r.doc_id for r in whole.where("start = 0").collect()) == Counter(r[0] for r in ODD)
+
+
+def cheapest(places, cost, size):
+    best = [0] + [10**9] * (len(places) - 1)
+    for j in range(1, len(places)):
+        for i in range(j):
+            n = places[j] - places[i]
+            if n <= size:
+                best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else size - n) + cost[j] + packing.SEQUENCE)
+    return best[-1]
 
 
-def test_cuts_are_the_best():
+def test_cuts_are_the_best_over_the_whole_line():
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        places = np.r_[0, np.cumsum(rng.integers(1, 20, 40))]
-        cost = rng.integers(0, 6, 41)
-        chosen = packing.cuts(places, cost, 32)
-        price = lambda c: sum((0 if (n := places[b] - places[a]) & (n - 1) == 0 else 32 - n) + cost[b] + packing.SEQUENCE for a, b in zip(c, c[1:], strict=False))
-        best = [0] + [10**9] * 40
-        for j in range(1, 41):
-            for i in range(j):
-                n = places[j] - places[i]
-                if n <= 32:
-                    best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else 32 - n) + cost[j] + packing.SEQUENCE)
-        assert price(chosen) == best[-1]
+    for _ in range(30):
+        places = np.r_[0, np.cumsum(rng.integers(1, 20, 120))]
+        cost = np.r_[0, rng.integers(0, 6, 120)]
+        cuts, found = packing.Cuts(32), [0]
+        for a in range(1, 121, 10):
+            cuts.add(places[a : a + 10], cost[a : a + 10])
+            found += cuts.settled(a == 111).tolist()[1:]
+        price = dict(zip(places.tolist(), cost.tolist(), strict=True))
+        total = sum((0 if (n := b - a) & (n - 1) == 0 else 32 - n) + price[b] + packing.SEQUENCE for a, b in zip(found, found[1:], strict=False))
+        assert found[-1] == places[-1] and total == cheapest(places.tolist(), cost.tolist(), 32)
+
+
+def test_cuts_beyond_the_horizon(monkeypatch):
+    monkeypatch.setattr(packing, "HORIZON", 5)
+    cuts = packing.Cuts(32)
+    cuts.add(np.arange(7, 700, 7), np.zeros(99, int))
+    assert cuts.settled()[-1] == 693 and cuts.place == [693]
 
 
 # 9
