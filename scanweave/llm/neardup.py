@@ -1,20 +1,27 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Signatures. A text's shingles are five words each. Each shingle sends arrivals of a Poisson process, drawn from its hash alone, to random registers;
-a register keeps the shingle that came first. Arrivals of a shingle end as soon as they come later than the text's latest register (early
-termination), so work is about the number of shingles plus that of registers times its logarithm. Two registers agree with the probability Jaccard
-similarity of the texts. ``signatures`` takes counts for rates of 1 + ln(count); classes are sought with a rate of 1 for each shingle, where that
-similarity is the one of the sets, which is what is verified.
-
-Classes. The members are the distinct texts, whatever the ids of their rows, and a member's number means nothing else. Members that agree in all ``ROWS`` registers of one of ``BANDS`` bands share a
-bucket (0.05 % of pairs at exactly 0.8 never do). A bucket's members are first verified against its least member only, and connected. Buckets that
-still hold several components go on: there each pair of different components whose first common band this is, and whose signatures let 0.8 seem
-possible, is verified, in blocks of bounded size; a pair that a component already joins needs no check. Verification is exact: the Jaccard similarity
-of the shingle sets is at least ``SIMILARITY``. So no link found by banding is lost and no bucket is expanded into pairs of rows.
+Signatures. A text's shingles are five words each, a shingle of ``n`` places in it weighs 1 + ln(n). Each shingle sends arrivals of a Poisson process
+of that rate, drawn from its hash alone, to random registers; a register keeps the shingle that came first. Arrivals of a shingle end as soon as they
+come later than the text's latest register (early termination), so work is about the number of shingles plus that of registers times its logarithm.
+Two registers agree with the texts' probability Jaccard similarity, the sum over common shingles i of 1 / sum over all j of max(x[j] / x[i], y[j] / y[i]).
+It does not change if all weights of a text are scaled, and it is the plain similarity of sets where all weights are equal, as with ``weighted=False``.
+
+Classes. The members are the distinct texts, whatever the ids of their rows, and a member's number means nothing else. Members that agree in all
+``ROWS`` registers of one of ``BANDS`` bands share a bucket (0.05 % of pairs at exactly 0.8 never do). Then pairs are verified: the exact similarity,
+by the same weights as the signatures', is at least ``SIMILARITY``.
+
+1. All members of a bucket against its least member.
+2. While a bucket of more than ``BLOCK`` members still holds several components: all of its members against those ``PIVOTS`` members, of different
+   components, that share most buckets with others. A round is linear in the members, and mostly joins what is one class; ``ROUNDS`` at most.
+3. Buckets that still hold several components: each pair of different components whose first common band this is, and whose registers let
+   ``SIMILARITY`` seem possible (within seven deviations), in blocks of bounded members and bytes; a pair that a component already joins needs no check.
+
+So no link found by banding is lost, and no bucket is expanded into pairs of rows.
 
 Defined cases: a null text is an empty one; a text of fewer than five words, but not none, is one shingle; texts without words are alike only if they
 are equal; an id only labels a class, so rows that share an id, or have none, are of one class only if their texts are; null ids come after any other;
-a column named like a result is replaced.
+ties between texts with equal ids go by hashes of the texts; repeated rows are of one class; an empty table has no classes; a column named like a
+result is replaced, and other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,17 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import NULL_ID, components, maybe_in, partitions, written
+from .common import NULL_ID, components, inner_names, maybe_in, partitions, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that are compared in one task, and the share of agreeing registers below which 0.8 is out of reach (seven deviations).
-BLOCK, LIKELY = 1024, SIMILARITY - 7 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Members, and bytes of their shingles, of a block, two of which are compared in one task.
+BLOCK, BLOCK_BYTES = 256, 1_000_000
+#: Members of a large bucket that all others are compared with in a round, and rounds.
+PIVOTS, ROUNDS = 16, 3
+#: The share of agreeing registers below which ``SIMILARITY`` is out of reach.
+LIKELY = SIMILARITY - 7 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 
 
 def shingles(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +94,15 @@ def _band_codes(sig: np.ndarray) -> np.ndarray:
     return code
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(column: pa.Array, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, h, count = shingles(W.words(column))
+    return doc, h, count if weighted else np.ones(len(h), int)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
     for b in W.pieces(batches):
-        doc, h, _ = shingles(W.words(b.column(0)))
-        sig = signatures(doc, h, np.ones(len(h), int), b.num_rows)
+        doc, h, count = _counted(b.column(0), weighted)
+        sig = signatures(doc, h, count, b.num_rows)
         n = np.bincount(doc, minlength=b.num_rows)
         raw = [s.tobytes() if k else b"" for s, k in zip(sig, n, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("t1"), b.column("t2"), pa.array(raw, pa.binary())], ["doc", "t1", "t2", "sig"])
@@ -101,27 +117,47 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_band_codes(sig).ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
+    """The sorted hashes of each text's shingles, and how often each occurs; nothing where all occur once."""
     for b in W.pieces(batches):
-        doc, h, _ = shingles(W.words(b.column(0)))
-        edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([h[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())], ["node", "shingles"])
+        doc, h, count = _counted(b.column(0), weighted)
+        edge = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
+        spans = list(zip(edge, edge[1:], strict=False))
+        sets = [h[i:j].tobytes() for i, j in spans]
+        counts = [count[i:j].astype(np.uint32).tobytes() if (count[i:j] > 1).any() else b"" for i, j in spans]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["node", "shingles", "counts"])
+
 
+def _read(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes and weights; no weights where all are 1."""
+    return np.frombuffer(shingles, np.uint64), 1 + np.log(np.frombuffer(counts, np.uint32)) if counts else None
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sets, as sorted arrays."""
-    if not len(a) or not len(b) or min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+
+def similarity(x: tuple[np.ndarray, np.ndarray | None], y: tuple[np.ndarray, np.ndarray | None]) -> float:
+    """The exact probability Jaccard similarity of two texts, each sorted hashes and their weights."""
+    (a, u), (b, v) = x, y
+    if not len(a) or not len(b) or u is None and v is None and min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return 0.0
     k = np.searchsorted(b, a)
     k[k == len(b)] = 0
-    both = int((b[k] == a).sum())
-    return both / (len(a) + len(b) - both)
+    both = b[k] == a
+    n = int(both.sum())
+    if u is None and v is None:
+        return n / (len(a) + len(b) - n)
+    u, v = (np.ones(len(h)) if w is None else w for h, w in ((a, u), (b, v)))
+    common = u[both], v[k[both]]
+    ratio = common[1] / common[0]
+    order = np.argsort(ratio)
+    # for i: its x over the x of shingles whose ratio y / x is at most i's, plus the y of the others over i's ratio
+    same = np.searchsorted(ratio[order], ratio, "right")
+    low, high = (np.append(0, np.cumsum(c[order])) for c in common)
+    return float((common[0] / (u.sum() - low[-1] + low[same] + (v.sum() - high[same]) / ratio)).sum())
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-        pairs = zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)
-        ok = pa.array([_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY for x, y in pairs], pa.bool_())
+        rows = zip(*(b.column(c).to_pylist() for c in ("sa", "ca", "sb", "cb")), strict=True)
+        ok = pa.array([similarity(_read(sa, ca), _read(sb, cb)) >= SIMILARITY for sa, ca, sb, cb in rows], pa.bool_())
         yield b.select(["a", "b"]).filter(ok)
 
 
@@ -148,7 +184,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {x: k for k, x in enumerate(sorted({r["label"] for r in rows}))}
         label = np.array([names[r["label"]] for r in rows])
         block = np.array([r["g"] for r in rows])
-        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        sets = [_read(r["shingles"], r["counts"]) for r in rows]
         a, b = [], []
         cross = rows[0]["i"] != rows[0]["j"]
         for x in range(len(rows)):
@@ -161,7 +197,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 alike = (sig[other] == sig[x]).mean(1)
                 order = np.argsort(-alike)
                 for y in other[order][alike[order] >= LIKELY].tolist():
-                    if label[y] != label[x] and _jaccard(sets[x], sets[y]) >= SIMILARITY:
+                    if label[y] != label[x] and similarity(sets[x], sets[y]) >= SIMILARITY:
                         a.append(rows[x]["node"])
                         b.append(rows[y]["node"])
                         label[label == label[y]] = label[x]
@@ -175,42 +211,62 @@ def _marks(text: str) -> list[Column]:
     return [F.xxhash64(whole), F.xxhash64(F.lit(1), whole)]
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted: bool = True) -> DataFrame:
     """A row for each distinct text, by its hashes ``t1, t2``: ``class_id``, the least id of its class, and ``l1, l2``, the text of the least (id, text) there."""
     spark = docs.sparkSession
     t1, t2 = _marks(text)
     own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"))
-    signed = own.mapInArrow(_signed, "doc long, t1 long, t2 long, sig binary")
+    signed = own.mapInArrow(lambda rows: _signed(rows, weighted), "doc long, t1 long, t2 long, sig binary")
     member = signed.groupBy("t1", "t2").agg(F.min("doc").alias("doc"), F.max("sig").alias("sig"))
     member = written(member.withColumn("node", F.monotonically_increasing_id()), "signatures")
 
     rows = member.where(F.length("sig") > 0).select("node", "sig").mapInArrow(_banded, "key long, node long")
     low = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
     bucket = written(rows.join(low, "key").distinct(), "buckets")
-    star = bucket.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
     # of the rows of a text only those with its least id, and of these one
     key = F.xxhash64("doc", "t1", "t2").alias("key")
     needed = bucket.select("node").distinct().join(member.select("node", "doc", "t1", "t2"), "node")
     needed = written(needed.select("node", F.coalesce("doc", F.lit(NULL_ID)).alias("doc"), "t1", "t2"), "needed")
     each = own.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
-    likely = maybe_in(each.select("t", "doc", "t1", "t2", key), "key", needed.select(key)).where("__maybe").select("t", "doc", "t1", "t2")
+    likely = maybe_in(each.select("t", "doc", "t1", "t2", key), "key", needed.select(key)).where("maybe").select("t", "doc", "t1", "t2")
     text_of = likely.join(needed, ["doc", "t1", "t2"]).dropDuplicates(["doc", "t1", "t2"]).select("t", "node")
-    sets = written(text_of.mapInArrow(_sets, "node long, shingles binary").where(F.length("shingles") > 0), "sets")
-    set_of = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out))
-    pairs = star.join(set_of("b", "sb"), "b").join(set_of("a", "sa"), "a")
-    links = written(pairs.mapInArrow(_verified, "a long, b long"), "links")
-
-    part = components(links)
-    now = bucket.select("key", "node").join(part, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1")
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = now.join(open_, "key").select("key", "node", "label", n.alias("n"), F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("g"))
+    sets = written(text_of.mapInArrow(lambda rows: _sets(rows, weighted), "node long, shingles binary, counts binary").where(F.length("shingles") > 0), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
+        return written(pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_verified, "a long, b long"), "links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return bucket.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+
+    links = verified(bucket.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    used = bucket.select("key", F.col("least").alias("node")).distinct()
+    now = written(labelled(links), "labelled")
+    size = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")]
+    for _ in range(ROUNDS):
+        large = written(now.groupBy("key").agg(*size).where(F.col("l0") < F.col("l1")).where(F.col("n") > BLOCK).select("key", "n"), "large")
+        if large.isEmpty():
+            break
+        hot = written(now.join(large, "key"), "hot")
+        degree = hot.groupBy("node").agg(F.sum("n").alias("degree"))
+        lead = hot.join(used, ["key", "node"], "left_anti").join(degree, "node").groupBy("key", "label").agg(F.max(F.struct("degree", "node")).alias("top"))
+        pivots = lead.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))).where(F.col("r") <= PIVOTS)
+        pivots = written(pivots.select("key", F.col("label").alias("of"), F.col("top.node").alias("pivot")), "pivots")
+        pairs = hot.join(pivots, "key").where("label <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        links = links.union(verified(pairs))
+        used = used.union(pivots.select("key", F.col("pivot").alias("node")))
+        now = written(labelled(links), "labelled")
+
+    part = now.join(sets.select("node", (F.length("shingles") + F.length("counts")).alias("bytes")), "node")
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    open_ = part.groupBy("key").agg(*size, F.sum("bytes").alias("bytes")).where("l0 < l1").select("key", count.alias("n"))
+    blocks = now.join(open_, "key").withColumn("g", F.pmod(F.xxhash64("node", "key"), "n").cast("int"))
     blocks = blocks.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     blocks = blocks.select("key", "node", "label", "g", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"))
     full = blocks.join(sets, "node").join(member.select("node", "sig").where(F.length("sig") > 0), "node")
     full = full.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    more = full.select("key", "i", "j", "g", "node", "label", "sig", "shingles").mapInArrow(_compared, "a long, b long")
+    more = full.select("key", "i", "j", "g", "node", "label", "sig", "shingles", "counts").mapInArrow(_compared, "a long, b long")
 
     found = components(links.union(more))
     chain = found.join(member.select("node", "doc", "t1", "t2"), "node")
@@ -221,28 +277,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     return both.select("t1", "t2", F.when(F.col("l1").isNull(), F.col("own")).otherwise(F.col("doc")).alias("class_id"), F.coalesce("l1", "t1").alias("l1"), F.coalesce("l2", "t2").alias("l2"))
 
 
-def with_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, weighted: bool = True) -> DataFrame:
     """``keep`` of ``docs`` (all if None) and ``class_id``, null for a class that only null ids have."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "class_id"]
-    t1, t2 = _marks(text)
-    found = classes(docs, id_col, text).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "class_id")
-    return docs.select(*keep, t1.alias("__t1"), t2.alias("__t2")).join(found, ["__t1", "__t2"]).select(*keep, "class_id")
+    (t1, t2), (own1, own2) = _marks(text), inner_names(docs, "t1", "t2")
+    found = classes(docs, id_col, text, weighted).select(F.col("t1").alias(own1), F.col("t2").alias(own2), "class_id")
+    return docs.select(*keep, t1.alias(own1), t2.alias(own2)).join(found, [own1, own2]).select(*keep, "class_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted: bool = True) -> DataFrame:
     """The row of each class with the least id, and of texts that share it the least hashes, with the columns of ``docs``; of rows that repeat both, one.
 
     Rows that neither go nor repeat an id and text, which are most, are passed on in place.
     """
     t1, t2 = _marks(text)
-    row = ["__doc", "__t1", "__t2"]
-    own = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__t1": t1, "__t2": t2})
-    found = classes(docs, id_col, text).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.coalesce("class_id", F.lit(NULL_ID)).alias("lead"), "l1", "l2")
-    each = own.groupBy(*row).agg(F.count("*").alias("n")).join(found, ["__t1", "__t2"])
-    each = each.withColumn("__stays", (F.col("__doc") == F.col("lead")) & (F.col("__t1") == F.col("l1")) & (F.col("__t2") == F.col("l2")))
-    special = written(each.where("n > 1 or not __stays").select(*row, "__stays"), "special")
-    key = F.xxhash64(*row).alias("__key")
-    own = maybe_in(own.withColumn("__key", key), "__key", special.select(key))
-    judged = own.where("__maybe").join(special, row, "left").where("coalesce(__stays, true)")
-    one = judged.where("__stays is not null").dropDuplicates(row).unionByName(judged.where("__stays is null"))
-    return own.where("not __maybe").select(*docs.columns).unionByName(one.select(*docs.columns))
+    doc, own1, own2, key, maybe, stays = inner_names(docs, "doc", "t1", "t2", "key", "maybe", "stays")
+    row = [doc, own1, own2]
+    own = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), own1: t1, own2: t2})
+    found = classes(docs, id_col, text, weighted).select(F.col("t1").alias(own1), F.col("t2").alias(own2), F.coalesce("class_id", F.lit(NULL_ID)).alias("lead"), "l1", "l2")
+    each = own.groupBy(*row).agg(F.count("*").alias("n")).join(found, [own1, own2])
+    each = each.withColumn(stays, (F.col(doc) == F.col("lead")) & (F.col(own1) == F.col("l1")) & (F.col(own2) == F.col("l2")))
+    special = written(each.where(f"n > 1 or not {stays}").select(*row, stays), "special")
+    own = maybe_in(own.withColumn(key, F.xxhash64(*row)), key, special.select(F.xxhash64(*row).alias("key")), maybe)
+    judged = own.where(maybe).join(special, row, "left").where(f"coalesce({stays}, true)")
+    one = judged.where(f"{stays} is not null").dropDuplicates(row).unionByName(judged.where(f"{stays} is null"))
+    return own.where(f"not {maybe}").select(*docs.columns).unionByName(one.select(*docs.columns))

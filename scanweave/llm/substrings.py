@@ -123,7 +123,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     copies = written(rows.select("doc", "t1", "t2").join(least, ["t1", "t2"]).where("doc > least").select("doc", "t1", "t2").distinct(), "copies")
     key = F.xxhash64("doc", "t1", "t2").alias("key")
     judged = maybe_in(rows.select("*", key), "key", copies.select(key))
-    own = judged.where("not __maybe").select("t", row("t1")).union(judged.where("__maybe").join(copies.withColumn("copy", F.lit(True)), ["doc", "t1", "t2"], "left").where("copy is null").select("t", row("t1")))
+    own = judged.where("not maybe").select("t", row("t1")).union(judged.where("maybe").join(copies.withColumn("copy", F.lit(True)), ["doc", "t1", "t2"], "left").where("copy is null").select("t", row("t1")))
 
     often = written(own.select("t").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors", release=True)
     likely = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
