@@ -3,8 +3,7 @@
 A window is ``WINDOW`` consecutive words of one text; words are removed that lie in a window which also begins earlier. Of all places only those
 are hashed whose number modulo ``PERIOD`` is in the ``COVER``, a set that has every difference modulo the period: whatever two places a repeated
 window begins at, some place inside it is in the cover in both texts, at the same distance from the beginning, and leaves room for an anchor
-of ``ANCHOR`` words. So a repeated window always shares an anchor, of which there are 3 for 7 words. (A longer period needs fewer anchors, but they
-are shorter and mark more windows that are not repeated.)
+of ``ANCHOR`` words. So a repeated window always shares an anchor, of which there are 4 for 13 words.
 
 1. Texts that equal an earlier document's go as wholes, and take no part in what follows: whatever they hold begins earlier there.
 2. Count anchors; keep those that occur twice or more (partial counts are combined before the shuffle). Semi-join the occurrences with them: places of
@@ -13,7 +12,8 @@ are shorter and mark more windows that are not repeated.)
 4. Windows that are not the first of their hash take their words away.
 
 Hot anchors and windows are only ever counted, minimised or joined, never gathered; sort-merge joins split hot keys at run time. Texts are shuffled
-once, by a hash of document and text, so rows that share an id do not meet; both joins use that exchange.
+twice, by a hash of document and text, so rows that share an id do not meet. Windows, first occurrences and places to remove are written to the
+shared folder one after the other, so that the shuffle files of one step are gone before those of the next.
 
 Defined cases: a null text has no words; a null id is less than any other; rows that share an id are one document for the order of places, and
 windows at the same place of it are not earlier than one another; texts of fewer words than a window lose none; a column named like a result is
@@ -35,8 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import words as W
 from .common import NULL_ID, inner_names, map_bits, maybe_in, written
 
-WINDOW, PERIOD = 20, 7
-COVER = (0, 1, 3)
+WINDOW, PERIOD = 20, 13
+COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -126,12 +126,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     places = own.mapInArrow(_places(likely, bits), "h long, row long, place int").join(often, "h", "left_semi")
     marks = written(places.groupBy(F.col("row").alias(own_row)).agg(F.sort_array(F.collect_set("place")).alias(own_places)), "places", release=True)
 
-    windows = base.join(marks, own_row).select(own_text, own_doc, own_same, own_places, *keep).mapInArrow(_windows, "a long, b int, doc long, same long, place int")
+    near = base.join(marks, own_row).select(own_text, own_doc, own_same, own_places)
+    windows = written(near.mapInArrow(_windows, "a long, b int, doc long, same long, place int"), "windows", release=True)
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first.select("a", "b", "first"), "first", release=True)
     later = windows.join(first, ["a", "b"]).where(F.struct("doc", "place") > F.col("first"))
     whole = copies.select("doc", F.col("t1").alias("same"), F.lit(-1).alias("place"))
     gone = later.select("doc", "same", "place").union(whole).groupBy(row("doc", "same").alias(own_row)).agg(F.collect_set(F.struct("same", "place")).alias("gone"))
-    gone = gone.select(own_row, F.col("gone.same").alias(own_of), F.col("gone.place").alias(own_at))
+    gone = written(gone.select(own_row, F.col("gone.same").alias(own_of), F.col("gone.place").alias(own_at)), "gone", release=True)
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = to_arrow_schema(schema)
