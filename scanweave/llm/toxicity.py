@@ -1,20 +1,22 @@
-"""Toxicity by compression distance, with a zstandard dictionary of toxic and one of ordinary text.
+"""Toxicity by compression distance, with a zstandard dictionary trained on toxic and one trained on ordinary text.
 
 A text is cut into windows of a few words. Each window is compressed with either dictionary; how many bytes the toxic one saves beyond the
 ordinary one is its margin. A score is a logistic function of how many windows, and what share, reach each margin threshold; thresholds' weights
 are calibrated on labelled documents that the dictionaries were not trained on.
 
-The trainer that comes with zstandard keeps what is frequent, which in either kind of text is the same common language; so the toxic dictionary
-is trained by contrast instead: of the character runs of toxic training documents it keeps those whose document frequency is many times that in
-ordinary ones, whole stems at a time, the most frequent nearest to the data. The ordinary dictionary holds as many bytes of the commonest ordinary
-words. Windows begin with a fixed run of bytes that both dictionaries hold: without it zstandard would store so short a block as it is, and savings
-of a few bytes would not show.
+Both dictionaries are what zstandard's trainer makes of samples. Given whole toxic documents it keeps what is frequent, which in either kind of text is
+the same common language; so contrast chooses its samples: of the words of toxic training documents those that hold a character run whose document
+frequency is many times that in ordinary ones. Samples of the ordinary dictionary are windows of ordinary training documents. Both dictionaries are used
+by their bytes and cut to one length, and windows begin with a fixed run of bytes that both hold: without it zstandard would store so short a block as
+it is, and savings of a few bytes would not show.
 
-``SAMPLE`` labelled rows of either kind at most, the first by hash of the id, fit all this on the driver; every text is scored, whole, in place.
+``SAMPLE`` labelled rows of either kind at most, the first by hash of the id, fit all this on the driver; of a text of more than ``LONGEST`` characters the
+fit reads ``STRETCHES`` stretches spread over all of it, which together have that length. Every text is scored, whole, in place.
 
-Defined cases: null and empty texts score as texts without windows; labels with a null id or label are not used; with no toxic or no ordinary
-labelled text all scores are 0; equal texts have equal scores; repeated rows get a score each; other columns pass through, but for those named like
-a result, which are replaced.
+Defined cases: null and empty texts score as texts without windows; words of more than ``PART`` characters are windows' words in overlapping parts; labels
+with a null id or label are not used; with no toxic or no ordinary labelled text, or too little to train on, all scores are 0; equal texts have equal
+scores; repeated rows get a score each; an empty table has none; other columns pass through, whatever their names, but for those named like a result,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -32,14 +34,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .words import pieces
 
-#: Labelled rows of either kind that are used, and the longest text among them in characters; half train dictionaries, half calibrate.
-SAMPLE, LONGEST = 2400, 40_000
-#: Words of a window.
-WINDOW = 3
+#: Labelled rows of either kind that are used; half train dictionaries, half calibrate. Characters, and stretches, of a text that the fit reads.
+SAMPLE, LONGEST, STRETCHES = 2400, 40_000, 8
+#: Words of a window; characters of the parts of longer words, and how far one begins after the other.
+WINDOW, PART, STEP = 3, 24, 12
 #: Lengths of the character runs that are contrasted; how much commoner one has to be in toxic documents, and in what share of them it stands.
 RUNS, TIMES, SHARE = (5, 6, 7), 20, 0.025
+#: Share of toxic training documents in which a word stands that is a sample.
+WORD_SHARE = 0.004
 THRESHOLDS = (1, 2, 3, 4, 5, 7)
-DICTIONARY = 4000
+#: Bytes of a dictionary.
+DICTIONARY = 1024
 CARRIER = bytes(range(200, 224))
 #: Scores from here on are toxic.
 TOXIC = 0.7
@@ -78,19 +83,42 @@ def stems(toxic: list[str], ordinary: list[str]) -> list[str]:
     return [s for s in kept if not any(s != x and x in s for x in kept)]
 
 
+def contrasting(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """Words of toxic documents that hold a contrasting stem, once for each document."""
+    found = stems(toxic, ordinary)
+    words = [w for t in toxic for w in sorted({" " + w for w in _tokens(t)}) if any(s in w for s in found)]
+    often = Counter(words)
+    return [w for w in words if often[w] >= WORD_SHARE * len(toxic)]
+
+
+def windows(text: str | None) -> list[bytes]:
+    words = _tokens(text or "")
+    if any(len(w) > PART for w in words):
+        words = [p for w in words for p in ([w] if len(w) <= PART else [w[i : i + PART] for i in range(0, len(w) - PART + STEP, STEP)])]
+    return [(" " + " ".join(words[i : i + WINDOW])).encode() for i in range(0, len(words), WINDOW)]
+
+
+def trained(samples: list[bytes]) -> bytes:
+    """A dictionary of the samples, which are repeated where they are too few for the trainer; empty where that does not help."""
+    for times in (1, 4, 16, 64):
+        try:
+            return zstandard.train_dictionary(DICTIONARY, samples * times).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
+
+
 class Model:
     """Both dictionaries and the calibrated weights of the thresholds."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         half = lambda x: (x[::2], x[1::2])
         (t0, t1), (o0, o1) = half(toxic), half(ordinary)
-        found = stems(t0, o0) if t0 and o0 else []
-        bad = b""
-        for s in found:
-            if len(bad) + len(s.encode()) <= DICTIONARY:
-                bad = s.encode() + bad
-        common = Counter(w for t in o0 for w in set(_tokens(t)) if len(w) > 3)
-        good = "".join(" " + w for w, _ in common.most_common(1000)).encode()[: len(bad)]
+        words = contrasting(t0, o0) if t0 and o0 else []
+        bad = trained([w.encode() for w in words]) if words else b""
+        good = trained([w for t in o0 for w in windows(t)[:20]]) if bad else b""
+        n = min(len(bad), len(good))
+        bad, good = bad[len(bad) - n :], good[len(good) - n :]
         self.contents = (good + CARRIER, bad + CARRIER)
         self.weights = None
         if bad and t1 and o1:
@@ -115,12 +143,11 @@ class Model:
         ordinary, toxic = (c.compress for c in self._compressors())
         out = np.zeros((len(texts), 2 * len(THRESHOLDS)))
         for d, text in enumerate(texts):
-            w = [x.encode() for x in _tokens(text or "")]
-            windows = [CARRIER + b" " + b" ".join(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
-            if windows:
-                margin = np.array([len(ordinary(x)) - len(toxic(x)) for x in windows])
+            own = [CARRIER + x for x in windows(text)]
+            if own:
+                margin = np.array([len(ordinary(x)) - len(toxic(x)) for x in own])
                 reach = (margin[:, None] >= THRESHOLDS).sum(0)
-                out[d] = np.r_[np.sqrt(reach / len(windows)), np.log1p(reach)]
+                out[d] = np.r_[np.sqrt(reach / len(own)), np.log1p(reach)]
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -148,8 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     order = [F.xxhash64("__id"), F.col("__id")]
     some = known.where("y = 1").orderBy(*order).limit(sample).union(known.where("y = 0").orderBy(*order).limit(sample))
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).where(F.length("t") <= LONGEST)
-    rows = own.join(F.broadcast(some), "__id").select("__id", "y", "t").collect()  # at most 2 * SAMPLE texts of at most LONGEST characters
+    whole, n = F.col(text).cast("string"), F.length(F.col(text).cast("string"))
+    size = LONGEST // STRETCHES
+    spread = F.concat_ws(" ", *(F.substr(whole, (F.lit(k) * (n - size) / (STRETCHES - 1)).cast("int") + 1, F.lit(size)) for k in range(STRETCHES)))
+    own = docs.where(whole.isNotNull()).select(F.col(id_col).alias("__id"), F.when(n > LONGEST, spread).otherwise(whole).alias("t"))
+    rows = own.join(F.broadcast(some), "__id").select("__id", "y", "t").collect()  # at most 2 * SAMPLE texts of about LONGEST characters
     rows.sort(key=lambda r: (r["__id"], r["t"]))
     seen: set[str] = set()
     kinds: tuple[list[str], list[str]] = ([], [])
@@ -168,11 +198,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__text"):
-            p = shared.value.scores(b.column("__text").to_pylist())
+        for b in pieces(batches, len(keep)):
+            p = shared.value.scores(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p), pa.array((p >= TOXIC).astype(np.int32))], schema=made)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
