@@ -5,10 +5,14 @@ text if all its shingles stand there in place: containment 1. For that threshold
 are ordered by how often they occur in the documents, and each window joins on its rarest one only. The place of the shingle in the window fixes
 where the window would begin (positional bound), that it must end inside the text is the length bound, and what is left is verified word by word.
 
-Items are taken in blocks of bounded bytes, each a broadcast of bounded size and a pass over the documents; documents are never shuffled.
+Items, long ones in parts that overlap by a window less a word, are taken in blocks of about ``BLOCK_BYTES``; each is a broadcast of bounded size and
+two passes over the documents, which are never shuffled. One block is held at a time: before the next one is fetched, the pass is written to the
+shared folder and the broadcast goes.
 
 Defined cases: null and empty texts have no words and hits none; an item with no words has no window; a null item id counts as the empty string;
-items that share an id count once; repeated rows get a result each; a document column with the name of a result is replaced by it.
+items that share an id count once; windows that several items share count for each; repeated rows get a result each; very long texts are judged
+whole; an empty table has no rows, and no items no hits; a document column with the name of a result is replaced by it, others are kept whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
+from .common import inner_names, written
 
 #: Words of a shingle; a window of fewer words is its own shingle.
 SHINGLE = 5
-#: Bytes of item text in a block.
-BLOCK_BYTES = 8_000_000
+#: Bytes of item text in a block, and words of a part of a long item.
+BLOCK_BYTES, PART_WORDS = 8_000_000, 100_000
 
 RESULT = T.StructType(
     [
@@ -105,7 +110,9 @@ def _count(shared: Broadcast):
     return run
 
 
-def _mark(shared: Broadcast, text: str, keep: list[str], schema: pa.Schema):
+def _mark(shared: Broadcast, n_keep: int, first: bool, schema: pa.Schema):
+    """Rows of a text, spans and items of the blocks before (but for the first), and ``n_keep`` columns to pass on."""
+
     def hits(w: W.Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Verified occurrences: first word, window."""
         starts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -124,9 +131,8 @@ def _mark(shared: Broadcast, text: str, keep: list[str], schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        for batch in W.pieces(batches, text):
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            w = W.words(col[text], W.ALNUM, lower=True)
+        for batch in W.pieces(batches, 0):
+            w = W.words(batch.column(0), W.ALNUM, lower=True)
             start, window = hits(w, block)
             doc = np.searchsorted(w.first, start, "right") - 1
             step = np.zeros(len(w.start) + 1, np.int64)
@@ -137,8 +143,7 @@ def _mark(shared: Broadcast, text: str, keep: list[str], schema: pa.Schema):
             for d, x in set(zip(doc.tolist(), window.tolist(), strict=True)):
                 items[d].update(block.owners[x])
             spans, names = [], []
-            before = col["hit_spans"].to_pylist() if "hit_spans" in col else [[]] * batch.num_rows
-            owned = col["hit_items"].to_pylist() if "hit_items" in col else [[]] * batch.num_rows
+            before, owned = ([[]] * batch.num_rows,) * 2 if first else (batch.column(1).to_pylist(), batch.column(2).to_pylist())
             for d, (old, had) in enumerate(zip(before, owned, strict=True)):
                 a, b = w.first[d], w.first[d + 1]
                 if d not in items:
@@ -152,34 +157,63 @@ def _mark(shared: Broadcast, text: str, keep: list[str], schema: pa.Schema):
                 names.append(sorted({*had, *items[d]}))
             n_hit = [int(np.sum(np.asarray(s[1::2], np.int64)) - np.sum(np.asarray(s[::2], np.int64))) for s in spans]
             made = [pa.array(np.diff(w.first)), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(col[c] for c in keep), *made], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[batch.num_columns - n_keep :], *made], schema=schema)
+
+    return run
+
+
+def _parts(window: int, part_words: int):
+    """Items of more than ``part_words`` words as parts that together have the same windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, 1):
+            w = W.words(batch.column(1), W.ALNUM, lower=True)
+            rows, texts = [], []
+            for k in range(batch.num_rows):
+                a, b = int(w.first[k]), int(w.first[k + 1])
+                for i in range(a, max(a + 1, b - window + 1), part_words) if b > a else ():
+                    rows.append(k)
+                    texts.append(w.data[w.start[i] : w.end[min(b, i + part_words + window - 1) - 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "text"])
 
     return run
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    own = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS) -> Iterator[tuple[Block, bool]]:
+    """Each block when it is asked for, and whether it is the last."""
+    own = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    own = own.mapInArrow(_parts(window, part_words), "id string, text string")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
-        yield Block([tuple(r) for r in own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()], window)
+        yield Block([tuple(r) for r in own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()], window), k == n - 1
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None,
+    block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS,
+) -> DataFrame:
     """``keep`` of ``docs`` (all its columns if None) with ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``hit_spans``
     (begin, end, begin, end ... in words) and ``hit_items`` (ids of the items concerned, as strings)."""
     spark = docs.sparkSession
-    made = set(RESULT.names)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    now = docs.select(*dict.fromkeys([*keep, text]))
-    blocks = list(item_blocks(items, item_id, item_text, window))
-    for k, block in enumerate(blocks):
-        counts = docs.select(F.col(text).alias("t")).mapInArrow(_count(spark.sparkContext.broadcast(block)), "shingle long, n long")
-        block.rank({r[0]: r[1] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()})
-        last = k == len(blocks) - 1
-        left = keep if last else list(dict.fromkeys([*keep, text]))
-        schema = T.StructType([*(now.schema[c] for c in left), *RESULT])
-        now = now.mapInArrow(_mark(spark.sparkContext.broadcast(block), text, left, to_arrow_schema(schema)), schema)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
+    (own_text,) = inner_names(docs, "text")
+    passed = T.StructType([T.StructField(own_text, T.StringType()), *(docs.schema[c] for c in keep)])
+    now = docs.select(F.col(text).cast("string").alias(own_text), *keep)
+    for k, (block, last) in enumerate(item_blocks(items, item_id, item_text, window, block_bytes, part_words)):
+        shared = spark.sparkContext.broadcast(block)
+        counts = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_count(shared), "shingle long, n long")
+        block.rank({r[0]: r[1] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()})  # at most the shingles of a block
+        shared.unpersist()
+        shared = spark.sparkContext.broadcast(block)
+        left = list(passed)[1:] if last else list(passed)
+        schema = T.StructType([*left, *RESULT])
+        before = [] if k == 0 else ["hit_spans", "hit_items"]
+        read = now.select(F.col(own_text).alias(f"{own_text}_"), *before, *(f.name for f in left))
+        now = read.mapInArrow(_mark(shared, len(left), k == 0, to_arrow_schema(schema)), schema)
+        if not last:
+            now = written(now, "hits")
+            shared.unpersist()
     return now
 
 
