@@ -1,12 +1,17 @@
-"""MPEG audio in a binary column: writing a lossless stream and reading any stream back.
+"""MPEG audio in a binary column: writing a lossless stream and reading streams back.
 
 ``encode`` stores a payload as a Layer III stream: an ID3v2 tag, a variable-bitrate table frame, then frames of 44.1 kHz mono whose granules are
-empty, so that all bytes after the side information are ancillary data; each carries 576 payload bytes there, under a frame checksum.
-``parse`` reads a stream of any MPEG version and layer: it skips tags, finds frame headers again after damage (a header counts only if another
-one, a tag or the end follows where its length says), reads the table, verifies checksums, and gives exact durations and the offset of each frame.
+empty, so that all bytes after the side information are ancillary data; each carries 576 payload bytes there. A frame's checksum covers what the
+standard has it cover, header and side information; the payload has its own digests beside it.
+``parse`` reads a stream of any MPEG version and layer at the bitrates of the tables (not those of free format): it reads tags (ID3v1; text frames of
+ID3v2.2 to 2.4, with extended headers and unsynchronisation), finds frame headers again after damage (a header counts only if another one, a tag or
+the end follows where its length says), reads the table of variable bitrates and compares its seek points with the offsets found, verifies checksums
+(header with side information in Layer III, with allocation in Layer I, with allocation and scale-factor selection in Layer II), and gives the exact
+duration, each frame's samples over its own rate, and the offset of each frame.
 
 Defined cases: a null text is an empty one; an empty payload is one unit of padding; bytes that hold no frame parse to no frames; trailing
-garbage and truncated frames are counted as skipped bytes; equal texts give equal streams; repeated rows get a result each.
+garbage and truncated frames are counted as skipped bytes; equal texts give equal streams; repeated rows get a result each; very long texts are long
+streams; an empty table has no streams; a column named like a result is replaced, other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,11 +53,13 @@ for _b in range(256):
     _CRC.append(_c & 0xFFFF)
 
 
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial 0x8005, all ones at first."""
+def crc16(data: bytes, more_bits: int = 0) -> int:
+    """The frame checksum: polynomial 0x8005, all ones at first; of all bytes, or of the first ``more_bits`` bits alone of the last."""
     c = 0xFFFF
-    for b in data:
+    for b in data[:-1] if more_bits else data:
         c = (c << 8 & 0xFF00) ^ _CRC[c >> 8 ^ b]
+    for k in range(more_bits):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 ^ data[-1] >> 7 - k & 1 else 0)
     return c
 
 
@@ -62,9 +70,14 @@ class Header:
     protected: bool
     kbps: int
     rate: int
-    mono: bool
+    mode: int
+    extension: int
     length: int
 
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
+
     @property
     def samples(self) -> int:
         return 384 if self.layer == 1 else 1152 if self.layer == 2 or self.mpeg1 else 576
@@ -75,6 +88,48 @@ class Header:
         return (17 if self.mono else 32) if self.mpeg1 else (9 if self.mono else 17)
 
 
+#: Bits of allocation of Layer II, as (subbands, bits) from the lowest on, by the standard's tables a, b, c, d and that of lower rates.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation_table(h: Header) -> str:
+    if not h.mpeg1:
+        return "low"
+    each = h.kbps // (1 if h.mono else 2)
+    if each <= 48:
+        return "d" if h.rate == 32000 else "c"
+    return "a" if each <= 80 or h.rate == 48000 else "b"
+
+
+def checked_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels, bound = (1 if h.mono else 2), (4 + 4 * h.extension if h.mode == 1 else 32)
+    if h.layer == 1:
+        return 4 * (channels * bound + (32 - bound))
+    bits = [n for count, n in ALLOCATION[_allocation_table(h)] for _ in range(count)]
+    stream, at, chosen = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    for band, n in enumerate(bits):
+        for _ in range(channels if band < bound else 1):
+            used = stream >> 512 - at - n & (1 << n) - 1
+            at += n
+            chosen += (1 if band < bound else channels) if used else 0
+    return at + 2 * chosen
+
+
+def intact(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame agrees with its checksum."""
+    n = checked_bits(frame, h)
+    return crc16(frame[2:4] + frame[6 : 6 + -(-n // 8)], n % 8) == int.from_bytes(frame[4:6], "big")
+
+
 _headers: dict[bytes, Header | None] = {}
 
 
@@ -99,7 +154,7 @@ def _header(four: bytes) -> Header | None:
         length = (12000 * kbps // hz + pad) * 4
     else:
         length = (144000 if layer == 2 or mpeg1 else 72000) * kbps // hz + pad
-    return Header(mpeg1, layer, not four[1] & 1, kbps, hz, four[3] >> 6 == 3, length)
+    return Header(mpeg1, layer, not four[1] & 1, kbps, hz, four[3] >> 6, four[3] >> 4 & 3, length)
 
 
 def _syncsafe(n: int) -> bytes:
@@ -145,6 +200,11 @@ def encode(payload: bytes) -> bytes:
 class Stream:
     offsets: list[int] = field(default_factory=list)
     samples: int = 0
+    seconds: Fraction = Fraction(0)
+    #: Where the sound begins, with the table frame if there is one, and ends; and how far, in 256ths, the table's seek points are from the offsets at most.
+    begins: int | None = None
+    ends: int = 0
+    seek_error: int | None = None
     rate: int = 0
     checked: int = 0
     damaged: int = 0
@@ -158,21 +218,54 @@ class Stream:
     ancillary: list[bytes] = field(default_factory=list)
 
 
+#: How text is encoded, by the first byte of a text frame.
+_ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _text(body: bytes) -> list[str]:
+    """The strings of a text frame."""
+    how = _ENCODINGS.get(body[0], "latin-1") if body else "latin-1"
+    return body[1:].decode(how, "replace").rstrip("\0").split("\0")
+
+
 def _id3(data: bytes, at: int, out: Stream) -> int:
-    """Bytes of the ID3v2 tag at ``at``, or 0."""
+    """Bytes of the ID3v2 tag at ``at``, or 0. User texts are known by their names, others by the names of their frames."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or any(b & 0x80 for b in data[at + 6 : at + 10]):
         return 0
-    whole = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end = at + 10 + whole(data[at + 6 : at + 10])
-    k = at + 10
-    while k + 10 <= min(end, len(data)) and data[k]:
-        size = whole(data[k + 4 : k + 8]) if data[at + 3] == 4 else int.from_bytes(data[k + 4 : k + 8], "big")
-        body = data[k + 10 : k + 10 + size]
-        if data[k : k + 4] == b"TXXX" and body[:1] == b"\x03":
-            name, _, value = body[1:].partition(b"\0")
-            out.tags[name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-        k += 10 + size
-    return end - at
+    whole = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3] if len(b) == 4 else 0
+    version, flags, size = data[at + 3], data[at + 5], whole(data[at + 6 : at + 10])
+    tag = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and version < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    k = 0
+    if flags & 0x40 and version > 2:
+        k = whole(tag[:4]) if version == 4 else 4 + int.from_bytes(tag[:4], "big")
+    head = 6 if version == 2 else 10
+    while k + head <= len(tag) and tag[k]:
+        if version == 2:
+            name, n, marks = tag[k : k + 3], int.from_bytes(tag[k + 3 : k + 6], "big"), 0
+        else:
+            name, marks = tag[k : k + 4], tag[k + 9]
+            n = whole(tag[k + 4 : k + 8]) if version == 4 else int.from_bytes(tag[k + 4 : k + 8], "big")
+        body = tag[k + head : k + head + n]
+        if version == 4:
+            body = body[4:] if marks & 1 else body
+            body = body.replace(b"\xff\0", b"\xff") if marks & 2 else body
+        if name[:1] == b"T" and body:
+            found = _text(body)
+            if name in (b"TXXX", b"TXX"):
+                out.tags[found[0]] = found[1].lstrip("\ufeff") if len(found) > 1 else ""
+            else:
+                out.tags[name.decode("latin-1")] = found[0]
+        k += head + n
+    return 10 + size + (10 if version == 4 and flags & 0x10 else 0)
+
+
+def _id3v1(tag: bytes, out: Stream) -> None:
+    """The fields of a tag of the first version, which do not replace those of later versions."""
+    places = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97), "comment": (97, 127)}
+    for name, (a, b) in places.items():
+        out.tags.setdefault(name, tag[a:b].split(b"\0")[0].decode("latin-1").strip())
 
 
 def _table(frame: bytes, h: Header, out: Stream) -> bool:
@@ -193,8 +286,17 @@ def _table(frame: bytes, h: Header, out: Stream) -> bool:
     return False
 
 
+def _seek_error(out: Stream) -> int | None:
+    """How far, in 256ths of the stream, the table's hundred seek points are from the frames at those shares of the time."""
+    if len(out.toc) != 100 or not out.offsets or not out.table_bytes:
+        return None
+    n, size = len(out.offsets), out.table_bytes
+    found = [min(255, 256 * (out.offsets[min(n - 1, n * x // 100)] - out.begins) // size) for x in range(100)]
+    return max(abs(a - b) for a, b in zip(found, out.toc, strict=True))
+
+
 def parse(data: bytes) -> Stream:
-    out, at, n = Stream(), 0, len(data)
+    out, at, n, rates = Stream(), 0, len(data), {}
     trusted, kind = False, None  # right after a frame, one of its kind is taken even if damage follows it
     while at < n:
         if size := _id3(data, at, out):
@@ -202,6 +304,7 @@ def parse(data: bytes) -> Stream:
             trusted = False
             continue
         if data[at : at + 3] == b"TAG" and at + 128 == n:
+            _id3v1(data[at:], out)
             break
         h = header(data[at : at + 4])
         end = at + h.length if h else 0
@@ -214,18 +317,22 @@ def parse(data: bytes) -> Stream:
             at, trusted = nxt, False
             continue
         frame = data[at:end]
+        out.begins, out.ends = (at if out.begins is None else out.begins), end
         if not (not out.offsets and out.table_frames is None and _table(frame, h, out)):
             out.offsets.append(at)
             out.samples += h.samples
+            rates[h.rate] = rates.get(h.rate, 0) + h.samples
             out.rate = out.rate or h.rate
             out.bits += 8 * h.length
             out.kbps.add(h.kbps)
             body = 4 + 2 * h.protected + (h.side if h.layer == 3 else 0)
-            if h.protected and h.layer == 3:
+            if h.protected:
                 out.checked += 1
-                out.damaged += crc16(frame[2:4] + frame[6:body]) != int.from_bytes(frame[4:6], "big")
+                out.damaged += not intact(frame, h)
             out.ancillary.append(frame[body:])
         at, trusted, kind = end, True, (h.mpeg1, h.layer, h.rate)
+    out.seconds = sum((Fraction(k, r) for r, k in rates.items()), Fraction(0))
+    out.seek_error = _seek_error(out)
     return out
 
 
@@ -247,6 +354,8 @@ FEATURES = T.StructType(
         T.StructField("frames", T.LongType()),
         T.StructField("samples", T.LongType()),
         T.StructField("sample_rate", T.IntegerType()),
+        T.StructField("duration", T.DoubleType()),
+        T.StructField("seek_error", T.IntegerType()),
         T.StructField("seek_offsets", T.ArrayType(T.LongType())),
     ]
 )
@@ -259,8 +368,8 @@ def media_column(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     made = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__text"):
-            texts = b.column("__text").cast(pa.binary()).to_pylist()
+        for b in pieces(batches, len(keep)):
+            texts = b.column(len(keep)).cast(pa.binary()).to_pylist()
             media = pa.array([encode(x or b"") for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], media], schema=made)
 
@@ -275,7 +384,7 @@ def _features(data: bytes) -> tuple:
     n = s.tags.get("n_bytes", "")
     return (
         int(n) if n.isdigit() else len(own), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(data), hashlib.sha256(data).hexdigest(),
-        kind, len(s.offsets), s.samples, s.rate, s.offsets,
+        kind, len(s.offsets), s.samples, s.rate, float(s.seconds), s.seek_error, s.offsets,
     )
 
 
@@ -286,8 +395,8 @@ def media_features(media: DataFrame, column: str = "media", keep: list[str] | No
     made = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__media"):
-            found = list(zip(*(_features(x or b"") for x in b.column("__media").to_pylist()), strict=True))
+        for b in pieces(batches, len(keep)):
+            found = list(zip(*(_features(x or b"") for x in b.column(len(keep)).to_pylist()), strict=True))
             cols = [pa.array(v, made.field(len(keep) + k).type) for k, v in enumerate(found)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], schema=made)
 

@@ -69,6 +69,52 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert ((rows.score >= 0.7) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
 
 
+def test_scores_from_freshly_made_dictionaries(spark, sf):
+    """Brute force: window by window with compressors of the test's own, from dictionaries that are trained anew."""
+    import zstandard
+
+    docs = common.table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    labels = common.table(spark, sf.replace("sf0.001", "sf0.01"), "labels").where(~toxicity.held_out())
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels), keep=["doc_id"]).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    order = [r[0] for r in labels.where("toxic is not null").select("doc_id").distinct().orderBy("doc_id").collect()]
+    kind = {r.doc_id: r.toxic for r in labels.collect()}
+    known = [[t for t in dict.fromkeys(text[d] for d in order if d in text and text[d] is not None) if kind[next(i for i in order if text.get(i) == t)] == k] for k in (0, 1)]
+    (o0, o1), (t0, t1) = ((x[::2], x[1::2]) for x in known)
+    stem = toxicity.stems(t0, o0)
+    words = [w for t in t0 for w in sorted({" " + w for w in t.lower().split()}) if any(s in w for s in stem)]
+    words = [w.encode() for w in words if words.count(w) >= toxicity.WORD_SHARE * len(t0)]
+
+    def cut(t):
+        w = [p for x in (t or "").lower().split() for p in ([x] if len(x) <= 24 else [x[i : i + 24] for i in range(0, len(x) - 12, 12)])]
+        return [(" " + " ".join(w[i : i + 3])).encode() for i in range(0, len(w), 3)]
+
+    bad, good = toxicity.trained(words), toxicity.trained([w for t in o0 for w in cut(t)[:20]])
+    n = min(len(bad), len(good))
+    how = zstandard.ZstdCompressionParameters(window_log=12, hash_log=11, chain_log=11, search_log=4, min_match=5, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    with_ = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d[len(d) - n :] + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+    a, b = with_(good), with_(bad)
+
+    def numbers(t):
+        m = [len(a.compress(toxicity.CARRIER + w)) - len(b.compress(toxicity.CARRIER + w)) for w in cut(t)]
+        reach = [sum(x >= k for x in m) for k in toxicity.THRESHOLDS]
+        return [(r / max(1, len(m))) ** 0.5 for r in reach] + [np.log1p(r) for r in reach]
+
+    x = np.array([numbers(t) for t in t1 + o1])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    w = toxicity._fit((x - mean) / scale, np.r_[np.ones(len(t1)), np.zeros(len(o1))])
+    assert len(words) > 5 and n > 200
+    for d in sorted(text)[:300]:
+        z = np.r_[1, (np.array(numbers(text[d])) - mean) / scale] @ w
+        assert abs(got[d] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_long_words_do_not_hide_others():
+    plain = toxicity.windows("x" * 50)
+    assert plain == [b" " + b" ".join([b"x" * 24] * 3), b" " + b"x" * 14] and max(map(len, toxicity.windows("a" * 100_000 + " idiot"))) <= 75
+    assert any(b"idiot" in w for w in toxicity.windows("q" * 21 + "idiot" + "q" * 30)) and toxicity.windows(None) == []
+
+
 def test_toxicity_defined_cases(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -189,15 +235,21 @@ def test_lines_use_no_python(spark, sf):
 def test_decontamination_in_blocks(spark, sf):
     docs, items = common.table(spark, sf, "documents"), common.table(spark, sf, "benchmark")
     want = {(r.doc_id, r.n_hit, tuple(sorted(r.hit_items))) for r in decontaminate.benchmark_hits(docs, items).collect()}
-    whole = decontaminate.BLOCK_BYTES
-    try:
-        decontaminate.item_blocks.__defaults__ = (1500,)
-        got = {(r.doc_id, r.n_hit, tuple(sorted(r.hit_items))) for r in decontaminate.benchmark_hits(docs, items).collect()}
-    finally:
-        decontaminate.item_blocks.__defaults__ = (whole,)
+    small = decontaminate.benchmark_hits(docs, items, block_bytes=1500, part_words=7)
+    got = {(r.doc_id, r.n_hit, tuple(sorted(r.hit_items))) for r in small.collect()}
+    assert small.columns == decontaminate.benchmark_hits(docs, items).columns
     assert got == want and any(n for _, n, _ in want)
 
 
+def test_parts_of_long_items_have_the_same_windows():
+    text = " ".join(f"w{k}" for k in range(57))
+    for n in (1, 7, 47, 48, 57, 99):
+        made = pa.Table.from_batches(decontaminate._parts(10, n)(iter([pa.RecordBatch.from_pydict({"id": ["a", "b", "c"], "text": [text, "x y", "!"]})]))).to_pylist()
+        windows = {tuple(w[i : i + 10]) for r in made if r["id"] == "a" for w in [r["text"].split()] for i in range(len(w) - 9)}
+        assert windows == {tuple(text.split()[i : i + 10]) for i in range(48)} and [r["text"] for r in made if r["id"] != "a"] == ["x y"]
+        assert all(len(r["text"].split()) >= 10 for r in made if r["id"] == "a")
+
+
 def test_decontamination_defined_cases(spark, odd, nothing):
     items = spark.createDataFrame([(1, "A-B c"), (1, "long " * 12), (None, "word"), (7, None), (8, "!!")], "item_id long, text string")
     got = {(r.doc_id, tuple(sorted(r.hit_items))) for r in decontaminate.benchmark_hits(odd, items).collect()}
@@ -500,6 +552,50 @@ def test_mpeg_damage():
     assert mpeg.header(b"\xff\xfd\xa4\x00").length == 576 and mpeg.header(b"\xff\xff\x10\x00").samples == 384 and mpeg.header(b"\xff\xf3\x10\xc0").samples == 576
 
 
+def bitwise_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 ^ b else 0)
+    return c
+
+
+def bits_of(data):
+    return [b >> k & 1 for b in data for k in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(("head", "covered", "body"), [(b"\xff\xfe\x40\x00", 256, bytes(range(1, 33))), (b"\xff\xfe\x40\x60", 16 * 4 + 16 * 4 + 64, bytes(range(1, 33))), (b"\xff\xfe\x40\xc0", 128, bytes(16)), (b"\xff\xfc\x10\xc0", 26, bytes(50)), (b"\xff\xfc\x10\xc0", 26 + 16, b"\xff" * 50), (b"\xff\xfc\xa0\x00", 2 * 94, bytes(50)), (b"\xff\xfc\xa0\x00", 2 * 94 + 120, b"\xff" * 50), (b"\xff\xf4\x80\xc0", 75, bytes(50))])
+def test_checksums_of_layers_one_and_two(head, covered, body):
+    h = mpeg.header(head)
+    assert mpeg.checked_bits(head + b"\0\0" + body.ljust(64, b"\0"), h) == covered or h.layer == 1 and h.mode == 1
+    n = mpeg.checked_bits(head + b"\0\0" + body.ljust(64, b"\0"), h)
+    crc = bitwise_crc((bits_of(head[2:]) + bits_of(body.ljust(64, b"\0")))[: 16 + n])
+    frame = (head + crc.to_bytes(2, "big") + body).ljust(h.length, b"\0")[: h.length]
+    s = mpeg.parse(frame * 3)
+    assert (s.checked, s.damaged, s.skipped) == (3, 0, 0) and s.seconds == 3 * mpeg.Fraction(h.samples, h.rate)
+    bad = bytearray(frame * 3)
+    bad[h.length + 7] ^= 0x40
+    assert mpeg.parse(bytes(bad)).damaged == 1
+
+
+def test_tags():
+    sound = mpeg.encode(b"x")[len(mpeg._tag(1)) :]
+    text = lambda name, body: name + len(body).to_bytes(4, "big") + b"\0\0" + body
+    frames = b"\0\0\0\x06" + bytes(6) + text(b"TIT2", b"\x01" + "Lied ü".encode("utf-16")) + text(b"TXXX", b"\0who\0me")
+    three = b"ID3\x03\0\x40" + mpeg._syncsafe(len(frames)) + frames
+    two = b"ID3\x02\0\x80" + mpeg._syncsafe(12) + b"TT2\0\0\x05\0\xff\0\xe0bc"
+    one = b"TAG" + b"Song".ljust(30, b"\0") + b"Singer".ljust(30, b" ") + bytes(30) + b"1999" + bytes(31)
+    s = mpeg.parse(three + sound)
+    assert s.tags == {"TIT2": "Lied ü", "who": "me"} and s.skipped == 0 and len(s.offsets) == 1 and s.seek_error == 0
+    assert mpeg.parse(two + sound).tags == {"TT2": "ÿàbc"}
+    assert mpeg.parse(sound + one).tags == {"title": "Song", "artist": "Singer", "album": "", "year": "1999", "comment": ""}
+
+
+def test_duration_of_changing_rates():
+    a, b = b"\xff\xfb\x90\xc0", b"\xff\xfb\x94\xc0"
+    s = mpeg.parse(b"".join(h.ljust(mpeg.header(h).length, b"\0") for h in (a, a, b, b, b)))
+    assert s.seconds == mpeg.Fraction(2 * 1152, 44100) + mpeg.Fraction(3 * 1152, 48000)
+
+
 def test_mpeg_query(spark, sf):
     docs = {r.doc_id: (r.text or "").encode() for r in common.table(spark, sf, "documents").collect()}
     for r in Q["op9_mpeg_audio"](spark, sf).collect():
