@@ -10,10 +10,9 @@ Classes. The members are the distinct texts, whatever the ids of their rows, and
 ``ROWS`` registers of one of ``BANDS`` bands share a bucket (0.05 % of pairs at exactly 0.8 never do). Then pairs are verified: the exact similarity,
 by the same weights as the signatures', is at least ``SIMILARITY``.
 
-1. All members of a bucket against its least member.
-2. While a bucket of more than ``BLOCK`` members still holds several components: all of its members against those ``PIVOTS`` members, of different
-   components, that share most buckets with others. A round is linear in the members, and mostly joins what is one class; ``ROUNDS`` at most.
-3. Buckets that still hold several components: each pair of different components whose first common band this is, and whose registers let
+1. All members of a bucket against its hub, the member that shares most buckets with others, by their members: in a class of copies of one text that is
+   the text itself, if it is there.
+2. Buckets that then still hold several components: each pair of different components whose first common band this is, and whose registers let
    ``SIMILARITY`` seem possible (within seven deviations), in blocks of bounded members and bytes; a pair that a component already joins needs no check.
 
 So no link found by banding is lost, and no bucket is expanded into pairs of rows.
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -40,9 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
 #: Members, and bytes of their shingles, of a block, two of which are compared in one task.
-BLOCK, BLOCK_BYTES = 256, 1_000_000
-#: Members of a large bucket that all others are compared with in a round, and rounds.
-PIVOTS, ROUNDS = 16, 3
+BLOCK, BLOCK_BYTES = 512, 2_000_000
 #: The share of agreeing registers below which ``SIMILARITY`` is out of reach.
 LIKELY = SIMILARITY - 7 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 
@@ -221,8 +218,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighte
     member = written(member.withColumn("node", F.monotonically_increasing_id()), "signatures")
 
     rows = member.where(F.length("sig") > 0).select("node", "sig").mapInArrow(_banded, "key long, node long")
-    low = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    bucket = written(rows.join(low, "key").distinct(), "buckets")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("l"), F.max("node").alias("m")).where("l < m").select("key", "n")
+    bucket = written(rows.join(shared, "key").distinct(), "buckets")
+    degree = bucket.groupBy("node").agg(F.sum("n").alias("degree"))
+    hub = bucket.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("a"))
 
     # of the rows of a text only those with its least id, and of these one
     key = F.xxhash64("doc", "t1", "t2").alias("key")
@@ -237,30 +236,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighte
         of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
         return written(pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_verified, "a long, b long"), "links")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return bucket.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-
-    links = verified(bucket.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    used = bucket.select("key", F.col("least").alias("node")).distinct()
-    now = written(labelled(links), "labelled")
-    size = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")]
-    for _ in range(ROUNDS):
-        large = written(now.groupBy("key").agg(*size).where(F.col("l0") < F.col("l1")).where(F.col("n") > BLOCK).select("key", "n"), "large")
-        if large.isEmpty():
-            break
-        hot = written(now.join(large, "key"), "hot")
-        degree = hot.groupBy("node").agg(F.sum("n").alias("degree"))
-        lead = hot.join(used, ["key", "node"], "left_anti").join(degree, "node").groupBy("key", "label").agg(F.max(F.struct("degree", "node")).alias("top"))
-        pivots = lead.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))).where(F.col("r") <= PIVOTS)
-        pivots = written(pivots.select("key", F.col("label").alias("of"), F.col("top.node").alias("pivot")), "pivots")
-        pairs = hot.join(pivots, "key").where("label <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        links = links.union(verified(pairs))
-        used = used.union(pivots.select("key", F.col("pivot").alias("node")))
-        now = written(labelled(links), "labelled")
+    links = verified(bucket.select("key", F.col("node").alias("b")).join(hub, "key").where("a <> b").select("a", "b").distinct())
+    now = bucket.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    now = written(now, "labelled")
 
     part = now.join(sets.select("node", (F.length("shingles") + F.length("counts")).alias("bytes")), "node")
     count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    open_ = part.groupBy("key").agg(*size, F.sum("bytes").alias("bytes")).where("l0 < l1").select("key", count.alias("n"))
+    size = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")]
+    open_ = part.groupBy("key").agg(*size).where("l0 < l1").select("key", count.alias("n"))
     blocks = now.join(open_, "key").withColumn("g", F.pmod(F.xxhash64("node", "key"), "n").cast("int"))
     blocks = blocks.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     blocks = blocks.select("key", "node", "label", "g", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"))

@@ -353,7 +353,7 @@ def test_weighted_classes_against_brute_force(spark):
     assert got == want and 5 < sum(d == c for d, c in want.items() if d % 2) < 35
 
 
-def test_large_buckets_go_in_rounds(spark, monkeypatch):
+def test_large_buckets_have_a_hub(spark, monkeypatch):
     """Copies of one text that are alike to it, but not to each other."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(8)
