@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scanweave.schema import SYNC_LEVELS
 
+from .order import exact_quantiles
+
 AXES = ("x", "y", "z")
 
 
@@ -19,16 +21,43 @@ def with_cloud(points: DataFrame, keys: list[str], *aggregates: Column) -> DataF
     return points.join(points.groupBy(*keys).agg(*aggregates), keys) if keys else points.crossJoin(points.agg(*aggregates))
 
 
-def range_outliers(points: DataFrame, keys: list[str], quantile: float = 0.95, accuracy: int | None = None) -> DataFrame:
-    """points nearer to the origin than the quantile of distance. ``accuracy`` turns to the approximate quantile, for huge clouds."""
+#: Rows of a stated set in one expression.
+STATED = 200
+
+
+def with_each(rows: DataFrame, stated: DataFrame) -> DataFrame:
+    """Every row of a stated set (boxes, transforms) beside every row. The set goes into the plan as literals, ``STATED`` rows at a time, so nothing is
+    joined or shuffled, and the driver holds no more than that of it."""
+    fields, out, some = stated.schema.fields, None, []
+
+    def of(block: list) -> DataFrame:
+        each = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True))) for r in block))
+        return rows.withColumn("__each", F.explode(each)).select(*rows.columns, *(F.col(f"__each.{f.name}").alias(f.name) for f in fields))
+
+    for r in stated.toLocalIterator():
+        some.append(tuple(r))
+        if len(some) == STATED:
+            out, some = (of(some) if out is None else out.unionByName(of(some))), []
+    if some:
+        out = of(some) if out is None else out.unionByName(of(some))
+    return of([(None,) * len(fields)]).where("false") if out is None else out
+
+
+def _distance_limit(points: DataFrame, keys: list[str], quantile: float, accuracy: int | None) -> DataFrame:
     d = points.withColumn("d", norm())
-    q = F.percentile("d", F.lit(quantile)) if accuracy is None else F.percentile_approx("d", quantile, accuracy)
-    return with_cloud(d, keys, q.alias("d_max")).where("d < d_max")
+    if accuracy is None:
+        return d.join(exact_quantiles(d, keys, {"d_max": ("d", quantile)}), keys)
+    return with_cloud(d, keys, F.percentile_approx("d", quantile, accuracy).alias("d_max"))
+
+
+def range_outliers(points: DataFrame, keys: list[str], quantile: float = 0.95, accuracy: int | None = None) -> DataFrame:
+    """points nearer to the origin than the quantile of distance. ``accuracy`` turns to the approximate quantile, in one pass."""
+    return _distance_limit(points, keys, quantile, accuracy).where("d < d_max")
 
 
 def range_report(points: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:
     """F1's report: threshold, points kept and removed."""
-    d = with_cloud(points.withColumn("d", norm()), keys, F.percentile("d", F.lit(quantile)).alias("d_max"))
+    d = _distance_limit(points, keys, quantile, None)
     return d.groupBy(*keys).agg(F.max("d_max").alias("threshold"), F.count_if(F.col("d") < F.col("d_max")).alias("kept"), F.count_if(F.col("d") >= F.col("d_max")).alias("removed"))
 
 

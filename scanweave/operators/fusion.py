@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .filters import in_image
 from .geometry import projected
+from .select import first_n
 
 FRAME = ["device_no", "sequence_no", "frame_id"]
 
@@ -27,10 +28,15 @@ def attached(points: DataFrame, detections: DataFrame, keys: list[str], width: i
 
 
 def fused_detections(on_box: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each detection the points on it, their depth range ((0, 0) if none) and centre."""
-    got = on_box.groupBy("det_id").agg(F.count("*").alias("n_points"), F.min("depth").alias("d0"), F.max("depth").alias("d1"), *(F.avg(a).alias(f"m{a}") for a in "xyz"))
+    """Of each detection the points on it, their depth range ((0, 0) if none) and its mean, their centre and extents."""
+    extent = [(F.max(a) - F.min(a)).alias(f"extent_{a}") for a in "xyz"]
+    got = on_box.groupBy("det_id").agg(F.count("*").alias("n_points"), F.min("depth").alias("d0"), F.max("depth").alias("d1"), *(F.avg(a).alias(f"m{a}") for a in "xyz"), *extent)
     out = detections.select(*keys, "camera", "det_id", "confidence").join(got, "det_id", "left")
-    return out.select(*keys, "camera", "det_id", "confidence", F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("d0", F.lit(0.0)).alias("depth_min"), F.coalesce("d1", F.lit(0.0)).alias("depth_max"), "mx", "my", "mz")
+    depth = [F.coalesce(d, F.lit(0.0)) for d in ("d0", "d1")]
+    return out.select(
+        *keys, "camera", "det_id", "confidence", F.coalesce("n_points", F.lit(0)).alias("n_points"), depth[0].alias("depth_min"), depth[1].alias("depth_max"),
+        ((depth[0] + depth[1]) / 2).alias("depth_mean"), "mx", "my", "mz", *(f"extent_{a}" for a in "xyz"),
+    )
 
 
 def fusion_summary(points: DataFrame, fused: DataFrame, keys: list[str], width: int = 1920, height: int = 1200) -> DataFrame:
@@ -100,6 +106,12 @@ def camera_comparison(fused: DataFrame, keys: list[str]) -> DataFrame:
     return fused.groupBy(*keys).pivot("camera", ["cam0", "cam1"]).agg(F.sum("n_points").cast("long"))
 
 
-def good_detections(fused: DataFrame, keys: list[str], more_than: int = 20) -> DataFrame:
-    """Detections with more than so many points, in frame and camera order."""
-    return fused.where(F.col("n_points") > more_than).orderBy(*keys, "camera", "det_id")
+def good_detections(fused: DataFrame, keys: list[str], more_than: int = 20, first: int | None = None) -> DataFrame:
+    """Detections with more than so many points, in frame and camera order, and the first so many of them."""
+    good = fused.where(F.col("n_points") > more_than).orderBy(*keys, "camera", "det_id")
+    return good if first is None else good.limit(first)
+
+
+def first_camera_detections(fused: DataFrame, keys: list[str], more_than: int = 10, first: int | None = None) -> DataFrame:
+    """T9, the variant: of each frame the first detection of the first camera that has any, if it has more than so many points."""
+    return good_detections(first_n(fused, keys, ["camera", "det_id"], 1), keys, more_than, first)

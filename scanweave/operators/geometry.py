@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import with_cloud
+from .filters import with_cloud, with_each
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    """P6."""
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    """P6; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))))
 
 
 def normal_rotation(degrees: Column) -> Column:
@@ -31,7 +31,7 @@ def scaled(points: DataFrame, cx: Column, cy: Column, cz: Column, by: Column) ->
 
 def transformed(points: DataFrame, transforms: DataFrame) -> DataFrame:
     """Every transform (``transform_id, cx, cy, cz, scale, rotation_deg``) of every point: scale, then rotate."""
-    both = points.crossJoin(transforms)
+    both = with_each(points, transforms.select("transform_id", "cx", "cy", "cz", "scale", "rotation_deg"))
     c = [F.col(k) for k in ("cx", "cy", "cz")]
     return rotated(scaled(both, *c, F.col("scale")), c[0], c[1], F.col("rotation_deg"))
 
@@ -79,24 +79,45 @@ def selection_colour(inside: Column) -> Column:
     return F.when(inside, rgb(0, 255, 0)).otherwise(rgb(128, 128, 128))
 
 
-def colour_scalar(*preferred: Column) -> Column:
-    """The first of the preferred values that is there and finite, else the height."""
-    return F.coalesce(*(F.when(~F.isnan(c.cast("double")), c.cast("double")) for c in preferred), F.col("z"))
+def _rgb(points: DataFrame) -> Column | None:
+    """Whether a point has all three colours; None if the table has no such columns."""
+    return F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull() if {"r", "g", "b"} <= set(points.columns) else None
 
 
-def depth_shade(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth scaled to 0..1 in each frame; null where all depths are one."""
+def coloured(points: DataFrame, by: str = "intensity") -> DataFrame:
+    """``scalar`` to colour by, ring or intensity where it is there and a number, else the height; by ``rgb`` a point that has all three colours has
+    no scalar, and all points have ``red, green, blue`` clipped to 0..255 where they have colours."""
+    has, height = _rgb(points), F.col("z").cast("double")
+    value = F.col(by).cast("double") if by in ("ring", "intensity") and by in points.columns else F.lit(None).cast("double")
+    scalar = F.coalesce(F.when(~F.isnan(value), value), height)
+    if by == "rgb" and has is not None:
+        scalar = F.when(~has, height)
+    byte = lambda c: clamp(F.col(c).cast("double"), 0, 255).cast("int") if has is not None else F.lit(None).cast("int")
+    return points.withColumns({"scalar": scalar} | ({"red": byte("r"), "green": byte("g"), "blue": byte("b")} if by == "rgb" else {}))
+
+
+def depth_colour(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``shade``, depth scaled to 0..1 in each frame, and ``red, green, blue``: near points red, far ones blue; all green, and no shade, where all
+    depths are one."""
     near = with_cloud(points, keys, F.min("depth").alias("d0"), F.max("depth").alias("d1"))
-    return near.withColumn("shade", F.try_divide(F.col("depth") - F.col("d0"), F.col("d1") - F.col("d0"))).drop("d0", "d1")
+    out = near.withColumn("shade", F.try_divide(F.col("depth") - F.col("d0"), F.col("d1") - F.col("d0"))).drop("d0", "d1")
+    byte = lambda c: F.coalesce((255 * c).cast("int"), F.lit(0))
+    return out.withColumns({"red": byte(1 - F.col("shade")), "green": F.when(F.col("shade").isNull(), 255).otherwise(0), "blue": byte(F.col("shade"))})
 
 
 def scaled_features(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Z-scores of the coordinates and intensity scaled to 0..1, over the whole cloud."""
-    stats = [f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    all_ = with_cloud(points, keys, *stats, F.min("intensity").alias("i0"), F.max("intensity").alias("i1"))
-    z = {f"f{a}": (F.col(a) - F.col(f"m_{a}")) / (F.col(f"s_{a}") + 1e-8) for a in "xyz"}
-    own = F.coalesce(F.try_divide(F.col("intensity") - F.col("i0"), (F.col("i1") - F.col("i0")).cast("double")), F.lit(0.0))
-    return all_.withColumns(z | {"fi": own}).select(*points.columns, "fx", "fy", "fz", "fi")
+    """Six features: z-scores of the coordinates over the whole cloud, and three of colour: red, green and blue of a cloud that has them, by 255 if any
+    is over 1; else intensity scaled to 0..1, three times; else zeros."""
+    stats = [f(a).alias(f"__{n}_{a}") for a in "xyz" for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    has, light = _rgb(points), F.col("intensity").cast("double") if "intensity" in points.columns else F.lit(None).cast("double")
+    tone = [F.col(c).cast("double") if has is not None else F.lit(None).cast("double") for c in "rgb"]
+    stats += [F.min(light).alias("__i0"), F.max(light).alias("__i1"), F.max(F.greatest(*tone)).alias("__top"), F.min(has if has is not None else F.lit(False)).alias("__rgb")]
+    all_ = with_cloud(points, keys, *stats)
+    z = {f"f{a}": (F.col(a) - F.col(f"__m_{a}")) / (F.col(f"__s_{a}") + 1e-8) for a in "xyz"}
+    grey = F.coalesce((light - F.col("__i0")) / (F.col("__i1") - F.col("__i0") + 1e-8), F.lit(0.0))
+    by = F.when(F.col("__top") > 1, 255.0).otherwise(1.0)
+    own = {n: F.when(F.col("__rgb"), t / by).otherwise(grey) for n, t in zip(("fr", "fg", "fb"), tone, strict=True)}
+    return all_.withColumns(z | own).select(*points.columns, "fx", "fy", "fz", "fr", "fg", "fb")
 
 
 def box_geometry(detections: DataFrame, pad: float = 20, width: int = 1920, height: int = 1200) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.scratch import written
 
-from .neighbors import nearest_in_each, radius_pairs
+from .neighbors import nearest_in_each, own_pairs, radius_pairs
 from .stats import down_sampled
 
 
@@ -18,7 +18,8 @@ def suppressed(points: DataFrame, keys: list[str], r: float, rounds: int = 60) -
     ids is kept, its neighbours go, and so on in rounds. It raises if a chain is longer than ``rounds``.
     """
     own = points.select(*keys, "point_id", "x", "y", "z")
-    edges = written(radius_pairs(own, own, keys, r).where("a <> b").select(*keys, "a", "b"), "edges")
+    once = own_pairs(own, keys, r).select(*keys, "a", "b")
+    edges = written(once.unionByName(once.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     left = written(own.select(*keys, "point_id"), "undecided")
     kept = None
     for _ in range(rounds):
@@ -48,7 +49,7 @@ def static_points(scans: DataFrame, keys: list[str], scan: str = "scan_idx", r:
 def static_statistics(classified: DataFrame, keys: list[str]) -> DataFrame:
     """A23."""
     got = classified.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("is_static").alias("n_static"))
-    return got.withColumns({"n_dynamic": F.col("n") - F.col("n_static"), "static_ratio": F.col("n_static") / F.col("n")})
+    return got.withColumns({"n_dynamic": F.col("n") - F.col("n_static"), "static_ratio": F.try_divide(F.col("n_static").cast("double"), F.col("n").cast("double"))})
 
 
 def moving_points(dynamic: DataFrame, scans: DataFrame, keys: list[str], scan: str = "scan_idx", r: float = 0.06, least: float = 0.05, min_scans: int = 3) -> DataFrame:

@@ -7,46 +7,85 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.scratch import written
 
+from .order import exact_quantiles
 
-def _cell(axis: str, r: float, shift: Column | int = 0) -> Column:
+_STEPS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+
+def cell(axis: str, r: float, shift: Column | int = 0) -> Column:
     return (F.floor(F.col(axis) / r) + shift).cast("long")
 
 
-def _spread(points: DataFrame, r: float) -> DataFrame:
-    """Each point once for each of the 27 cells around its own."""
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    out = points.withColumn("__s", F.explode(steps))
-    return out.withColumns({f"__c{a}": _cell(a, r, F.col(f"__s.{s}")) for a, s in zip("xyz", "ijk", strict=True)}).drop("__s")
+def finite(points: DataFrame) -> DataFrame:
+    """Points whose coordinates are numbers; others are near nothing."""
+    return points.where(" and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < double('infinity')" for a in "xyz"))
+
+
+def spread(rows: DataFrame, columns: list[str], steps: list[tuple[int, int, int]], names: list[str] | None = None) -> DataFrame:
+    """Each row once for each step that its cell ``columns`` go, as ``names``."""
+    s = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(t, "ijk", strict=True))) for t in steps))
+    out = rows.withColumn("__s", F.explode(s))
+    return out.withColumns({n: F.col(c) + F.col(f"__s.{a}") for n, c, a in zip(names or columns, columns, "ijk", strict=True)}).drop("__s")
+
+
+def square(a: str, b: str) -> Column:
+    """Squared distance of columns ``{a}x`` .. and ``{b}x`` .., added in the order x, y, z."""
+    d = [F.col(f"{a}{c}") - F.col(f"{b}{c}") for c in "xyz"]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+_CELLS = ["__cx", "__cy", "__cz"]
+
+
+def _placed(points: DataFrame, keys: list[str], id_col: str, out: str, r: float) -> DataFrame:
+    return finite(points).select(*keys, F.col(id_col).alias(out), *(F.col(c).alias(f"{out}{c}") for c in "xyz"), *(cell(c, r).alias(f"__c{c}") for c in "xyz"))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, keys: list[str], r: float, left_id: str = "point_id", right_id: str = "point_id") -> DataFrame:
-    """``keys, a, b, d2`` for points within ``r`` of each other (both ends included), by squared distance. ``right`` is the side that is spread."""
-    own = left.select(*keys, F.col(left_id).alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *(_cell(c, r).alias(f"__c{c}") for c in "xyz"))
-    other = _spread(right.select(*keys, F.col(right_id).alias("b"), "x", "y", "z"), r)
-    d2 = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "yz"), start=(F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")))
-    near = own.join(other, [*keys, "__cx", "__cy", "__cz"]).withColumn("d2", d2).where(F.col("d2") <= r * r)
-    return near.select(*keys, "a", "b", "d2")
+    """``keys, a, b, d2`` for points within ``r`` of each other (both ends included), by squared distance. ``right``, the side to keep small, is
+    sent to the 27 cells around its own; points that are not finite are near nothing."""
+    own, other = _placed(left, keys, left_id, "a", r), spread(_placed(right, keys, right_id, "b", r), _CELLS, _STEPS)
+    return own.join(other, [*keys, *_CELLS]).withColumn("d2", square("a", "b")).where(F.col("d2") <= r * r).select(*keys, "a", "b", "d2")
+
+
+def own_pairs(points: DataFrame, keys: list[str], r: float) -> DataFrame:
+    """J3 of one cloud with itself: ``keys, a, b, d2``, each pair once: a point is sent to 14 cells, its own and half of those around it."""
+    left = _placed(points, keys, "point_id", "a", r)
+    right = spread(_placed(points, keys, "point_id", "b", r).withColumn("__home", F.struct(*_CELLS)), _CELLS, [t for t in _STEPS if t >= (0, 0, 0)])
+    one = left.join(right, [*keys, *_CELLS]).where((F.struct(*_CELLS) != F.col("__home")) | (F.col("a") < F.col("b")))
+    return one.withColumn("d2", square("a", "b")).where(F.col("d2") <= r * r).select(*keys, "a", "b", "d2")
 
 
 def local_density(points: DataFrame, keys: list[str], r: float) -> DataFrame:
     """Neighbours within ``r``, the point itself included."""
-    return radius_pairs(points, points, keys, r).groupBy(*keys, F.col("a").alias("point_id")).agg(F.count("*").alias("neighbours"))
+    ends = own_pairs(points, keys, r).select(*keys, F.explode(F.array("a", "b")).alias("point_id"))
+    near = ends.groupBy(*keys, "point_id").agg(F.count("*").alias("n"))
+    return finite(points).select(*keys, "point_id").join(near, [*keys, "point_id"], "left").select(*keys, "point_id", (F.coalesce("n", F.lit(0)) + 1).alias("neighbours"))
+
+
+def first_radius(points: DataFrame, keys: list[str], k: int, side: float = 0.5) -> float:
+    """A radius that holds about twice ``k`` points about a point, by the mean number of points in the cell of one."""
+    counts = points.groupBy(*keys, *(cell(a, side).alias(f"c{a}") for a in "xyz")).agg(F.count("*").cast("double").alias("n"))
+    mean = counts.agg(F.try_divide(F.sum(F.col("n") * F.col("n")), F.sum("n"))).first()[0] or 1.0
+    return min(max((2 * k * side**3 / mean / 4.19) ** (1 / 3), side / 100), 10 * side)
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float = 0.5, growth: float = 4.0, rounds: int = 16) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float | None = None, growth: float = 2.5, rounds: int = 24) -> DataFrame:
     """``keys, a, b, d2, rank`` of the k nearest points (all, in a smaller cloud), ties by id; a point counts as its own neighbour.
 
-    Searches a radius, keeps the queries that are certain (k hits, or the whole cloud), and goes on with the rest at a larger radius.
+    Searches a radius, led by the density unless given, keeps the queries that are certain (k hits, or the whole cloud), and goes on with the rest at a
+    larger radius. Points that are not finite neither find others nor are found.
     """
+    points = finite(points)
     size = points.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("__want"))
-    left, done, r = queries, None, start
+    left, done, r = finite(queries).join(size.select(*keys), keys, "left_semi"), None, start or first_radius(points, keys, k)
     for _ in range(rounds):
-        near = radius_pairs(left, points, keys, r)
+        near = radius_pairs(points, left, keys, r).select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d2")
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("d2", "b"))).where(F.col("rank") <= k)
         enough = ranked.groupBy(*keys, "a").agg(F.count("*").alias("n")).join(size, keys).where("n >= __want").select(*keys, "a")
         got = written(ranked.join(enough, [*keys, "a"], "left_semi"), "nearest")
         done = got if done is None else done.unionByName(got)
-        left = written(left.join(got.select(*keys, F.col("a").alias("point_id")).distinct(), [*keys, "point_id"], "left_anti").join(size.select(*keys), keys, "left_semi"), "left")
+        left = written(left.join(got.select(*keys, F.col("a").alias("point_id")).distinct(), [*keys, "point_id"], "left_anti"), "left")
         if left.isEmpty():
             return done
         r *= growth
@@ -67,14 +106,21 @@ def nearest_in_each(points: DataFrame, scans: DataFrame, keys: list[str], scan:
     return full.groupBy(*keys, "a", scan).agg(best).select(*keys, "a", scan, "best.*")
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: float = 2.0) -> DataFrame:
-    """Points and the boxes that hold them, for any number of boxes: boxes are spread over the cells they touch in x and y, and joined by cell."""
-    span = lambda a: F.sequence(F.floor(F.col(f"{a}_min") / cell), F.floor(F.col(f"{a}_max") / cell))
+def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], size: float = 2.0) -> DataFrame:
+    """Points and the boxes that hold them, for any number of boxes. Boxes are sent to the cells that they touch in x and y, and joined by cell;
+    cells double in side until a box touches three a side at most, so each box goes to nine cells of its own size at most."""
+    shared = [k for k in keys if k in boxes.columns]
     ok = boxes.where("x_min <= x_max and y_min <= y_max and z_min <= z_max and not isnan(x_max) and not isnan(y_max) and not isnan(z_max)")
-    spread = ok.withColumn("__cx", F.explode(span("x"))).withColumn("__cy", F.explode(span("y")))
-    own = points.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell)})
+    width = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), F.lit(size))
+    ok = ok.withColumn("__level", F.greatest(F.ceil(F.log2(width / (2 * size))), F.lit(0)).cast("int"))
+    ok = ok.withColumn("__side", size * F.pow(F.lit(2.0), F.col("__level")))
+    levels = [r[0] for r in ok.select("__level").distinct().collect()]  # a few dozen at most
+    span = lambda a: F.sequence(F.floor(F.col(f"{a}_min") / F.col("__side")), F.floor(F.col(f"{a}_max") / F.col("__side")))
+    sent = ok.withColumn("__cx", F.explode(span("x"))).withColumn("__cy", F.explode(span("y"))).drop("__side")
+    side = F.lit(size) * F.pow(F.lit(2.0), F.col("__level"))
+    own = points.withColumn("__level", F.explode(F.lit(levels or [0]).cast("array<int>"))).withColumns({"__cx": F.floor(F.col("x") / side), "__cy": F.floor(F.col("y") / side)})
     inside = "x >= x_min and x <= x_max and y >= y_min and y <= y_max and z >= z_min and z <= z_max"
-    return own.join(spread, [*(k for k in keys if k in boxes.columns), "__cx", "__cy"]).where(inside).select(*points.columns, "box_id")
+    return own.join(sent, [*shared, "__level", "__cx", "__cy"]).where(inside).select(*points.columns, "box_id")
 
 
 def statistical_outliers(points: DataFrame, keys: list[str], k: int = 20, sigmas: float = 2.0) -> DataFrame:
@@ -87,7 +133,7 @@ def statistical_outliers(points: DataFrame, keys: list[str], k: int = 20, sigmas
 
 def median_outliers(points: DataFrame, keys: list[str], sigmas: float = 2.0) -> DataFrame:
     """Inside each detection, points near its median; fewer than three points are left alone."""
-    mid = points.groupBy(*keys).agg(*(F.median(a).alias(f"m{a}") for a in "xyz"), F.count("*").alias("n"))
+    mid = exact_quantiles(points, keys, {f"m{a}": (a, 0.5) for a in "xyz"}).join(points.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     far = points.join(mid, keys).withColumn("md", F.sqrt(sum(((F.col(a) - F.col(f"m{a}")) * (F.col(a) - F.col(f"m{a}")) for a in "yz"), start=(F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")))))
     limit = far.groupBy(*keys).agg((F.avg("md") + sigmas * F.stddev_pop("md")).alias("limit"))
     return far.join(limit, keys).where("n < 3 or md <= limit").select(*points.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order import exact_quantiles
 from .scene import clusters
 
 
@@ -21,8 +22,8 @@ def occupant_summary(points: DataFrame, keys: list[str], probability: str = "pro
 
 def poses(points: DataFrame, keys: list[str], front_limit: float = 2.0) -> DataFrame:
     """Head (mean of the top 15 % by height), torso (mean of 30 to 70 % of the height), front or back seat, and box."""
-    q = points.groupBy(*keys).agg(F.percentile("z", F.lit(0.85)).alias("z85"), F.min("z").alias("z0"), F.max("z").alias("z1"))
-    own = points.join(q, keys)
+    q = points.groupBy(*keys).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    own = points.join(q, keys).join(exact_quantiles(points, keys, {"z85": ("z", 0.85)}), keys)
     h = F.col("z1") - F.col("z0")
     head, torso = F.col("z") >= F.col("z85"), (F.col("z") >= F.col("z0") + 0.3 * h) & (F.col("z") <= F.col("z0") + 0.7 * h)
     part = lambda test, name: [F.avg(F.when(test, F.col(a))).alias(f"{name}_{a}") for a in "xyz"]

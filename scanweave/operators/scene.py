@@ -11,27 +11,27 @@ from scanweave.functions.scratch import written
 from scanweave.schema import Params
 
 from .filters import range_outliers, with_cloud
+from .geometry import voxels
 from .graph import components
-from .neighbors import k_nearest, radius_pairs
+from .neighbors import finite, k_nearest, radius_pairs, spread, square
+from .order import exact_quantiles
+from .select import order_hash
 
 Step = Callable[[DataFrame, list[str], Params], DataFrame]
 
 
-def order_hash(column: str = "point_id", seed: int = 42) -> Column:
-    """A fixed order without meaning, the same in any SQL engine."""
-    return (F.col(column) % 1000003 * 7919 + seed * 104729) % 1000033
-
-
 def ground_planes(points: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
     """M1: ``keys, a, b, c`` of z = ax + by + c for clouds with enough candidates.
 
     Trials are fixed triples of the candidates first by hash; each counts the candidates near its plane; the best (the first of equals) is refitted
-    to those by least squares, from sums. Candidates are never gathered: trials are joined to them, and counted by partial aggregation.
+    to those by least squares, from sums. Candidates are never gathered: each task keeps the first of its own, trials are joined to them, and counted by
+    partial aggregation.
     """
     low = with_cloud(points, keys, F.min("z").alias("z_min")).where(F.col("z") <= F.col("z_min") + p.ground_band)
     enough = low.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= p.ground_candidates).select(*keys)
     low = low.join(enough, keys, "left_semi").select(*keys, "point_id", "x", "y", "z")
-    first = low.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order_hash(), "point_id")) - 1).where(F.col("rank") < 3 * p.ground_trials)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order_hash(), "point_id"))
+    first = low.withColumn("rank", number).where(F.col("rank") <= 3 * p.ground_trials).withColumn("rank", F.col("rank") - 1)
     pick = lambda k: [F.max(F.when(F.col("rank") % 3 == k, F.col(a))).alias(f"{a}{k}") for a in "xyz"]
     three = first.groupBy(*keys, F.floor(F.col("rank") / 3).alias("trial")).agg(F.count("*").alias("m"), *pick(0), *pick(1), *pick(2)).where("m = 3")
     d = "((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))"
@@ -60,26 +60,61 @@ def with_ground(points: DataFrame, keys: list[str], p: Params = Params()) -> Dat
     return both.withColumn("is_ground", F.coalesce(height <= p.ground_height, flat)).select(*points.columns, "is_ground")
 
 
+def _core(own: DataFrame, keys: list[str], eps: float, min_samples: int) -> DataFrame:
+    """Core points. In a cell of which any two points are near, ``min_samples`` points are core without a look at others."""
+    small = [*keys, "gx", "gy", "gz"]
+    full = own.groupBy(*small).agg(F.count("*").alias("__n")).withColumn("__full", F.col("__n") >= min_samples).drop("__n")
+    marked = own.join(full, small)
+    open_ = marked.where("not __full").drop("__full")
+    enough = radius_pairs(own, open_, keys, eps).groupBy(*keys, F.col("b").alias("point_id")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_samples)
+    return marked.where("__full").drop("__full").unionByName(open_.join(enough.drop("__n"), [*keys, "point_id"], "left_semi"))
+
+
+def _linked_cells(core: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    """``a, b``: nodes of cells of which a core point each are within ``eps``. Bounds of cells decide most pairs of cells; for the others points of the
+    first that are near the second's bounds look for one point of the second, and stop at the first they find."""
+    here, there = ["gx", "gy", "gz"], ["tx", "ty", "tz"]
+    box = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = core.groupBy(*keys, *here).agg(F.min("point_id").alias("node"), *box)
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    other = cells.select(*keys, *(F.col(c).alias(t) for c, t in zip(here, there, strict=True)), F.col("node").alias("b"), *(F.col(f"{n}{c}").alias(f"{n}{c}2") for n in ("lo", "hi") for c in "xyz"))
+    pairs = spread(cells.withColumnRenamed("node", "a"), here, steps, there).join(other, [*keys, *there])
+    zero, sq = F.lit(0.0), lambda v: v * v
+    gap = [sq(F.greatest(F.col(f"lo{c}2") - F.col(f"hi{c}"), F.col(f"lo{c}") - F.col(f"hi{c}2"), zero)) for c in "xyz"]
+    reach = [sq(F.greatest(F.abs(F.col(f"hi{c}2") - F.col(f"lo{c}")), F.abs(F.col(f"hi{c}") - F.col(f"lo{c}2")))) for c in "xyz"]
+    near = written(pairs.where(gap[0] + gap[1] + gap[2] <= eps * eps * 1.000001).withColumn("sure", reach[0] + reach[1] + reach[2] <= eps * eps * 0.999999), "cells")
+    asking = near.where("not sure").select(*keys, *here, *there, "a", "b", *(f"{n}{c}2" for n in ("lo", "hi") for c in "xyz"))
+    ask = asking.join(core.select(*keys, *here, *(F.col(c).alias(f"p{c}") for c in "xyz")), [*keys, *here])
+    out = [sq(F.greatest(F.col(f"lo{c}2") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"hi{c}2"), zero)) for c in "xyz"]
+    ask = ask.where(out[0] + out[1] + out[2] <= eps * eps * 1.000001).select(*keys, *there, "a", "b", "px", "py", "pz").alias("l")
+    answer = core.select(*keys, *(F.col(c).alias(t) for c, t in zip(here, there, strict=True)), *(F.col(c).alias(f"q{c}") for c in "xyz")).alias("r")
+    same = F.lit(True)
+    for c in [*keys, *there]:
+        same &= F.col(f"l.{c}") == F.col(f"r.{c}")
+    found = ask.join(answer, same & (square("p", "q") <= eps * eps), "left_semi")
+    return near.where("sure").select("a", "b").union(found.select("a", "b")).distinct()
+
+
 def clusters(points: DataFrame, keys: list[str], eps: float, min_samples: int) -> DataFrame:
     """M3, DBSCAN: ``cluster_id`` of each point, -1 for noise; numbered from 0 in each cloud by least core id; a border point takes the lowest.
 
-    Core points of one small cell are within ``eps`` of each other, so cells, not points, are the nodes of the graph: pairs of core points are
-    reduced to pairs of cells before components are sought.
+    Any two points of a cell of side eps / sqrt 3 are within ``eps``. So crowded cells are core as they are, cells, not points, are the nodes of the
+    graph, and pairs of points are looked at only about points of cells that are not crowded. Points that are not finite are noise.
     """
-    own = points.select(*keys, "point_id", "x", "y", "z")
-    pairs = written(radius_pairs(own, own, keys, eps).select(*keys, "a", "b"), "pairs")
-    core = pairs.groupBy(*keys, "a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*keys, F.col("a").alias("point_id"))
     side = eps / 3**0.5 * 0.999999
-    cell = own.join(core, [*keys, "point_id"]).withColumns({f"g{a}": F.floor(F.col(a) / side) for a in "xyz"})
-    node = cell.groupBy(*keys, "gx", "gy", "gz").agg(F.min("point_id").alias("node"))
-    member = written(cell.join(node, [*keys, "gx", "gy", "gz"]).select(*keys, "point_id", "node"), "members")
-    of = lambda end, out: member.select(*keys, F.col("point_id").alias(end), F.col("node").alias(out))
-    edges = pairs.where("a < b").join(of("a", "na"), [*keys, "a"]).join(of("b", "nb"), [*keys, "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
-    label = components(edges)
-    found = member.join(label, "node", "left").select(*keys, "point_id", F.coalesce("label", "node").alias("label"))
-    border = pairs.join(found.withColumnRenamed("point_id", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("point_id")).agg(F.min("label").alias("label"))
-    number = border.select(*keys, "label").distinct().withColumn("cluster_id", F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)
-    mine = border.join(number, [*keys, "label"]).select(*keys, "point_id", "cluster_id")
+    own = finite(points).select(*keys, "point_id", "x", "y", "z").withColumns({f"g{a}": F.floor(F.col(a) / side).cast("long") for a in "xyz"})
+    small = [*keys, "gx", "gy", "gz"]
+    core = written(_core(own, keys, eps, min_samples), "core")
+    node = core.groupBy(*small).agg(F.min("point_id").alias("node"))
+    label = components(_linked_cells(core, keys, eps))
+    named = node.join(label, "node", "left").select(*small, F.coalesce("label", "node").alias("label"))
+    found = written(core.join(named, small).select(*keys, "point_id", "x", "y", "z", "label"), "labelled")
+    rest = own.join(found.select(*keys, "point_id"), [*keys, "point_id"], "left_anti")
+    touch = radius_pairs(found, rest, keys, eps).join(found.select(*keys, F.col("point_id").alias("a"), "label"), [*keys, "a"])
+    border = touch.groupBy(*keys, F.col("b").alias("point_id")).agg(F.min("label").alias("label"))
+    every = found.select(*keys, "point_id", "label").unionByName(border)
+    number = found.select(*keys, "label").distinct().withColumn("cluster_id", F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)
+    mine = every.join(number, [*keys, "label"]).select(*keys, "point_id", "cluster_id")
     return points.join(mine, [*keys, "point_id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 
 
@@ -106,7 +141,9 @@ def with_interior(points: DataFrame, keys: list[str], p: Params = Params()) -> D
     band = low.where((F.col("z") >= F.col("__z") + p.interior_low) & (F.col("z") <= F.col("__z") + p.interior_high))
     band = written(with_cloud(band.select(*keys, "point_id", "x", "y", "z"), keys, F.count("*").alias("__n")).where("__n >= 10").drop("__n"), "band")
     apart = k_nearest(band, band, keys, p.interior_k).groupBy(*keys, "a").agg(F.avg(F.sqrt("d2")).alias("md"))
-    hit = with_cloud(apart, keys, F.percentile("md", F.lit(p.interior_quantile)).alias("q")).where("md > q").select(*keys, F.col("a").alias("point_id"), F.lit(True).alias("__in"))
+    apart = written(apart, "apart")
+    limit = exact_quantiles(apart, keys, {"q": ("md", p.interior_quantile)})
+    hit = apart.join(limit, keys).where("md > q").select(*keys, F.col("a").alias("point_id"), F.lit(True).alias("__in"))
     return points.join(hit, [*keys, "point_id"], "left").withColumn("is_interior", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
@@ -124,6 +161,32 @@ def enclosed_voxels(occupied: DataFrame, keys: list[str], legacy: bool = False)
     return empty.select(*keys, "gx", "gy", "gz")
 
 
+def _around(reach: int) -> list[tuple[int, int, int]]:
+    """Steps of at most ``reach`` voxels, along the axes."""
+    r = range(-reach, reach + 1)
+    return [(i, j, k) for i in r for j in r for k in r if abs(i) + abs(j) + abs(k) <= reach]
+
+
+def void_voxels(occupied: DataFrame, keys: list[str], distance: int = 2) -> DataFrame:
+    """Enclosed voxels that are at least ``distance`` steps from every occupied one."""
+    close = spread(occupied.select(*keys, "gx", "gy", "gz").distinct(), ["gx", "gy", "gz"], _around(distance - 1))
+    return enclosed_voxels(occupied, keys).join(close, [*keys, "gx", "gy", "gz"], "left_anti")
+
+
+def in_voxels(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (with ``gx, gy, gz``) whose voxel is in a set."""
+    return points.join(cells.select(*keys, "gx", "gy", "gz"), [*keys, "gx", "gy", "gz"], "left_semi")
+
+
+def with_void_interior(points: DataFrame, keys: list[str], size: float = 0.1, distance: int = 2) -> DataFrame:
+    """``is_interior``: points within ``distance`` voxels of the void that the cloud encloses, its inner surface and what stands there."""
+    own = voxels(points, keys, size).select(*keys, "point_id", *(F.col(f"g{a}").cast("long").alias(f"g{a}") for a in "xyz"))
+    void = void_voxels(own, keys, distance)
+    near = spread(void, ["gx", "gy", "gz"], _around(distance)).distinct()
+    hit = in_voxels(own, near, keys).select(*keys, "point_id", F.lit(True).alias("__in"))
+    return points.join(hit, [*keys, "point_id"], "left").withColumn("is_interior", F.coalesce("__in", F.lit(False))).drop("__in")
+
+
 def orientation(points: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
     """Main axis and which end is the front, by dashboard points on either side of the middle; no row without a dashboard."""
     own = with_cloud(points, keys, F.min("z").alias("z_min"), *(f(a).alias(f"{a}_{n}") for a in "xy" for n, f in (("min", F.min), ("max", F.max))), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"))

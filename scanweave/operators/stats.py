@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .filters import with_each
 from .geometry import voxels
 from .neighbors import in_boxes
+from .order import exact_quantiles
 
 AXES = ("x", "y", "z")
 
@@ -26,8 +28,8 @@ def stage_counts(labelled: DataFrame, keys: list[str], flags: list[str]) -> Data
 
 
 def class_statistics(points: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """A3: per class counts, extents, and its share of the cloud."""
-    own = points.groupBy(*keys, label).agg(F.count("*").alias("n"), *((F.max(a) - F.min(a)).alias(f"extent_{a}") for a in AXES))
+    """A3: per class counts, bounds, extents, and its share of the cloud."""
+    own = points.groupBy(*keys, label).agg(F.count("*").alias("n"), *bounds_of(), *((F.max(a) - F.min(a)).alias(f"extent_{a}") for a in AXES))
     total = points.groupBy(*keys).agg(F.count("*").alias("total"))
     return own.join(total, keys).withColumn("percent", 100.0 * F.col("n") / F.col("total")).drop("total")
 
@@ -38,15 +40,16 @@ def _volume(floor: float | None = None) -> Column:
 
 
 def selection_statistics(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """A4: for each cloud and box (``box_id, x_min .. z_max``): totals, share, volume, density, centroid, spread. Inverted boxes give an error row.
+    """A4: for each cloud and box (``box_id, x_min .. z_max``): totals, share, volume, density, and of the points in it centroid, spread and bounds. Inverted
+    boxes give an error row.
 
-    Points meet boxes by grid cell; only clouds and boxes, which are the rows of the result, are combined freely.
+    Points meet boxes by grid cell; each cloud has a row for each of the stated boxes.
     """
     valid = boxes.withColumn("valid", (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max")) & (F.col("z_min") < F.col("z_max")))
     good = valid.where("valid")
     stats = [f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("mean", F.avg), ("sigma", F.stddev_pop))]
-    inside = in_boxes(points, good, keys).groupBy(*keys, "box_id").agg(F.count("*").alias("selected"), *stats)
-    total = points.groupBy(*keys).agg(F.count("*").alias("total")).crossJoin(good.select("box_id", _volume().alias("volume")))
+    inside = in_boxes(points, good, keys).groupBy(*keys, "box_id").agg(F.count("*").alias("selected"), *stats, *bounds_of())
+    total = with_each(points.groupBy(*keys).agg(F.count("*").alias("total")), good.select("box_id", _volume().alias("volume")))
     got = total.join(inside, [*keys, "box_id"], "left").fillna(0, ["selected"])
     got = got.withColumns({"percent": 100.0 * F.col("selected") / F.col("total"), "density": F.col("selected") / F.col("volume"), "error": F.lit(None).cast("string")})
     return got.unionByName(valid.where("not valid").select("box_id", F.lit("invalid bounds").alias("error")), allowMissingColumns=True)
@@ -58,18 +61,21 @@ def model_statistics(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def default_cubes(points: DataFrame, keys: list[str], size: tuple[float, float, float] = (4.0, 4.0, 2.0), shrink: float = 0.1) -> DataFrame:
-    """A cube around the mean, and the bounds shrunk by a share of their size on each side."""
+    """A cube around the mean, and the bounds shrunk by a share of their size on each side; a cloud whose points have no coordinates, and without
+    keys an empty one, gives unit cubes."""
     own = points.groupBy(*keys).agg(*bounds_of(), *(F.avg(a).alias(f"m{a}") for a in AXES))
     new = {}
     for a, s in zip(AXES, size, strict=True):
         room = shrink * (F.col(f"{a}_max") - F.col(f"{a}_min"))
         new |= {f"cube_{a}_min": F.col(f"m{a}") - s / 2, f"cube_{a}_max": F.col(f"m{a}") + s / 2, f"inner_{a}_min": F.col(f"{a}_min") + room, f"inner_{a}_max": F.col(f"{a}_max") - room}
-    return own.select(*keys, *(c.alias(n) for n, c in new.items()))
+    unit = lambda n: F.lit(1.0 if n.endswith("max") else 0.0)
+    return own.select(*keys, *(F.coalesce(c, unit(n)).alias(n) for n, c in new.items()))
 
 
 def centres(points: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and median centre."""
-    return points.groupBy(*keys).agg(*(F.avg(a).alias(f"mean_{a}") for a in AXES), *(F.median(a).alias(f"median_{a}") for a in AXES))
+    mean = points.groupBy(*keys).agg(*(F.avg(a).alias(f"mean_{a}") for a in AXES))
+    return mean.join(exact_quantiles(points, keys, {f"median_{a}": (a, 0.5) for a in AXES}), keys)
 
 
 def occupancy(points: DataFrame, keys: list[str], size: float = 0.1) -> DataFrame:
@@ -83,10 +89,6 @@ def down_sampled(points: DataFrame, keys: list[str], size: float = 0.1) -> DataF
     return own.groupBy(*keys, "gx", "gy", "gz").agg(F.min("point_id").alias("point_id"), *(F.avg(a).alias(a) for a in AXES), F.count("*").alias("n"))
 
 
-def local_bounds_ratio(part: str, whole: str) -> Column:
-    return F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
-
-
 def ring_statistics(points: DataFrame, keys: list[str], ring: str = "ring") -> DataFrame:
     """A30."""
     return points.groupBy(*keys).agg(F.min(ring).alias("ring_min"), F.max(ring).alias("ring_max"), F.array_join(F.sort_array(F.collect_set(ring)), ",").alias("rings"))

@@ -1,23 +1,46 @@
 """Tracks over detection sequences: the basic and the accumulating tracker, and what follows from tracks.
 
-Association depends on the order of detections, so it runs as a grouped map: per stretch between gaps for the basic tracker, per sequence for the
-accumulating one. Groups hold detections (and, for the latter, the points on them), never whole clouds.
+Association depends on the order of detections. So rows are sorted inside partitions by stretch (basic) or sequence (accumulating) and time, and read
+as a stream: a group is never held as a whole, and of a tracker only its open tracks are, those that a later detection may still join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanweave.schema import Params
 
 
+def _in_order(rows: DataFrame, group: list[str], order: list[str], columns: list[str], schema: str, start: Callable[[], Callable[[tuple], tuple]]) -> DataFrame:
+    """``group`` and what a function that ``start`` makes for each group returns of each row's ``columns``, row by row in ``order``."""
+    made = T.StructType([*(rows.schema[k] for k in group), *T.StructType.fromDDL(schema)])
+    out = to_arrow_schema(made)
+    placed = rows.select(*group, *columns).repartition(*group).sortWithinPartitions(*group, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, take = None, None
+        for b in batches:
+            found = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = r[: len(group)]
+                if take is None or key != now:
+                    now, take = key, start()
+                found.append((*key, *take(r[len(group) :])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    return placed.mapInArrow(run, made)
+
+
 def gap_segments(detections: DataFrame, keys: list[str], gap: float = 1.0) -> DataFrame:
     """``segment_id``: counts the gaps in time so far, over all cameras of a sequence."""
     order = Window.partitionBy(*keys).orderBy("ts", "camera", "det_seq", "det_id")
@@ -25,11 +48,11 @@ def gap_segments(detections: DataFrame, keys: list[str], gap: float = 1.0) -> Da
     return detections.withColumn("__b", broken).withColumn("segment_id", F.sum("__b").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")
 
 
-class _Tracks:
-    """The open tracks of one stretch; each knows the last detection it took."""
+class Tracks:
+    """The open tracks of one stretch by number, each with the last detection it took; detections come in order of time, so stale tracks go."""
 
-    def __init__(self, p: Params):
-        self.p, self.last, self.number = p, [], []
+    def __init__(self, p: Params, last: dict[int, tuple] | None = None, number: int = 0):
+        self.p, self.last, self.number = p, last or {}, number
 
     def score(self, a: tuple, b: tuple) -> float:
         """Distance of box centres plus ten times that of centres in space; out of reach if those are too far apart."""
@@ -39,35 +62,37 @@ class _Tracks:
         space = math.dist(a[4:7], b[4:7])
         return math.inf if space > self.p.track_distance else flat + 10 * space
 
+    def expire(self, ts: float) -> None:
+        if any(ts - t[0] > self.p.track_gap for t in self.last.values()):
+            self.last = {k: t for k, t in self.last.items() if ts - t[0] <= self.p.track_gap}
+
     def take(self, d: tuple) -> int:
+        """The track of a detection ``ts, camera, u, v, cx, cy, cz``."""
+        self.expire(d[0])
         best, low = None, self.p.track_score
-        for k, t in enumerate(self.last):
-            if t[1] == d[1] and d[0] - t[0] <= self.p.track_gap:
+        for k, t in self.last.items():
+            if t[1] == d[1]:
                 s = self.score(t, d)
                 if s < low:
                     best, low = k, s
         if best is None:
-            self.last.append(d)
-            best = len(self.last) - 1
-        else:
-            self.last[best] = d
+            best = self.number
+            self.number += 1
+        self.last[best] = d
         return best
 
 
 def basic_tracks(detections: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
     """M9: ``track_id`` (by key: in the order of stretches, then of tracks) of each detection in a track of two or more."""
     cut = gap_segments(detections, keys, p.track_gap)
-    own = cut.select(*keys, "segment_id", "det_id", "ts", "camera", "det_seq", ((F.col("x1") + F.col("x2")) / 2).alias("u"), ((F.col("y1") + F.col("y2")) / 2).alias("v"), "cx", "cy", "cz")
+    own = cut.withColumns({"__u": (F.col("x1") + F.col("x2")) / 2, "__v": (F.col("y1") + F.col("y2")) / 2})
     group = [*keys, "segment_id"]
-    schema = T.StructType([*(own.schema[k] for k in group), T.StructField("det_id", T.LongType()), T.StructField("local", T.LongType())])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "camera", "det_seq", "det_id"], kind="stable")
-        tracks = _Tracks(p)
-        local = [tracks.take(d) for d in rows[["ts", "camera", "u", "v", "cx", "cy", "cz"]].itertuples(index=False, name=None)]
-        return pd.DataFrame({**dict(zip(group, key, strict=True)), "det_id": rows["det_id"].to_numpy(), "local": local})
+    def start() -> Callable[[tuple], tuple]:
+        tracks = Tracks(p)
+        return lambda r: (r[0], tracks.take(r[1:8]))
 
-    found = own.groupBy(*group).applyInPandas(run, schema)
+    found = _in_order(own, group, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "__u", "__v", "cx", "cy", "cz", "det_seq"], "det_id BIGINT, local BIGINT", start)
     kept = found.groupBy(*group, "local").agg(F.count("*").alias("n")).where("n >= 2")
     number = kept.withColumn("track_id", F.row_number().over(Window.partitionBy(*keys).orderBy("segment_id", "local")) - 1).drop("n")
     return detections.join(found.join(number, [*group, "local"]).select(*keys, "det_id", "track_id"), [*keys, "det_id"])
@@ -87,48 +112,97 @@ def merge_points(existing: np.ndarray, new: np.ndarray, distance: float) -> np.n
     return new[np.array(keep)]
 
 
+def near_median(points: np.ndarray, sigmas: float = 2.0) -> np.ndarray:
+    """M5b of one detection: points whose distance from its median is at most the mean such distance plus so many deviations."""
+    if len(points) < 3:
+        return points
+    far = np.linalg.norm(points - np.median(points, axis=0), axis=1)
+    return points[far <= far.mean() + sigmas * far.std()]
+
+
+class Models:
+    """The open tracks of a sequence with the points they have accumulated."""
+
+    def __init__(self, p: Params):
+        self.p, self.call, self.number = p, None, 0
+        #: By number: points, when last seen, number of detections.
+        self.open: dict[int, tuple[np.ndarray, float, int]] = {}
+        self.known: list[int] = []
+
+    def take(self, det_id: int, ts: float, camera: str, points: list[dict]) -> tuple:
+        if (ts, camera) != self.call:  # a frame and camera: only tracks open before it can be joined
+            self.call = (ts, camera)
+            self.open = {k: m for k, m in self.open.items() if ts - m[1] <= self.p.model_gap}
+            self.known = list(self.open)
+        pts = np.array([(q["x"], q["y"], q["z"]) for q in points], float)
+        mid, best, low = pts.mean(0), None, math.inf
+        for k in self.known:
+            cloud, seen, _ = self.open[k]
+            far = float(np.linalg.norm(cloud.mean(0) - mid))
+            if far <= self.p.model_distance and far + 0.1 * (ts - seen) < low:
+                best, low = k, far + 0.1 * (ts - seen)
+        clean = near_median(pts)
+        if best is None:
+            best, cloud, n, new = self.number, clean, 0, clean
+            self.number += 1
+        else:
+            cloud, _, n = self.open[best]
+            new = merge_points(cloud, clean, self.p.merge_distance)
+            cloud = np.vstack([cloud, new]) if len(new) else cloud
+        self.open[best] = (cloud, ts, n + 1)
+        return det_id, best, n + 1, len(new), len(cloud), *cloud.mean(0).tolist(), *cloud.min(0).tolist(), *cloud.max(0).tolist()
+
+
+_MODEL = [f"{n}_{a}" for n in ("centre", "lo", "hi") for a in "xyz"]
+
+
 def accumulating_tracks(detections: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
-    """``keys, det_id, track_id, n_new`` for detections with ``points`` (an array of x, y, z structs).
+    """For detections with ``points`` (an array of x, y, z structs) ``keys, det_id, track_id`` and of the track then ``det_ordinal``, the points this
+    detection added ``n_new``, all of them ``n_points``, their centre and bounds.
 
-    A detection goes to the track open before its frame and camera whose centroid is nearest (plus a tenth of a metre for each second), if not too far
-    or too old; of its points those are added that the track doesn't have. Tracks of two detections and more are kept.
+    A detection goes to the track open before its frame and camera whose centre is nearest to the mean of its points (plus a tenth of a metre for each
+    second), if not too far or too old. Of its points those near its median (M5b) are added that the track doesn't have (J5). Tracks of two detections
+    and more are kept. A task holds the points of open tracks.
     """
-    own = detections.where(F.size("points") > 0).select(*keys, "det_id", "frame_id", "camera", "det_seq", "ts", "points")
-    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("det_id", T.LongType()), T.StructField("track_id", T.LongType()), T.StructField("n_new", T.LongType())])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "camera", "det_seq", "det_id"], kind="stable")
-        clouds: list[np.ndarray] = []
-        seen: list[float] = []
-        out = []
-        for _, call in rows.groupby(["ts", "camera"], sort=False):
-            known = len(clouds)
-            centre = [c.mean(0) for c in clouds]
-            for d in call.itertuples(index=False):
-                pts = np.array([(q["x"], q["y"], q["z"]) for q in d.points], float)
-                mid, best, low = pts.mean(0), None, math.inf
-                for k in range(known):
-                    far, age = float(np.linalg.norm(centre[k] - mid)), d.ts - seen[k]
-                    if far <= p.model_distance and age <= p.model_gap and far + 0.1 * age < low:
-                        best, low = k, far + 0.1 * age
-                if best is None:
-                    clouds.append(pts)
-                    seen.append(d.ts)
-                    out.append((d.det_id, len(clouds) - 1, len(pts)))
-                else:
-                    new = merge_points(clouds[best], pts, p.merge_distance)
-                    clouds[best] = np.vstack([clouds[best], new]) if len(new) else clouds[best]
-                    seen[best] = d.ts
-                    out.append((d.det_id, best, len(new)))
-        made = pd.DataFrame(out, columns=["det_id", "track_id", "n_new"])
-        made = made[made.groupby("track_id")["det_id"].transform("size") >= 2]
-        return pd.DataFrame({**{k: [v] * len(made) for k, v in zip(keys, key, strict=True)}, **made.to_dict("list")}, columns=[*keys, "det_id", "track_id", "n_new"])
-
-    return own.groupBy(*keys).applyInPandas(run, schema)
+    own = detections.where(F.size("points") > 0)
+
+    def start() -> Callable[[tuple], tuple]:
+        models = Models(p)
+        return lambda r: models.take(*r[:4])
+
+    schema = "det_id BIGINT, track_id BIGINT, det_ordinal BIGINT, n_new BIGINT, n_points BIGINT, " + ", ".join(f"{c} DOUBLE" for c in _MODEL)
+    made = _in_order(own, keys, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "points", "det_seq"], schema, start)
+    kept = made.groupBy(*keys, "track_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= 2).select(*keys, "track_id")
+    return made.join(kept, [*keys, "track_id"])
+
+
+def model_summary(accumulated: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each track of ``accumulating_tracks`` its detections, accumulated points, centre, size, duration, cameras, and quality
+    min(1, points / 100 * detections / 5)."""
+    last = F.max_by(F.struct("n_points", *_MODEL), "det_ordinal").alias("m")
+    when = accumulated.join(detections.select(*keys, "det_id", "ts", "camera"), [*keys, "det_id"])
+    got = when.groupBy(*keys, "track_id").agg(
+        F.count("*").alias("n_detections"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"), last
+    )
+    got = got.select(*keys, "track_id", "n_detections", "start", "end", "cameras", "m.*").withColumn("duration", F.col("end") - F.col("start"))
+    size = {f"size_{a}": F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz"}
+    return got.withColumns(size | {"quality": F.least(F.lit(1.0), F.col("n_points") / 100.0 * F.col("n_detections") / 5.0)})
+
+
+def track_analysis(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """Of all tracks of each key (or of all, without keys): how many, mean duration, mean detections, and the cameras that see any."""
+    cameras = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.split("cameras", ","))))), ",")
+    return tracks.groupBy(*keys).agg(F.count("*").alias("tracks"), F.avg("duration").alias("mean_duration"), F.avg("n_detections").alias("mean_detections"), cameras.alias("cameras"))
+
+
+def tracks_by_camera(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """Tracks that each camera sees; a track of two cameras counts for both."""
+    return tracks.withColumn("camera", F.explode(F.split("cameras", ","))).groupBy(*keys, "camera").agg(F.count("*").alias("tracks"))
 
 
 def track_summary(tracked: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each track its detections, points, duration, cameras, box, centroid and quality min(1, points / 100 * detections / 5)."""
+    """Of each track its detections, points, duration, cameras, mean and extent of its detections' centres, and quality min(1, points / 100 *
+    detections / 5)."""
     got = tracked.groupBy(*keys, "track_id").agg(
         F.count("*").alias("n_detections"), F.sum("n_points").alias("n_points"), F.min("ts").alias("start"), F.max("ts").alias("end"),
         F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"), F.avg("cx").alias("mx"), F.avg("cy").alias("my"), F.avg("cz").alias("mz"),
@@ -192,23 +266,28 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
-def footprints(points: DataFrame, keys: list[str], parts: int = 16, least: int = 6) -> DataFrame:
-    """Corners and area of the footprint of each group of at least ``least`` points: hulls of parts first, then the hull of those."""
-    own = points.select(*keys, "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).alias("__part"))
-    n = points.groupBy(*keys).agg(F.count("*").alias("n"))
-    part = T.StructType([*(own.schema[k] for k in keys), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-    whole = T.StructType([*(own.schema[k] for k in keys), T.StructField("corners", T.LongType()), T.StructField("area", T.DoubleType())])
+def _hulls(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each group in a batch of rows the corners of its hull, so a group of any size is a few corners for each batch."""
+    made = T.StructType([*(rows.schema[k] for k in keys), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [pd.DataFrame(h, columns=["x", "y"]).assign(**dict(zip(keys, key, strict=True))) for key, g in b.groupby(keys, sort=False, dropna=False) for h in [_hull(g[["x", "y"]].to_numpy())]]
+            if parts:
+                yield pd.concat(parts)[[*keys, "x", "y"]]
+
+    return rows.select(*keys, "x", "y").mapInPandas(run, made)
 
-    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(rows[["x", "y"]].to_numpy())
-        return pd.DataFrame({**{k: [v] * len(h) for k, v in zip(keys, key, strict=False)}, "x": h[:, 0], "y": h[:, 1]})
+
+def footprints(points: DataFrame, keys: list[str], least: int = 6) -> DataFrame:
+    """Corners and area of the footprint of each group of at least ``least`` points: hulls of batches first, then the hull of their corners."""
+    n = points.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = _hulls(_hulls(points, keys).repartition(*keys), keys)
+    whole = T.StructType([*(points.schema[k] for k in keys), T.StructField("corners", T.LongType()), T.StructField("area", T.DoubleType())])
 
     def all_(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = _hull(rows[["x", "y"]].to_numpy())
         area = abs(float(np.sum(h[:, 0] * np.roll(h[:, 1], -1) - h[:, 1] * np.roll(h[:, 0], -1)))) / 2 if len(h) > 2 else 0.0
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "corners": [len(h)], "area": [area]})
 
-    hulls = own.groupBy(*keys, "__part").applyInPandas(some, part).groupBy(*keys).applyInPandas(all_, whole)
-    return hulls.join(n.where(F.col("n") >= least), keys)
-
-
+    return few.groupBy(*keys).applyInPandas(all_, whole).join(n.where(F.col("n") >= least), keys)

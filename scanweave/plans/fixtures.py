@@ -1,6 +1,7 @@
 """Point clouds and detections derived from the ``events`` table by integer arithmetic, so that both engines see the same rows.
 
-``k`` is the second decimal digit of an event's number, so each cloud has the same mix of ground, one vehicle, and clutter.
+``k`` is the second decimal digit of an event's number, so each cloud has the same mix of ground, one vehicle, and clutter. Every ten thousand events
+are ten clouds, five scans of two devices, so more rows are more clouds. Points of device 1 have colours.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ KEYS = ["device_no", "scan_idx"]
 TRACK_KEYS = ["device_no", "sequence_no"]
 
 _POINTS = """
-SELECT i AS point_id, i % 2 AS device_no, (i {div} 2) % 5 AS scan_idx,
+SELECT i AS point_id, i % 2 AS device_no, (i {div} 10000)*5 + (i {div} 2) % 5 AS scan_idx,
   CASE WHEN k < 4 THEN a*20 - 10 WHEN k < 9 THEN a*CAST(4.5 AS DOUBLE) - CAST(2.25 AS DOUBLE) ELSE a*60 - 30 END AS x,
   CASE WHEN k < 4 THEN b*20 - 10 WHEN k < 9 THEN b*CAST(1.8 AS DOUBLE) - CAST(0.9 AS DOUBLE) ELSE b*60 - 30 END AS y,
   CASE WHEN k < 4 THEN (c - CAST(0.5 AS DOUBLE))*CAST(0.1 AS DOUBLE)
        WHEN k < 9 THEN CAST(0.3 AS DOUBLE) + c*CAST(1.5 AS DOUBLE) ELSE c*8 END AS z,
   CAST(i % 256 AS INT) AS intensity, CAST(i % 16 AS INT) AS ring,
+  CAST(CASE WHEN i % 2 = 1 THEN i % 251 END AS INT) AS r, CAST(CASE WHEN i % 2 = 1 THEN i % 301 END AS INT) AS g, CAST(CASE WHEN i % 2 = 1 THEN i % 239 END AS INT) AS b,
   CAST(CASE WHEN k < 4 THEN 0 WHEN k < 9 THEN 1 + i % 4 ELSE 5 END AS INT) AS semantic_class
 FROM (SELECT event_id AS i, (event_id {div} 10) % 10 AS k,
     CAST((event_id*7919 + 104729) % 100003 AS DOUBLE) / 100003 AS a,

@@ -37,18 +37,18 @@ def _r(*columns: str, places: int = 6) -> list:
 
 
 def _boxes_in_view(spark, sf):
-    """Detections placed in the frames of the point clouds: the scan number is the frame."""
+    """All detections, placed in the frames of the point clouds: every fifth frame is one scan's."""
     d = fx.detections(spark, sf)
-    return d.select("device_no", (F.col("frame_id") % 5).cast("long").alias("scan_idx"), "camera", "det_id", "confidence", "x1", "y1", "x2", "y2", "frame_id", "sequence_no").where("frame_id < 5")
+    return d.select("device_no", F.expr("det_id DIV 10000 * 5 + frame_id % 5").alias("scan_idx"), "camera", "det_id", "confidence", "x1", "y1", "x2", "y2", "frame_id", "sequence_no")
 
 
 _SHOT = """shot AS (SELECT device_no, scan_idx, camera, point_id, x, y, z, r31*x + r32*y + r33*z + t3 AS depth,
   CASE WHEN r31*x + r32*y + r33*z + t3 > 0 THEN CAST(fx*(r11*x + r12*y + r13*z + t1)/(r31*x + r32*y + r33*z + t3) + cx0 AS FLOAT) END AS u,
   CASE WHEN r31*x + r32*y + r33*z + t3 > 0 THEN CAST(fy*(r21*x + r22*y + r23*z + t2)/(r31*x + r32*y + r33*z + t3) + cy0 AS FLOAT) END AS v FROM pts JOIN cal USING (device_no)),
-view AS (SELECT device_no, frame_id % 5 AS scan_idx, camera, det_id, confidence, x1, y1, x2, y2 FROM det WHERE frame_id < 5),
+view AS (SELECT device_no, det_id // 10000 * 5 + frame_id % 5 AS scan_idx, camera, det_id, confidence, x1, y1, x2, y2 FROM det),
 onbox AS (SELECT s.*, det_id FROM shot s JOIN view USING (device_no, scan_idx, camera) WHERE depth > 0 AND u >= 0 AND u < 1920 AND v >= 0 AND v < 1200 AND u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2),
-fused AS (SELECT v.device_no, v.scan_idx, v.camera, v.det_id, coalesce(n, 0) AS n_points, coalesce(d0, 0) AS depth_min, coalesce(d1, 0) AS depth_max FROM view v
-  LEFT JOIN (SELECT det_id, count(*) AS n, min(depth) AS d0, max(depth) AS d1 FROM onbox GROUP BY det_id) USING (det_id))"""
+fused AS (SELECT v.device_no, v.scan_idx, v.camera, v.det_id, coalesce(n, 0) AS n_points, coalesce(d0, 0) AS depth_min, coalesce(d1, 0) AS depth_max, mx, my, mz, extent_x, extent_y, extent_z FROM view v
+  LEFT JOIN (SELECT det_id, count(*) AS n, min(depth) AS d0, max(depth) AS d1, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, max(x) - min(x) AS extent_x, max(y) - min(y) AS extent_y, max(z) - min(z) AS extent_z FROM onbox GROUP BY det_id) USING (det_id))"""
 
 
 def _shot(spark, sf):
@@ -76,9 +76,9 @@ def p8_f9_f10_projection(spark, sf):
     return seen.select("point_id", "camera", F.round(F.col("u").cast("double"), 2).alias("u"), F.round(F.col("v").cast("double"), 2).alias("v"), *_r("depth"))
 
 
-@query("SELECT det_id, (x1 + x2)/2 AS bx, y2 - y1 AS bh, CAST(greatest(x1 - 20, 0) AS INT) AS crop_x1, CAST(least(x2 + 20, 1920) AS INT) AS crop_x2 FROM det")
+@query("SELECT det_id, (x1 + x2)/2 AS bx, (y1 + y2)/2 AS by, x2 - x1 AS bw, y2 - y1 AS bh, CAST(greatest(x1 - 20, 0) AS INT) AS crop_x1, CAST(greatest(y1 - 20, 0) AS INT) AS crop_y1, CAST(least(x2 + 20, 1920) AS INT) AS crop_x2, CAST(least(y2 + 20, 1200) AS INT) AS crop_y2 FROM det")
 def p15_box_geometry(spark, sf):
-    return ge.box_geometry(fx.detections(spark, sf)).select("det_id", "bx", "bh", "crop_x1", "crop_x2")
+    return ge.box_geometry(fx.detections(spark, sf)).select("det_id", "bx", "by", "bw", "bh", "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 
 @query(f"{_SHOT}\nSELECT point_id, det_id FROM onbox")
@@ -86,29 +86,33 @@ def j2_points_on_boxes(spark, sf):
     return fu.attached(_shot(spark, sf), _boxes_in_view(spark, sf), FRAME).select("point_id", "det_id")
 
 
-@query(f"{_SHOT}\nSELECT device_no, scan_idx, det_id, n_points, round(depth_min, 6) AS depth_min, round(depth_max, 6) AS depth_max FROM fused")
+_FUSED = ("depth_min", "depth_max", "depth_mean", "mx", "my", "mz", "extent_x", "extent_y", "extent_z")
+
+
+@query(_SHOT + "\nSELECT device_no, scan_idx, det_id, n_points, round((depth_min + depth_max)/2, 6) AS depth_mean, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FUSED if c != "depth_mean") + " FROM fused")
 def a11_fused_detections(spark, sf):
-    return _fused(spark, sf).select(*FRAME, "det_id", "n_points", *_r("depth_min", "depth_max"))
+    """A11 and A13."""
+    return _fused(spark, sf).select(*FRAME, "det_id", "n_points", *_r(*_FUSED))
 
 
 _SUMMARY = f"""{_SHOT},
 total AS (SELECT device_no, scan_idx, camera, count(*) AS total, count(*) FILTER (WHERE depth > 0 AND u >= 0 AND u < 1920 AND v >= 0 AND v < 1200) AS projected FROM shot GROUP BY ALL),
 boxes AS (SELECT device_no, scan_idx, camera, count(*) AS detections, CAST(sum(n_points) AS BIGINT) AS on_boxes FROM fused GROUP BY ALL),
-fr AS (SELECT DISTINCT device_no, frame_id % 7 AS scan_idx FROM det)"""
+fr AS (SELECT DISTINCT device_no, det_id // 10000 * 5 + frame_id % 7 AS scan_idx FROM det)"""
 
 
 @query(f"""{_SUMMARY}
 SELECT fr.device_no, fr.scan_idx, c.camera, coalesce(total, 0) AS total, coalesce(projected, 0) AS projected, coalesce(detections, 0) AS detections, coalesce(on_boxes, 0) AS on_boxes,
-  round(100::DOUBLE*projected/total, 6) AS projected_percent, total IS NOT NULL AS processing_success, CASE WHEN total IS NULL THEN 'no points' END AS error
+  round(100::DOUBLE*projected/total, 6) AS projected_percent, round(100::DOUBLE*on_boxes/projected, 6) AS on_boxes_percent, total IS NOT NULL AS processing_success, CASE WHEN total IS NULL THEN 'no points' END AS error
 FROM fr JOIN (SELECT device_no, camera FROM cal) c USING (device_no) LEFT JOIN total t USING (device_no, scan_idx, camera) LEFT JOIN boxes USING (device_no, scan_idx, camera)""")
 def m15_fusion_job(spark, sf):
     job = fu.fusion_job(*_job_inputs(spark, sf), FRAME)
-    return job.select(*FRAME, "camera", "total", "projected", "detections", "on_boxes", *_r("projected_percent"), "processing_success", "error")
+    return job.select(*FRAME, "camera", "total", "projected", "detections", "on_boxes", *_r("projected_percent", "on_boxes_percent"), "processing_success", "error")
 
 
 def _job_inputs(spark, sf):
-    """Seven frames of which two have no points."""
-    frames = fx.detections(spark, sf).select("device_no", (F.col("frame_id") % 7).cast("long").alias("scan_idx")).distinct()
+    """Frames of which the last two have no points."""
+    frames = fx.detections(spark, sf).select("device_no", F.expr("det_id DIV 10000 * 5 + frame_id % 7").alias("scan_idx")).distinct()
     return frames, fx.points(spark, sf), spark.sql(fx.CALIBRATION), _boxes_in_view(spark, sf)
 
 
@@ -125,14 +129,28 @@ def j12_camera_comparison(spark, sf):
     return fu.camera_comparison(_fused(spark, sf), FRAME)
 
 
-@query(f"{_SHOT}\nSELECT det_id, n_points FROM fused WHERE n_points > 0")
+@query(f"{_SHOT}\nSELECT device_no, scan_idx, camera, det_id, n_points FROM fused WHERE n_points > 0 ORDER BY device_no, scan_idx, camera, det_id LIMIT 40")
 def t9_good_detections(spark, sf):
-    return fu.good_detections(_fused(spark, sf), FRAME, 0).select("det_id", "n_points")
+    return fu.good_detections(_fused(spark, sf), FRAME, 0, 40).select(*FRAME, "camera", "det_id", "n_points")
+
+
+@query(f"""{_SHOT}
+SELECT device_no, scan_idx, camera, det_id, n_points FROM (SELECT *, row_number() OVER (PARTITION BY device_no, scan_idx ORDER BY camera, det_id) AS k FROM fused) WHERE k = 1 AND n_points >= 0""")
+def t9_first_camera(spark, sf):
+    return fu.first_camera_detections(_fused(spark, sf), FRAME, -1).select(*FRAME, "camera", "det_id", "n_points")
+
 
+@query("SELECT sequence_no, camera, det_id FROM (SELECT *, row_number() OVER (PARTITION BY sequence_no, camera ORDER BY ts, det_id) AS k FROM det) WHERE k <= 4")
+def t8_first_detections(spark, sf):
+    return se.first_n(fx.detections(spark, sf), ["sequence_no", "camera"], ["ts", "det_id"], 4).select("sequence_no", "camera", "det_id")
 
-@query(f"{_SHOT}, r AS (SELECT device_no, scan_idx, camera, min(depth) AS d0, max(depth) AS d1 FROM onbox GROUP BY ALL)\nSELECT point_id, det_id, CASE WHEN d1 > d0 THEN round((depth - d0)/(d1 - d0), 6) END AS shade FROM onbox JOIN r USING (device_no, scan_idx, camera)")
+
+@query(f"""{_SHOT}, r AS (SELECT device_no, scan_idx, camera, min(depth) AS d0, max(depth) AS d1 FROM onbox GROUP BY ALL),
+t AS (SELECT point_id, det_id, CASE WHEN d1 > d0 THEN (depth - d0)/(d1 - d0) END AS s FROM onbox JOIN r USING (device_no, scan_idx, camera))
+SELECT point_id, det_id, round(s, 6) AS shade, coalesce(CAST(floor(255*(1 - s)) AS INT), 0) AS red, CASE WHEN s IS NULL THEN 255 ELSE 0 END AS green, coalesce(CAST(floor(255*s) AS INT), 0) AS blue FROM t""")
 def p13_depth_shade(spark, sf):
-    return ge.depth_shade(fu.attached(_shot(spark, sf), _boxes_in_view(spark, sf), FRAME), [*FRAME, "camera"]).select("point_id", "det_id", *_r("shade"))
+    seen = ge.depth_colour(fu.attached(_shot(spark, sf), _boxes_in_view(spark, sf), FRAME), [*FRAME, "camera"])
+    return seen.select("point_id", "det_id", *_r("shade"), "red", "green", "blue")
 
 
 @query("SELECT device_no, sequence_no, count(*) AS frames, round(max(ts) - min(ts), 6) AS duration, arg_min(frame_id, ts) AS first_frame, arg_max(frame_id, ts) AS last_frame, count(*) FILTER (WHERE sync_quality = 'excellent') AS excellent FROM frm GROUP BY ALL")
@@ -140,9 +158,9 @@ def a15_sequence_catalogue(spark, sf):
     return fu.sequence_catalogue(fx.frames(spark, sf), TRACK_KEYS).select(*TRACK_KEYS, "frames", *_r("duration"), "first_frame", "last_frame", "excellent")
 
 
-@query("SELECT device_no, min(frame_id) AS first_frame, max(frame_id) AS last_frame, count(*) AS frames FROM frm GROUP BY ALL")
+@query("SELECT device_no, min(frame_id) AS first_frame, max(frame_id) AS last_frame, count(*) AS frames, string_agg(DISTINCT frame_id, ',' ORDER BY frame_id) AS ids FROM frm GROUP BY ALL")
 def a16_device_ranges(spark, sf):
-    return fu.device_ranges(fx.frames(spark, sf)).drop("ids")
+    return fu.device_ranges(fx.frames(spark, sf)).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("SELECT camera, count(*) AS detections, count(DISTINCT sequence_no * 1000 + frame_id) AS frames_with, round(avg(n_points), 6) AS mean_points, (SELECT count(*) FROM frm) AS all_frames, round(count(DISTINCT sequence_no * 1000 + frame_id)/CAST((SELECT count(*) FROM frm) AS DOUBLE), 6) AS rate FROM det GROUP BY camera")
@@ -185,10 +203,26 @@ def m9_basic_tracker(spark, sf):
 
 @query(f"""{_TRACKS}
 SELECT device_no, sequence_no, CAST(track_id AS INT) AS track_id, count(*) AS n_detections, CAST(sum(n_points) AS BIGINT) AS n_points, round(max(ts) - min(ts), 6) AS duration, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras,
-  round(avg(cx), 6) AS mx, round(max(cx) - min(cx), 6) AS size_x, round(least(1::DOUBLE, sum(n_points)/100::DOUBLE*count(*)/5::DOUBLE), 6) AS quality FROM ids GROUP BY ALL""")
+  round(avg(cx), 6) AS mx, round(avg(cy), 6) AS my, round(avg(cz), 6) AS mz, round(max(cx) - min(cx), 6) AS size_x, round(max(cy) - min(cy), 6) AS size_y, round(max(cz) - min(cz), 6) AS size_z, round(least(1::DOUBLE, sum(n_points)/100::DOUBLE*count(*)/5::DOUBLE), 6) AS quality FROM ids GROUP BY ALL""")
 def a19_a20_track_summary(spark, sf):
     s = tr.track_summary(tr.basic_tracks(fx.detections(spark, sf), TRACK_KEYS), TRACK_KEYS)
-    return s.select(*TRACK_KEYS, "track_id", "n_detections", "n_points", *_r("duration"), "cameras", *_r("mx", "size_x", "quality"))
+    return s.select(*TRACK_KEYS, "track_id", "n_detections", "n_points", *_r("duration"), "cameras", *_r("mx", "my", "mz", "size_x", "size_y", "size_z", "quality"))
+
+
+_PER_TRACK = f"""{_TRACKS}, s AS (SELECT device_no, sequence_no, track_id, count(*) AS n_detections, max(ts) - min(ts) AS duration, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras FROM ids GROUP BY ALL)"""
+
+
+@query(f"""{_PER_TRACK}
+SELECT device_no, count(*) AS tracks, round(avg(duration), 6) AS mean_duration, round(avg(n_detections), 6) AS mean_detections, (SELECT string_agg(DISTINCT camera, ',' ORDER BY camera) FROM ids i WHERE i.device_no = s.device_no) AS cameras FROM s GROUP BY device_no""")
+def a19_track_analysis(spark, sf):
+    s = tr.track_summary(tr.basic_tracks(fx.detections(spark, sf), TRACK_KEYS), TRACK_KEYS)
+    return tr.track_analysis(s, ["device_no"]).select("device_no", "tracks", *_r("mean_duration", "mean_detections"), "cameras")
+
+
+@query(f"{_TRACKS}\nSELECT device_no, camera, count(DISTINCT sequence_no * 100000 + track_id) AS tracks FROM ids GROUP BY ALL")
+def a19_tracks_by_camera(spark, sf):
+    s = tr.track_summary(tr.basic_tracks(fx.detections(spark, sf), TRACK_KEYS), TRACK_KEYS)
+    return tr.tracks_by_camera(s, ["device_no"])
 
 
 @query(f"""{_TRACKS}, s AS (SELECT device_no, sequence_no, track_id, count(*) AS n_detections, sum(n_points) AS n_points, least(1::DOUBLE, sum(n_points)/100::DOUBLE*count(*)/5::DOUBLE) AS quality FROM ids GROUP BY ALL)
@@ -232,12 +266,19 @@ def w7_age(spark, sf):
     return tr.with_age(fx.detections(spark, sf), ["sequence_no"]).select("det_id", *_r("age"))
 
 
+def _with_points(spark, sf):
+    """Each detection carries eight points around its centre, which move with it, one of them astray."""
+    d = fx.detections(spark, sf)
+    x = lambda k: F.col("cx") + k * 0.1 + F.when((k == 7) & (F.col("det_id") % 3 == 0), 1.5).otherwise(0.0)
+    near = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(x(k).alias("x"), F.col("cy").alias("y"), (F.col("cz") + (k % 2) * 0.2).alias("z")))
+    return d.withColumn("points", near)
+
+
 @query()
 def m10_accumulating_tracker(spark, sf):
-    """Each detection carries eight points around its centre, which move with it."""
-    d = fx.detections(spark, sf)
-    near = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((F.col("cx") + k * 0.1).alias("x"), F.col("cy").alias("y"), (F.col("cz") + (k % 2) * 0.2).alias("z")))
-    return tr.accumulating_tracks(d.withColumn("points", near), TRACK_KEYS).groupBy(*TRACK_KEYS, "track_id").agg(F.count("*").alias("n_detections"), F.sum("n_new").alias("n_points"))
+    d = _with_points(spark, sf)
+    s = tr.model_summary(tr.accumulating_tracks(d, TRACK_KEYS), d, TRACK_KEYS)
+    return s.select(*TRACK_KEYS, "track_id", "n_detections", "n_points", *_r("duration"), "cameras", *_r("centre_x", "centre_y", "centre_z", "size_x", "size_y", "size_z", "quality"))
 
 
 @query()
@@ -287,10 +328,16 @@ def a25_occupant_summary(spark, sf):
     return s.select(*KEYS, "n", "n_human", *_r("mean_probability", "percent"), "has_human")
 
 
-@query("""h AS (SELECT * FROM pts WHERE semantic_class = 3), q AS (SELECT device_no, scan_idx, quantile_cont(z, 0.85) AS z85, min(z) AS z0, max(z) AS z1 FROM h GROUP BY ALL)
-SELECT device_no, scan_idx, round(avg(z) FILTER (WHERE z >= z85), 6) AS head_z, round(avg(x) FILTER (WHERE z >= z0 + 0.3::DOUBLE*(z1 - z0) AND z <= z0 + 0.7::DOUBLE*(z1 - z0)), 6) AS torso_x, round(max(y) - min(y), 6) AS size_y, CASE WHEN avg(x) < 2 THEN 'front' ELSE 'back' END AS seat FROM h JOIN q USING (device_no, scan_idx) GROUP BY ALL""")
+_PARTS = {"head": "z >= z85", "torso": "z >= z0 + 0.3::DOUBLE*(z1 - z0) AND z <= z0 + 0.7::DOUBLE*(z1 - z0)"}
+
+
+@query(
+    "h AS (SELECT * FROM pts WHERE semantic_class = 3), q AS (SELECT device_no, scan_idx, quantile_cont(z, 0.85) AS z85, min(z) AS z0, max(z) AS z1 FROM h GROUP BY ALL)\nSELECT device_no, scan_idx, "
+    + ", ".join(f"round(avg({a}) FILTER (WHERE {test}), 6) AS {n}_{a}" for n, test in _PARTS.items() for a in "xyz") + ", " + ", ".join(f"round(max({a}) - min({a}), 6) AS size_{a}" for a in "xyz")
+    + ", CASE WHEN avg(x) < 2 THEN 'front' ELSE 'back' END AS seat FROM h JOIN q USING (device_no, scan_idx) GROUP BY ALL"
+)
 def a26_poses(spark, sf):
-    return oc.poses(fx.points(spark, sf).where("semantic_class = 3"), KEYS).select(*KEYS, *_r("head_z", "torso_x", "size_y"), "seat")
+    return oc.poses(fx.points(spark, sf).where("semantic_class = 3"), KEYS).select(*KEYS, *_r(*(f"{n}_{a}" for n in ("head", "torso", "size") for a in "xyz")), "seat")
 
 
 @query()

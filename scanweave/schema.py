@@ -26,7 +26,7 @@ class Params:
     ground_band: float = 0.5
     ground_residual: float = 0.1
     ground_height: float = 0.15
-    ground_trials: int = 100
+    ground_trials: int = 1000
     ground_candidates: int = 100
     fallback_height: float = 0.2
     eps: float = 0.3

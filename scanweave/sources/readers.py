@@ -18,12 +18,23 @@ from scanweave.schema import CALIBRATION, CATALOGUE
 _POINT = "file STRING, point_id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, intensity FLOAT"
 
 
+def _with_line(raw: DataFrame) -> DataFrame:
+    """Lines of text files with ``file`` and ``line``, their number in it from 0. A block of a file is numbered by itself, in the order it is read in,
+    from where the file's blocks before it end; so a file of any size is many tasks."""
+    own = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    sizes = own.groupBy("file", "__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select("file", "__block", F.coalesce(before, F.lit(0)).alias("__first"))
+    number = F.row_number().over(Window.partitionBy("file", "__block").orderBy("__at")) - 1
+    return own.withColumn("__own", number).join(first, ["file", "__block"]).withColumn("line", F.col("__first") + F.col("__own")).drop("__block", "__at", "__own", "__first")
+
+
 def read_pcd_ascii(spark: SparkSession, path: str, fill_intensity: float | None = None, rejects: bool = False) -> DataFrame:
     """``file, point_id`` (line number), ``x, y, z, intensity`` of ASCII point files; with ``rejects`` the lines of data that hold no point.
 
-    Files are read as lines, so their size doesn't matter; a line's number comes from one window per file.
+    Files are read line by line, a large one by many tasks; blocks of it are numbered apart.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    raw = _with_line(spark.read.text(path))
     head = raw.where(F.lower(F.trim("value")) == "data ascii").groupBy("file").agg(F.min("line").alias("head"))
     body = raw.join(head, "file").where((F.col("line") > F.col("head")) & (F.trim("value") != ""))
     part = F.split(F.trim("value"), "\\s+")
@@ -78,7 +89,7 @@ def read_pcd_binary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_point_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: coordinates named x, point.x or data.x, optional intensity, and colours if all three are there; no coordinates is an error."""
+    """S3: ``file, point_id`` (the row's place in its file), coordinates named x, point.x or data.x, optional intensity, and colours if all three are there; no coordinates is an error."""
     raw = spark.read.csv(path, header=True)
     names = {c.lower(): c for c in raw.columns}
 
@@ -94,7 +105,8 @@ def read_point_csv(spark: SparkSession, path: str) -> DataFrame:
     rgb = [[pick(f"{p}{c}") for c in "rgb"] for p in ("", "point.", "data.", "color_")]
     found = next((t for t in rgb if all(c is not None for c in t)), None)
     out |= {c: (found[k].try_cast("smallint") if found else F.lit(None).cast("smallint")) for k, c in enumerate("rgb")}
-    return raw.select(F.col("_metadata.file_path").alias("file"), *(v.alias(n) for n, v in out.items()))
+    placed = _with_line(raw)
+    return placed.select("file", F.col("line").cast("long").alias("point_id"), *(v.alias(n) for n, v in out.items()))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +167,14 @@ def find_class_tables(spark: SparkSession, path: str, override: dict[str, str] |
     return first.unionByName(fall)
 
 
-_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pcd": read_pcd_ascii, "csv": read_point_csv, "parquet": lambda s, p: s.read.parquet(p), "json": lambda s, p: s.read.json(p)}
+def read_pcd(spark: SparkSession, path: str) -> DataFrame:
+    """Point files of either kind, as each one's header says: lines of those that are ASCII, records of those that are binary. A file of another
+    kind has no points but a row with its ``error``."""
+    binary = read_pcd_binary(spark, path).where("error is null or error <> 'not binary: ascii'")
+    return read_pcd_ascii(spark, path).withColumn("error", F.lit(None).cast("string")).unionByName(binary)
+
+
+_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pcd": read_pcd, "csv": read_point_csv, "parquet": lambda s, p: s.read.parquet(p), "json": lambda s, p: s.read.json(p)}
 
 
 def register_reader(extension: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
@@ -175,13 +194,19 @@ def read_any(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def merged_scans(points: DataFrame, file: str, scans: list[int] | None = None, scan: str = "scan_idx") -> DataFrame:
-    """Chosen scans of each file as one cloud; finite points only; intensity stays only if every chosen scan of the file has any."""
+    """Chosen scans of each file as one cloud; finite points only; intensity, and the three colours together, stay only if every chosen scan of the
+    file has any."""
     own = points if scans is None else points.where(F.col(scan).isin(scans))
-    has = own.groupBy(file, scan).agg(F.max(F.col("intensity").isNotNull()).alias("h")).groupBy(file).agg(F.min("h").alias("__has"))
+    kinds = {"intensity": ["intensity"], "rgb": ["r", "g", "b"]}
+    kinds = {n: cs for n, cs in kinds.items() if set(cs) <= set(points.columns)}
+    there = {n: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cs)) for n, cs in kinds.items()}
+    each = own.groupBy(file, scan).agg(F.count("*").alias("__n"), *(F.max(t).alias(f"__{n}") for n, t in there.items()))
+    has = each.groupBy(file).agg(F.count("*").alias("__scans"), *(F.min(f"__{n}").alias(f"__{n}") for n in kinds))
     ok = F.lit(True)
     for c in "xyz":
         ok &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    return own.where(ok).join(has, file).withColumn("intensity", F.when(F.col("__has"), F.col("intensity"))).drop("__has")
+    kept = {c: F.when(F.col(f"__{n}"), F.col(c)) for n, cs in kinds.items() for c in cs}
+    return own.where(ok).join(has, file).withColumns(kept).select(*points.columns)
 
 
 def pick_topic(topics: DataFrame, bag: str = "bag") -> DataFrame:

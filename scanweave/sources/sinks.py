@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanweave.operators.motion import static_statistics
+from scanweave.operators.select import concatenated
 from scanweave.operators.stats import bounds_of
 from scanweave.operators.tracking import with_age
 
 
 def write_classes(labelled: DataFrame, path: str, label: str = "label") -> None:
-    """K1, K7: one partition for each class."""
+    """K1: one partition for each class."""
     labelled.write.mode("overwrite").partitionBy(label).parquet(path)
 
 
@@ -40,10 +42,37 @@ def nested_tracks(tracked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """K4, K5, K7: rows as JSON; an empty table leaves an empty folder that says so."""
+    """K4: rows as JSON; an empty table leaves an empty folder that says so."""
     rows.write.mode("overwrite").json(path)
 
 
+def write_models(models: DataFrame, keys: list[str], path: str) -> None:
+    """K5: a row for each sequence: how many cars were tracked, and the figures of each."""
+    each = F.struct(*(c for c in models.columns if c not in keys))
+    models.groupBy(*keys).agg(F.count("*").alias("total_tracked_cars"), F.array_sort(F.collect_list(each)).alias("tracks")).write.mode("overwrite").json(path)
+
+
+def write_motion(classified: DataFrame, path: str, moving: DataFrame | None = None) -> None:
+    """K7: static and dynamic points, and those of ``moving`` as temporal ones, by ``motion_class``; and a row of statistics, even where there are none."""
+    kind = F.when(F.col("is_static"), "static").otherwise("dynamic")
+    points = classified.withColumn("motion_class", kind)
+    if moving is not None:
+        points = points.unionByName(moving.withColumn("motion_class", F.lit("temporal")), allowMissingColumns=True)
+    points.write.mode("overwrite").partitionBy("motion_class").parquet(f"{path}/points")
+    about = static_statistics(classified, [])
+    if moving is not None:
+        about = about.withColumn("n_temporal", F.lit(moving.count()))
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/statistics")
+
+
+def write_merged(cloud: DataFrame, model: DataFrame, path: str, about: dict | None = None) -> None:
+    """K8: a cloud and a model placed in it as one, told apart by ``source``, and a row of counts with what else is known about it."""
+    both = concatenated({"cloud": cloud, "model": model})
+    both.write.mode("overwrite").parquet(f"{path}/points")
+    counts = both.agg(F.count("*").alias("total_points"), F.count_if(F.col("source") == "cloud").alias("original_points"), F.count_if(F.col("source") == "model").alias("model_points"))
+    counts.withColumns({k: F.lit(v) for k, v in (about or {}).items()}).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
 def write_track_cloud(points: DataFrame, keys: list[str], path: str) -> None:
     """K6: a track's points with the colour of their age."""
     with_age(points, keys).write.mode("overwrite").partitionBy(*keys).parquet(path)

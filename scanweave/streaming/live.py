@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from scanweave.operators.filters import in_image
 from scanweave.operators.geometry import projected
-from scanweave.operators.tracking import _Tracks
+from scanweave.operators.tracking import Tracks
 from scanweave.schema import Params
 
 
@@ -46,58 +45,55 @@ def fused_stream(points: DataFrame, detections: DataFrame, calibration: DataFram
     return shot.join(boxes, [*keys, "camera"]).where(near & inside)
 
 
+_WAITING = "ts DOUBLE, camera STRING, det_seq BIGINT, det_id BIGINT, u DOUBLE, v DOUBLE, cx DOUBLE, cy DOUBLE, cz DOUBLE"
+_LAST = "ts DOUBLE, camera STRING, u DOUBLE, v DOUBLE, cx DOUBLE, cy DOUBLE, cz DOUBLE"
+
+
 class _Live(StatefulProcessor):
-    """Detections wait until the watermark has passed them, are taken in order of time, and tracks end once they are stale."""
+    """Detections wait until the watermark has passed them and are taken in order of time. Each open track is an entry of its own, which goes once the
+    watermark has passed its last detection by the gap."""
 
     def __init__(self, params: Params):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("tracks", "data BINARY")
-
-    def _load(self) -> dict:
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else {"waiting": [], "open": [], "next": 0, "last": None}
-
-    def _pass(self, s: dict, until: float) -> list[tuple]:
-        ready = sorted(d for d in s["waiting"] if d[0] <= until)
-        s["waiting"] = [d for d in s["waiting"] if d[0] > until]
-        out = []
-        for ts, camera, seq, det, u, v, cx, cy, cz in ready:
-            if s["last"] is not None and ts - s["last"] > self.params.track_gap:
-                s["open"] = []
-            s["last"] = ts
-            t = _Tracks(self.params)
-            t.last = [d for _, d in s["open"]]
-            k = t.take((ts, camera, u, v, cx, cy, cz))
-            if k == len(s["open"]):
-                s["open"].append((s["next"], None))
-                s["next"] += 1
-            s["open"][k] = (s["open"][k][0], t.last[k])
-            out.append((det, s["open"][k][0]))
-        return out
-
-    def _rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.open = handle.getMapState("open", "track BIGINT", _LAST)
+        self.number = handle.getValueState("number", "next BIGINT")
+
+    def _pass(self, key: tuple, fresh: list[tuple], until: float) -> Iterator[pd.DataFrame]:
+        """Take what the watermark has passed, with what has come in; keep the rest, and ask to be woken when the next detection or track is due."""
+        waiting = [*(tuple(r) for r in self.waiting.get()), *fresh] if self.waiting.exists() else fresh
+        ready = sorted((d for d in waiting if d[0] <= until), key=lambda d: d[:4])
+        before = {int(k[0]): tuple(v) for k, v in self.open.iterator()}
+        tracks = Tracks(self.params, dict(sorted(before.items())), self.number.get()[0] if self.number.exists() else 0)
+        out = [(det, tracks.take((ts, camera, *place))) for ts, camera, _, det, *place in ready]
+        tracks.expire(until)
+        for k in before.keys() - tracks.last.keys():
+            self.open.removeKey((k,))
+        for k, t in tracks.last.items():
+            if before.get(k) != t:
+                self.open.updateValue((k,), t)
+        if out:
+            self.number.update((tracks.number,))
+        late = [d for d in waiting if d[0] > until]
+        if late:
+            self.waiting.put(late)
+        else:
+            self.waiting.clear()
+        due = [d[0] for d in late] + [t[0] + self.params.track_gap for t in tracks.last.values()]
+        if due:
+            self.handle.registerTimer(int(min(due) * 1000) + 1)
         yield pd.DataFrame({"device_no": key[0], "sequence_no": key[1], "det_id": [d for d, _ in out], "track_id": [t for _, t in out]}, columns=["device_no", "sequence_no", "det_id", "track_id"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s = self._load()
-        for b in rows:
-            s["waiting"] += list(b[["ts", "camera", "det_seq", "det_id", "u", "v", "cx", "cy", "cz"]].itertuples(index=False, name=None))
-        out = self._pass(s, timerValues.getCurrentWatermarkInMs() / 1000)
-        self._keep(s)
-        yield from self._rows(key, out)
+        names = ["ts", "camera", "det_seq", "det_id", "u", "v", "cx", "cy", "cz"]
+        fresh = [tuple(r) for b in rows for r in zip(*(b[c].tolist() for c in names), strict=True)]
+        yield from self._pass(key, fresh, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s = self._load()
-        out = self._pass(s, timerValues.getCurrentWatermarkInMs() / 1000)
-        self._keep(s)
-        yield from self._rows(key, out)
-
-    def _keep(self, s: dict) -> None:
-        if s["waiting"]:
-            self.handle.registerTimer(int(min(d[0] for d in s["waiting"]) * 1000) + 1)
-        self.state.update((pickle.dumps(s),))
+        yield from self._pass(key, [], timerValues.getCurrentWatermarkInMs() / 1000)
 
     def close(self) -> None:
         pass
@@ -109,7 +105,7 @@ def tracker_stream(detections: DataFrame, params: Params = Params()) -> DataFram
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider. Tracks of one detection are reported, too.
     """
     own = detections.select(
-        "device_no", "sequence_no", "event_time", "ts", "camera", "det_seq", "det_id", ((F.col("x1") + F.col("x2")) / 2).alias("u"), ((F.col("y1") + F.col("y2")) / 2).alias("v"), "cx", "cy", "cz"
+        "device_no", "sequence_no", "event_time", "ts", "camera", F.col("det_seq").cast("long").alias("det_seq"), "det_id", ((F.col("x1") + F.col("x2")) / 2).alias("u"), ((F.col("y1") + F.col("y2")) / 2).alias("v"), "cx", "cy", "cz"
     )
     return own.groupBy("device_no", "sequence_no").transformWithStateInPandas(
         _Live(params), outputStructType="device_no BIGINT, sequence_no BIGINT, det_id BIGINT, track_id BIGINT", outputMode="Append", timeMode="EventTime"

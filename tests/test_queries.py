@@ -1,6 +1,5 @@
 """Each registered query of the library against its DuckDB SQL, and those without SQL for a stable, non-empty result."""
 
-import pandas as pd
 import pytest
 
 from scanweave.plans import registry
@@ -8,12 +7,15 @@ from scanweave.plans import registry
 from .conftest import canonical
 
 Q, S = registry.queries(), registry.oracle_sql()
+#: Clouds of a hundred points have no ground plane and are too thin to enclose anything.
+MAY_BE_EMPTY = {"m1_ground_planes", "p9_height", "m6b_enclosed_voxels", "m6b_j8_void_interior"}
 
 
 @pytest.mark.parametrize("name", sorted(S))
 def test_matches_sql(name, spark, duck, sf):
     got = Q[name](spark, sf).toPandas()
     want = duck.sql(S[name]).df()
+    assert len(want) or name in MAY_BE_EMPTY
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got.where(got.notna(), None)) == canonical(want.where(want.notna(), None))
 
@@ -21,7 +23,8 @@ def test_matches_sql(name, spark, duck, sf):
 @pytest.mark.parametrize("name", sorted(set(Q) - set(S)))
 def test_runs(name, spark, sf):
     rows = Q[name](spark, sf).toPandas()
-    assert isinstance(rows, pd.DataFrame) and len(rows.columns)
+    again = Q[name](spark, sf).toPandas()
+    assert len(rows) and canonical(rows.where(rows.notna(), None)) == canonical(again.where(again.notna(), None))
 
 
 def test_entry_imports_without_a_session():

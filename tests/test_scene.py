@@ -1,4 +1,4 @@
-"""Neighbours, clusters, suppression and trackers against brute force, and properties of transforms."""
+"""Neighbours, clusters, quantiles, motion, trackers and occupants against brute force, and properties of transforms."""
 
 import numpy as np
 import pytest
@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from scanweave.operators import geometry as ge
 from scanweave.operators import motion as mo
 from scanweave.operators import neighbors as nb
+from scanweave.operators import occupants as oc
+from scanweave.operators import order
 from scanweave.operators import scene as sc
+from scanweave.operators import select as se
 from scanweave.operators import tracking as tr
 from scanweave.plans import fixtures as fx
 from scanweave.plans import tracking
@@ -29,10 +32,56 @@ def test_radius_pairs_and_nearest(spark):
         assert [r.b for r in sorted((r for r in near if r.a == i), key=lambda r: r.rank)] == list(np.argsort(d2[i], kind="stable")[:5])
 
 
+def test_own_pairs_are_each_pair_once(spark):
+    p, df = cloud(spark)
+    d2 = ((p[:, None] - p[None]) ** 2).sum(-1)
+    rows = nb.own_pairs(df, ["k"], 0.3).collect()
+    assert len(rows) == len({frozenset((r.a, r.b)) for r in rows}) and {frozenset((r.a, r.b)) for r in rows} == {frozenset((int(i), int(j))) for i, j in zip(*np.where(d2 <= 0.09), strict=True) if i != j}
+
+
+def test_points_that_are_not_finite_are_near_nothing(spark):
+    _, df = cloud(spark, 40)
+    bad = df.union(spark.createDataFrame([(100, 0, float("nan"), 1.0, 1.0), (101, 0, None, 1.0, 1.0), (102, 0, float("inf"), 1.0, 1.0)], df.schema))
+    assert nb.k_nearest(bad, bad, ["k"], 3).where("a >= 100 or b >= 100").count() == 0 and nb.k_nearest(bad, bad, ["k"], 3).count() == 120
+    assert nb.local_density(bad, ["k"], 0.5).count() == 40
+    got = sc.clusters(bad, ["k"], 0.5, 2)
+    assert got.count() == 43 and {r.cluster_id for r in got.where("point_id >= 100").collect()} == {-1}
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.65, 0.95, 1.0])
+def test_quantiles_of_large_groups(spark, q):
+    rng = np.random.default_rng(4)
+    groups = [rng.normal(size=3000), np.exp(rng.normal(size=2500) * 20), np.round(rng.random(900) * 5), np.full(700, 3.25), rng.random(7)]
+    rows = [(k, float(v)) for k, g in enumerate(groups) for v in g] + [(0, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    got = {r.k: (r.a, r.b) for r in order.exact_quantiles(df, ["k"], {"a": ("v", q), "b": ("v", 0.25)}, bound=500).collect()}
+    for k, g in enumerate(groups):
+        assert np.allclose(got[k], (np.quantile(g, q), np.quantile(g, 0.25)), rtol=1e-12)
+
+
+def test_numbers_of_large_groups(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 5003).alias("v"))
+    got = order.numbered(df, ["k"], ["v"]).toPandas()
+    for _, g in got.groupby("k"):
+        assert (g.sort_values("v").r.to_numpy() == np.arange(len(g))).all()
+    assert se.stride(df, ["k"], "v", 10).count() == sum(-(-n // 10) for n in (1667, 1667, 1666))
+
+
+def test_boxes_of_any_size(spark):
+    p, df = cloud(spark, 200, 9, 50.0)
+    rng = np.random.default_rng(2)
+    boxes = [(f"b{i}", *(float(v) for a in range(3) for lo in [rng.random() * 40] for v in (lo, lo + side))) for i, side in enumerate((0.5, 3, 9, 30, 200, 20_000))]
+    b = spark.createDataFrame(boxes, "box_id string, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double")
+    got = {(r.point_id, r.box_id) for r in nb.in_boxes(df, b, ["k"]).collect()}
+    assert got == {(i, n) for i, q in enumerate(p) for n, x0, x1, y0, y1, z0, z1 in boxes if x0 <= q[0] <= x1 and y0 <= q[1] <= y1 and z0 <= q[2] <= z1}
+
+
 def test_no_nested_loop(spark):
     _, df = cloud(spark)
-    plan = nb.radius_pairs(df, df, ["k"], 0.3)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    t = spark.createDataFrame([("t", 0.0, 0.0, 0.0, 1.0, 30.0)], "transform_id string, cx double, cy double, cz double, scale double, rotation_deg double")
+    for made in (nb.radius_pairs(df, df, ["k"], 0.3), nb.own_pairs(df, ["k"], 0.3), ge.transformed(df, t)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def dbscan(p, eps, least):
@@ -55,7 +104,7 @@ def dbscan(p, eps, least):
     return label
 
 
-@pytest.mark.parametrize("eps,least", [(0.25, 4), (0.35, 8), (0.1, 3)])
+@pytest.mark.parametrize("eps,least", [(0.25, 4), (0.35, 8), (0.1, 3), (0.6, 5), (1.5, 9)])
 def test_clusters(spark, eps, least):
     p, df = cloud(spark, 400, 3)
     got = {r.point_id: r.cluster_id for r in sc.clusters(df, ["k"], eps, least).collect()}
@@ -84,10 +133,31 @@ def test_suppression_is_the_sequential_pass(spark):
     assert sorted(r.point_id for r in mo.suppressed(df, ["k"], 0.2).collect()) == kept
 
 
-def test_static_and_dynamic_are_the_kept_set(spark, sf):
-    s = mo.static_points(fx.moving(spark, sf), ["device_no"], voxel=None)
-    kept = mo.suppressed(fx.moving(spark, sf), ["device_no"], 0.05)
-    assert s.count() == kept.count()
+def test_static_points_by_the_sequential_pass(spark):
+    """Down-sampling of each scan, then point by point in order of ids."""
+    p, _ = cloud(spark, 500, 6, 1.0)
+    scan = np.arange(500) % 4
+    df = spark.createDataFrame([(i, 0, int(scan[i]), *map(float, q)) for i, q in enumerate(p)], "point_id long, k int, scan_idx int, x double, y double, z double")
+    size, r = 0.3, 0.2
+    thin = []
+    for s in range(4):
+        own = np.flatnonzero(scan == s)
+        cell = np.floor((p[own] - (p[own].min(0) - size / 2)) / size)
+        for c in np.unique(cell, axis=0):
+            m = own[(cell == c).all(1)]
+            thin.append((int(m.min()), s, p[m].mean(0)))
+    thin.sort(key=lambda t: t[0])
+    at, of = np.array([t[2] for t in thin]), np.array([t[1] for t in thin])
+    gone, want = np.zeros(len(thin), bool), {}
+    for i, (n, _, q) in enumerate(thin):
+        if not gone[i]:
+            near = ((at - q) ** 2).sum(1) <= r * r
+            gone |= near
+            want[n] = len(set(of[near])) / 4
+    got = {x.point_id: x for x in mo.static_points(df, ["k"], r=r, voxel=size).collect()}
+    assert {n: x.share for n, x in got.items()} == want and {n for n, x in got.items() if x.is_static} == {n for n, v in want.items() if v >= 0.7}
+    r = mo.static_statistics(mo.static_points(df, ["k"], r=r, voxel=size), ["k"]).first()
+    assert (r.n, r.n_static) == (len(want), sum(v >= 0.7 for v in want.values())) and 0 < r.n_static < r.n
 
 
 def test_temporal_change_of_all_scans(spark, sf):
@@ -130,6 +200,98 @@ def test_tracker_ignores_row_order(spark, sf):
     assert a == b and len({(r // 240, t) for r, t in a}) == 54
 
 
+def test_stale_tracks_go():
+    t = tr.Tracks(Params())
+    for k in range(500):
+        t.take((2.0 * k, "cam0", 0.0, 0.0, None, None, None))
+    assert t.number == 500 and len(t.last) == 1
+
+
+def accumulated(rows, p):
+    """The accumulating tracker, written plainly: every track is kept for good."""
+    tracks, out, call, known = [], [], None, 0
+    for d in rows:
+        if (d.ts, d.camera) != call:
+            call, known = (d.ts, d.camera), len(tracks)
+        pts = np.array([(q.x, q.y, q.z) for q in d.points])
+        best, low = None, np.inf
+        for k in range(known):
+            far, age = np.linalg.norm(np.mean(tracks[k]["pts"], axis=0) - pts.mean(0)), d.ts - tracks[k]["ts"]
+            if far <= p.model_distance and age <= p.model_gap and far + 0.1 * age < low:
+                best, low = k, far + 0.1 * age
+        away = np.linalg.norm(pts - np.median(pts, axis=0), axis=1)
+        clean = pts[away <= away.mean() + 2 * away.std()] if len(pts) > 2 else pts
+        if best is None:
+            best = len(tracks)
+            tracks.append({"pts": list(clean)})
+        else:
+            old = np.array(tracks[best]["pts"])
+            tracks[best]["pts"] += [q for q in clean if np.linalg.norm(old - q, axis=1).min() > p.merge_distance]
+        tracks[best]["ts"] = d.ts
+        out.append((d.det_id, best))
+    return tracks, out
+
+
+def test_accumulating_tracker(spark, sf):
+    d = tracking._with_points(spark, sf)
+    rows = sorted(d.collect(), key=lambda r: (r.ts, r.camera, r.det_seq, r.det_id))
+    made = {(r.sequence_no, r.det_id): r for r in tr.accumulating_tracks(d.orderBy(F.rand(1)), fx.TRACK_KEYS).collect()}
+    summary = {(r.sequence_no, r.track_id): r for r in tr.model_summary(tr.accumulating_tracks(d, fx.TRACK_KEYS), d, fx.TRACK_KEYS).collect()}
+    n = 0
+    for s in {r.sequence_no for r in rows}:
+        tracks, out = accumulated([r for r in rows if r.sequence_no == s], Params())
+        times = {k: [i for i, (_, t) in enumerate(out) if t == k] for k in range(len(tracks))}
+        assert {d: t for d, t in out if len(times[t]) > 1} == {k[1]: r.track_id for k, r in made.items() if k[0] == s}
+        for k, t in enumerate(tracks):
+            if len(times[k]) > 1:
+                r, pts = summary[s, k], np.array(t["pts"])
+                assert (r.n_points, r.n_detections) == (len(pts), len(times[k]))
+                assert np.allclose([r.centre_x, r.centre_y, r.centre_z, r.size_x, r.size_y, r.size_z], [*pts.mean(0), *np.ptp(pts, axis=0)])
+                assert np.isclose(r.quality, min(1, len(pts) / 100 * len(times[k]) / 5))
+                n += 1
+    assert n == len(summary) > 10 and any(r.n_new < 8 for r in made.values())
+
+
+def test_footprints(spark):
+    p, _ = cloud(spark, 400, 12)
+    rows = [(i % 2, *map(float, q)) for i, q in enumerate(p)] + [(5, 0.0, 0.0, 0.0)] * 3 + [(6, float(k), 2.0 * k, 0.0) for k in range(9)]
+    got = {r.k: r for r in tr.footprints(spark.createDataFrame(rows, "k int, x double, y double, z double").repartition(7), ["k"]).collect()}
+    assert set(got) == {0, 1, 6} and got[6].area == 0 and got[0].n == 200
+    for k in (0, 1):
+        q = p[np.arange(400) % 2 == k][:, :2]
+        at, corners = int(q[:, 0].argmin()), []
+        while not corners or at != corners[0]:  # wrapping: the next corner has all points on its left
+            corners.append(at)
+            at = next(j for j in range(len(q)) if j != at and all((q[j, 0] - q[at, 0]) * (v[1] - q[at, 1]) - (q[j, 1] - q[at, 1]) * (v[0] - q[at, 0]) >= -1e-15 for v in q))
+        h = q[corners]
+        area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(h, np.roll(h, -1, 0), strict=True)) / 2
+        assert got[k].corners == len(corners) and np.isclose(got[k].area, area)
+
+
+def test_principal_direction(spark):
+    rng = np.random.default_rng(3)
+    clouds = [rng.normal(size=(200, 3)) * s @ np.linalg.qr(rng.normal(size=(3, 3)))[0] for s in ([5, 1, 1], [1, 3, 2], [0.1, 0.2, 4])]
+    df = spark.createDataFrame([(k, *map(float, q)) for k, c in enumerate(clouds) for q in c] + [(9, 0.0, 0.0, 0.0)], "k int, x double, y double, z double")
+    got = {r.k: r for r in oc.principal_direction(df, ["k"]).collect()}
+    assert set(got) == {0, 1, 2}
+    for k, c in enumerate(clouds):
+        _, s, v = np.linalg.svd(c - c.mean(0), full_matrices=False)
+        axis = v[0] * np.sign(v[0][2])
+        assert np.allclose([got[k].ax, got[k].ay, got[k].az], axis) and np.isclose(got[k].explained, s[0] ** 2 / (s**2).sum())
+        assert np.isclose(got[k].yaw, np.arctan2(axis[1], axis[0])) and np.isclose(got[k].pitch, np.arcsin(axis[2]))
+
+
+def test_people_count(spark):
+    rng = np.random.default_rng(7)
+    people = [rng.normal(size=(n, 3)) * 0.1 + c for n, c in ((60, 0), (40, 3), (15, 6), (90, 9))]
+    far = rng.random((20, 3)) * 100 + 50
+    p = np.vstack([*people, far])
+    df = spark.createDataFrame([(i, 0, *map(float, q)) for i, q in enumerate(p)] + [(900 + i, 1, 0.0, 0.0, 0.0) for i in range(9)], "point_id long, k int, x double, y double, z double")
+    label = dbscan(p, 0.3, 10)
+    want = sum((label == c).sum() > 20 for c in set(label.tolist()) if c >= 0)
+    assert {r.k: r.people for r in oc.human_count(df, ["k"]).collect()} == {0: want, 1: 0} and want == 3
+
+
 def test_merge_points():
     rng = np.random.default_rng(0)
     a, b = rng.random((80, 3)), rng.random((60, 3))

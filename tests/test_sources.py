@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scanweave.operators import fusion as fu
 from scanweave.operators import tracking as tr
 from scanweave.plans import fixtures as fx
+from scanweave.plans import tracking
 from scanweave.sources import readers as rd
 from scanweave.sources import sinks as sk
 
@@ -21,6 +22,29 @@ def test_pcd_ascii(spark, tmp_path):
     assert rd.read_pcd_ascii(spark, str(tmp_path), rejects=True).count() == 3
 
 
+def test_large_files_are_numbered_by_blocks(spark, tmp_path):
+    (tmp_path / "a.pcd").write_text("FIELDS x y z\nDATA ascii\n" + "".join(f"{k} 0 0\n" for k in range(5000)))
+    (tmp_path / "b.pcd").write_text("DATA ascii\n7 0 0\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+    try:
+        df = rd.read_pcd_ascii(spark, str(tmp_path))
+        rows = df.collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.point_id, r.x) for r in rows if r.file.endswith("a.pcd")) == [(k + 2, float(k)) for k in range(5000)]
+    assert [(r.point_id, r.x) for r in rows if r.file.endswith("b.pcd")] == [(1, 7.0)]
+
+
+def test_pcd_of_either_kind(spark, tmp_path):
+    (tmp_path / "a.pcd").write_text("FIELDS x y z\nDATA ascii\n1 2 3\n")
+    (tmp_path / "b.pcd").write_bytes(b"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nPOINTS 2\nDATA binary\n" + struct.pack("<6f", 4, 5, 6, 7, 8, 9))
+    (tmp_path / "c.pcd").write_bytes(b"FIELDS x\nDATA binary_compressed\n\0\0")
+    rows = rd.read_any(spark, [str(tmp_path / f"{n}.pcd") for n in "abc"]).collect()
+    assert sorted((r.x, r.y, r.z) for r in rows if r.error is None) == [(1, 2, 3), (4, 5, 6), (7, 8, 9)] and [r.error for r in rows if r.error] == ["not binary: binary_compressed"]
+
+
 def test_pcd_binary(spark, tmp_path):
     head = "FIELDS x y z ring extra\nSIZE 4 4 8 2 4\nTYPE F F F U F\nCOUNT 1 1 1 1 2\nPOINTS 3\nDATA binary\n"
     body = b"".join(struct.pack("<ffdHff", k, 2 * k, 3 * k, k, 0, 0) for k in (1, 2, 3))
@@ -35,6 +59,8 @@ def test_point_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("point.x,point.y,point.z,i,r,g\n1,2,3,9,1,1\n")
     r = rd.read_point_csv(spark, str(tmp_path / "p.csv")).first()
     assert (r.x, r.z, r.intensity, r.r) == (1, 3, 9, None)
+    (tmp_path / "n.csv").write_text("x,y,z\n" + "".join(f"{k},0,0\n" for k in range(9)))
+    assert sorted((r.point_id, r.x) for r in rd.read_point_csv(spark, str(tmp_path / "n.csv")).collect()) == [(k, float(k)) for k in range(9)]
     (tmp_path / "q.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         rd.read_point_csv(spark, str(tmp_path / "q.csv"))
@@ -69,6 +95,8 @@ def test_routing_merging_and_missing(spark, tmp_path):
         rd.read_any(spark, ["x.zzz"])
     p = spark.createDataFrame([("f", 0, 1.0, 1.0, 1.0, 1.0), ("f", 1, 1.0, float("nan"), 1.0, None), ("f", 1, 2.0, 2.0, 2.0, None)], "file string, scan_idx int, x double, y double, z double, intensity double")
     assert rd.merged_scans(p, "file").where("intensity is null").count() == 2 and rd.merged_scans(p, "file", [0]).first().intensity == 1
+    c = p.withColumns({"r": F.when(F.col("scan_idx") == 0, 1), "g": F.lit(2), "b": F.lit(3)})
+    assert rd.merged_scans(c, "file").where("r is not null or g is not null").count() == 0 and rd.merged_scans(c, "file", [0]).first().g == 2
     frames = spark.createDataFrame([("a",), ("b",)], "path string")
     assert [r.path for r in fu.missing_files(frames, spark.createDataFrame([("a",)], "path string")).collect()] == ["b"]
 
@@ -104,3 +132,20 @@ def test_sinks(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snap")).where("det_ordinal = 1").agg(F.max("green")).first()[0] == 0
     sk.write_occupants(t.withColumns({"car_id": F.col("track_id"), "occupant": F.lit(0)}), str(tmp_path / "occ"))
     assert spark.read.parquet(str(tmp_path / "occ")).count() == t.count()
+
+
+def test_sinks_of_models_motion_and_merged_clouds(spark, sf, tmp_path):
+    d = tracking._with_points(spark, sf)
+    sk.write_models(tr.model_summary(tr.accumulating_tracks(d, fx.TRACK_KEYS), d, fx.TRACK_KEYS), fx.TRACK_KEYS, str(tmp_path / "models"))
+    rows = spark.read.json(str(tmp_path / "models")).collect()
+    assert len(rows) == d.select(*fx.TRACK_KEYS).distinct().count() and all(r.total_tracked_cars == len(r.tracks) > 0 for r in rows) and rows[0].tracks[0].quality > 0
+    p = spark.createDataFrame([(1, 0.0, True), (2, 1.0, False)], "point_id long, x double, is_static boolean")
+    sk.write_motion(p, str(tmp_path / "m"), p.where("point_id = 2").select("point_id", "x"))
+    assert sorted((r.point_id, r.motion_class) for r in spark.read.parquet(str(tmp_path / "m/points")).collect()) == [(1, "static"), (2, "dynamic"), (2, "temporal")]
+    assert spark.read.json(str(tmp_path / "m/statistics")).first().n_temporal == 1
+    sk.write_motion(p.where("false"), str(tmp_path / "e"))
+    (r,) = spark.read.json(str(tmp_path / "e/statistics")).collect()
+    assert (r.n, r.n_static) == (0, 0)
+    sk.write_merged(p.select("point_id", "x"), p.select("x").limit(1), str(tmp_path / "both"), {"scale": 1.5})
+    (r,) = spark.read.json(str(tmp_path / "both/about")).collect()
+    assert (r.total_points, r.original_points, r.model_points, r.scale) == (3, 2, 1, 1.5) and spark.read.parquet(str(tmp_path / "both/points")).count() == 3
