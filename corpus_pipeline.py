@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of ``documents``.
 ``run`` writes what a stage returns as Parquet in the shared folder, and the next stage reads it from there, so a lost executor costs a stage at most.
+
+Defined cases, each as its operator has it: a null text is judged as an empty one; a null id, source or language is a value of its own; rows that repeat
+an id and text are one document for near-dedup, which keeps one of them, and rows of their own for the other stages; ties go to the least id, then to
+the least hashes of the text; texts of any length are read whole; an empty table stays empty; further columns pass through all stages but the last,
+whatever their names.
 """
 
 from __future__ import annotations

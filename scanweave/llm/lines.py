@@ -7,7 +7,8 @@ lines, whatever its pages, so one row holds them. That small table is written to
 only below ``spark.sql.autoBroadcastJoinThreshold``; above, the join is a sort-merge join whose hot hosts are split at run time.
 
 Defined cases: lines are compared without the white space around them; blank lines are never dropped nor counted; a null host is a host of its
-own; a null text has no lines and stays null; rows that repeat an id count as pages of their own; input columns named like a result are replaced.
+own; a null text has no lines and stays null; very long texts are read whole; rows that repeat an id count as pages of their own; an empty table stays
+empty; input columns named like a result are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import inner_names, written
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -40,14 +41,13 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_dropped``."""
-    drop = written(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__drop"))
-    joined = docs.join(drop, docs[host].eqNullSafe(F.col("__host")), "left")
+    own_host, drop, own_kept = inner_names(docs, "host", "drop", "kept")
+    found = written(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias(own_host), F.col("lines").alias(drop))
+    joined = docs.join(found, docs[host].eqNullSafe(found[own_host]), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains("__drop", _mark(_trimmed(x))))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(kept)
-    out = joined.withColumn("__kept", kept)
-    n = F.coalesce(F.size(F.when(F.col(text).isNotNull(), lines)), F.lit(0))
-    n = F.when(F.col(text).isNull(), 0).otherwise(n)
-    left = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))
+    kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(drop, _mark(_trimmed(x))))
+    out = joined.withColumn(own_kept, F.when(F.col(drop).isNull(), lines).otherwise(kept))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    left = F.when(F.col(text).isNull(), 0).otherwise(F.size(own_kept))
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    return out.select(*rest, F.array_join("__kept", "\n").alias(text), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"))
+    return out.select(*rest, F.array_join(own_kept, "\n").alias(text), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"))

@@ -12,7 +12,8 @@ its threshold, and splits hot hosts in a sort-merge join above it.
 
 Defined cases: a null text is an empty one; null hosts and paths are groups of their own; labels with a null id or label are not used; ids that
 are labelled twice count twice; with no labels, or labels of one kind, the classifier says nothing and all are kept; repeated rows get a score each;
-input columns named like a result are replaced.
+very long texts are read whole; ties in the order of the sample go by the id; an empty table stays empty; input columns named like a result are
+replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
-from .common import written
+from .common import inner_names, written
 
 #: Labelled rows that the classifier is fitted on.
 SAMPLE = 6000
@@ -97,10 +98,10 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], name: str, kind: T.Data
     made = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.pieces(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(of(b.column("__text")), made.field(name).type)], schema=made)
+        for b in W.pieces(batches, len(keep)):
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(of(b.column(len(keep))), made.field(len(keep)).type)], schema=made)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Logistic | None:
@@ -151,9 +152,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = fit(docs, labels, id_col, text)
     sites, rate, k = site_rates(evidence(docs.select(host, path, text), model, text, keep=[host, path]), host, path)
     scored = evidence(docs, model, text, keep=list(dict.fromkeys([*keep, host, path])))
-    sites = sites.select(F.col("h").alias("__h"), F.col("p").alias("__p"), F.col("n").alias("__n"), F.col("total").alias("__t"), F.col("prior").alias("__prior"))
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")), "left")
-    site = (F.greatest(F.col("__t") - F.col("evidence"), F.lit(0.0)) + k * F.col("__prior")) / (F.col("__n") - 1 + k)
+    own_h, own_p, n, total, prior = inner_names(docs, "h", "p", "n", "total", "prior")
+    sites = sites.select(F.col("h").alias(own_h), F.col("p").alias(own_p), F.col("n").alias(n), F.col("total").alias(total), F.col("prior").alias(prior))
+    joined = scored.join(sites, F.col(host).eqNullSafe(F.col(own_h)) & F.col(path).eqNullSafe(F.col(own_p)), "left")
+    site = (F.greatest(F.col(total) - F.col("evidence"), F.lit(0.0)) + k * F.col(prior)) / (F.col(n) - 1 + k)
     site = F.least(F.greatest(site, F.lit(1e-3)), F.lit(1 - 1e-3))
     logit = lambda p: F.log(p / (1 - p))
     own = F.least(F.greatest("evidence", F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -23,7 +23,7 @@ ODD = [(1, "a b c", "x", "en"), (1, "a b c", "x", "en"), (2, None, None, None),
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names the operators use themselves."""
     df = spark.createDataFrame(ODD, "doc_id long, text string, source string, lang string")
-    for name in ("n_words", "score", "kept", "node", "label", "k", "size", "value", "place", "media", "class_id", "doc", "same", "t1", "key", "n", "lead", "maybe", "__doc", "__t1", "__maybe", "__byte"):
+    for name in ("n_words", "score", "kept", "node", "label", "k", "size", "value", "place", "media", "class_id", "doc", "same", "t1", "key", "n", "lead", "maybe", "__doc", "__t1", "__maybe", "__byte", "__host", "__drop", "__h", "__n", "host", "h", "p"):
         df = df.withColumn(name, F.lit("mine"))
     return df
 
@@ -423,6 +423,39 @@ def test_leaves_reach_the_target(spark):
     assert len(sizes) == 8 and max(sizes) <= 13_000
 
 
+def test_tree_by_brute_force(spark, sf):
+    """Node by node over all points, as the docstring says it."""
+    docs = common.table(spark, sf.replace("sf0.001", "sf0.01"), "documents").where("doc_id % 2 = 0")
+    dims = [F.log2(F.length("text") + 1), F.crc32("lang")]
+    points = [r.asDict() for r in sharding._points(docs, "doc_id", "text", dims).collect()]
+    total, want = sum(p["size"] for p in points), {}
+
+    def reach(rows, key, half, below):
+        for v in sorted({p[key] for p in rows}):
+            at = sum(p["size"] for p in rows if p[key] == v)
+            if below + at >= half:
+                return v, below, at
+            below += at
+
+    def split(rows, node):
+        if node >= 8:
+            want.update({p["id"]: node - 8 for p in rows})
+            return
+        wide = max(range(2), key=lambda k: max(p[f"k{k}"] for p in rows) - min(p[f"k{k}"] for p in rows))
+        key, half = f"k{wide}", sum(p["size"] for p in rows) / 2
+        v, below, at = reach(rows, key, half, 0)
+        inner = -1 if half - below < below + at - half else 2**60
+        if min(half - below, below + at - half) > sharding.TOLERANCE * total / 8:
+            x, b, a = reach([p for p in rows if p[key] == v], "ki", half, below)
+            inner = x - 1 if half - b < b + a - half else x
+        left = [p[key] < v or p[key] == v and p["ki"] <= inner for p in rows]
+        split([p for p, y in zip(rows, left, strict=True) if y], 2 * node)
+        split([p for p, y in zip(rows, left, strict=True) if not y], 2 * node + 1)
+
+    split(points, 1)
+    assert {r.id: r.shard for r in sharding.kd_tree(docs, leaves=8, dims=dims).collect()} == want
+
+
 def test_shards_defined_cases(odd, nothing):
     assert sharding.with_slots(sharding.kd_tree(odd)).count() == len(ODD) and sharding.with_slots(sharding.kd_tree(nothing)).count() == 0
 
@@ -626,6 +659,35 @@ def test_sparse_sites_are_shrunk(spark):
     assert 0.45 < rate < 0.55 and by["big"].prior > 0.85 and by["bad"].prior < 0.15 and 0.2 < by["tiny"].prior < 0.5
 
 
+def test_quality_by_brute_force(spark, sf):
+    """Rates and scores from the classifier's evidence, site by site."""
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    rows = quality.with_quality(docs, labels, keep=["doc_id", "source", "lang"]).collect()
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for r in rows:
+        paths[r.source, r.lang].append(r.evidence)
+        hosts[r.source].append(r.evidence)
+    whole = [r.evidence for r in rows]
+    rate = min(max(np.mean(whole), 1e-3), 1 - 1e-3)
+
+    def strength(groups, prior):
+        big = {k: v for k, v in groups.items() if len(v) > 1}
+        n = sum(map(len, big.values()))
+        within = sum(len(v) * prior(k) * (1 - prior(k)) for k, v in big.items()) / n
+        q = sum(len(v) * (np.mean(v) - prior(k)) ** 2 for k, v in big.items())
+        return np.clip(within / max((q - len(big) * within) / n, 1e-9) - 1, *quality.STRENGTH)
+
+    k = strength(hosts, lambda _: rate)
+    prior = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in hosts.items()}
+    k2 = strength(paths, lambda p: prior[p[0]])
+    logit = lambda p: np.log(p / (1 - p))
+    for r in rows:
+        v = paths[r.source, r.lang]
+        site = min(max((max(sum(v) - r.evidence, 0) + k2 * prior[r.source]) / (len(v) - 1 + k2), 1e-3), 1 - 1e-3)
+        score = 1 / (1 + np.exp(-(logit(min(max(r.evidence, 1e-6), 1 - 1e-6)) + logit(site) - logit(rate))))
+        assert abs(r.site_rate - site) < 1e-9 and abs(r.score - score) < 1e-9 and r.kept == (r.score >= quality.THRESHOLD)
+
+
 def test_quality_defined_cases(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (4, None), (4, 1)], "doc_id long, quality int")
     assert quality.with_quality(odd, labels).count() == len(ODD) and quality.with_quality(nothing, labels).count() == 0
@@ -650,3 +712,20 @@ def test_pipeline_stages(spark, sf):
     before = {r.doc_id: r.text for r in seen["line_dedup"].collect()}
     assert set(kept) == set(exact_classes(list(before.items())).values())
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, seen["decontamination"], sf).collect(), {r.doc_id: r.text for r in seen["decontamination"].collect()})
+
+
+def test_pipeline_defined_cases(spark, odd, nothing, sf):
+    """Nulls, repeats, empty and long texts, clashing names, an empty table: no stage fails, or loses or adds columns."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd, nothing):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, docs, sf).collect()
+            if docs is nothing:
+                assert rows == []
+            elif name == "near_dedup":
+                assert sorted((r.doc_id is not None, r.doc_id or 0) for r in rows) == [(True, k) for k in (1, 2, 4, 5, 6)]
+            elif name == "line_dedup":
+                assert len(rows) == len(ODD)
+            elif name == "packing":
+                assert len({(r.doc_id, r.sequence_id, r.offset) for r in rows}) == len(rows) >= len(ODD)
+        assert all(stage(spark, docs, sf).columns == docs.columns for _, stage in corpus_pipeline.STAGES[:-1])
