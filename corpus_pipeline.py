@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm.common import table, written
+from scanweave.llm.common import bounded_batches, table, written
 from scanweave.llm.decontaminate import clean_documents
 from scanweave.llm.lines import without_boilerplate
 from scanweave.llm.neardup import one_of_each
@@ -33,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
+    bounded_batches(spark)
     return one_of_each(docs)
 
 
@@ -45,6 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 

@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 from scanweave.functions.scratch import clear_shared, shared_dir, written
 from scanweave.operators.graph import components
 
-__all__ = ["MAP_MB", "NULL_ID", "clear_shared", "components", "inner_names", "map_bits", "maybe_in", "partitions", "shared_dir", "table", "written"]
+__all__ = ["MAP_MB", "NULL_ID", "bounded_batches", "clear_shared", "components", "inner_names", "map_bits", "maybe_in", "partitions", "shared_dir", "table", "written"]
 
 #: Stands for a null id inside an operator, where ids are compared; it sorts before every other.
 NULL_ID = -(2**63)
 
 
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python in small batches, each of which executor and worker hold; a session that has set fewer keeps its own."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

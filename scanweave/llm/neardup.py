@@ -156,6 +156,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(*(b.column(c).to_pylist() for c in ("sa", "ca", "sb", "cb")), strict=True)
         ok = pa.array([similarity(_read(sa, ca), _read(sb, cb)) >= SIMILARITY for sa, ca, sb, cb in rows], pa.bool_())
         yield b.select(["a", "b"]).filter(ok)
+    W.give_back()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[dict]]:
@@ -200,6 +201,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         label[label == label[y]] = label[x]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    W.give_back()
 
 
 def _marks(text: str) -> list[Column]:

@@ -45,7 +45,7 @@ HORIZON = 2_000_000
 #: Bytes of text that are tokenised at once.
 SLICE = 2_000_000
 #: Pieces of text that a worker remembers the tokens of, in either of two generations, and the longest of them.
-MEMORY, LONGEST = 300_000, 200
+MEMORY, LONGEST = 150_000, 100
 
 PIECE = T.StructType(
     [

@@ -28,7 +28,7 @@ _PLACE_BITS = 20
 #: A cut may miss a node's middle by this share of a leaf to keep equal texts together.
 TOLERANCE = 0.01
 #: Levels after which rows are written with their nodes.
-REWRITE = 6
+REWRITE = 2
 #: Rows that one task numbers.
 SLOT_ROWS = 200_000
 

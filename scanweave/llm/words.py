@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,6 +15,13 @@ import pyarrow.compute as pc
 PIECE = 1_000_000
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the system: workers outlive their tasks, and allocators keep what large arrays took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``most`` bytes in a string or binary column, or a single longer row."""
     for batch in batches:
@@ -25,6 +33,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int =
             size += x
         if at < batch.num_rows:
             yield batch.slice(at)
+        del batch
+        give_back()
 
 
 def lookup(*ranges: tuple[int, int]) -> np.ndarray:
