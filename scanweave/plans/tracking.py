@@ -294,7 +294,7 @@ def m7_static_points(spark, sf):
 
 @query()
 def m7_m8_temporal_change(spark, sf):
-    """M7's dynamic points of all scans through M8 and its statistics; ``m8_moving_points`` and ``a22_a24_movement`` stay with scan 0, as their SQL does."""
+    """M7's dynamic points of all scans through M8 and its statistics."""
     m = fx.moving(spark, sf)
     dynamic = written(mo.static_points(m, ["device_no"]).where("not is_static"), "dynamic")
     s = mo.movement_statistics(mo.moving_points(dynamic, m, ["device_no"]), dynamic, ["device_no"])
@@ -304,22 +304,23 @@ def m7_m8_temporal_change(spark, sf):
 _NEAR = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
 
 
-@query(f"""near AS (SELECT a.device_no, a.point_id, b.scan_idx, arg_min(b.x, {_NEAR}) AS x, arg_min(b.y, {_NEAR}) AS y, arg_min(b.z, {_NEAR}) AS z FROM mov a JOIN mov b
-  ON a.device_no = b.device_no AND abs(a.x - b.x) <= 0.06::DOUBLE AND {_NEAR} <= 0.06::DOUBLE*0.06::DOUBLE WHERE a.scan_idx = 0 GROUP BY ALL),
+@query(f"""cell AS (SELECT *, CAST(floor(x/0.06::DOUBLE) AS BIGINT) AS g FROM mov), reach AS (SELECT *, g + unnest([-1, 0, 1]) AS h FROM cell),
+near AS (SELECT a.device_no, a.point_id, b.scan_idx, arg_min(b.x, {_NEAR}) AS x, arg_min(b.y, {_NEAR}) AS y, arg_min(b.z, {_NEAR}) AS z FROM reach a JOIN cell b
+  ON a.device_no = b.device_no AND a.h = b.g AND {_NEAR} <= 0.06::DOUBLE*0.06::DOUBLE GROUP BY ALL),
 ends AS (SELECT device_no, point_id, count(*) AS found, arg_min(x, scan_idx) AS x0, arg_max(x, scan_idx) AS x1, arg_min(y, scan_idx) AS y0, arg_max(y, scan_idx) AS y1, arg_min(z, scan_idx) AS z0, arg_max(z, scan_idx) AS z1 FROM near GROUP BY ALL)
 SELECT device_no, point_id, found, round(sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0) + (z1-z0)*(z1-z0)), 6) AS displacement FROM ends WHERE found >= 2 AND sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0) + (z1-z0)*(z1-z0)) > 0.05::DOUBLE""")
 def m8_moving_points(spark, sf):
+    """All points of all scans as the dynamic ones."""
     m = fx.moving(spark, sf)
-    return mo.moving_points(m.where("scan_idx = 0"), m, ["device_no"]).select("device_no", "point_id", "found", *_r("displacement"))
+    return mo.moving_points(m, m, ["device_no"]).select("device_no", "point_id", "found", *_r("displacement"))
 
 
-@query("""d AS (SELECT device_no, count(*) AS n_dynamic FROM mov WHERE scan_idx = 0 GROUP BY ALL), m AS (SELECT device_no, count(*) AS n_moving, avg(0.055::DOUBLE) AS mean FROM mov WHERE scan_idx = 0 AND (point_id // 5) % 3 = 0 GROUP BY ALL)
-SELECT device_no, n_dynamic, n_moving, round(mean, 6) AS mean_displacement, round(n_moving/n_dynamic, 6) AS moving_ratio, round((n_dynamic - n_moving)/n_dynamic, 6) AS filtered FROM d JOIN m USING (device_no)""")
+@query("""d AS (SELECT device_no, count(*) AS n_dynamic FROM mov GROUP BY ALL), m AS (SELECT device_no, count(*) AS n_moving, avg(0.055::DOUBLE) AS mean FROM mov WHERE (point_id // 5) % 3 = 0 GROUP BY ALL)
+SELECT device_no, n_dynamic, n_moving, round(mean, 6) AS mean_displacement, round(mean, 6) AS max_displacement, round(n_moving/n_dynamic, 6) AS moving_ratio, round((n_dynamic - n_moving)/n_dynamic, 6) AS filtered FROM d JOIN m USING (device_no)""")
 def a22_a24_movement(spark, sf):
     m = fx.moving(spark, sf)
-    first = m.where("scan_idx = 0")
-    s = mo.movement_statistics(mo.moving_points(first, m, ["device_no"]), first, ["device_no"])
-    return s.select("device_no", "n_dynamic", "n_moving", *_r("mean_displacement", "moving_ratio", "filtered"))
+    s = mo.movement_statistics(mo.moving_points(m, m, ["device_no"]), m, ["device_no"])
+    return s.select("device_no", "n_dynamic", "n_moving", *_r("mean_displacement", "max_displacement", "moving_ratio", "filtered"))
 
 
 @query("SELECT device_no, scan_idx, count(*) AS n, count(*) FILTER (WHERE semantic_class = 3) AS n_human, round(avg(intensity/255) FILTER (WHERE semantic_class = 3), 6) AS mean_probability, round(100::DOUBLE*count(*) FILTER (WHERE semantic_class = 3)/count(*), 6) AS percent, count(*) FILTER (WHERE semantic_class = 3) > 50 AND coalesce(avg(intensity/255) FILTER (WHERE semantic_class = 3), 0) > 0.3 AS has_human FROM pts GROUP BY ALL")
