@@ -70,7 +70,7 @@ def first_radius(points: DataFrame, keys: list[str], k: int, side: float = 0.5)
     return min(max((2 * k * side**3 / mean / 4.19) ** (1 / 3), side / 100), 10 * side)
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float | None = None, growth: float = 2.5, rounds: int = 24) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float | None = None, growth: float = 4.0, rounds: int = 16) -> DataFrame:
     """``keys, a, b, d2, rank`` of the k nearest points (all, in a smaller cloud), ties by id; a point counts as its own neighbour.
 
     Searches a radius, led by the density unless given, keeps the queries that are certain (k hits, or the whole cloud), and goes on with the rest at a

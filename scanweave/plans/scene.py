@@ -380,19 +380,19 @@ def m6b_enclosed_voxels(spark, sf):
     return sc.enclosed_voxels(st.occupancy(_pts(spark, sf), KEYS, 0.5), KEYS)
 
 
-_VOID_SQL = f"""o AS (SELECT DISTINCT {KSQL}, CAST(floor((x - lx)/0.7::DOUBLE) AS INT) AS gx, CAST(floor((y - ly)/0.7::DOUBLE) AS INT) AS gy, CAST(floor((z - lz)/0.7::DOUBLE) AS INT) AS gz
+_VOID_SQL = f"""o AS (SELECT DISTINCT {KSQL}, CAST(floor((x - lx)/0.3::DOUBLE) AS INT) AS gx, CAST(floor((y - ly)/0.3::DOUBLE) AS INT) AS gy, CAST(floor((z - lz)/0.3::DOUBLE) AS INT) AS gz
   FROM pts JOIN (SELECT {KSQL}, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM pts GROUP BY ALL) USING ({KSQL})),
 c AS (SELECT {KSQL}, gx, gy, min(gz) AS lo, max(gz) AS hi FROM o GROUP BY ALL), e AS (SELECT {KSQL}, gx, gy, CAST(unnest(range(lo + 1, hi)) AS INT) AS gz FROM c),
 void AS (SELECT e.* FROM e JOIN (SELECT {KSQL}, gy, gz, min(gx) AS x0, max(gx) AS x1 FROM o GROUP BY ALL) USING ({KSQL}, gy, gz) JOIN (SELECT {KSQL}, gx, gz, min(gy) AS y0, max(gy) AS y1 FROM o GROUP BY ALL) USING ({KSQL}, gx, gz)
-  WHERE x0 < gx AND gx < x1 AND y0 < gy AND gy < y1 AND NOT EXISTS (FROM o WHERE o.device_no = e.device_no AND o.scan_idx = e.scan_idx AND abs(o.gx - e.gx) + abs(o.gy - e.gy) + abs(o.gz - e.gz) <= 1))"""
+  WHERE x0 < gx AND gx < x1 AND y0 < gy AND gy < y1 AND NOT EXISTS (FROM o WHERE o.device_no = e.device_no AND o.scan_idx = e.scan_idx AND abs(o.gx - e.gx) + abs(o.gy - e.gy) + abs(o.gz - e.gz) <= 0))"""
 
 
 @query(f"""{_VOID_SQL},
-pv AS (SELECT point_id, {KSQL}, CAST(floor((x - lx)/0.7::DOUBLE) AS INT) AS gx, CAST(floor((y - ly)/0.7::DOUBLE) AS INT) AS gy, CAST(floor((z - lz)/0.7::DOUBLE) AS INT) AS gz
+pv AS (SELECT point_id, {KSQL}, CAST(floor((x - lx)/0.3::DOUBLE) AS INT) AS gx, CAST(floor((y - ly)/0.3::DOUBLE) AS INT) AS gy, CAST(floor((z - lz)/0.3::DOUBLE) AS INT) AS gz
   FROM pts JOIN (SELECT {KSQL}, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM pts GROUP BY ALL) USING ({KSQL}))
-SELECT point_id FROM pv WHERE EXISTS (FROM void v WHERE v.device_no = pv.device_no AND v.scan_idx = pv.scan_idx AND abs(v.gx - pv.gx) + abs(v.gy - pv.gy) + abs(v.gz - pv.gz) <= 2)""")
+SELECT point_id FROM pv WHERE EXISTS (FROM void v WHERE v.device_no = pv.device_no AND v.scan_idx = pv.scan_idx AND abs(v.gx - pv.gx) + abs(v.gy - pv.gy) + abs(v.gz - pv.gz) <= 1)""")
 def m6b_j8_void_interior(spark, sf):
-    return sc.with_void_interior(_pts(spark, sf), KEYS, 0.7).where("is_interior").select("point_id")
+    return sc.with_void_interior(_pts(spark, sf), KEYS, 0.3, 1).where("is_interior").select("point_id")
 
 
 @query(f"""v AS (SELECT * FROM pts WHERE semantic_class BETWEEN 1 AND 4),

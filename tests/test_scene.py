@@ -111,6 +111,19 @@ def test_clusters(spark, eps, least):
     assert [got[i] for i in range(len(p))] == dbscan(p, eps, least).tolist()
 
 
+def test_void_of_a_hollow_box(spark):
+    shell = [(i, j, k) for i in range(9) for j in range(9) for k in range(9) if 0 in (i, j, k) or 8 in (i, j, k)]
+    df = spark.createDataFrame([(n, 0, i + 0.5, j + 0.5, k + 0.5) for n, (i, j, k) in enumerate([*shell, (4, 4, 4)])], "point_id long, k int, x double, y double, z double")
+    inside = {(i, j, k) for i in range(1, 8) for j in range(1, 8) for k in range(1, 8)} - {(4, 4, 4)}
+    occupied = {*shell, (4, 4, 4)}
+    cells = df.selectExpr("k", *(f"cast({a} - 0.5 as long) as g{a}" for a in "xyz"))
+    assert {(r.gx, r.gy, r.gz) for r in sc.enclosed_voxels(cells, ["k"]).collect()} == inside
+    far = {v for v in inside if min(sum(abs(a - b) for a, b in zip(v, o, strict=True)) for o in occupied) >= 2}
+    assert {(r.gx, r.gy, r.gz) for r in sc.void_voxels(cells, ["k"], 2).collect()} == far
+    got = {r.point_id for r in sc.with_void_interior(df, ["k"], 1.0, 2).where("is_interior").collect()}
+    assert got == {n for n, o in enumerate([*shell, (4, 4, 4)]) if min(sum(abs(a - b) for a, b in zip(o, v, strict=True)) for v in far) <= 2}
+
+
 def test_empty_clouds_pass_through(spark):
     _, df = cloud(spark, 3)
     done = sc.ScenePipeline().run(df.where("false"), ["k"])
