@@ -13,6 +13,7 @@ from .sharding import kd_tree, with_slots
 from .lines import without_boilerplate
 from .neardup import with_class
 from .quality import with_quality
+from .repair import beside, damaged, digests, report
 from .substrings import without_repeats
 from .toxicity import fit, held_out, scored
 from .warc import archived
@@ -137,6 +138,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, mended = report(damaged(rows), rows)
+    empty = F.sha2(F.lit(""), 256)
+    return beside(found, digests(mended)).withColumn("repaired_sha256", F.coalesce("repaired_sha256", empty))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -149,6 +157,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_mpeg_audio": op9_mpeg_audio,
         "op10_quality": op10_quality,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
