@@ -20,6 +20,7 @@ one; very long texts are cut into pieces; an empty table has no pieces; a column
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections import deque
@@ -90,16 +91,21 @@ def _edges(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Tokens:
     """Token ids by a public byte-level BPE file, each distinct piece of text being tokenized once and then remembered.
 
-    Pieces are parted where the file's own splitting pattern does. A text that holds one of its special tokens is given to the tokenizer whole.
+    Pieces are parted where the file's own splitting pattern does, which has to be the usual one of byte-level files, without a normalizer; texts are
+    given whole to the tokenizer of another file. So is a text that holds a special token, unless ``plain``: then its string is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        self.tool.encode_special_tokens = plain
+        own = json.loads(self.tool.to_str())
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.usual = own["normalizer"] is None and {k: v for k, v in (own["pre_tokenizer"] or {}).items() if k in usual} == usual and own["model"].get("dropout") is None
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.special = [] if plain else [t.content for t in self.tool.get_added_tokens_decoder().values()]
         vocabulary = self.tool.get_vocab(with_added_tokens=True)
         self.ends, self.begins = np.zeros((2, max(vocabulary.values()) + 1), bool)
         for token, k in vocabulary.items():
@@ -114,7 +120,7 @@ class Tokens:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets -= offsets[0]
-        at = _edges(data, offsets)
+        at = self._parts(data, offsets)
         for token in self.special:
             for k in np.flatnonzero(pc.match_substring(texts, token).to_numpy(False)):
                 at = at[(at <= offsets[k]) | (at >= offsets[k + 1])]
@@ -129,6 +135,9 @@ class Tokens:
         upto = np.append(0, stop)[np.searchsorted(at, offsets)]
         return ids, np.diff(upto)
 
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return _edges(data, offsets) if self.usual else np.unique(offsets[offsets < len(data)])
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY:
             self.known, self.before = {}, self.known
@@ -146,6 +155,8 @@ class Tokens:
         """ASCII letters need no splitting. Pieces of a space and what follows it go in long runs, parted again where a token begins with a space."""
         out: dict[str, bytes] = {}
         joined, single, model = [], [], self.tool.model
+        if not self.usual:
+            new, single = [], new
         for p in new:
             word = p[1:] if p[:1] == " " else p
             if word is p and p.isascii() and p.isalpha():

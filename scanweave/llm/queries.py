@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import with_alignment
 from .common import table
 from .decontaminate import benchmark_hits
 from .mpeg import FEATURES, media_column, media_features
@@ -14,6 +15,7 @@ from .lines import without_boilerplate
 from .neardup import with_class
 from .quality import with_quality
 from .repair import beside, damaged, digests, report
+from .simhash import with_component
 from .substrings import without_repeats
 from .toxicity import fit, held_out, scored
 from .warc import archived
@@ -138,6 +140,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_component(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     found, mended = report(damaged(rows), rows)
@@ -157,6 +170,8 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_mpeg_audio": op9_mpeg_audio,
         "op10_quality": op10_quality,
+        "op11_simhash_components": op11_simhash_components,
+        "op12_token_alignment": op12_token_alignment,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
