@@ -3,14 +3,14 @@
 Every item is cut into windows of ``window`` consecutive words (an item of fewer words, but not none, is one window). A window is held by a
 text if all its shingles stand there in place: containment 1. For that threshold one shingle of each window is a necessary prefix, so shingles
 are ordered by how often they occur in the documents, and each window joins on its rarest one only. The place of the shingle in the window fixes
-where the window would begin (positional bound), that it must end inside the text is the length bound, and what is left is verified word by word.
+where the window would begin (positional bound), that it must end inside the text is the length bound, and what is left is verified word by word. Equal windows of items are found by 128 bits of hash.
 
 Items, long ones in parts that overlap by a window less a word, are taken in blocks of about ``BLOCK_BYTES``; each is a broadcast of bounded size and
 two passes over the documents, which are never shuffled. One block is held at a time: before the next one is fetched, the pass is written to the
 shared folder and the broadcast goes.
 
 Defined cases: null and empty texts have no words and hits none; an item with no words has no window; a null item id counts as the empty string;
-items that share an id count once; windows that several items share count for each; repeated rows get a result each; very long texts are judged
+items that share an id count once, repeated items are taken once; windows that several items share count for each; repeated rows get a result each; very long texts are judged
 whole; an empty table has no rows, and no items no hits; a document column with the name of a result is replaced by it, others are kept whatever
 their names.
 """
@@ -33,8 +33,8 @@ from .common import inner_names, written
 
 #: Words of a shingle; a window of fewer words is its own shingle.
 SHINGLE = 5
-#: Bytes of item text in a block, and words of a part of a long item.
-BLOCK_BYTES, PART_WORDS = 8_000_000, 100_000
+#: Bytes of item text in a block, which takes some seventy times that while it is made, and words of a part of a long item.
+BLOCK_BYTES, PART_WORDS = 4_000_000, 100_000
 
 RESULT = T.StructType(
     [
@@ -47,40 +47,58 @@ RESULT = T.StructType(
 
 
 class Block:
-    """The windows of some items, their shingles, and, once ranked, the prefix of each window."""
-
-    def __init__(self, rows: list, window: int):
-        w = W.words(pa.array([r[1] for r in rows], pa.string()), W.ALNUM, lower=True)
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for k, row in enumerate(rows):
-            a, b = w.first[k], w.first[k + 1]
-            own = [w.text(i) for i in range(a, b)]
-            for i in range(max(1, b - a - window + 1) if own else 0):
-                owners[tuple(own[i : i + window])].add("" if row[0] is None else str(row[0]))
-        self.windows = [b" ".join(x) for x in owners]
-        self.lengths = np.array([len(x) for x in owners], np.int64)
-        self.owners = [sorted(x) for x in owners.values()]
-        v = W.words(pa.array([x.decode() for x in self.windows], pa.string()), W.ALNUM)
-        hashes = v.hashes()
-        sizes = np.minimum(self.lengths, SHINGLE)
-        per = self.lengths - sizes + 1
-        self.window_of = np.repeat(np.arange(len(per)), per)
-        self.offset = np.arange(len(self.window_of)) - np.repeat(np.cumsum(per) - per, per)
-        at = v.first[self.window_of] + self.offset
-        self.shingle = W.range_hash(hashes, at, at + sizes[self.window_of], 1) if len(at) else np.zeros(0, np.uint64)
-        self.keys = np.unique(self.shingle)
-        self.sizes = sorted(set(sizes.tolist()))
-
-    def rank(self, counts: dict[int, int]) -> None:
+    """The distinct windows of some items as places in their words, who owns them, and, once ranked, the prefix of each window. All of it is arrays: a
+    window takes some dozens of bytes, whatever its words."""
+
+    def __init__(self, ids: list[str | None], texts: pa.Array, window: int):
+        w = W.words(texts, W.ALNUM, lower=True)
+        n = np.diff(w.first)
+        short = np.flatnonzero((n > 0) & (n < window))
+        at = np.concatenate((W.window_starts(w, window), w.first[short]))
+        item = np.searchsorted(w.first, at, "right") - 1
+        length = np.minimum(n[item], window)
+        mark = [W.range_hash(w.hashes(seed), at, at + length, seed + 1) for seed in (2, 4)]
+        order = np.lexsort((item, *mark))
+        at, item, length, mark = at[order], item[order], length[order], [m[order] for m in mark]
+        new = np.ones(len(at), bool)
+        new[1:] = (mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1])
+        #: The first place of each window among the items' words, its length, and where its owners begin.
+        self.words, self.at, self.lengths = w, at[new], length[new]
+        self.ids = ["" if k is None else k for k in ids]
+        self.owner, self.owned = item.astype(np.int32), np.append(np.flatnonzero(new), len(at))
+        self.sizes = sorted(set(np.minimum(self.lengths, SHINGLE).tolist()))
+        hashes = w.hashes()
+        self.shingle = {size: np.zeros(0, np.uint64) for size in self.sizes}
+        for size in self.sizes:
+            some = np.arange(max(0, len(w.start) - size + 1))
+            self.shingle[size] = W.range_hash(hashes, some, some + size, 1)
+        inside = [self.shingle[size][self.at[k] + j] for size in self.sizes for k in [np.flatnonzero(np.minimum(self.lengths, SHINGLE) == size)] for j in range(int(self.lengths[k].max()) - size + 1) for k in [k[self.lengths[k] - size >= j]]]
+        self.keys = np.unique(np.concatenate([np.unique(x) for x in inside])) if inside else np.zeros(0, np.uint64)
+
+    def rank(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Keep each window's rarest shingle; a window whose rarest one never occurs needs no join at all."""
-        n = np.array([counts.get(int(np.int64(x)), 0) for x in self.shingle.view(np.int64)], np.int64)
-        order = np.lexsort((self.shingle, n, self.window_of))
-        head = order[np.unique(self.window_of[order], return_index=True)[1]] if len(order) else order
-        head = head[n[head] > 0]
-        head = head[np.argsort(self.shingle[head], kind="stable")]
-        self.window_of, self.offset, self.shingle = self.window_of[head], self.offset[head], self.shingle[head]
-        self.keys, self.begin = np.unique(self.shingle, return_index=True)
-        self.begin = np.append(self.begin, len(self.shingle))
+        often = np.zeros(len(self.keys), np.int64)
+        often[np.searchsorted(self.keys, keys.view(np.uint64))] = counts
+        best = np.full(len(self.at), np.iinfo(np.int64).max)
+        key, offset = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        for size in self.sizes:
+            of = np.flatnonzero(np.minimum(self.lengths, SHINGLE) == size)
+            for j in range(int(self.lengths[of].max()) - size + 1):
+                k = of[self.lengths[of] - size >= j]
+                mine = np.searchsorted(self.keys, self.shingle[size][self.at[k] + j])
+                less = (often[mine] < best[k]) | (often[mine] == best[k]) & (mine < key[k])
+                best[k[less]], key[k[less]], offset[k[less]] = often[mine][less], mine[less], j
+        kept = np.flatnonzero((best > 0) & (best < np.iinfo(np.int64).max))
+        kept = kept[np.argsort(key[kept], kind="stable")]
+        self.window_of, self.offset = kept, offset[kept]
+        self.keys, self.begin = self.keys[np.unique(key[kept])], np.append(np.unique(key[kept], return_index=True)[1], len(kept))
+        self.shingle = {}
+
+    def text(self, window: int) -> list[bytes]:
+        return [self.words.text(i) for i in range(self.at[window], self.at[window] + self.lengths[window])]
+
+    def items(self, window: int) -> list[str]:
+        return [self.ids[k] for k in self.owner[self.owned[window] : self.owned[window + 1]]]
 
     def found(self, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of words at which a shingle of this block begins, and which key it is."""
@@ -124,7 +142,7 @@ def _mark(shared: Broadcast, n_keep: int, first: bool, schema: pa.Schema):
             start, length = place - block.offset[entry], block.lengths[window]
             doc = np.searchsorted(w.first, place, "right") - 1
             ok = (start >= w.first[doc]) & (start + length <= w.first[doc + 1])
-            ok[ok] = [b" ".join([w.text(i) for i in range(s, s + n)]) == block.windows[x] for s, n, x in zip(start[ok].tolist(), length[ok].tolist(), window[ok].tolist(), strict=True)]
+            ok[ok] = [[w.text(i) for i in range(s, s + n)] == block.text(x) for s, n, x in zip(start[ok].tolist(), length[ok].tolist(), window[ok].tolist(), strict=True)]
             starts.append(start[ok])
             windows.append(window[ok])
         return np.concatenate(starts), np.concatenate(windows)
@@ -141,7 +159,7 @@ def _mark(shared: Broadcast, n_keep: int, first: bool, schema: pa.Schema):
             hit = np.cumsum(step[:-1]) > 0
             items: dict[int, set[str]] = defaultdict(set)
             for d, x in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                items[d].update(block.owners[x])
+                items[d].update(block.items(x))
             spans, names = [], []
             before, owned = ([[]] * batch.num_rows,) * 2 if first else (batch.column(1).to_pylist(), batch.column(2).to_pylist())
             for d, (old, had) in enumerate(zip(before, owned, strict=True)):
@@ -181,12 +199,13 @@ def _parts(window: int, part_words: int):
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS) -> Iterator[tuple[Block, bool]]:
     """Each block when it is asked for, and whether it is the last."""
-    own = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    own = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     own = own.mapInArrow(_parts(window, part_words), "id string, text string")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
-        yield Block([tuple(r) for r in own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()], window), k == n - 1
+        rows = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow()
+        yield Block(rows.column(0).to_pylist(), rows.column(1), window), k == n - 1
 
 
 def benchmark_hits(
@@ -203,7 +222,8 @@ def benchmark_hits(
     for k, (block, last) in enumerate(item_blocks(items, item_id, item_text, window, block_bytes, part_words)):
         shared = spark.sparkContext.broadcast(block)
         counts = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_count(shared), "shingle long, n long")
-        block.rank({r[0]: r[1] for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()})  # at most the shingles of a block
+        often = counts.groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()  # at most the shingles of a block, two numbers each
+        block.rank(*(c.to_numpy() for c in often.columns))
         shared.unpersist()
         shared = spark.sparkContext.broadcast(block)
         left = list(passed)[1:] if last else list(passed)
