@@ -10,8 +10,8 @@ frequency is many times that in ordinary ones. Samples of the ordinary dictionar
 by their bytes and cut to one length, and windows begin with a fixed run of bytes that both hold: without it zstandard would store so short a block as
 it is, and savings of a few bytes would not show.
 
-``SAMPLE`` labelled rows of either kind at most, the first by hash of the id, fit all this on the driver; of a text of more than ``LONGEST`` characters the
-fit reads ``STRETCHES`` stretches spread over all of it, which together have that length. Every text is scored, whole, in place.
+``SAMPLE`` labelled ids of either kind at most, the first by hash of the id, fit all this on the driver, each by one whole text: the least of those that
+share the id. Every text is scored, whole, in place.
 
 Defined cases: null and empty texts score as texts without windows; words of more than ``PART`` characters are windows' words in overlapping parts; labels
 with a null id or label are not used; with no toxic or no ordinary labelled text, or too little to train on, all scores are 0; equal texts have equal
@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .words import pieces
 
-#: Labelled rows of either kind that are used; half train dictionaries, half calibrate. Characters, and stretches, of a text that the fit reads.
-SAMPLE, LONGEST, STRETCHES = 2400, 40_000, 8
+#: Labelled ids of either kind that are used; half train dictionaries, half calibrate.
+SAMPLE = 2400
 #: Words of a window; characters of the parts of longer words, and how far one begins after the other.
 WINDOW, PART, STEP = 3, 24, 12
 #: Lengths of the character runs that are contrasted; how much commoner one has to be in toxic documents, and in what share of them it stands.
@@ -116,7 +116,7 @@ class Model:
         (t0, t1), (o0, o1) = half(toxic), half(ordinary)
         words = contrasting(t0, o0) if t0 and o0 else []
         bad = trained([w.encode() for w in words]) if words else b""
-        good = trained([w for t in o0 for w in windows(t)[:20]]) if bad else b""
+        good = trained([w for t in o0 for w in windows(t)]) if bad else b""
         n = min(len(bad), len(good))
         bad, good = bad[len(bad) - n :], good[len(good) - n :]
         self.contents = (good + CARRIER, bad + CARRIER)
@@ -172,14 +172,11 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where("__id is not null and y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where("__id is not null and y in (0, 1)").distinct()
     order = [F.xxhash64("__id"), F.col("__id")]
     some = known.where("y = 1").orderBy(*order).limit(sample).union(known.where("y = 0").orderBy(*order).limit(sample))
-    whole, n = F.col(text).cast("string"), F.length(F.col(text).cast("string"))
-    size = LONGEST // STRETCHES
-    spread = F.concat_ws(" ", *(F.substr(whole, (F.lit(k) * (n - size) / (STRETCHES - 1)).cast("int") + 1, F.lit(size)) for k in range(STRETCHES)))
-    own = docs.where(whole.isNotNull()).select(F.col(id_col).alias("__id"), F.when(n > LONGEST, spread).otherwise(whole).alias("t"))
-    rows = own.join(F.broadcast(some), "__id").select("__id", "y", "t").collect()  # at most 2 * SAMPLE texts of about LONGEST characters
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("t")).where("t is not null")
+    rows = own.join(F.broadcast(some), "__id").groupBy("__id", "y").agg(F.min("t").alias("t")).collect()  # at most 2 * SAMPLE texts
     rows.sort(key=lambda r: (r["__id"], r["t"]))
     seen: set[str] = set()
     kinds: tuple[list[str], list[str]] = ([], [])
