@@ -8,10 +8,10 @@ those of its path without the document itself, so that nothing counts twice.
 Sums are combined before the shuffle; the tables of hosts and paths are written to the shared folder, so the planner broadcasts them only below
 its threshold, and splits hot hosts in a sort-merge join above it.
 
-``SAMPLE`` labelled rows, the first by hash of the id, fit the classifier; rates and scores cover all documents.
+``SAMPLE`` labelled ids, the first by hash of the id, fit the classifier; rates and scores cover all documents, whose evidence is written once.
 
-Defined cases: a null text is an empty one; null hosts and paths are groups of their own; labels with a null id or label are not used; ids that
-are labelled twice count twice; with no labels, or labels of one kind, the classifier says nothing and all are kept; repeated rows get a score each;
+Defined cases: a null text is an empty one; null hosts and paths are groups of their own; labels with a null id or label are not used; an id
+that is labelled twice with one quality counts once, and of texts that share an id the least is the labelled one; with no labels, or labels of one kind, the classifier says nothing and all are kept; repeated rows get a score each;
 very long texts are read whole; ties in the order of the sample go by the id; an empty table stays empty; input columns named like a result are
 replaced, others are kept whatever their names.
 """
@@ -105,9 +105,10 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], name: str, kind: T.Data
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Logistic | None:
-    some = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).dropna().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    known = docs.select(F.col(id_col).alias("__id"), text).join(F.broadcast(some), "__id")  # at most SAMPLE rows of two numbers
-    rows = _mapped(known, text, ["y"], "x", T.ArrayType(T.DoubleType()), lambda c: features(c).tolist()).collect()
+    some = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).dropna().distinct().orderBy(F.xxhash64("__id"), "__id", "y").limit(sample)
+    known = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(some), "__id")
+    known = known.groupBy("__id", "y").agg(F.min("t").alias("t"))  # at most SAMPLE texts, of which the driver gets numbers
+    rows = _mapped(known, "t", ["y"], "x", T.ArrayType(T.DoubleType()), lambda c: features(c).tolist()).collect()
     y = np.array([r[0] for r in rows], float)
     return Logistic(np.array([r[1] for r in rows]), y) if 0 < y.sum() < len(y) else None
 
@@ -150,8 +151,8 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     made = {"evidence", "site_rate", "score", "kept"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     model = fit(docs, labels, id_col, text)
-    sites, rate, k = site_rates(evidence(docs.select(host, path, text), model, text, keep=[host, path]), host, path)
-    scored = evidence(docs, model, text, keep=list(dict.fromkeys([*keep, host, path])))
+    scored = written(evidence(docs, model, text, keep=list(dict.fromkeys([*keep, host, path]))), "evidence")
+    sites, rate, k = site_rates(scored, host, path)
     own_h, own_p, n, total, prior = inner_names(docs, "h", "p", "n", "total", "prior")
     sites = sites.select(F.col("h").alias(own_h), F.col("p").alias(own_p), F.col("n").alias(n), F.col("total").alias(total), F.col("prior").alias(prior))
     joined = scored.join(sites, F.col(host).eqNullSafe(F.col(own_h)) & F.col(path).eqNullSafe(F.col(own_p)), "left")
