@@ -109,10 +109,12 @@ def kd_tree(docs: DataFrame, leaves: int = 16, id_col: str = "doc_id", text_col:
 
 
 def with_slots(sharded: DataFrame) -> DataFrame:
-    """With ``slot``, gapless from 0 in each shard. Rows are numbered in parts of bounded size, from where the parts before end."""
-    parts = sharded.groupBy("shard").agg(F.ceil(F.count("*") / SLOT_ROWS).cast("int").alias("parts"))
-    own = sharded.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id", "crc"), F.col("parts"))).drop("parts")
+    """With ``slot``, gapless from 0 in each shard. Rows are written with a number of their own and, by its hash, dealt to parts of bounded size, rows that
+    repeat an id and text, too; each part is numbered from where the parts before end."""
+    own = written(sharded.withColumn("u", F.monotonically_increasing_id()), "sharded")
+    parts = own.groupBy("shard").agg(F.ceil(F.count("*") / SLOT_ROWS).cast("int").alias("parts"))
+    own = own.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).drop("parts")
     sizes = own.groupBy("shard", "part").agg(F.count("*").alias("n"))
     first = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
-    numbered = own.withColumn("r", F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc")) - 1)
+    numbered = own.withColumn("r", F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc", "u")) - 1)
     return numbered.join(first, ["shard", "part"]).select(*sharded.columns, (F.col("first") + F.col("r")).cast("long").alias("slot"))
