@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,21 @@ __all__ = ["MAP_MB", "NULL_ID", "bounded_batches", "clear_shared", "components",
 NULL_ID = -(2**63)
 
 
-#: Rows that go to a Python worker at once.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes of them, that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 32_000_000
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows of whole texts go to Python in small batches, each of which executor and worker hold; a session that has set fewer keeps its own."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    """Rows of whole texts go to Python in small batches, each of which executor and worker hold, by number and by bytes.
+
+    A session that has set less keeps its own. The settings stay: a plan reads them when it runs, which is after the operator has returned.
+    """
+    for name, most in ((_ROWS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):  # a session gives its number of bytes with a unit
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(name).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

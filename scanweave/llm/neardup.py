@@ -152,7 +152,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray | None], y: tuple[np.ndarray, np.
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+    for b in (some for whole in batches for part in W.pieces(iter([whole]), "sa", BLOCK_BYTES) for some in W.pieces(iter([part]), "sb", BLOCK_BYTES)):
         rows = zip(*(b.column(c).to_pylist() for c in ("sa", "ca", "sb", "cb")), strict=True)
         ok = pa.array([similarity(_read(sa, ca), _read(sb, cb)) >= SIMILARITY for sa, ca, sb, cb in rows], pa.bool_())
         yield b.select(["a", "b"]).filter(ok)

@@ -89,7 +89,7 @@ def test_scores_from_freshly_made_dictionaries(spark, sf):
         w = [p for x in (t or "").lower().split() for p in ([x] if len(x) <= 24 else [x[i : i + 24] for i in range(0, len(x) - 12, 12)])]
         return [(" " + " ".join(w[i : i + 3])).encode() for i in range(0, len(w), 3)]
 
-    bad, good = toxicity.trained(words), toxicity.trained([w for t in o0 for w in cut(t)[:20]])
+    bad, good = toxicity.trained(words), toxicity.trained([w for t in o0 for w in cut(t)])
     n = min(len(bad), len(good))
     how = zstandard.ZstdCompressionParameters(window_log=12, hash_log=11, chain_log=11, search_log=4, min_match=5, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
     with_ = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d[len(d) - n :] + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
