@@ -48,15 +48,41 @@ def test_points_that_are_not_finite_are_near_nothing(spark):
     assert got.count() == 43 and {r.cluster_id for r in got.where("point_id >= 100").collect()} == {-1}
 
 
-@pytest.mark.parametrize("q", [0.0, 0.65])
-def test_quantiles_of_large_groups(spark, q):
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.65, 0.95, 1.0])
+def test_quantiles(spark, q):
     rng = np.random.default_rng(4)
-    groups = [rng.normal(size=3000), np.exp(rng.normal(size=2500) * 20), np.round(rng.random(900) * 5), np.full(700, 3.25), rng.random(7)]
-    rows = [(k, float(v)) for k, g in enumerate(groups) for v in g] + [(0, None)]
+    groups = [rng.normal(size=12_000), np.exp(rng.normal(size=2500) * 20), np.round(rng.random(900) * 5), np.full(700, 3.25), rng.random(7), -rng.random(300) * 1e-310, np.array([0.0, -0.0, 1.0])]
+    rows = [(k, float(v)) for k, g in enumerate(groups) for v in g] + [(0, None), (99, None)]
     df = spark.createDataFrame(rows, "k int, v double").repartition(4)
-    got = {r.k: (r.a, r.b) for r in order.exact_quantiles(df, ["k"], {"a": ("v", q), "b": ("v", 0.25)}, bound=500).collect()}
+    got = {r.k: (r.a, r.b) for r in order.exact_quantiles(df, ["k"], {"a": ("v", q), "b": ("v", 0.25)}).collect()}
+    assert got.pop(99) == (None, None)
     for k, g in enumerate(groups):
-        assert np.allclose(got[k], (np.quantile(g, q), np.quantile(g, 0.25)), rtol=1e-12)
+        assert np.allclose(got[k], (np.quantile(g, q), np.quantile(g, 0.25)), rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("n", [40, 10_500])
+def test_quantiles_of_values_that_are_no_numbers(spark, n):
+    """NaN does not count, infinities are ends, and a search ends whatever the values."""
+    base = np.random.default_rng(2).normal(size=n)
+    extra = {0: [np.nan], 1: [np.inf], 2: [1e308, -1e308], 3: [-np.inf, np.inf, np.nan], 4: [5e-324, -5e-324, 2.2250738585072014e-308]}
+    rows = [(k, float(v)) for k, more in extra.items() for v in [*base, *more]] + [(5, float("nan"))] * 3 + [(6, float("inf"))] * 2 + [(6, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    got = {r.k: r for r in order.exact_quantiles(df, ["k"], {"low": ("v", 0.0), "mid": ("v", 0.5), "most": ("v", 0.95), "all": ("v", 1.0)}).collect()}
+    for k, more in extra.items():
+        own = np.sort([v for v in [*base, *more] if not np.isnan(v)])
+        assert got[k].low == own[0] and got[k]["all"] == own[-1]
+        assert np.isclose(got[k].mid, np.quantile(own, 0.5), rtol=1e-12) and np.isclose(got[k].most, np.quantile(own, 0.95), rtol=1e-12)
+    assert tuple(got[5])[1:] == (None,) * 4 and tuple(got[6])[1:] == (1.0, float("inf"), float("inf"), float("inf"))
+
+
+def test_longs_are_in_the_order_of_doubles(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.integers(-(2**63), 2**63, 20_000).view(np.float64), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1024), 0), [0.0, np.inf, -np.inf, 1e308]])
+    v = v[~np.isnan(v)]
+    rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", order.double_order(F.col("v")).alias("k")).collect()
+    bits = np.array([r.v for r in rows]).view(np.int64)
+    want = np.where(bits < 0, -(bits & 0x7FFFFFFFFFFFFFFF), bits)
+    assert [r.k for r in rows] == want.tolist()
 
 
 def test_numbers_of_large_groups(spark):
@@ -104,7 +130,7 @@ def dbscan(p, eps, least):
     return label
 
 
-@pytest.mark.parametrize("eps,least", [(0.25, 4), (0.1, 3), (0.6, 5)])
+@pytest.mark.parametrize("eps,least", [(0.25, 4), (0.1, 3), (0.6, 5), (0.35, 8), (1.5, 9)])
 def test_clusters(spark, eps, least):
     p, df = cloud(spark, 400, 3)
     got = {r.point_id: r.cluster_id for r in sc.clusters(df, ["k"], eps, least).collect()}
