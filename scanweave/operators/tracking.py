@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from scanweave.functions.scratch import written
 from scanweave.schema import Params
 
 
@@ -98,62 +99,110 @@ def basic_tracks(detections: DataFrame, keys: list[str], p: Params = Params()) -
     return detections.join(found.join(number, [*group, "local"]).select(*keys, "det_id", "track_id"), [*keys, "det_id"])
 
 
-def merge_points(existing: np.ndarray, new: np.ndarray, distance: float) -> np.ndarray:
-    """New points farther than ``distance`` from all existing ones, found by grid cells; either side may be empty."""
-    if not len(existing) or not len(new):
-        return new
-    cells: dict[tuple, list[int]] = {}
-    for k, c in enumerate(map(tuple, np.floor(existing / distance).astype(np.int64))):
-        cells.setdefault(c, []).append(k)
-    keep = []
-    for p, (i, j, k) in zip(new, np.floor(new / distance).astype(np.int64), strict=True):
-        near = [x for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for x in cells.get((i + a, j + b, k + c), ())]
-        keep.append(not near or ((existing[near] - p) ** 2).sum(1).min() > distance * distance)
-    return new[np.array(keep)]
-
-
 def near_median(points: np.ndarray, sigmas: float = 2.0) -> np.ndarray:
     """M5b of one detection: points whose distance from its median is at most the mean such distance plus so many deviations."""
-    if len(points) < 3:
+    n = len(points)
+    if n < 3:
         return points
-    far = np.linalg.norm(points - np.median(points, axis=0), axis=1)
+    order = np.sort(points, axis=0)
+    away = points - (order[(n - 1) // 2] + order[n // 2]) / 2
+    far = np.sqrt((away * away).sum(1))
     return points[far <= far.mean() + sigmas * far.std()]
 
 
+#: Steps to a cell and those around it.
+_AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+
 class Models:
-    """The open tracks of a sequence with the points they have accumulated."""
+    """The open tracks of a sequence, each with a few figures of the points that it has accumulated, and the points themselves by cells.
 
-    def __init__(self, p: Params):
-        self.p, self.call, self.number = p, None, 0
-        #: By number: points, when last seen, number of detections.
-        self.open: dict[int, tuple[np.ndarray, float, int]] = {}
-        self.known: list[int] = []
+    ``cells`` maps (track, i, j, k) to the points of a cell, three numbers each in a row. A detection reads the cells that its points touch and no others,
+    so its work does not grow with the track. Any mapping with ``get``, item assignment and ``forget(track)`` will do, a stream's state among them.
+    """
 
-    def take(self, det_id: int, ts: float, camera: str, points: list[dict]) -> tuple:
+    def __init__(self, p: Params, cells=None, heads: dict[int, tuple] | None = None, number: int = 0, call: tuple | None = None, limit: int = 0):  # noqa: ANN001
+        self.p, self.cells, self.number = p, Cells() if cells is None else cells, number
+        #: By number: when last seen, detections, points, their sums, least and greatest coordinates.
+        self.open: dict[int, tuple[float, int, int, list[float], list[float], list[float]]] = heads or {}
+        #: The frame and camera that detections come from now; only tracks with lower numbers than ``limit`` were there before it.
+        self.call, self.limit = call, limit
+
+    def expire(self, ts: float) -> None:
+        for k in [k for k, m in self.open.items() if ts - m[0] > self.p.model_gap]:
+            del self.open[k]
+            self.cells.forget(k)
+
+    def merged(self, track: int, new: np.ndarray) -> np.ndarray:
+        """Of new points those farther than the distance from all that the track has; new points are not compared with each other."""
+        d, get = self.p.merge_distance, self.cells.get
+        keep = []
+        for (x, y, z), (i, j, k) in zip(new.tolist(), np.floor(new / d).astype(np.int64).tolist(), strict=True):
+            near = False
+            for a, b, c in _AROUND:
+                q = get((track, i + a, j + b, k + c))
+                if q is not None and any((q[m] - x) ** 2 + (q[m + 1] - y) ** 2 + (q[m + 2] - z) ** 2 <= d * d for m in range(0, len(q), 3)):
+                    near = True
+                    break
+            keep.append(not near)
+        return new[np.array(keep, bool)]
+
+    def add(self, track: int, new: np.ndarray) -> None:
+        for p, (i, j, k) in zip(new.tolist(), np.floor(new / self.p.merge_distance).astype(np.int64).tolist(), strict=True):
+            self.cells[track, i, j, k] = [*(self.cells.get((track, i, j, k)) or ()), *p]
+
+    def take(self, det_id: int, ts: float, camera: str, x: list[float], y: list[float], z: list[float]) -> tuple:
         if (ts, camera) != self.call:  # a frame and camera: only tracks open before it can be joined
-            self.call = (ts, camera)
-            self.open = {k: m for k, m in self.open.items() if ts - m[1] <= self.p.model_gap}
-            self.known = list(self.open)
-        pts = np.array([(q["x"], q["y"], q["z"]) for q in points], float)
-        mid, best, low = pts.mean(0), None, math.inf
-        for k in self.known:
-            cloud, seen, _ = self.open[k]
-            far = float(np.linalg.norm(cloud.mean(0) - mid))
-            if far <= self.p.model_distance and far + 0.1 * (ts - seen) < low:
-                best, low = k, far + 0.1 * (ts - seen)
-        clean = near_median(pts)
+            self.call, self.limit = (ts, camera), self.number
+            self.expire(ts)
+        pts = np.array((x, y, z), float).T
+        mid, best, low = pts.mean(0).tolist(), None, math.inf
+        for k, (seen, _, n, total, _, _) in self.open.items():
+            if k < self.limit:
+                far = math.dist([t / n for t in total], mid)
+                if far <= self.p.model_distance and far + 0.1 * (ts - seen) < low:
+                    best, low = k, far + 0.1 * (ts - seen)
+        new = near_median(pts)
         if best is None:
-            best, cloud, n, new = self.number, clean, 0, clean
+            best, times, n, total, least, most = self.number, 0, 0, [0.0] * 3, [math.inf] * 3, [-math.inf] * 3
             self.number += 1
         else:
-            cloud, _, n = self.open[best]
-            new = merge_points(cloud, clean, self.p.merge_distance)
-            cloud = np.vstack([cloud, new]) if len(new) else cloud
-        self.open[best] = (cloud, ts, n + 1)
-        return det_id, best, n + 1, len(new), len(cloud), *cloud.mean(0).tolist(), *cloud.min(0).tolist(), *cloud.max(0).tolist()
+            _, times, n, total, least, most = self.open[best]
+            new = self.merged(best, new)
+        if len(new):
+            self.add(best, new)
+            total = [a + b for a, b in zip(total, new.sum(0).tolist(), strict=True)]
+            least, most = [*map(min, least, new.min(0).tolist())], [*map(max, most, new.max(0).tolist())]
+        n += len(new)
+        self.open[best] = (ts, times + 1, n, total, least, most)
+        return det_id, best, times + 1, len(new), n, *(t / n for t in total), *least, *most
+
+
+class Cells(dict):
+    """Points by (track, i, j, k) in memory."""
 
+    def __init__(self):
+        super().__init__()
+        self.of: dict[int, list[tuple]] = {}
 
-_MODEL = [f"{n}_{a}" for n in ("centre", "lo", "hi") for a in "xyz"]
+    def __setitem__(self, key: tuple, points: list[float]) -> None:
+        if key not in self:
+            self.of.setdefault(key[0], []).append(key)
+        super().__setitem__(key, points)
+
+    def forget(self, track: int) -> None:
+        for key in self.of.pop(track, ()):
+            del self[key]
+
+
+MODEL = [f"{n}_{a}" for n in ("centre", "lo", "hi") for a in "xyz"]
+MODEL_DDL = "det_id BIGINT, track_id BIGINT, det_ordinal BIGINT, n_new BIGINT, n_points BIGINT, " + ", ".join(f"{c} DOUBLE" for c in MODEL)
+
+
+def with_coordinates(detections: DataFrame) -> DataFrame:
+    """Detections that have points, whose coordinates as three arrays ``px, py, pz``."""
+    own = detections.where(F.size("points") > 0)
+    return own.withColumns({f"p{a}": F.transform("points", lambda q: q[a].cast("double")) for a in "xyz"})  # noqa: B023
 
 
 def accumulating_tracks(detections: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
@@ -162,24 +211,31 @@ def accumulating_tracks(detections: DataFrame, keys: list[str], p: Params = Para
 
     A detection goes to the track open before its frame and camera whose centre is nearest to the mean of its points (plus a tenth of a metre for each
     second), if not too far or too old. Of its points those near its median (M5b) are added that the track doesn't have (J5). Tracks of two detections
-    and more are kept. A task holds the points of open tracks.
+    and more are kept.
+
+    After a pause longer than the gap no track is open. So a sequence is cut there into stretches, which are tracked apart and whose tracks are then
+    numbered on; a task holds the points of one stretch's open tracks.
     """
-    own = detections.where(F.size("points") > 0)
+    own = with_coordinates(gap_segments(detections.where(F.size("points") > 0), keys, p.model_gap)).withColumnRenamed("segment_id", "__stretch")
 
     def start() -> Callable[[tuple], tuple]:
         models = Models(p)
-        return lambda r: models.take(*r[:4])
+        return lambda r: models.take(*r[:6])
 
-    schema = "det_id BIGINT, track_id BIGINT, det_ordinal BIGINT, n_new BIGINT, n_points BIGINT, " + ", ".join(f"{c} DOUBLE" for c in _MODEL)
-    made = _in_order(own, keys, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "points", "det_seq"], schema, start)
-    kept = made.groupBy(*keys, "track_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= 2).select(*keys, "track_id")
-    return made.join(kept, [*keys, "track_id"])
+    stretch = [*keys, "__stretch"]
+    made = _in_order(own, stretch, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "px", "py", "pz", "det_seq"], MODEL_DDL, start)
+    made = written(made, "accumulated")
+    opened = made.groupBy(*stretch).agg((F.max("track_id") + 1).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = made.groupBy(*stretch, "track_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= 2).select(*stretch, "track_id")
+    first = opened.select(*stretch, before.alias("__first"))
+    return made.join(kept.join(first, stretch), [*stretch, "track_id"]).withColumn("track_id", F.col("track_id") + F.col("__first")).drop("__stretch", "__first")
 
 
 def model_summary(accumulated: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
     """Of each track of ``accumulating_tracks`` its detections, accumulated points, centre, size, duration, cameras, and quality
     min(1, points / 100 * detections / 5)."""
-    last = F.max_by(F.struct("n_points", *_MODEL), "det_ordinal").alias("m")
+    last = F.max_by(F.struct("n_points", *MODEL), "det_ordinal").alias("m")
     when = accumulated.join(detections.select(*keys, "det_id", "ts", "camera"), [*keys, "det_id"])
     got = when.groupBy(*keys, "track_id").agg(
         F.count("*").alias("n_detections"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"), last

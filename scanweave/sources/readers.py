@@ -5,6 +5,7 @@ Rows that can't be read go to a rejects output where one is named; nothing is in
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scanweave.functions.scratch import written
 from scanweave.schema import CALIBRATION, CATALOGUE
 
 _POINT = "file STRING, point_id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, intensity FLOAT"
@@ -29,63 +31,158 @@ def _with_line(raw: DataFrame) -> DataFrame:
     return own.withColumn("__own", number).join(first, ["file", "__block"]).withColumn("line", F.col("__first") + F.col("__own")).drop("__block", "__at", "__own", "__first")
 
 
-def read_pcd_ascii(spark: SparkSession, path: str, fill_intensity: float | None = None, rejects: bool = False) -> DataFrame:
+def _ascii_numbers(line: Column) -> tuple[dict[str, Column], Column]:
+    """Coordinates and intensity of a line, and whether it holds no point."""
+    part = F.split(F.trim(line), "\\s+")
+    number = lambda k: F.get(part, F.lit(k)).try_cast("double")
+    got = {"x": number(0), "y": number(1), "z": number(2), "intensity": number(3).cast("float")}
+    bad = line.startswith("#") | got["x"].isNull() | got["y"].isNull() | got["z"].isNull() | ((F.size(part) > 3) & got["intensity"].isNull())
+    return got, bad
+
+
+def read_pcd_ascii(spark: SparkSession, path: str | list[str], fill_intensity: float | None = None, rejects: bool = False) -> DataFrame:
     """``file, point_id`` (line number), ``x, y, z, intensity`` of ASCII point files; with ``rejects`` the lines of data that hold no point.
 
-    Files are read line by line, a large one by many tasks; blocks of it are numbered apart.
+    Files are read line by line, a large one by many tasks; blocks of it are numbered apart. ``read_pcd`` tells which files hold no point at all.
     """
     raw = _with_line(spark.read.text(path))
     head = raw.where(F.lower(F.trim("value")) == "data ascii").groupBy("file").agg(F.min("line").alias("head"))
     body = raw.join(head, "file").where((F.col("line") > F.col("head")) & (F.trim("value") != ""))
-    part = F.split(F.trim("value"), "\\s+")
-    number = lambda k: F.get(part, F.lit(k)).try_cast("double")
-    got = body.withColumns({"x": number(0), "y": number(1), "z": number(2), "intensity": number(3).cast("float")})
-    bad = F.col("value").startswith("#") | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull() | ((F.size(part) > 3) & F.col("intensity").isNull())
+    numbers, bad = _ascii_numbers(F.col("value"))
     if rejects:
-        return got.where(bad).select("file", "line", "value")
-    intensity = F.col("intensity") if fill_intensity is None else F.coalesce("intensity", F.lit(fill_intensity).cast("float"))
-    return got.where(~bad).select("file", F.col("line").cast("long").alias("point_id"), "x", "y", "z", intensity.alias("intensity"))
+        return body.where(bad).select("file", "line", "value")
+    intensity = numbers.pop("intensity")
+    intensity = intensity if fill_intensity is None else F.coalesce(intensity, F.lit(fill_intensity).cast("float"))
+    return body.where(~bad).select("file", F.col("line").cast("long").alias("point_id"), *(c.alias(n) for n, c in numbers.items()), intensity.alias("intensity"))
+
+
+#: Bytes of a header that is looked for, and records that a task reads from a binary file at once.
+HEADER_BYTES, RECORDS = 65_536, 1_000_000
+_KINDS = {"f4", "f8", "i1", "i2", "i4", "i8", "u1", "u2", "u4", "u8"}
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "file:///", path))
+    return system.open_input_file(place)
 
 
 def _pcd_header(data: bytes) -> tuple[dict[str, list[str]], int]:
+    """Words by the first word of each line, up to the line of DATA, and where that ends; an error for what is no header."""
     fields: dict[str, list[str]] = {}
     at = 0
-    while at < len(data):
-        end = data.index(b"\n", at)
+    while "DATA" not in fields:
+        end = data.find(b"\n", at)
+        if end < 0:
+            raise ValueError("no DATA line")
         words = data[at:end].decode("ascii", "replace").split()
         at = end + 1
         if words and not words[0].startswith("#"):
             fields[words[0].upper()] = words[1:]
-            if words[0].upper() == "DATA":
-                break
     return fields, at
 
 
-def read_pcd_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Binary point files, little-endian records as the header lays them out; a cut-off record ends a file, missing coordinates are 0."""
-    schema = _POINT.replace("intensity FLOAT", "intensity FLOAT, error STRING")
+def _layout(fields: dict[str, list[str]]) -> np.dtype:
+    names = fields.get("FIELDS", ["x", "y", "z"])
+    counts = [int(c) for c in fields.get("COUNT", ["1"] * len(names))]
+    kinds = [f"{t.lower()}{s}" for t, s in zip(fields.get("TYPE", ["F"] * len(names)), fields.get("SIZE", ["4"] * len(names)), strict=True)]
+    if not set(kinds) <= _KINDS:
+        raise ValueError(f"unknown types {' '.join(sorted(set(kinds) - _KINDS))}")
+    return np.dtype([(n, f"<{k}", (c,)) if c != 1 else (n, f"<{k}") for n, k, c in zip(names, kinds, counts, strict=True)])
+
+
+def _number(word: bytes) -> bool:
+    try:
+        float(word)
+        return True
+    except ValueError:
+        return False
+
+
+def _any_point(f, at: int) -> bool:
+    """Whether an ASCII file holds a point from ``at`` on; it is read until the first, so mostly a few lines."""
+    f.seek(at)
+    rest = b""
+    while block := f.read(HEADER_BYTES):
+        *lines, rest = (rest + block).split(b"\n")
+        if any(len(w := x.split()) >= 3 and not x.startswith(b"#") and all(map(_number, w[:4])) for x in lines):
+            return True
+    return len(w := rest.split()) >= 3 and not rest.startswith(b"#") and all(map(_number, w[:4]))
+
+
+_ABOUT = "file STRING, kind STRING, head BIGINT, records BIGINT, fields MAP<STRING, ARRAY<STRING>>, error STRING"
+
+
+def pcd_files(listed: DataFrame) -> DataFrame:
+    """``file, kind, head, records, fields, error`` of point files (``path, length``): from the first bytes of each, in tasks. A damaged header, a kind that
+    is neither ASCII nor binary, and a file without a point have an error. Spark does not list files of no bytes."""
+
+    def about(path: str, length: int) -> tuple:
+        kind, at, records, fields, error = None, 0, 0, None, None
+        try:
+            with _opened(path) as f:
+                fields, at = _pcd_header(f.read(HEADER_BYTES))
+                kind = (" ".join(fields["DATA"]) or "nothing").lower()
+                if kind == "ascii":
+                    error = None if _any_point(f, at) else "no points"
+                elif kind == "binary":
+                    size = _layout(fields).itemsize
+                    records = min((length - at) // size, int(fields.get("POINTS", ["0"])[0]) or 2**62) if size else 0
+                    error = None if records else "no points"
+                else:
+                    error = f"not ascii or binary: {kind}"
+        except (ValueError, TypeError, OSError, IndexError) as e:
+            error = f"damaged: {e}"
+        return path, kind, at, records, fields, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([about(p, n) for p, n in zip(b["path"], b["length"], strict=True)], columns=["file", "kind", "head", "records", "fields", "error"])
+
+    return listed.select("path", "length").mapInPandas(run, _ABOUT)
 
-    def one(file: str, data: bytes) -> pd.DataFrame:
-        fields, at = _pcd_header(data)
-        if fields.get("DATA") != ["binary"]:
-            return pd.DataFrame({"file": [file], "error": [f"not binary: {' '.join(fields.get('DATA', []))}"]})
-        counts = [int(c) for c in fields.get("COUNT", ["1"] * len(fields["FIELDS"]))]
-        kinds = [f"<{t.lower()}{s}" for t, s in zip(fields["TYPE"], fields["SIZE"], strict=True)]
-        record = np.dtype([(n, k, (c,)) if c > 1 else (n, k) for n, k, c in zip(fields["FIELDS"], kinds, counts, strict=True)])
-        n = min((len(data) - at) // record.itemsize, int(fields.get("POINTS", ["0"])[0]) or 2**62)
-        rows = np.frombuffer(data, record, n, at)
-        value = lambda c, missing: rows[c].astype(float) if c in record.names else np.full(n, missing)
-        return pd.DataFrame({"file": file, "point_id": np.arange(n), "x": value("x", 0.0), "y": value("y", 0.0), "z": value("z", 0.0), "intensity": value("intensity", np.nan), "error": None})
+
+def pcd_records(files: DataFrame, records: int = RECORDS) -> DataFrame:
+    """The points of binary files of ``pcd_files``, little-endian records as the header lays them out; a cut-off record ends a file, missing coordinates
+    are 0. A task reads ranges of records, so a large file is many tasks."""
+    ranges = files.where("kind = 'binary' and error is null").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(records).cast("long"))))
+    # a fixed number, as ranges are small rows that would be put together again
+    ranges = ranges.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file", "point_id", "x", "y", "z", "intensity", "error"]
         for b in batches:
-            for file, data in zip(b["path"], b["content"], strict=True):
-                out = one(file, data).reindex(columns=columns)
-                out["point_id"] = out["point_id"].astype("Int64")
-                yield out
+            for r in b.itertuples():
+                record = _layout({k: list(v) for k, v in dict(r.fields).items()})
+                with _opened(r.file) as f:
+                    for first in range(r.first, min(r.first + records, r.records), 100_000):
+                        n = min(100_000, r.first + records - first, r.records - first)
+                        f.seek(r.head + first * record.itemsize)
+                        rows = np.frombuffer(f.read(n * record.itemsize), record)
+                        value = lambda c, missing: rows[c].reshape(len(rows), -1)[:, 0].astype(float) if c in record.names else np.full(len(rows), missing)  # noqa: B023, E731
+                        yield pd.DataFrame({"file": r.file, "point_id": np.arange(first, first + len(rows)), "x": value("x", 0.0), "y": value("y", 0.0), "z": value("z", 0.0), "intensity": value("intensity", np.nan).astype("float32")})
+
+    return ranges.select("file", "head", "records", "fields", "first").mapInPandas(run, _POINT)
+
+
+def _listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files with their lengths; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def _no_error(points: DataFrame) -> DataFrame:
+    return points.withColumn("error", F.lit(None).cast("string"))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+def _errors(files: DataFrame) -> DataFrame:
+    return files.where("error is not null").select("file", *(F.lit(None).cast(t).alias(n) for n, t in (("point_id", "long"), *((a, "double") for a in "xyz"), ("intensity", "float"))), "error")
+
+
+def read_pcd_binary(spark: SparkSession, path: str | list[str], records: int = RECORDS) -> DataFrame:
+    """Points of binary files, as ``pcd_records`` has them; a row with its ``error`` for each file that is none."""
+    files = pcd_files(_listed(spark, path))
+    files = files.withColumn("error", F.when(F.col("kind") != "binary", F.concat(F.lit("not binary: "), "kind")).otherwise(F.col("error")))
+    return _no_error(pcd_records(files, records)).unionByName(_errors(files))
 
 
 def read_point_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -167,11 +264,16 @@ def find_class_tables(spark: SparkSession, path: str, override: dict[str, str] |
     return first.unionByName(fall)
 
 
-def read_pcd(spark: SparkSession, path: str) -> DataFrame:
-    """Point files of either kind, as each one's header says: lines of those that are ASCII, records of those that are binary. A file of another
-    kind has no points but a row with its ``error``."""
-    binary = read_pcd_binary(spark, path).where("error is null or error <> 'not binary: ascii'")
-    return read_pcd_ascii(spark, path).withColumn("error", F.lit(None).cast("string")).unionByName(binary)
+def read_pcd(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Point files of either kind, each read once, as its header says: lines of those that are ASCII, ranges of records of those that are binary. A
+    file of another kind, with a damaged header, or without a point has no points but a row with its ``error``.
+
+    Tasks open files by pyarrow's file systems; the driver holds the names of the ASCII files, as Spark does of files that it reads.
+    """
+    files = written(pcd_files(_listed(spark, path)), "files")
+    lines = [r.file for r in files.where("kind = 'ascii' and error is null").select("file").toLocalIterator()]
+    binary = _no_error(pcd_records(files)).unionByName(_errors(files))
+    return _no_error(read_pcd_ascii(spark, lines)).unionByName(binary) if lines else binary
 
 
 _READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pcd": read_pcd, "csv": read_point_csv, "parquet": lambda s, p: s.read.parquet(p), "json": lambda s, p: s.read.json(p)}
@@ -214,7 +316,3 @@ def pick_topic(topics: DataFrame, bag: str = "bag") -> DataFrame:
     hit = topics.where(F.lower("topic").rlike("pointcloud|velodyne_points|points|lidar"))
     return hit.groupBy(bag).agg(F.min_by("topic", "pos").alias("topic"))
 
-
-def numbered(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """A stable point number: the place in its file, never a partition's."""
-    return lines.withColumn("point_id", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long") - 1)

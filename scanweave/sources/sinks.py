@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,34 @@ from scanweave.operators.stats import bounds_of
 from scanweave.operators.tracking import with_age
 
 
+Writer = Callable[[DataFrame, str], object]
+_WRITERS: dict[str, Writer] = {
+    "parquet": lambda rows, path: rows.write.mode("overwrite").parquet(path),
+    "csv": lambda rows, path: rows.write.mode("overwrite").csv(path, header=True),
+    "json": lambda rows, path: rows.write.mode("overwrite").json(path),
+}
+
+
+def register_writer(kind: str, writer: Writer) -> None:
+    """§2.12: an exporter for a format, beside those that are there or in place of one."""
+    _WRITERS[kind.lower().lstrip(".")] = writer
+
+
+def formats() -> list[str]:
+    """§2.12: the formats that can be written."""
+    return sorted(_WRITERS)
+
+
+def export(results: dict[str, DataFrame], path: str, kind: str = "parquet") -> dict[str, str]:
+    """§2.12: each named result in a folder of its own under ``path``, by the exporter of a format; where each went."""
+    if kind.lower() not in _WRITERS:
+        raise ValueError(f"no writer for {kind}; there are {', '.join(formats())}")
+    places = {name: f"{path.rstrip('/')}/{name}" for name in results}
+    for name, rows in results.items():
+        _WRITERS[kind.lower()](rows, places[name])
+    return places
+
+
 def write_classes(labelled: DataFrame, path: str, label: str = "label") -> None:
     """K1: one partition for each class."""
     labelled.write.mode("overwrite").partitionBy(label).parquet(path)

@@ -272,7 +272,11 @@ def accumulated(rows, p):
 
 
 def test_accumulating_tracker(spark, sf):
-    d = tracking._with_points(spark, sf)
+    """A sequence in two stretches, five seconds apart, and one without a pause."""
+    d = tracking._with_points(spark, sf).withColumn("ts", F.when((F.col("sequence_no") == 1) & (F.col("frame_id") >= 20), F.col("ts") - 5).otherwise(F.col("ts")))
+    # off the grid, where distances are not the limit itself but for rounding
+    d = d.withColumn("points", F.transform("points", lambda q: F.struct((q.x * 1.0137).alias("x"), q.y.alias("y"), q.z.alias("z"))))
+    assert {r.n for r in tr.gap_segments(d, fx.TRACK_KEYS, 1.5).groupBy("sequence_no").agg(F.max("segment_id").alias("n")).collect()} >= {0, 1}
     rows = sorted(d.collect(), key=lambda r: (r.ts, r.camera, r.det_seq, r.det_id))
     made = {(r.sequence_no, r.det_id): r for r in tr.accumulating_tracks(d.orderBy(F.rand(1)), fx.TRACK_KEYS).collect()}
     summary = {(r.sequence_no, r.track_id): r for r in tr.model_summary(tr.accumulating_tracks(d, fx.TRACK_KEYS), d, fx.TRACK_KEYS).collect()}
@@ -331,12 +335,27 @@ def test_people_count(spark):
     assert {r.k: r.people for r in oc.human_count(df, ["k"]).collect()} == {0: want, 1: 0} and want == 3
 
 
-def test_merge_points():
+def test_points_merge_by_cells():
     rng = np.random.default_rng(0)
     a, b = rng.random((80, 3)), rng.random((60, 3))
     want = [q for q in b if np.sqrt(((a - q) ** 2).sum(1)).min() > 0.1]
-    assert np.allclose(tr.merge_points(a, b, 0.1), want)
-    assert len(tr.merge_points(np.zeros((0, 3)), b, 0.1)) == 60 and len(tr.merge_points(a, b[:0], 0.1)) == 0
+    m = tr.Models(Params(merge_distance=0.1))
+    m.add(3, a)
+    assert np.allclose(m.merged(3, b), want) and len(m.merged(4, b)) == 60 and len(m.merged(3, b[:0])) == 0
+    m.cells.forget(3)
+    assert not m.cells and len(m.merged(3, b)) == 60
+
+
+def test_work_of_a_track_does_not_grow():
+    """Cells that a detection looks at, whatever the track has gathered."""
+    m, looked = tr.Models(Params()), []
+    get = m.cells.get
+    m.cells.get = lambda key: looked[-1].append(key) or get(key)
+    rng = np.random.default_rng(1)
+    for k in range(300):
+        looked.append([])
+        m.take(k, k * 0.1, "cam0", *(rng.random((3, 8)) * 2).tolist())
+    assert m.number == 1 and m.open[0][2] > 2000 and max(map(len, looked)) <= 8 * 28
 
 
 def test_ground_falls_back(spark):

@@ -42,7 +42,7 @@ def test_pcd_of_either_kind(spark, tmp_path):
     (tmp_path / "b.pcd").write_bytes(b"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nPOINTS 2\nDATA binary\n" + struct.pack("<6f", 4, 5, 6, 7, 8, 9))
     (tmp_path / "c.pcd").write_bytes(b"FIELDS x\nDATA binary_compressed\n\0\0")
     rows = rd.read_any(spark, [str(tmp_path / f"{n}.pcd") for n in "abc"]).collect()
-    assert sorted((r.x, r.y, r.z) for r in rows if r.error is None) == [(1, 2, 3), (4, 5, 6), (7, 8, 9)] and [r.error for r in rows if r.error] == ["not binary: binary_compressed"]
+    assert sorted((r.x, r.y, r.z) for r in rows if r.error is None) == [(1, 2, 3), (4, 5, 6), (7, 8, 9)] and [r.error for r in rows if r.error] == ["not ascii or binary: binary_compressed"]
 
 
 def test_pcd_binary(spark, tmp_path):
@@ -55,6 +55,39 @@ def test_pcd_binary(spark, tmp_path):
     assert [r.error for r in rows if r.error] == ["not binary: ascii"]
 
 
+def test_large_binary_files_are_ranges(spark, tmp_path):
+    (tmp_path / "b.pcd").write_bytes(b"FIELDS x y z intensity\nSIZE 8 4 4 4\nTYPE F F F F\nDATA binary\n" + b"".join(struct.pack("<dfff", k, 2, 3, k % 7) for k in range(5000)) + b"cut")
+    df = rd.read_pcd_binary(spark, str(tmp_path), records=300)
+    assert sorted((r.point_id, r.x, r.intensity) for r in df.collect()) == [(k, float(k), k % 7) for k in range(5000)]
+    assert df.where("error is null").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_files_that_hold_no_points_are_error_rows(spark, tmp_path):
+    """Damaged headers, other kinds, and files without a valid point; the others are read."""
+    bad = {
+        "a.pcd": b"\xff\xfe" * 13, "b.pcd": b"FIELDS x y z\nDATA ascii\n# no\nbad 1 2\n1 2\n", "c.pcd": b"FIELDS x y z\nSIZE 4 4\nTYPE F F F\nDATA binary\n" + b"0" * 24,
+        "d.pcd": b"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nPOINTS 9\nDATA binary\n" + b"0" * 11, "e.pcd": b"FIELDS x y z\nSIZE 3 4 4\nTYPE F F F\nDATA binary\n" + b"0" * 24, "g.pcd": b"FIELDS x\nDATA\n", "h.pcd": b"DATA ascii\n",
+    }
+    for name, data in bad.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "x.pcd").write_bytes(b"FIELDS x y z\nDATA ascii\n" + b"# none here\n" * 9000 + b"1 2 3")
+    (tmp_path / "y.pcd").write_bytes(b"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nDATA binary\n" + struct.pack("<3f", 4, 5, 6))
+    rows = rd.read_pcd(spark, str(tmp_path)).collect()
+    assert sorted((r.x, r.y, r.z) for r in rows if r.error is None) == [(1, 2, 3), (4, 5, 6)]
+    errors = {r.file.rsplit("/", 1)[-1]: r.error for r in rows if r.error}
+    assert errors.keys() == bad.keys() and errors["b.pcd"] == errors["d.pcd"] == errors["h.pcd"] == "no points" and errors["a.pcd"].startswith("damaged")
+
+
+def test_exporters_by_registration(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    places = sk.export({"one": df, "two": df}, str(tmp_path / "out"), "json")
+    assert spark.read.json(places["two"]).first().name == "a" and set(places) == {"one", "two"}
+    sk.register_writer(".orc", lambda rows, path: rows.write.orc(path))
+    assert "orc" in sk.formats() and spark.read.orc(sk.export({"one": df}, str(tmp_path / "more"), "orc")["one"]).count() == 1
+    with pytest.raises(ValueError, match="there are csv, json"):
+        sk.export({"one": df}, str(tmp_path), "zzz")
+
+
 def test_point_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("point.x,point.y,point.z,i,r,g\n1,2,3,9,1,1\n")
     r = rd.read_point_csv(spark, str(tmp_path / "p.csv")).first()
