@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import with_cloud, with_each
+from .neighbors import finite
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
@@ -48,9 +51,23 @@ def transform_of_box(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns(mid | {"scale": clamp(least, 0.1, 3.0), "rotation_deg": F.lit(0.0)})
 
 
-def jittered(points: DataFrame, sigma: float, seed: int = 42) -> DataFrame:
-    """Gaussian noise on each axis, the same for the same partitioning and seed."""
-    return points.withColumns({a: F.col(a) + F.randn(seed + k) * sigma for k, a in enumerate("xyz")})
+#: A prime below 2**31, so that a square stays a long, and odd multipliers without a meaning.
+_PRIME, _MIX = 2147483647, (48271, 69621, 40692, 16807)
+
+
+def counter_uniform(id_col: str, stream: int, seed: int = 42) -> Column:
+    """A number in (0, 1) for each id, by three squarings of a counter modulo a prime: the same whatever the partitioning, in any SQL engine."""
+    x = F.pmod(F.col(id_col), F.lit(_PRIME)) * _MIX[0] + (seed * _MIX[1] + stream * _MIX[2] + 1)
+    for k in range(3):
+        x = F.pmod(x, F.lit(_PRIME))
+        x = x * x + x * _MIX[3] + (k + 1) * _MIX[1]
+    return (F.pmod(x, F.lit(_PRIME)) + 0.5) / _PRIME
+
+
+def jittered(points: DataFrame, sigma: float, seed: int = 42, id_col: str = "point_id") -> DataFrame:
+    """Gaussian noise on each axis from the point's id, the axis and the seed, by the transform of Box and Muller. A null id has no noise to go by."""
+    normal = lambda k: F.sqrt(-2 * F.log(counter_uniform(id_col, 2 * k, seed))) * F.cos(2 * math.pi * counter_uniform(id_col, 2 * k + 1, seed))
+    return points.withColumns({a: F.col(a) + normal(k) * sigma for k, a in enumerate("xyz")})
 
 
 def projected(points: DataFrame) -> DataFrame:
@@ -67,10 +84,11 @@ def above_plane(points: DataFrame) -> DataFrame:
 
 
 def voxels(points: DataFrame, keys: list[str], size: float = 0.1, half_below: bool = False) -> DataFrame:
-    """P10: voxel numbers ``gx, gy, gz`` from the cloud's least corner, or from half a voxel below it."""
-    low = with_cloud(points, keys, *(F.min(a).alias(f"lo_{a}") for a in "xyz"))
+    """P10: voxel numbers ``gx, gy, gz`` (long) from the cloud's least corner, or from half a voxel below it. Points whose coordinates are not all finite
+    numbers have no voxel: they are left out, and the corner is that of the others."""
+    low = with_cloud(finite(points), keys, *(F.min(a).alias(f"lo_{a}") for a in "xyz"))
     shift = size / 2 if half_below else 0.0
-    return low.withColumns({f"g{a}": F.floor((F.col(a) - (F.col(f"lo_{a}") - shift)) / size).cast("int") for a in "xyz"}).drop("lo_x", "lo_y", "lo_z")
+    return low.withColumns({f"g{a}": F.floor((F.col(a) - (F.col(f"lo_{a}") - shift)) / size).cast("long") for a in "xyz"}).drop("lo_x", "lo_y", "lo_z")
 
 
 def selection_colour(inside: Column) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .order import exact_quantiles
 from .scene import clusters
+from .tracking import in_order
 
 
 def occupant_summary(points: DataFrame, keys: list[str], probability: str = "probability") -> DataFrame:
@@ -32,25 +33,28 @@ def poses(points: DataFrame, keys: list[str], front_limit: float = 2.0) -> DataF
 
 
 def principal_direction(points: DataFrame, keys: list[str]) -> DataFrame:
-    """First principal axis (upwards, or else forwards), its yaw and pitch, and the share of variance it explains.
+    """First principal axis (upwards, or else forwards), its yaw and pitch, and the share of variance it explains, for three points and more.
 
-    The covariance matrix is six distributed sums; only one row of six numbers for each key meets Python.
+    The covariance matrix is six distributed sums. Its eigenvalues have a closed form, by cosines of an angle; the axis is the longest cross product of
+    two rows of the matrix less the greatest. Where that value is double, or all points are one, no axis is first and it is null. It is all column
+    expressions.
     """
-    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    m = points.groupBy(*keys).agg(F.count("*").alias("n"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs)).where("n >= 3")
-    schema = T.StructType([*(m.schema[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in ("ax", "ay", "az", "yaw", "pitch", "explained"))])
-
-    def run(batches):
-        for rows in batches:
-            c = rows[[f"c{a}{b}" for a, b in pairs]].to_numpy(float)
-            full = c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-            values, vectors = np.linalg.eigh(full)
-            axis = vectors[:, :, 2]
-            lead = np.where(np.abs(axis[:, 2]) > 1e-12, axis[:, 2], np.where(np.abs(axis[:, 0]) > 1e-12, axis[:, 0], axis[:, 1]))
-            axis = axis * np.where(lead < 0, -1.0, 1.0)[:, None]
-            yield pd.DataFrame({**{k: rows[k] for k in keys}, "ax": axis[:, 0], "ay": axis[:, 1], "az": axis[:, 2], "yaw": np.arctan2(axis[:, 1], axis[:, 0]), "pitch": np.arcsin(axis[:, 2].clip(-1, 1)), "explained": values[:, 2] / np.maximum(values.sum(1), 1e-300)})
-
-    return m.mapInPandas(run, schema)
+    pairs = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    m = points.groupBy(*keys).agg(F.count("*").alias("n"), *(F.covar_samp(t[0], t[1]).alias(f"c{t}") for t in pairs)).where("n >= 3")
+    m = m.withColumn("q", F.expr("(cxx + cyy + czz) / 3"))
+    m = m.withColumn("p", F.expr("sqrt(((cxx - q)*(cxx - q) + (cyy - q)*(cyy - q) + (czz - q)*(czz - q) + 2*(cxy*cxy + cxz*cxz + cyz*cyz)) / 6)"))
+    det = "((cxx - q)*((cyy - q)*(czz - q) - cyz*cyz) - cxy*(cxy*(czz - q) - cyz*cxz) + cxz*(cxy*cyz - (cyy - q)*cxz))"
+    m = m.withColumn("l", F.expr(f"case when p > 0 then q + 2*p*cos(acos(greatest(least({det} / (p*p*p) / 2, 1D), -1D)) / 3) end"))
+    rows = {"r": ("(cxx - l)", "cxy", "cxz"), "s": ("cxy", "(cyy - l)", "cyz"), "t": ("cxz", "cyz", "(czz - l)")}
+    cross = lambda u, v: [f"{u[1]}*{v[2]} - {u[2]}*{v[1]}", f"{u[2]}*{v[0]} - {u[0]}*{v[2]}", f"{u[0]}*{v[1]} - {u[1]}*{v[0]}"]
+    each = [cross(rows[a], rows[b]) for a, b in ("rs", "rt", "st")]
+    sides = F.array(*(F.struct((F.expr(" + ".join(f"({c})*({c})" for c in v))).alias("d"), *(F.expr(c).alias(a) for c, a in zip(v, "xyz", strict=True))) for v in each))
+    m = m.withColumn("v", F.array_max(sides))
+    lead = F.when(F.abs("v.z") > 1e-12 * F.sqrt("v.d"), F.col("v.z")).when(F.abs("v.x") > 1e-12 * F.sqrt("v.d"), F.col("v.x")).otherwise(F.col("v.y"))
+    length = F.when(F.col("v.d") > F.pow(F.col("p"), F.lit(4)) * 1e-20, F.sqrt("v.d") * F.when(lead < 0, -1).otherwise(1))
+    m = m.withColumns({f"a{a}": F.col(f"v.{a}") / length for a in "xyz"})
+    pitch = F.asin(F.greatest(F.least("az", F.lit(1.0)), F.lit(-1.0)))
+    return m.select(*keys, "ax", "ay", "az", F.when(F.col("ax").isNotNull(), F.atan2("ay", "ax")).alias("yaw"), F.when(F.col("az").isNotNull(), pitch).alias("pitch"), F.try_divide("l", 3 * F.col("q")).alias("explained"))
 
 
 def human_count(points: DataFrame, keys: list[str], eps: float = 0.3, min_samples: int = 10, more_than: int = 20) -> DataFrame:
@@ -62,23 +66,29 @@ def human_count(points: DataFrame, keys: list[str], eps: float = 0.3, min_sample
 
 
 def merged_occupants(candidates: DataFrame, keys: list[str], distance: float = 0.5) -> DataFrame:
-    """Candidates (``cand_id, frame_id, x, y, z, confidence, n_points``) of a car in order; each joins the first occupant nearer than the distance."""
+    """Candidates (``cand_id, frame_id, x, y, z, confidence, n_points``) of a car in order; each joins the first occupant nearer than the distance.
+
+    A car's candidates pass through a task in order, as rows; it holds the first place of each occupant, by cells of the distance."""
     own = candidates.select(*keys, "cand_id", "frame_id", "x", "y", "z", "confidence", "n_points")
-    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("cand_id", T.LongType()), T.StructField("occupant", T.LongType())])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_id", "cand_id"], kind="stable")
-        known: list[np.ndarray] = []
-        out = []
-        for p in rows[["x", "y", "z"]].to_numpy(float):
-            k = next((k for k, q in enumerate(known) if np.linalg.norm(p - q) < distance), None)
-            if k is None:
-                k = len(known)
-                known.append(p)
-            out.append(k)
-        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "cand_id": rows["cand_id"].to_numpy(), "occupant": out})
-
-    who = own.groupBy(*keys).applyInPandas(run, schema)
+
+    def start() -> Callable[[tuple], tuple]:
+        cells: dict[tuple[int, int, int], list[tuple]] = {}
+        count = 0
+
+        def take(r: tuple) -> tuple:
+            nonlocal count
+            cand, x, y, z = r[:4]
+            i, j, k = (math.floor(v / distance) for v in (x, y, z))
+            near = [n for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for n, q in cells.get((i + a, j + b, k + c), ()) if math.dist(q, (x, y, z)) < distance]
+            if near:
+                return cand, min(near)
+            cells.setdefault((i, j, k), []).append((count, (x, y, z)))
+            count += 1
+            return cand, count - 1
+
+        return take
+
+    who = in_order(own, keys, ["frame_id", "cand_id"], ["cand_id", "x", "y", "z", "frame_id"], "cand_id BIGINT, occupant BIGINT", start)
     both = own.join(who, [*keys, "cand_id"])
     return both.groupBy(*keys, "occupant").agg(F.max("confidence").alias("confidence"), F.sum("n_points").alias("n_points"), F.min("frame_id").alias("first_frame"), F.count("*").alias("candidates"))
 

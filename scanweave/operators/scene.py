@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanweave.functions.scratch import written
 from scanweave.schema import Params
@@ -20,16 +24,45 @@ from .select import order_hash
 Step = Callable[[DataFrame, list[str], Params], DataFrame]
 
 
+#: Points of a cloud that one task counts for all trials, and trials that it counts at once.
+PART, STRIP = 20_000, 64
+
+
+def _votes(low: DataFrame, planes: DataFrame, keys: list[str], residual: float) -> DataFrame:
+    """``keys, trial, n``: points near each trial's plane. A cloud's points (with their number ``__n``) meet its trials in parts, each as arrays, so a part
+    gives a row of counts and no row for a point and a trial."""
+    part = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("__n") / PART)).alias("part")
+    cloud = low.groupBy(*keys, part).agg(*(F.collect_list(a).alias(a) for a in "xyz"))
+    trials = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", "a", "b", "c"))).alias("planes"))
+    both = cloud.join(trials, keys).select(*keys, *"xyz", *(F.col(f"planes.{c}").alias(c) for c in ("trial", "a", "b", "c")))
+    made = T.StructType([*(low.schema[k] for k in keys), T.StructField("trial", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    kind = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            of = {c: rows.column(c) for c in ("x", "y", "z", "a", "b", "c")}
+            for r in range(rows.num_rows):
+                x, y, z, a, b, c = (v[r].values.to_numpy(zero_copy_only=False) for v in of.values())
+                n = np.zeros(len(a), np.int64)
+                for at in range(0, len(a), STRIP):
+                    p, q, d = (v[at : at + STRIP, None] for v in (a, b, c))
+                    n[at : at + STRIP] = (np.abs(z - (p * x + q * y + d)) <= residual).sum(1)
+                own = [rows.column(k).slice(r, 1) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, rows.column("trial").slice(r, 1).cast(kind.field("trial").type), pa.array([n.tolist()], kind.field("n").type)], schema=kind)
+
+    counted = both.mapInArrow(run, made).select(*keys, F.explode(F.arrays_zip("trial", "n")).alias("v"))
+    return counted.groupBy(*keys, F.col("v.trial").alias("trial")).agg(F.sum("v.n").alias("n")).where("n > 0")
+
+
 def ground_planes(points: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
     """M1: ``keys, a, b, c`` of z = ax + by + c for clouds with enough candidates.
 
     Trials are fixed triples of the candidates first by hash; each counts the candidates near its plane; the best (the first of equals) is refitted
-    to those by least squares, from sums. Candidates are never gathered: each task keeps the first of its own, trials are joined to them, and counted by
-    partial aggregation.
+    to those by least squares, from sums. Candidates are never gathered as a cloud, nor joined to trials: parts of a cloud are counted for all trials at
+    once, so a cloud of any size is many tasks. All trials are counted to the end, as any bound that spares some could only be used after most points.
     """
-    low = with_cloud(points, keys, F.min("z").alias("z_min")).where(F.col("z") <= F.col("z_min") + p.ground_band)
-    enough = low.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= p.ground_candidates).select(*keys)
-    low = low.join(enough, keys, "left_semi").select(*keys, "point_id", "x", "y", "z")
+    band = written(with_cloud(finite(points), keys, F.min("z").alias("z_min")).where(F.col("z") <= F.col("z_min") + p.ground_band).select(*keys, "point_id", "x", "y", "z"), "low")
+    low = with_cloud(band, keys, F.count("*").alias("__n")).where(F.col("__n") >= p.ground_candidates)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(order_hash(), "point_id"))
     first = low.withColumn("rank", number).where(F.col("rank") <= 3 * p.ground_trials).withColumn("rank", F.col("rank") - 1)
     pick = lambda k: [F.max(F.when(F.col("rank") % 3 == k, F.col(a))).alias(f"{a}{k}") for a in "xyz"]
@@ -37,12 +70,12 @@ def ground_planes(points: DataFrame, keys: list[str], p: Params = Params()) -> D
     d = "((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))"
     plane = three.where(f"abs{d} > 1e-9")
     plane = plane.withColumn("a", F.expr(f"((z1 - z0) * (y2 - y0) - (z2 - z0) * (y1 - y0)) / {d}")).withColumn("b", F.expr(f"((x1 - x0) * (z2 - z0) - (x2 - x0) * (z1 - z0)) / {d}"))
-    plane = plane.withColumn("c", F.expr("z0 - a * x0 - b * y0")).select(*keys, "trial", "a", "b", "c")
-    near = F.abs(F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"))) <= p.ground_residual
-    votes = low.join(plane, keys).where(near).groupBy(*keys, "trial").agg(F.count("*").alias("n"))
+    plane = written(plane.withColumn("c", F.expr("z0 - a * x0 - b * y0")).select(*keys, "trial", "a", "b", "c"), "trials")
+    votes = _votes(low, plane, keys, p.ground_residual)
     best = votes.groupBy(*keys).agg(F.max_by("trial", F.struct("n", -F.col("trial"))).alias("trial"))
+    near = F.abs(F.col("z") - (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"))) <= p.ground_residual
     mean = lambda u, v=None: F.avg(F.col(u) * F.col(v)) if v else F.avg(u)
-    sums = low.join(plane.join(best, [*keys, "trial"]), keys).where(near).groupBy(*keys).agg(
+    sums = band.join(plane.join(best, [*keys, "trial"]), keys).where(near).groupBy(*keys).agg(
         *(mean(a).alias(f"m{a}") for a in "xyz"), *(mean(*t).alias(f"m{t}") for t in ("xx", "xy", "yy", "xz", "yz"))
     )
     cov = {f"c{t}": F.col(f"m{t}") - F.col(f"m{t[0]}") * F.col(f"m{t[1]}") for t in ("xx", "xy", "yy", "xz", "yz")}
@@ -126,7 +159,10 @@ def largest_cluster(clustered: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_vehicle(points: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:  # noqa: B008
-    """M4: ``cluster_id`` and ``is_vehicle``: the largest cluster off the ground, up to the vehicle height above the lowest point off the ground."""
+    """M4: ``cluster_id`` and ``is_vehicle``: the largest cluster off the ground, up to the vehicle height above the lowest point off the ground.
+
+    The input is written once, as it is read by each round of the clustering."""
+    points = written(points, "split")
     up = points.where("not is_ground")
     best = largest_cluster(clusters(up, keys, p.eps, p.min_samples), keys)
     low = up.groupBy(*keys).agg(F.min("z").alias("__z"))
@@ -147,18 +183,59 @@ def with_interior(points: DataFrame, keys: list[str], p: Params = Params()) -> D
     return points.join(hit, [*keys, "point_id"], "left").withColumn("is_interior", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
+_G = ["gx", "gy", "gz"]
+
+
 def enclosed_voxels(occupied: DataFrame, keys: list[str], legacy: bool = False) -> DataFrame:
-    """M6b, the documented intent: empty voxels with an occupied one on all six sides. ``legacy`` gives the literal result, which is empty."""
-    cells = occupied.select(*keys, "gx", "gy", "gz").distinct()
+    """M6b, the documented intent: empty voxels with an occupied one on all six sides. ``legacy`` gives the literal result, which is empty.
+
+    The ends of occupied lines along each axis are joined, in a slab of one gx first; so voxels come from lines that cross, and a stray point far
+    away is one more line, not a row of empty voxels on the way to it.
+    """
+    cells = occupied.select(*keys, *_G).distinct()
     if legacy:
         return cells.limit(0)
-    column = cells.groupBy(*keys, "gx", "gy").agg(F.min("gz").alias("lo"), F.max("gz").alias("hi"))
-    inner = column.where("hi - lo > 1").withColumn("gz", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1))).drop("lo", "hi")
-    empty = inner.join(cells, [*keys, "gx", "gy", "gz"], "left_anti")
-    for line, along in ((["gy", "gz"], "gx"), (["gx", "gz"], "gy")):
-        ends = cells.groupBy(*keys, *line).agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
-        empty = empty.join(ends, [*keys, *line]).where(f"lo < {along} and {along} < hi").drop("lo", "hi")
-    return empty.select(*keys, "gx", "gy", "gz")
+    ends = lambda line, a: cells.groupBy(*keys, *line).agg(F.min(a).alias(f"lo_{a}"), F.max(a).alias(f"hi_{a}")).where(f"hi_{a} - lo_{a} > 1")
+    slab = ends(["gx", "gz"], "gy").join(ends(["gx", "gy"], "gz"), [*keys, "gx"]).where("lo_gy < gy and gy < hi_gy and lo_gz < gz and gz < hi_gz")
+    inner = slab.select(*keys, *_G).join(ends(["gy", "gz"], "gx"), [*keys, "gy", "gz"]).where("lo_gx < gx and gx < hi_gx").select(*keys, *_G)
+    return inner.join(cells, [*keys, *_G], "left_anti")
+
+
+def distance_map(voxels: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """``keys, gx, gy, gz, distance``: steps along the axes to the nearest of some voxels, for all that are at most ``reach`` away, themselves included.
+
+    One pass along each axis: a voxel's least distance so far goes to those beside it on the line as far as it can still matter, and the least is kept; so
+    work is linear in ``reach`` for each axis.
+    """
+    now = voxels.select(*keys, *_G).distinct().withColumn("distance", F.lit(0))
+    for a in _G:
+        room = F.lit(reach) - F.col("distance")
+        moved = now.withColumn("__s", F.explode(F.sequence(-room, room))).withColumns({a: F.col(a) + F.col("__s"), "distance": F.col("distance") + F.abs("__s")})
+        now = moved.groupBy(*keys, *_G).agg(F.min("distance").alias("distance"))
+    return now
+
+
+def dilated(voxels: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
+    """All voxels within so many steps of one."""
+    return distance_map(voxels, keys, times).select(*keys, *_G) if times else voxels.select(*keys, *_G).distinct()
+
+
+def eroded(voxels: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
+    """Voxels that have their six neighbours, so many times over: each is sent to itself and them, and those that come seven times are kept."""
+    now = voxels.select(*keys, *_G).distinct()
+    for _ in range(times):
+        now = spread(now, _G, _around(1)).groupBy(*keys, *_G).agg(F.count("*").alias("__n")).where("__n = 7").select(*keys, *_G)
+    return now
+
+
+def opened(voxels: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
+    """Without what is thinner than so many steps to either side."""
+    return dilated(eroded(voxels, keys, times), keys, times) if times else voxels
+
+
+def closed(voxels: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
+    """With what holes narrower than so many steps to either side let through."""
+    return eroded(dilated(voxels, keys, times), keys, times) if times else voxels
 
 
 def _around(reach: int) -> list[tuple[int, int, int]]:
@@ -167,10 +244,12 @@ def _around(reach: int) -> list[tuple[int, int, int]]:
     return [(i, j, k) for i in r for j in r for k in r if abs(i) + abs(j) + abs(k) <= reach]
 
 
-def void_voxels(occupied: DataFrame, keys: list[str], distance: int = 2) -> DataFrame:
-    """Enclosed voxels that are at least ``distance`` steps from every occupied one."""
-    close = spread(occupied.select(*keys, "gx", "gy", "gz").distinct(), ["gx", "gy", "gz"], _around(distance - 1))
-    return enclosed_voxels(occupied, keys).join(close, [*keys, "gx", "gy", "gz"], "left_anti")
+def void_voxels(occupied: DataFrame, keys: list[str], distance: int = 2, opening: int = 0, closing: int = 0) -> DataFrame:
+    """Enclosed voxels that are at least ``distance`` steps from every occupied one. ``closing`` first shuts small holes in what is occupied, ``opening``
+    then leaves out thin parts of the void."""
+    shell = closed(occupied.select(*keys, *_G).distinct(), keys, closing)
+    close = dilated(shell, keys, distance - 1)
+    return opened(enclosed_voxels(shell, keys).join(close, [*keys, *_G], "left_anti"), keys, opening)
 
 
 def in_voxels(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,11 +257,11 @@ def in_voxels(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame
     return points.join(cells.select(*keys, "gx", "gy", "gz"), [*keys, "gx", "gy", "gz"], "left_semi")
 
 
-def with_void_interior(points: DataFrame, keys: list[str], size: float = 0.1, distance: int = 2) -> DataFrame:
-    """``is_interior``: points within ``distance`` voxels of the void that the cloud encloses, its inner surface and what stands there."""
-    own = voxels(points, keys, size).select(*keys, "point_id", *(F.col(f"g{a}").cast("long").alias(f"g{a}") for a in "xyz"))
-    void = void_voxels(own, keys, distance)
-    near = spread(void, ["gx", "gy", "gz"], _around(distance)).distinct()
+def with_void_interior(points: DataFrame, keys: list[str], size: float = 0.1, distance: int = 2, opening: int = 0, closing: int = 0) -> DataFrame:
+    """``is_interior``: points within ``distance`` voxels of the void that the cloud encloses, its inner surface and what stands there. Points that are
+    not finite are not interior."""
+    own = written(voxels(points, keys, size).select(*keys, "point_id", *_G), "voxels")
+    near = dilated(void_voxels(own, keys, distance, opening, closing), keys, distance)
     hit = in_voxels(own, near, keys).select(*keys, "point_id", F.lit(True).alias("__in"))
     return points.join(hit, [*keys, "point_id"], "left").withColumn("is_interior", F.coalesce("__in", F.lit(False))).drop("__in")
 

@@ -21,7 +21,7 @@ from scanweave.functions.scratch import written
 from scanweave.schema import Params
 
 
-def _in_order(rows: DataFrame, group: list[str], order: list[str], columns: list[str], schema: str, start: Callable[[], Callable[[tuple], tuple]]) -> DataFrame:
+def in_order(rows: DataFrame, group: list[str], order: list[str], columns: list[str], schema: str, start: Callable[[], Callable[[tuple], tuple]]) -> DataFrame:
     """``group`` and what a function that ``start`` makes for each group returns of each row's ``columns``, row by row in ``order``."""
     made = T.StructType([*(rows.schema[k] for k in group), *T.StructType.fromDDL(schema)])
     out = to_arrow_schema(made)
@@ -93,7 +93,7 @@ def basic_tracks(detections: DataFrame, keys: list[str], p: Params = Params()) -
         tracks = Tracks(p)
         return lambda r: (r[0], tracks.take(r[1:8]))
 
-    found = _in_order(own, group, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "__u", "__v", "cx", "cy", "cz", "det_seq"], "det_id BIGINT, local BIGINT", start)
+    found = in_order(own, group, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "__u", "__v", "cx", "cy", "cz", "det_seq"], "det_id BIGINT, local BIGINT", start)
     kept = found.groupBy(*group, "local").agg(F.count("*").alias("n")).where("n >= 2")
     number = kept.withColumn("track_id", F.row_number().over(Window.partitionBy(*keys).orderBy("segment_id", "local")) - 1).drop("n")
     return detections.join(found.join(number, [*group, "local"]).select(*keys, "det_id", "track_id"), [*keys, "det_id"])
@@ -223,7 +223,7 @@ def accumulating_tracks(detections: DataFrame, keys: list[str], p: Params = Para
         return lambda r: models.take(*r[:6])
 
     stretch = [*keys, "__stretch"]
-    made = _in_order(own, stretch, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "px", "py", "pz", "det_seq"], MODEL_DDL, start)
+    made = in_order(own, stretch, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "px", "py", "pz", "det_seq"], MODEL_DDL, start)
     made = written(made, "accumulated")
     opened = made.groupBy(*stretch).agg((F.max("track_id") + 1).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

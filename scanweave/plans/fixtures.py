@@ -42,6 +42,15 @@ FROM (SELECT event_id AS i, CAST((event_id*7919 + 104729) % 100003 AS DOUBLE) /
     CAST((event_id*event_id*17 + event_id*49979687 + 13) % 100043 AS DOUBLE) / 100043 AS z FROM {events}) p
 CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) q
 """
+#: Clouds of five hundred points, which cover the walls of a box of nine voxels of half a metre a side; the last fourteen stand in it as one heap.
+_SHELL = """
+SELECT i AS point_id, device_no, scan_idx, gx*CAST(0.5 AS DOUBLE) + CASE WHEN gx > 0 THEN h ELSE CAST(0 AS DOUBLE) END AS x, gy*CAST(0.5 AS DOUBLE) + CASE WHEN gy > 0 THEN h ELSE CAST(0 AS DOUBLE) END AS y,
+  gz*CAST(0.5 AS DOUBLE) + CASE WHEN gz > 0 THEN h ELSE CAST(0 AS DOUBLE) END AS z
+FROM (SELECT i, device_no, scan_idx, h, CASE WHEN j >= 486 THEN 4 WHEN f = 0 THEN 0 WHEN f = 1 THEN 8 ELSE u END AS gx,
+    CASE WHEN j >= 486 THEN 4 WHEN f = 2 THEN 0 WHEN f = 3 THEN 8 WHEN f < 2 THEN u ELSE v END AS gy, CASE WHEN j >= 486 THEN 2 WHEN f = 4 THEN 0 WHEN f = 5 THEN 8 ELSE v END AS gz
+  FROM (SELECT i, device_no, scan_idx, h, j, j % 6 AS f, (j {div} 6) % 9 AS u, (j {div} 54) % 9 AS v
+    FROM (SELECT event_id AS i, event_id % 2 AS device_no, event_id {div} 1000 AS scan_idx, (event_id {div} 2) % 500 AS j, CAST((event_id*7919 + 104729) % 100003 AS DOUBLE) / 100003 * CAST(0.4 AS DOUBLE) AS h FROM {events}) a) b) c
+"""
 _FRAMES = (
     "SELECT device_no, sequence_no, frame_id, ts, CASE frame_id % 4 WHEN 0 THEN 'poor' WHEN 1 THEN 'acceptable' WHEN 2 THEN 'good' ELSE 'excellent' END AS sync_quality "
     "FROM (SELECT DISTINCT device_no, sequence_no, frame_id, ts FROM ({det}) d) f"
@@ -81,12 +90,16 @@ def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(_MOVING, spark, sf_dir)
 
 
+def shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(_SHELL, spark, sf_dir)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(_FRAMES.replace("{det}", _DETECTIONS), spark, sf_dir)
 
 
 def oracle(body: str) -> str:
-    """DuckDB SQL over the views ``pts, det, mov, frm, cal, box, tra``."""
+    """DuckDB SQL over the views ``pts, det, mov, shl, frm, cal, box, tra``."""
     duck = lambda s: s.replace("{div}", "//").replace("{events}", "events").strip()
-    views = {"pts": _POINTS, "det": _DETECTIONS, "mov": _MOVING, "frm": _FRAMES.replace("{det}", _DETECTIONS), "cal": CALIBRATION, "box": BOXES, "tra": TRANSFORMS}
+    views = {"pts": _POINTS, "det": _DETECTIONS, "mov": _MOVING, "shl": _SHELL, "frm": _FRAMES.replace("{det}", _DETECTIONS), "cal": CALIBRATION, "box": BOXES, "tra": TRANSFORMS}
     return "WITH " + ",\n".join(f"{n} AS ({duck(s)})" for n, s in views.items()) + ("" if body.lstrip().upper().startswith("SELECT") else ",") + f"\n{body.strip()}"

@@ -11,6 +11,7 @@ from scanweave.operators import neighbors as nb
 from scanweave.operators import scene as sc
 from scanweave.operators import select as se
 from scanweave.operators import stats as st
+from scanweave.operators.order import exact_quantiles
 from scanweave.schema import Params
 
 from . import fixtures as fx
@@ -129,7 +130,7 @@ def p5_p16_p17_placement(spark, sf):
 
 
 @query(f"""m AS (SELECT {KSQL}, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM pts GROUP BY {KSQL})
-SELECT {KSQL}, CAST(floor((x - lx)/0.5::DOUBLE) AS INT) AS gx, CAST(floor((y - ly)/0.5::DOUBLE) AS INT) AS gy, CAST(floor((z - lz)/0.5::DOUBLE) AS INT) AS gz, count(*) AS n FROM pts JOIN m USING ({KSQL}) GROUP BY ALL""")
+SELECT {KSQL}, CAST(floor((x - lx)/0.5::DOUBLE) AS BIGINT) AS gx, CAST(floor((y - ly)/0.5::DOUBLE) AS BIGINT) AS gy, CAST(floor((z - lz)/0.5::DOUBLE) AS BIGINT) AS gz, count(*) AS n FROM pts JOIN m USING ({KSQL}) GROUP BY ALL""")
 def p10_a9_occupancy(spark, sf):
     return st.occupancy(_pts(spark, sf), KEYS, 0.5)
 
@@ -263,10 +264,9 @@ def j7_points_in_boxes(spark, sf):
 @query(f"""r AS (SELECT device_no, scan_idx, a.point_id AS a, {PAIRS_SQL} AS d2, row_number() OVER (PARTITION BY device_no, scan_idx, a.point_id ORDER BY {PAIRS_SQL}, b.point_id) AS k FROM pts a JOIN pts b USING ({KSQL})),
 m AS (SELECT device_no, scan_idx, a, avg(sqrt(d2)) AS md FROM r WHERE k BETWEEN 2 AND 9 GROUP BY ALL),
 l AS (SELECT device_no, scan_idx, avg(md) + 2*stddev_pop(md) AS lim FROM m GROUP BY ALL)
-SELECT device_no, scan_idx, count(*) AS n, round(avg(md), 6) AS mean_distance FROM m JOIN l USING ({KSQL}) WHERE md <= lim GROUP BY ALL""")
+SELECT a AS point_id, round(md, 6) AS mean_distance FROM m JOIN l USING ({KSQL}) WHERE md <= lim""")
 def m5_statistical_outliers(spark, sf):
-    kept = nb.statistical_outliers(_pts(spark, sf), KEYS, k=8)
-    return kept.groupBy(*KEYS).agg(F.count("*").alias("n"), F.round(F.avg("md"), 6).alias("mean_distance"))
+    return nb.statistical_outliers(_pts(spark, sf), KEYS, k=8).select("point_id", F.round("md", 6).alias("mean_distance"))
 
 
 @query("""m AS (SELECT device_no, scan_idx, semantic_class, median(x) AS mx, median(y) AS my, median(z) AS mz, count(*) AS n FROM pts GROUP BY ALL),
@@ -331,25 +331,23 @@ def p9_height(spark, sf):
     return ge.above_plane(_pts(spark, sf).drop("b").join(planes, KEYS)).select("point_id", *_r("height"))
 
 
-@query(f"{_ground_sql('pts', 'grd')}\nSELECT device_no, scan_idx, count(*) AS n, count(*) FILTER (WHERE is_ground) AS n_is_ground FROM grd GROUP BY ALL")
+@query(f"{_ground_sql('pts', 'grd')}\nSELECT point_id, is_ground FROM grd")
 def m2_ground_split(spark, sf):
-    return st.stage_counts(sc.with_ground(_pts(spark, sf), KEYS, P), KEYS, ["is_ground"])
+    return sc.with_ground(_pts(spark, sf), KEYS, P).select("point_id", "is_ground")
 
 
 @query(f"""up AS (SELECT * FROM pts WHERE z > 0.15::DOUBLE),
 {_dbscan_sql("up")}
-SELECT device_no, scan_idx, CAST(cluster_id AS INT) AS cluster_id, count(*) AS n FROM num GROUP BY ALL""")
+SELECT point_id, CAST(cluster_id AS INT) AS cluster_id FROM num""")
 def m3_dbscan(spark, sf):
-    found = sc.clusters(_pts(spark, sf).where("z > 0.15D"), KEYS, 0.6, 10)
-    return found.groupBy(*KEYS, "cluster_id").agg(F.count("*").alias("n"))
+    return sc.clusters(_pts(spark, sf).where("z > 0.15D"), KEYS, 0.6, 10).select("point_id", "cluster_id")
 
 
 @query(f"""{_ground_sql("pts", "grd")},
 {_vehicle_sql("grd", "vec")}
-SELECT device_no, scan_idx, count(*) AS n, count(*) FILTER (WHERE is_ground) AS n_is_ground, count(*) FILTER (WHERE is_vehicle) AS n_is_vehicle FROM vec GROUP BY ALL""")
+SELECT point_id, is_ground, is_vehicle FROM vec""")
 def m4_vehicle(spark, sf):
-    v = sc.with_vehicle(sc.with_ground(_pts(spark, sf), KEYS, P), KEYS, P)
-    return st.stage_counts(v, KEYS, ["is_ground", "is_vehicle"])
+    return sc.with_vehicle(sc.with_ground(_pts(spark, sf), KEYS, P), KEYS, P).select("point_id", "is_ground", "is_vehicle")
 
 
 def _interior_sql(vehicle: str, hit: str = "hit") -> str:
@@ -364,10 +362,10 @@ apart AS (SELECT device_no, scan_idx, a, avg(sqrt(d2)) AS md FROM near WHERE k <
 
 @query(f"""v AS (SELECT p.* FROM pts p WHERE semantic_class BETWEEN 1 AND 4),
 {_interior_sql("v")}
-SELECT device_no, scan_idx, count(*) AS n, count(*) FILTER (WHERE point_id IN (FROM hit)) AS n_is_interior FROM pts GROUP BY ALL""")
+SELECT point_id, point_id IN (FROM hit) AS is_interior FROM pts""")
 def m6a_interior(spark, sf):
     p = _pts(spark, sf).withColumn("is_vehicle", F.col("semantic_class").between(1, 4))
-    return st.stage_counts(sc.with_interior(p, KEYS, P), KEYS, ["is_interior"])
+    return sc.with_interior(p, KEYS, P).select("point_id", "is_interior")
 
 
 @query(f"""o AS (SELECT DISTINCT {KSQL}, CAST(floor((x - lx)/0.5::DOUBLE) AS INT) AS gx, CAST(floor((y - ly)/0.5::DOUBLE) AS INT) AS gy, CAST(floor((z - lz)/0.5::DOUBLE) AS INT) AS gz
@@ -395,6 +393,86 @@ def m6b_j8_void_interior(spark, sf):
     return sc.with_void_interior(_pts(spark, sf), KEYS, 0.3, 1).where("is_interior").select("point_id")
 
 
+def _shell_sql(name: str = "o") -> str:
+    """``o``: occupied voxels of the boxes; ``far``: enclosed ones, two steps from all of these."""
+    at = ", ".join(f"CAST(floor(({a} - l{a})/0.5::DOUBLE) AS BIGINT) AS g{a}" for a in "xyz")
+    same = "{0}.device_no = {1}.device_no AND {0}.scan_idx = {1}.scan_idx".format("o", "e")
+    side = lambda a, s: f"EXISTS (FROM o WHERE {same} AND " + " AND ".join(f"o.g{b} {s if a == b else '='} e.g{b}" for b in "xyz") + ")"
+    return f"""pv AS (SELECT point_id, {KSQL}, {at} FROM shl JOIN (SELECT {KSQL}, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM shl GROUP BY ALL) USING ({KSQL})),
+o AS (SELECT DISTINCT {KSQL}, gx, gy, gz FROM pv),
+e AS (SELECT {KSQL}, gx, gy, gz FROM (SELECT {KSQL}, unnest(range(min(gx), max(gx) + 1)) AS gx, min(gy) AS y0, max(gy) AS y1, min(gz) AS z0, max(gz) AS z1 FROM o GROUP BY {KSQL}), (SELECT unnest(range(0, 20)) AS gy), (SELECT unnest(range(0, 20)) AS gz)
+  WHERE gy <= y1 AND gz <= z1),
+far AS (SELECT * FROM e WHERE NOT EXISTS (FROM o WHERE {same} AND abs(o.gx - e.gx) + abs(o.gy - e.gy) + abs(o.gz - e.gz) < 2) AND {" AND ".join(side(a, s) for a in "xyz" for s in "<>")})"""
+
+
+def _shell_cells(spark, sf):
+    return st.occupancy(fx.shell(spark, sf), KEYS, 0.5)
+
+
+@query(f"{_shell_sql()}\nSELECT * FROM far")
+def m6b_void_voxels(spark, sf):
+    """The survey's distance of two voxels, in clouds that enclose something."""
+    return sc.void_voxels(_shell_cells(spark, sf), KEYS, 2)
+
+
+_STEP = "abs(a.gx - b.gx) + abs(a.gy - b.gy) + abs(a.gz - b.gz) <= 1"
+
+
+@query(f"""{_shell_sql()},
+thin AS (SELECT a.* FROM far a JOIN far b USING ({KSQL}) WHERE {_STEP} GROUP BY ALL HAVING count(*) = 7)
+SELECT DISTINCT {", ".join(f"CAST(b.{c} AS BIGINT) AS {c}" for c in ("device_no", "scan_idx", "gx", "gy", "gz"))} FROM thin a JOIN far b USING ({KSQL}) WHERE {_STEP}""")
+def m6b_opened_void(spark, sf):
+    """Opening by one step; all that the dilation reaches is of the void itself."""
+    return sc.void_voxels(_shell_cells(spark, sf), KEYS, 2, opening=1).select(*KEYS, "gx", "gy", "gz")
+
+
+@query(f"""{_shell_sql()}
+SELECT point_id FROM pv WHERE EXISTS (FROM far v WHERE v.device_no = pv.device_no AND v.scan_idx = pv.scan_idx AND abs(v.gx - pv.gx) + abs(v.gy - pv.gy) + abs(v.gz - pv.gz) <= 2)""")
+def m6b_j8_shell_interior(spark, sf):
+    return sc.with_void_interior(fx.shell(spark, sf), KEYS, 0.5, 2).where("is_interior").select("point_id")
+
+
+def _noise_sql() -> str:
+    """``u``: six uniform numbers of each point, by the rule of the counter."""
+    made = ["r0 AS (SELECT point_id, x, y, z, " + ", ".join(f"point_id % 2147483647 * 48271 + {42 * 69621 + k * 40692 + 1} AS v{k}" for k in range(6)) + " FROM pts)"]
+    for j in range(3):
+        step = lambda k, j=j: f"(v{k} % 2147483647) * (v{k} % 2147483647) + (v{k} % 2147483647) * 16807 + {(j + 1) * 69621} AS v{k}"
+        made.append(f"r{j + 1} AS (SELECT point_id, x, y, z, {', '.join(step(k) for k in range(6))} FROM r{j})")
+    return ",\n".join(made) + ",\nu AS (SELECT point_id, x, y, z, " + ", ".join(f"(v{k} % 2147483647 + 0.5::DOUBLE) / 2147483647 AS u{k}" for k in range(6)) + " FROM r3)"
+
+
+@query(_noise_sql() + "\nSELECT point_id, " + ", ".join(f"round({a} + 0.05::DOUBLE*sqrt(-2*ln(u{2 * k}))*cos(2*pi()*u{2 * k + 1}), 6) AS {a}" for k, a in enumerate("xyz")) + " FROM u")
+def p7_jittered(spark, sf):
+    return ge.jittered(_pts(spark, sf), 0.05).select("point_id", *_r("x", "y", "z"))
+
+
+def _one_cloud(spark, sf):
+    """All points as one cloud."""
+    return _pts(spark, sf).withColumns({"device_no": F.lit(0).cast("long"), "scan_idx": F.lit(0).cast("long")})
+
+
+_ONE = "one AS (SELECT * REPLACE (0::BIGINT AS device_no, 0::BIGINT AS scan_idx) FROM pts)"
+
+
+@query(f"{_ONE}, d AS (SELECT *, sqrt(x*x + y*y + z*z) AS d FROM one)\nSELECT round(quantile_cont(d, 0.95), 6) AS far, round(median(x), 6) AS mx, round(median(y), 6) AS my, round(median(z), 6) AS mz FROM d")
+def f1_a7_one_cloud(spark, sf):
+    d = _one_cloud(spark, sf).withColumn("d", fl.norm())
+    return exact_quantiles(d, KEYS, {"far": ("d", 0.95), "mx": ("x", 0.5), "my": ("y", 0.5), "mz": ("z", 0.5)}).select(*_r("far", "mx", "my", "mz"))
+
+
+@query(f"{_ONE},\n{_plane_sql('one')}\nSELECT round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM plane")
+def m1_one_cloud(spark, sf):
+    return sc.ground_planes(_one_cloud(spark, sf), KEYS, P).select(*_r("a", "b", "c"))
+
+
+@query(f"""{_ONE},
+up AS (SELECT * FROM one WHERE z > 0.15::DOUBLE),
+{_dbscan_sql("up")}
+SELECT point_id, CAST(cluster_id AS INT) AS cluster_id FROM num""")
+def m3_one_cloud(spark, sf):
+    return sc.clusters(_one_cloud(spark, sf).where("z > 0.15D"), KEYS, 0.6, 10).select("point_id", "cluster_id")
+
+
 @query(f"""v AS (SELECT * FROM pts WHERE semantic_class BETWEEN 1 AND 4),
 b AS (SELECT {KSQL}, min(z) AS zm, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY ALL)
 SELECT {KSQL}, x1 - x0 > y1 - y0 AS along_x, count(*) FILTER (WHERE x >= (x0 + x1)/2) AS n_front, count(*) FILTER (WHERE x < (x0 + x1)/2) AS n_rear, count(*) FILTER (WHERE x >= (x0 + x1)/2) > count(*) FILTER (WHERE x < (x0 + x1)/2) AS front_positive FROM v JOIN b USING ({KSQL})
@@ -407,10 +485,10 @@ def a21_orientation(spark, sf):
 b AS (SELECT {KSQL}, min(z) AS zm, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(y) AS ym FROM v GROUP BY ALL),
 f AS (SELECT {KSQL}, count(*) FILTER (WHERE x >= (x0 + x1)/2) > count(*) FILTER (WHERE x < (x0 + x1)/2) AS pos FROM v JOIN b USING ({KSQL}) WHERE z >= zm + 0.8::DOUBLE AND z <= zm + 1.4::DOUBLE GROUP BY ALL),
 k AS (SELECT point_id, {KSQL}, coalesce(CASE WHEN pos THEN x >= x0 + 0.33::DOUBLE*(x1 - x0) ELSE x <= x1 - 0.33::DOUBLE*(x1 - x0) END AND abs(y - ym) <= 0.35::DOUBLE*(y1 - y0) AND z >= zm + 0.6::DOUBLE AND z <= zm + 1.6::DOUBLE, false) AS ok FROM v JOIN b USING ({KSQL}) LEFT JOIN f USING ({KSQL}))
-SELECT {KSQL}, CASE WHEN count(*) FILTER (WHERE ok) > 0 THEN count(*) FILTER (WHERE ok) ELSE count(*) END AS n_is_cockpit FROM k GROUP BY ALL""")
+SELECT point_id FROM k JOIN (SELECT {KSQL}, bool_or(ok) AS front FROM k GROUP BY ALL) USING ({KSQL}) WHERE ok OR NOT front""")
 def m11_cockpit(spark, sf):
     p = _pts(spark, sf).withColumn("is_interior", F.col("semantic_class").between(1, 4))
-    return st.stage_counts(sc.with_cockpit(p, KEYS, P), KEYS, ["is_cockpit"]).select(*KEYS, "n_is_cockpit")
+    return sc.with_cockpit(p, KEYS, P).where("is_cockpit").select("point_id")
 
 
 _FRONT = "count(*) FILTER (WHERE CASE WHEN x1 - x0 > y1 - y0 THEN x >= (x0 + x1)/2 ELSE y >= (y0 + y1)/2 END)"
@@ -460,10 +538,10 @@ def t6_uniform_sample(spark, sf):
     return se.uniform_sample(_pts(spark, sf), KEYS, "point_id", 30).select("point_id")
 
 
-@query("SELECT point_id, 'a' AS source FROM pts WHERE point_id % 2 = 0 UNION ALL SELECT point_id, 'b' FROM pts WHERE point_id % 3 = 0")
+@query("SELECT point_id, 'a' AS source FROM pts WHERE point_id % 2 = 0 UNION ALL SELECT point_id, 'b' FROM pts WHERE point_id % 2 <> 0 OR point_id % 3 = 0")
 def u1_concatenated(spark, sf):
     p = _pts(spark, sf).select("point_id")
-    return se.concatenated({"a": p.where("point_id % 2 = 0"), "b": p.where("point_id % 3 = 0")})
+    return se.concatenated({"a": p.where("point_id % 2 = 0"), "b": p.where("point_id % 2 <> 0 or point_id % 3 = 0")})
 
 
 @query("SELECT point_id FROM pts WHERE point_id % 2 = 0 AND point_id % 3 <> 0")

@@ -16,6 +16,7 @@ from scanweave.operators import tracking as tr
 
 from . import fixtures as fx
 from .fixtures import KEYS, TRACK_KEYS, oracle
+from .scene import _dbscan_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -341,12 +342,29 @@ def a26_poses(spark, sf):
     return oc.poses(fx.points(spark, sf).where("semantic_class = 3"), KEYS).select(*KEYS, *_r(*(f"{n}_{a}" for n in ("head", "torso", "size") for a in "xyz")), "seat")
 
 
-@query()
+def _axis_sql() -> str:
+    """``axis``: the first axis of each cloud of ``v``, from its covariances by the closed form."""
+    six = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    rows = {"r": ("(cxx - l)", "cxy", "cxz"), "s": ("cxy", "(cyy - l)", "cyz"), "t": ("cxz", "cyz", "(czz - l)")}
+    cross = lambda u, v: (f"{u[1]}*{v[2]} - {u[2]}*{v[1]}", f"{u[2]}*{v[0]} - {u[0]}*{v[2]}", f"{u[0]}*{v[1]} - {u[1]}*{v[0]}")
+    sides = " UNION ALL ".join(f"SELECT device_no, scan_idx, l, q, {x} AS x, {y} AS y, {z} AS z FROM m3" for a, b in ("rs", "rt", "st") for x, y, z in [cross(rows[a], rows[b])])
+    det = "((cxx - q)*((cyy - q)*(czz - q) - cyz*cyz) - cxy*(cxy*(czz - q) - cyz*cxz) + cxz*(cxy*cyz - (cyy - q)*cxz))"
+    return f"""m1 AS (SELECT device_no, scan_idx, {", ".join(f"covar_samp({t[0]}, {t[1]}) AS c{t}" for t in six)} FROM v GROUP BY ALL HAVING count(*) >= 3),
+m2 AS (SELECT *, sqrt(((cxx - q)*(cxx - q) + (cyy - q)*(cyy - q) + (czz - q)*(czz - q) + 2*(cxy*cxy + cxz*cxz + cyz*cyz))/6) AS p FROM (SELECT *, (cxx + cyy + czz)/3 AS q FROM m1)),
+m3 AS (SELECT *, q + 2*p*cos(acos(greatest(least({det}/(p*p*p)/2, 1::DOUBLE), -1::DOUBLE))/3) AS l FROM m2),
+side AS ({sides}),
+axis AS (SELECT device_no, scan_idx, any_value(l/(3*q)) AS explained, arg_max(x/sqrt(x*x + y*y + z*z)*sign(z), x*x + y*y + z*z) AS ax, arg_max(y/sqrt(x*x + y*y + z*z)*sign(z), x*x + y*y + z*z) AS ay, arg_max(abs(z)/sqrt(x*x + y*y + z*z), x*x + y*y + z*z) AS az FROM side GROUP BY ALL)"""
+
+
+@query(f"v AS (SELECT * FROM pts WHERE semantic_class BETWEEN 1 AND 4),\n{_axis_sql()}\nSELECT device_no, scan_idx, round(ax, 5) AS ax, round(ay, 5) AS ay, round(az, 5) AS az, round(explained, 5) AS explained FROM axis")
 def a27_principal_direction(spark, sf):
     return oc.principal_direction(fx.points(spark, sf).where("semantic_class between 1 and 4"), KEYS).select(*KEYS, *_r("ax", "ay", "az", "explained", places=5))
 
 
-@query()
+@query(f"""up AS (SELECT * FROM pts WHERE semantic_class = 3),
+{_dbscan_sql("up")},
+people AS (SELECT device_no, scan_idx, count(*) AS people FROM (SELECT device_no, scan_idx, cluster_id FROM num WHERE cluster_id >= 0 GROUP BY ALL HAVING count(*) > 20) GROUP BY ALL)
+SELECT device_no, scan_idx, n, CASE WHEN n < 10 THEN 0 ELSE coalesce(people, 0) END AS people FROM (SELECT device_no, scan_idx, count(*) AS n FROM up GROUP BY ALL) LEFT JOIN people USING (device_no, scan_idx)""")
 def m12_human_count(spark, sf):
     return oc.human_count(fx.points(spark, sf).where("semantic_class = 3"), KEYS, eps=0.6)
 

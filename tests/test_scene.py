@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scanweave.operators import filters as fl
 from scanweave.operators import geometry as ge
 from scanweave.operators import motion as mo
 from scanweave.operators import neighbors as nb
@@ -11,6 +12,7 @@ from scanweave.operators import occupants as oc
 from scanweave.operators import order
 from scanweave.operators import scene as sc
 from scanweave.operators import select as se
+from scanweave.operators import stats as st
 from scanweave.operators import tracking as tr
 from scanweave.plans import fixtures as fx
 from scanweave.plans import tracking
@@ -150,6 +152,76 @@ def test_void_of_a_hollow_box(spark):
     assert got == {n for n, o in enumerate([*shell, (4, 4, 4)]) if min(sum(abs(a - b) for a, b in zip(o, v, strict=True)) for v in far) <= 2}
 
 
+def test_distance_map_and_morphology(spark):
+    """Passes along the axes against all distances; opening and closing against their definitions."""
+    rng = np.random.default_rng(3)
+    cells = {tuple(map(int, c)) for c in rng.integers(0, 8, (60, 3))} | {(i, j, k) for i in range(20, 24) for j in range(4) for k in range(4)}
+    df = spark.createDataFrame([(0, *c) for c in cells], "k int, gx long, gy long, gz long")
+    sets = lambda d: {(r.gx, r.gy, r.gz) for r in d.collect()}
+    far = {(r.gx, r.gy, r.gz): r.distance for r in sc.distance_map(df, ["k"], 3).collect()}
+    all_ = {(i, j, k): min(abs(i - a) + abs(j - b) + abs(k - c) for a, b, c in cells) for i in range(-4, 28) for j in range(-4, 12) for k in range(-4, 12)}
+    assert far == {c: d for c, d in all_.items() if d <= 3}
+    near = lambda s, n: {(x + i, y + j, z + k) for x, y, z in s for i, j, k in sc._around(n)}
+    inner = lambda s: {c for c in s if near({c}, 1) <= s}
+    assert sets(sc.eroded(df, ["k"], 2)) == inner(inner(cells)) and sets(sc.opened(df, ["k"], 1)) == near(inner(cells), 1)
+    assert sets(sc.closed(df, ["k"], 1)) == inner(near(cells, 1)) and sets(sc.dilated(df, ["k"], 2)) == near(cells, 2)
+
+
+def test_a_stray_point_makes_no_voxels(spark):
+    shell = [(i, j, k) for i in range(5) for j in range(5) for k in range(5) if 0 in (i, j, k) or 4 in (i, j, k)]
+    cells = spark.createDataFrame([(0, *c) for c in [*shell, (2, 2, 10**9), (2, 10**9, 2)]], "k int, gx long, gy long, gz long")
+    assert sc.enclosed_voxels(cells, ["k"]).count() == 27
+
+
+def test_points_that_are_not_finite_have_no_voxel(spark):
+    p, df = cloud(spark, 60)
+    bad = df.union(spark.createDataFrame([(100, 0, float("nan"), 1.0, 1.0), (101, 0, float("inf"), 1.0, 1.0), (102, 0, -float("inf"), 1.0, 1.0), (103, 0, 1.0, None, 1.0)], df.schema))
+    for made in (lambda d: st.occupancy(d, ["k"], 0.5), lambda d: st.down_sampled(d, ["k"], 0.5)):
+        assert np.allclose(sorted(map(tuple, made(bad).collect())), sorted(map(tuple, made(df).collect())))
+    assert sc.with_void_interior(bad, ["k"], 0.5, 1).count() == 64
+    got = fl.range_outliers(bad, ["k"], 0.95)
+    assert got.where("point_id >= 100").count() == 0 and 55 < got.count() < 60
+    done = sc.ScenePipeline().run(bad, ["k"], Params(eps=0.6, min_samples=5))
+    assert done.where("point_id >= 100").count() == 0
+
+
+def test_planes_count_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p = np.c_[rng.random((3000, 2)) * 10, rng.normal(size=3000) * 0.02]
+    df = spark.createDataFrame([(i, i % 2, *map(float, q)) for i, q in enumerate(p)], "point_id long, k int, x double, y double, z double")
+    whole = sorted(map(tuple, sc.ground_planes(df, ["k"]).collect()))
+    monkeypatch.setattr(sc, "PART", 100)
+    parts = sorted(map(tuple, sc.ground_planes(df, ["k"]).collect()))
+    assert len(whole) == 2 and np.allclose(whole, parts) and np.allclose([r[1:] for r in whole], 0, atol=0.01)
+
+
+def test_noise_is_of_the_point(spark):
+    df = spark.range(20_000).selectExpr("id - 50 as point_id", "0D as x", "0D as y", "0D as z")
+    a = ge.jittered(df, 2.0).orderBy("point_id").toPandas()
+    b = ge.jittered(df.repartition(7), 2.0).orderBy("point_id").toPandas()
+    v = a[["x", "y", "z"]].to_numpy()
+    assert a.equals(b) and np.abs(v.mean(0)).max() < 0.06 and np.abs(v.std(0) - 2).max() < 0.05
+    assert np.abs(np.corrcoef(v.T) - np.eye(3)).max() < 0.03 and np.abs(np.corrcoef(v[:-1].T, v[1:].T)[:3, 3:]).max() < 0.03
+    share = [(np.abs(v) < 2 * s).mean() for s in (0.5, 1, 2, 3)]
+    assert np.allclose(share, [0.3829, 0.6827, 0.9545, 0.9973], atol=0.01) and (np.sort(v[:, 0]) != np.sort(ge.jittered(df, 2.0, seed=7).toPandas().x)).any()
+
+
+def test_occupants_merge_in_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, i, i // 3, *map(float, rng.random(3) * 2), 0.5, 2) for c in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "car int, cand_id long, frame_id int, x double, y double, z double, confidence double, n_points int")
+    got = {(r.car, r.occupant): r.candidates for r in oc.merged_occupants(df, ["car"]).collect()}
+    want = {}
+    for c in (1, 2):
+        known = []
+        for r in [r for r in rows if r[0] == c]:
+            k = next((k for k, q in enumerate(known) if np.linalg.norm(np.subtract(q, r[3:6])) < 0.5), len(known))
+            if k == len(known):
+                known.append(r[3:6])
+            want[c, k] = want.get((c, k), 0) + 1
+    assert got == want
+
+
 def test_empty_clouds_pass_through(spark):
     _, df = cloud(spark, 3)
     done = sc.ScenePipeline().run(df.where("false"), ["k"])
@@ -366,13 +438,9 @@ def test_ground_falls_back(spark):
 
 
 def test_small_geometry(spark):
-    from scanweave.operators import filters as fl
-
     t = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0, 0.0), (float("nan"), 0.0, 0.0, 0.0, None)], "cx double, cy double, cz double, scale double, rotation_deg double")
     assert [r.errors for r in fl.transform_problems(t).collect()] == ["", "centre,scale,rotation"]
     r = spark.range(1).select(ge.clamp(F.lit(9.0), 0.1, 3.0).alias("a"), ge.normal_rotation(F.lit(-30.0)).alias("b")).first()
     assert (r.a, r.b) == (3.0, 330.0)
     _, df = cloud(spark, 100)
-    a, b = ge.jittered(df, 0.1).collect(), ge.jittered(df, 0.1).collect()
-    assert a == b and a != df.collect()
     assert fl.range_outliers(df, ["k"], accuracy=10_000).count() in range(90, 97)
