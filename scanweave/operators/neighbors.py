@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +65,62 @@ def local_density(points: DataFrame, keys: list[str], r: float) -> DataFrame:
     return finite(points).select(*keys, "point_id").join(near, [*keys, "point_id"], "left").select(*keys, "point_id", (F.coalesce("n", F.lit(0)) + 1).alias("neighbours"))
 
 
-def first_radius(points: DataFrame, keys: list[str], k: int, side: float = 0.5) -> float:
-    """A radius that holds about twice ``k`` points about a point, by the mean number of points in the cell of one."""
-    counts = points.groupBy(*keys, *(cell(a, side).alias(f"c{a}") for a in "xyz")).agg(F.count("*").cast("double").alias("n"))
-    mean = counts.agg(F.try_divide(F.sum(F.col("n") * F.col("n")), F.sum("n"))).first()[0] or 1.0
-    return min(max((2 * k * side**3 / mean / 4.19) ** (1 / 3), side / 100), 10 * side)
+#: Sides of the cells that points are counted in, as powers of two: 3 cm to 64 m.
+LEVELS = (-5, 6)
+
+
+def _level_cells(points: DataFrame) -> DataFrame:
+    """Points with the cell of side ``2 ** __m`` that each is in."""
+    return points.withColumns({f"__c{a}": F.floor(F.col(a) / F.pow(F.lit(2.0), F.col("__m"))).cast("long") for a in "xyz"})
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float | None = None, growth: float = 4.0, rounds: int = 16) -> DataFrame:
+def _with_level(queries: DataFrame, points: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Queries with ``__m``: ``2 ** __m`` is a radius that likely holds ``k`` points and not many times as many about the query.
+
+    Points are counted in cells of all levels, which is a table of adaptive cells: the one of a query is the smallest around it that holds ``k``.
+    """
+    every = F.explode(F.sequence(F.lit(LEVELS[0]), F.lit(LEVELS[1])))
+    placed = lambda d: _level_cells(d.withColumn("__m", every))
+    full = placed(points.select(*keys, *"xyz")).groupBy(*keys, "__m", *_CELLS).agg(F.count("*").alias("__n")).where(F.col("__n") >= k)
+    own = placed(queries.select(*keys, "point_id", *"xyz")).join(full, [*keys, "__m", *_CELLS])
+    least = own.groupBy(*keys, "point_id").agg(F.min(F.struct("__m", "__n")).alias("__l"))
+    level = F.when(F.col("__l.__n") < 4 * k, F.col("__l.__m")).otherwise(F.col("__l.__m") - 1)
+    return queries.join(least, [*keys, "point_id"], "left").withColumn("__m", F.coalesce(level, F.lit(LEVELS[1] + 1))).drop("__l")
+
+
+def _near(points: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, a, b, d2`` for queries and the points within ``2 ** __m`` of each, by cells of that side."""
+    used = [r[0] for r in left.select("__m").distinct().collect()]  # a few dozen at most
+    there = _level_cells(points.select(*keys, F.col("point_id").alias("b"), *"xyz").withColumn("__m", F.explode(F.lit(used).cast("array<int>"))))
+    there = there.withColumnsRenamed({a: f"b{a}" for a in "xyz"})
+    here = _level_cells(left.select(*keys, F.col("point_id").alias("a"), "__m", *"xyz")).withColumnsRenamed({a: f"a{a}" for a in "xyz"})
+    both = there.join(spread(here, _CELLS, _STEPS), [*keys, "__m", *_CELLS]).withColumn("d2", square("a", "b"))
+    return both.where(F.col("d2") <= F.pow(F.lit(4.0), F.col("__m"))).select(*keys, "a", "b", "d2")
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, start: float | None = None, rounds: int = 16) -> DataFrame:
     """``keys, a, b, d2, rank`` of the k nearest points (all, in a smaller cloud), ties by id; a point counts as its own neighbour.
 
-    Searches a radius, led by the density unless given, keeps the queries that are certain (k hits, or the whole cloud), and goes on with the rest at a
-    larger radius. Points that are not finite neither find others nor are found.
+    Each query searches a radius of its own, led by the density about it unless ``start`` gives one for all; so a cloud with dense and sparse parts takes
+    no more rounds, and no more pairs, than an even one. Queries that are certain (k hits, or the whole cloud) are kept, and the rest go on at four times
+    the radius. Points that are not finite neither find others nor are found.
     """
-    points = finite(points)
+    points = written(finite(points).select(*keys, "point_id", *"xyz"), "points")
     size = points.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("__want"))
-    left, done, r = finite(queries).join(size.select(*keys), keys, "left_semi"), None, start or first_radius(points, keys, k)
+    asked = finite(queries).select(*keys, "point_id", *"xyz").join(size.select(*keys), keys, "left_semi")
+    left = written(_with_level(asked, points, keys, k) if start is None else asked.withColumn("__m", F.lit(math.ceil(math.log2(start)))), "left")
+    done = None
     for _ in range(rounds):
-        near = radius_pairs(points, left, keys, r).select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d2")
+        near = _near(points, left, keys)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("d2", "b"))).where(F.col("rank") <= k)
         enough = ranked.groupBy(*keys, "a").agg(F.count("*").alias("n")).join(size, keys).where("n >= __want").select(*keys, "a")
         got = written(ranked.join(enough, [*keys, "a"], "left_semi"), "nearest")
         done = got if done is None else done.unionByName(got)
-        left = written(left.join(got.select(*keys, F.col("a").alias("point_id")).distinct(), [*keys, "point_id"], "left_anti"), "left")
+        left = left.join(got.select(*keys, F.col("a").alias("point_id")).distinct(), [*keys, "point_id"], "left_anti")
+        left = written(left.withColumn("__m", F.col("__m") + 2), "left")
         if left.isEmpty():
             return done
-        r *= growth
-    raise RuntimeError(f"points farther than {r} apart; begin with a larger radius")
+    raise RuntimeError(f"points too far apart for {rounds} rounds; begin with a larger radius")
 
 
 def merge_new(existing: DataFrame, new: DataFrame, keys: list[str], distance: float = 0.05) -> DataFrame:

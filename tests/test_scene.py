@@ -34,6 +34,25 @@ def test_radius_pairs_and_nearest(spark):
         assert [r.b for r in sorted((r for r in near if r.a == i), key=lambda r: r.rank)] == list(np.argsort(d2[i], kind="stable")[:5])
 
 
+def test_nearest_in_an_uneven_cloud(spark, monkeypatch):
+    """A heap of a centimetre, a thin part over a hundred metres, and one point far away: as few rounds, and about as few pairs, as an even cloud."""
+    rng = np.random.default_rng(4)
+    even = rng.random((600, 3)) * 4
+    uneven = np.vstack([rng.random((300, 3)) * 0.01, rng.random((299, 3)) * 100, [[5000.0, 0, 0]]])
+    rounds, pairs = {}, {}
+    near = nb._near
+    for name, p in (("even", even), ("uneven", uneven)):
+        df = spark.createDataFrame([(i, 0, *map(float, q)) for i, q in enumerate(p)], "point_id long, k int, x double, y double, z double")
+        seen = []
+        monkeypatch.setattr(nb, "_near", lambda *a: seen.append(near(*a)) or seen[-1])  # noqa: B023
+        rows = nb.k_nearest(df, df, ["k"], 6).collect()
+        d2 = ((p[:, None] - p[None]) ** 2).sum(-1)
+        want = {(i, int(j), r + 1) for i in range(len(p)) for r, j in enumerate(np.lexsort((np.arange(len(p)), d2[i]))[:6])}
+        assert {(r.a, r.b, r.rank) for r in rows} == want
+        rounds[name], pairs[name] = len(seen), seen[0].count()
+    assert rounds["uneven"] <= rounds["even"] + 4 and pairs["uneven"] < 20 * pairs["even"]
+
+
 def test_own_pairs_are_each_pair_once(spark):
     p, df = cloud(spark)
     d2 = ((p[:, None] - p[None]) ** 2).sum(-1)
