@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,7 +43,7 @@ from .packing import Tokens
 #: Ids of A in a part of the pairs, vectors that are summed at once, bytes of the hash and counts that are broadcast at once.
 RANGE, FAN, ROUND_BYTES = 64, 16, 128_000_000
 #: Links that are made at once, and bytes of text that are tokenized at once.
-LINKS, SLICE = 2_000_000, 2_000_000
+LINKS, SLICE = 2_000_000, 4_000_000
 
 RESULT = T.StructType([*(T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType())])
 
@@ -72,8 +73,8 @@ class Pieces(Tokens):
 
     def _fresh(self, new: list[str]) -> dict[str, bytes]:
         """The model puts a space before a text, but not before an empty one, so the one that a piece begins with is left out."""
-        found = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(new, self.model.encode([p[1:] for p in new], num_threads=1), strict=True)}
-        return found | ({" ": np.array([self.model.piece_to_id("▁")], "<u4").tobytes()} if " " in found else {})
+        found = {p: array("I", ids).tobytes() for p, ids in zip(new, self.model.encode([p[1:] for p in new], num_threads=1), strict=True)}
+        return found | ({" ": array("I", [self.model.piece_to_id("▁")]).tobytes()} if " " in found else {})
 
 
 @dataclass
@@ -190,9 +191,11 @@ def aligned(a: pa.Array, b: pa.Array, a_table: Table, b_table: Table) -> Aligned
     read = lambda c: (np.frombuffer(b"".join(c.to_pylist()), "<u4").astype(np.int64), np.append(0, np.cumsum(pc.binary_length(c).to_numpy(False) // 4)))
     (ia, first_a), (ib, first_b) = read(a), read(b)
     end_a, end_b = np.cumsum(a_table.size[ia]), np.cumsum(b_table.size[ib])
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
-    bytes_ = np.append(0, end_a)[first_a]
-    return Aligned(ia, ib, first_a, first_b, np.searchsorted(common, end_a), np.searchsorted(common, end_b), np.searchsorted(common, bytes_, "right") if len(common) else np.zeros(len(first_a), np.int64))
+    total = int(end_a[-1]) if len(end_a) else 0
+    at_a, at_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+    at_a[end_a], at_b[end_b] = True, True
+    groups = np.cumsum(at_a & at_b, dtype=np.int64)  # that have ended at each byte
+    return Aligned(ia, ib, first_a, first_b, groups[end_a - 1], groups[end_b - 1], groups[np.append(0, end_a)[first_a]])
 
 
 def links(x: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
