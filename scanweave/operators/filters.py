@@ -21,26 +21,28 @@ def with_cloud(points: DataFrame, keys: list[str], *aggregates: Column) -> DataF
     return points.join(points.groupBy(*keys).agg(*aggregates), keys) if keys else points.crossJoin(points.agg(*aggregates))
 
 
-#: Rows of a stated set in one expression.
+#: Rows of a stated set that go into the plan as literals, and rows of a block of a larger one.
 STATED = 200
 
 
 def with_each(rows: DataFrame, stated: DataFrame) -> DataFrame:
-    """Every row of a stated set (boxes, transforms) beside every row. The set goes into the plan as literals, ``STATED`` rows at a time, so nothing is
-    joined or shuffled, and the driver holds no more than that of it."""
-    fields, out, some = stated.schema.fields, None, []
-
-    def of(block: list) -> DataFrame:
-        each = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True))) for r in block))
-        return rows.withColumn("__each", F.explode(each)).select(*rows.columns, *(F.col(f"__each.{f.name}").alias(f.name) for f in fields))
-
-    for r in stated.toLocalIterator():
-        some.append(tuple(r))
-        if len(some) == STATED:
-            out, some = (of(some) if out is None else out.unionByName(of(some))), []
-    if some:
-        out = of(some) if out is None else out.unionByName(of(some))
-    return of([(None,) * len(fields)]).where("false") if out is None else out
+    """Every row of a stated set (boxes, transforms) beside every row.
+
+    A set of at most ``STATED`` rows is a literal, so nothing is joined or shuffled. A larger one is dealt to blocks, each an array in one row; rows are
+    read once and joined to the blocks by number, which the planner broadcasts below its threshold.
+    """
+    fields = stated.schema.fields
+    put = lambda each: each.select(*rows.columns, *(F.col(f"__each.{f.name}").alias(f.name) for f in fields))
+    few = stated.limit(STATED + 1).collect()
+    if len(few) > STATED:
+        blocks = -(-stated.count() // STATED)
+        dealt = stated.groupBy(F.pmod(F.xxhash64(*stated.columns), F.lit(blocks)).cast("int").alias("__b")).agg(F.collect_list(F.struct(*stated.columns)).alias("__some"))
+        each = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__b")
+        return put(each.withColumn("__each", F.explode("__some")))
+    if not few:
+        return put(rows.withColumn("__each", F.lit(None).cast(stated.schema))).where("false")
+    literal = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True))) for r in few))
+    return put(rows.withColumn("__each", F.explode(literal)))
 
 
 def _distance_limit(points: DataFrame, keys: list[str], quantile: float, accuracy: int | None) -> DataFrame:

@@ -23,14 +23,17 @@ def suppressed(points: DataFrame, keys: list[str], r: float, rounds: int = 60) -
     left = written(own.select(*keys, "point_id"), "undecided")
     kept = None
     for _ in range(rounds):
-        now = edges.join(left.withColumnRenamed("point_id", "a"), [*keys, "a"]).join(left.withColumnRenamed("point_id", "b"), [*keys, "b"])
-        later = now.where("b < a").select(*keys, F.col("a").alias("point_id")).distinct()
+        later = edges.where("b < a").select(*keys, F.col("a").alias("point_id")).distinct()
         first = written(left.join(later, [*keys, "point_id"], "left_anti"), "kept")
         kept = first if kept is None else kept.unionByName(first)
-        gone = edges.join(first.withColumnRenamed("point_id", "a"), [*keys, "a"]).select(*keys, F.col("b").alias("point_id")).distinct().unionByName(first)
+        gone = edges.join(first.withColumnRenamed("point_id", "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("point_id")).distinct().unionByName(first)
+        gone = written(gone, "gone")
         left = written(left.join(gone, [*keys, "point_id"], "left_anti"), "undecided")
         if left.isEmpty():
             return kept
+        for end in "ab":  # only edges between undecided points matter from here on
+            edges = edges.join(gone.withColumnRenamed("point_id", end), [*keys, end], "left_anti")
+        edges = written(edges, "edges")
     raise RuntimeError(f"suppression did not settle in {rounds} rounds; choose a smaller radius")
 
 

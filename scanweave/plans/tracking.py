@@ -267,6 +267,9 @@ def w7_age(spark, sf):
     return tr.with_age(fx.detections(spark, sf), ["sequence_no"]).select("det_id", *_r("age"))
 
 
+_NEAR = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
+
+
 def _with_points(spark, sf):
     """Each detection carries eight points around its centre, which move with it, one of them astray."""
     d = fx.detections(spark, sf)
@@ -287,13 +290,44 @@ def a31_footprints(spark, sf):
     return tr.footprints(fx.points(spark, sf).where("semantic_class between 1 and 4"), KEYS).select(*KEYS, "corners", *_r("area"))
 
 
-@query()
+def _static_sql(rounds: int = 3) -> str:
+    """``stat``: the points that the pass in order of ids keeps, of scans thinned to voxels, with the share of scans near each. In each round the points
+    without an undecided neighbour of a lower id are kept, and what is near them goes; chains of these scans are shorter than the rounds."""
+    out = f"""low AS (SELECT device_no, scan_idx, min(x) - 0.05::DOUBLE AS lx, min(y) - 0.05::DOUBLE AS ly, min(z) - 0.05::DOUBLE AS lz FROM mov GROUP BY ALL),
+thin AS (SELECT device_no, scan_idx, min(point_id) AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM mov JOIN low USING (device_no, scan_idx)
+  GROUP BY device_no, scan_idx, floor((x - lx)/0.1::DOUBLE), floor((y - ly)/0.1::DOUBLE), floor((z - lz)/0.1::DOUBLE)),
+cellt AS (SELECT *, CAST(floor(x/0.05::DOUBLE) AS BIGINT) AS g FROM thin),
+pair AS (SELECT a.point_id AS p, b.point_id AS q FROM (SELECT *, g + unnest([-1, 0, 1]) AS h FROM cellt) a JOIN cellt b ON a.device_no = b.device_no AND a.h = b.g AND a.point_id <> b.point_id AND {_NEAR} <= 0.05::DOUBLE*0.05::DOUBLE),
+und0 AS (SELECT point_id FROM thin)"""
+    for k in range(1, rounds + 1):
+        out += f""",
+keep{k} AS (SELECT point_id FROM und{k - 1} ANTI JOIN (SELECT p AS point_id FROM pair SEMI JOIN und{k - 1} u ON pair.q = u.point_id WHERE q < p) USING (point_id)),
+und{k} AS (SELECT point_id FROM und{k - 1} ANTI JOIN keep{k} USING (point_id) ANTI JOIN (SELECT q AS point_id FROM pair SEMI JOIN keep{k} ON pair.p = keep{k}.point_id) USING (point_id))"""
+    kept = " UNION ALL ".join(f"SELECT point_id FROM keep{k}" for k in range(1, rounds + 1))
+    return out + f""",
+kept AS ({kept}),
+seen AS (SELECT p AS point_id, scan_idx FROM pair JOIN thin t ON pair.q = t.point_id UNION SELECT point_id, scan_idx FROM thin),
+stat AS (SELECT t.*, count(DISTINCT s.scan_idx)/5::DOUBLE AS share FROM thin t SEMI JOIN kept USING (point_id) JOIN seen s ON s.point_id = t.point_id GROUP BY ALL)"""
+
+
+@query(f"""{_static_sql()}
+SELECT device_no, count(*) AS n, count(*) FILTER (WHERE share >= 0.7::DOUBLE) AS n_static, count(*) FILTER (WHERE share < 0.7::DOUBLE) AS n_dynamic, round(count(*) FILTER (WHERE share >= 0.7::DOUBLE)/count(*), 6) AS static_ratio FROM stat GROUP BY device_no""")
 def m7_static_points(spark, sf):
     s = mo.static_points(fx.moving(spark, sf), ["device_no"])
     return mo.static_statistics(s, ["device_no"]).select("device_no", "n", "n_static", "n_dynamic", *_r("static_ratio"))
 
 
-@query()
+_NEAR_ENDS = f"""cell AS (SELECT *, CAST(floor(x/0.06::DOUBLE) AS BIGINT) AS g FROM mov), reach AS (SELECT *, CAST(floor(x/0.06::DOUBLE) AS BIGINT) + unnest([-1, 0, 1]) AS h FROM stat WHERE share < 0.7::DOUBLE),
+near AS (SELECT a.device_no, a.point_id, b.scan_idx, arg_min(b.x, {_NEAR}) AS x, arg_min(b.y, {_NEAR}) AS y, arg_min(b.z, {_NEAR}) AS z FROM reach a JOIN cell b
+  ON a.device_no = b.device_no AND a.h = b.g AND {_NEAR} <= 0.06::DOUBLE*0.06::DOUBLE GROUP BY ALL),
+ends AS (SELECT device_no, point_id, count(*) AS found, arg_min(x, scan_idx) AS x0, arg_max(x, scan_idx) AS x1, arg_min(y, scan_idx) AS y0, arg_max(y, scan_idx) AS y1, arg_min(z, scan_idx) AS z0, arg_max(z, scan_idx) AS z1 FROM near GROUP BY ALL),
+far AS (SELECT device_no, sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0) + (z1-z0)*(z1-z0)) AS d FROM ends WHERE found >= 2)"""
+
+
+@query(f"""{_static_sql()},
+{_NEAR_ENDS},
+dyn AS (SELECT device_no, count(*) AS n_dynamic FROM stat WHERE share < 0.7::DOUBLE GROUP BY ALL), mvd AS (SELECT device_no, count(*) AS n_moving, avg(d) AS mean, max(d) AS most FROM far WHERE d > 0.05::DOUBLE GROUP BY ALL)
+SELECT device_no, n_dynamic, n_moving, round(mean, 6) AS mean_displacement, round(most, 6) AS max_displacement, round(n_moving/n_dynamic, 6) AS moving_ratio, round((n_dynamic - n_moving)/n_dynamic, 6) AS filtered FROM dyn JOIN mvd USING (device_no)""")
 def m7_m8_temporal_change(spark, sf):
     """M7's dynamic points of all scans through M8 and its statistics."""
     m = fx.moving(spark, sf)
@@ -302,7 +336,6 @@ def m7_m8_temporal_change(spark, sf):
     return s.select("device_no", "n_dynamic", "n_moving", *_r("mean_displacement", "max_displacement", "moving_ratio", "filtered"))
 
 
-_NEAR = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
 
 
 @query(f"""cell AS (SELECT *, CAST(floor(x/0.06::DOUBLE) AS BIGINT) AS g FROM mov), reach AS (SELECT *, g + unnest([-1, 0, 1]) AS h FROM cell),

@@ -123,6 +123,18 @@ def test_boxes_of_any_size(spark):
     assert got == {(i, n) for i, q in enumerate(p) for n, x0, x1, y0, y1, z0, z1 in boxes if x0 <= q[0] <= x1 and y0 <= q[1] <= y1 and z0 <= q[2] <= z1}
 
 
+def test_stated_sets_of_any_size(spark, monkeypatch):
+    p, df = cloud(spark, 30)
+    t = spark.createDataFrame([(f"t{k}", float(k), 0.0, 0.0, 1.0, 30.0) for k in range(25)], "transform_id string, cx double, cy double, cz double, scale double, rotation_deg double")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    want = rows(ge.transformed(df, t))
+    monkeypatch.setattr(fl, "STATED", 4)
+    many = ge.transformed(df, t)
+    assert rows(many) == want and len(want) == 750 and rows(ge.transformed(df, t.where("false"))) == []
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_no_nested_loop(spark):
     _, df = cloud(spark)
     t = spark.createDataFrame([("t", 0.0, 0.0, 0.0, 1.0, 30.0)], "transform_id string, cx double, cy double, cz double, scale double, rotation_deg double")
