@@ -99,7 +99,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(body: str) -> str:
-    """DuckDB SQL over the views ``pts, det, mov, shl, frm, cal, box, tra``."""
+    """DuckDB SQL over the views ``pts, det, mov, shl, frm, cal, box, tra``; a body that begins with RECURSIVE may refer to itself."""
+    body, word = body.strip(), "WITH "
+    if body.startswith("RECURSIVE "):
+        body, word = body.removeprefix("RECURSIVE "), "WITH RECURSIVE "
     duck = lambda s: s.replace("{div}", "//").replace("{events}", "events").strip()
     views = {"pts": _POINTS, "det": _DETECTIONS, "mov": _MOVING, "shl": _SHELL, "frm": _FRAMES.replace("{det}", _DETECTIONS), "cal": CALIBRATION, "box": BOXES, "tra": TRANSFORMS}
-    return "WITH " + ",\n".join(f"{n} AS ({duck(s)})" for n, s in views.items()) + ("" if body.lstrip().upper().startswith("SELECT") else ",") + f"\n{body.strip()}"
+    return word + ",\n".join(f"{n} AS ({duck(s)})" for n, s in views.items()) + ("" if body.lstrip().upper().startswith("SELECT") else ",") + f"\n{body.strip()}"

@@ -278,14 +278,53 @@ def _with_points(spark, sf):
     return d.withColumn("points", near)
 
 
-@query()
+def _models_sql() -> str:
+    """``model``: of each track its last state, by a recursion over the frames of each object. Objects stand ten metres apart, and an object that has left
+    its track behind moves on; so a detection can only join the last track of its own object."""
+    axes = "xyz"
+    mean = lambda xs, a: f"list_avg(list_transform({xs}, lambda q: q.{a}))"
+    d2 = lambda p, q: " + ".join(f"({p}.{a} - {q}.{a})*({p}.{a} - {q}.{a})" for a in axes)
+    mid = ", ".join(f"'{a}': list_median(list_transform(points, lambda q: q.{a}))" for a in axes)
+    return f"""eight AS (SELECT sequence_no, device_no, det_seq, det_id, ts, camera, frame_id, list_transform(range(0, 8), lambda k: {{'x': cx + k*0.1::DOUBLE + CASE WHEN k = 7 AND det_id % 3 = 0 THEN 1.5::DOUBLE ELSE 0 END, 'y': cy, 'z': cz + (k % 2)*0.2::DOUBLE}}) AS points FROM det),
+away AS (SELECT *, list_transform(points, lambda p: sqrt({d2("p", "mid")})) AS far FROM (SELECT *, {{{mid}}} AS mid FROM eight)),
+clean AS (SELECT sequence_no, device_no, det_seq, det_id, ts, camera, frame_id, {", ".join(f"{mean('points', a)} AS m{a}" for a in axes)},
+  list_transform(list_filter(list_zip(points, far), lambda t: t[2] <= list_avg(far) + 2*list_stddev_pop(far)), lambda t: t[1]) AS points FROM away),
+step AS (SELECT *, row_number() OVER (PARTITION BY device_no, sequence_no, det_seq ORDER BY ts, det_id) AS k FROM clean),
+run AS (SELECT device_no, sequence_no, det_seq, k, ts, camera, det_id AS born, ts AS start, 1 AS times, points AS cloud FROM step WHERE k = 1
+  UNION ALL
+  SELECT device_no, sequence_no, det_seq, k, ts, camera, CASE WHEN hit THEN born ELSE det_id END, CASE WHEN hit THEN start ELSE ts END, CASE WHEN hit THEN times + 1 ELSE 1 END,
+    CASE WHEN hit THEN list_concat(cloud, list_filter(points, lambda p: list_min(list_transform(cloud, lambda q: {d2("p", "q")})) > 0.05::DOUBLE*0.05::DOUBLE)) ELSE points END
+  FROM (SELECT s.*, r.born, r.start, r.times, r.cloud, s.ts - r.ts <= 1.5::DOUBLE AND sqrt({" + ".join(f"({mean('r.cloud', a)} - s.m{a})*({mean('r.cloud', a)} - s.m{a})" for a in axes)}) <= 3 AS hit
+    FROM run r JOIN step s ON s.device_no = r.device_no AND s.sequence_no = r.sequence_no AND s.det_seq = r.det_seq AND s.k = r.k + 1)),
+model AS (SELECT device_no, sequence_no, born, max(start) AS start, max(ts) AS ts, max(camera) AS cameras, arg_max(cloud, times) AS cloud, max(times) AS times FROM run GROUP BY ALL),
+ranked AS (SELECT m.*, row_number() OVER (PARTITION BY m.device_no, m.sequence_no ORDER BY d.ts, d.camera, d.det_seq, d.det_id) - 1 AS track_id FROM model m JOIN clean d ON d.det_id = m.born)"""
+
+
+_OF = {a: f"list_transform(cloud, lambda q: q.{a})" for a in "xyz"}
+
+
+@query("RECURSIVE " + _models_sql() + "\nSELECT device_no, sequence_no, CAST(track_id AS INT) AS track_id, times AS n_detections, len(cloud) AS n_points, round(ts - start, 6) AS duration, cameras, "
+       + ", ".join(f"round(list_avg({x}), 6) AS centre_{a}, round(list_max({x}) - list_min({x}), 6) AS size_{a}" for a, x in _OF.items())
+       + ", round(least(1::DOUBLE, len(cloud)/100::DOUBLE*times/5::DOUBLE), 6) AS quality FROM ranked WHERE times >= 2")
 def m10_accumulating_tracker(spark, sf):
     d = _with_points(spark, sf)
     s = tr.model_summary(tr.accumulating_tracks(d, TRACK_KEYS), d, TRACK_KEYS)
     return s.select(*TRACK_KEYS, "track_id", "n_detections", "n_points", *_r("duration"), "cameras", *_r("centre_x", "centre_y", "centre_z", "size_x", "size_y", "size_z", "quality"))
 
 
-@query()
+_TURN = "fmod(atan2(p.y - h.y, p.x - h.x) - h.dir + 4*pi(), 2*pi())"
+
+
+@query(f"""RECURSIVE v AS (SELECT device_no, scan_idx, x, y FROM pts WHERE semantic_class BETWEEN 1 AND 4),
+enough AS (SELECT device_no, scan_idx, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 6),
+pt AS (SELECT DISTINCT v.* FROM v SEMI JOIN enough USING (device_no, scan_idx)),
+wrap AS (SELECT device_no, scan_idx, x, y, x AS sx, y AS sy, -pi()/2 AS dir, 0 AS k FROM pt QUALIFY row_number() OVER (PARTITION BY device_no, scan_idx ORDER BY x, y) = 1
+  UNION ALL
+  SELECT device_no, scan_idx, x, y, sx, sy, dir, k FROM (SELECT h.device_no, h.scan_idx, p.x, p.y, h.sx, h.sy, atan2(p.y - h.y, p.x - h.x) AS dir, h.k + 1 AS k,
+      row_number() OVER (PARTITION BY h.device_no, h.scan_idx ORDER BY {_TURN}, (p.x - h.x)*(p.x - h.x) + (p.y - h.y)*(p.y - h.y) DESC) AS best
+    FROM wrap h JOIN pt p ON p.device_no = h.device_no AND p.scan_idx = h.scan_idx AND (p.x <> h.x OR p.y <> h.y) WHERE h.k = 0 OR h.x <> h.sx OR h.y <> h.sy) WHERE best = 1),
+side AS (SELECT *, lag(x) OVER (PARTITION BY device_no, scan_idx ORDER BY k) AS px, lag(y) OVER (PARTITION BY device_no, scan_idx ORDER BY k) AS py FROM wrap)
+SELECT device_no, scan_idx, CAST(max(k) AS BIGINT) AS corners, round(abs(sum(px*y - x*py))/2, 6) AS area FROM side GROUP BY ALL""")
 def a31_footprints(spark, sf):
     return tr.footprints(fx.points(spark, sf).where("semantic_class between 1 and 4"), KEYS).select(*KEYS, "corners", *_r("area"))
 
