@@ -398,21 +398,28 @@ def tree_sum(vectors: DataFrame, tasks: int, fan: int = FAN) -> DataFrame:
     return vectors.select("part", "counts")
 
 
-def _described(x: Aligned, a_table: Table, b_table: Table) -> tuple[np.ndarray, list[str]]:
+def _decimals(a_table: Table, b_table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of A's and then of B's ids as rows of characters, which of these are shown, and how many."""
+    width = max(a_table.digits.shape[1], b_table.digits.shape[1])
+    digits = np.concatenate([np.pad(t.digits, ((0, 0), (width - t.digits.shape[1], 0))) for t in (a_table, b_table)])
+    seen = np.concatenate([np.pad(t.shown, ((0, 0), (width - t.shown.shape[1], 0))) for t in (a_table, b_table)])
+    return digits, seen, seen.sum(1)
+
+
+def _described(x: Aligned, a_table: Table, b_table: Table, decimals: tuple) -> tuple[np.ndarray, list[str]]:
     """Groups of each document, and the hash of what they are."""
+    digits, seen, length = decimals
     n_groups = np.diff(x.first_group)
     size_a, size_b = x.sizes
     begin_b, stop_a = np.cumsum(size_b) - size_b, np.cumsum(size_a)
     at_a, at_b = np.arange(len(x.a)) + begin_b[x.group_a], np.arange(len(x.b)) + stop_a[x.group_b]
     last = lambda g: np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
-    width = max(a_table.digits.shape[1], b_table.digits.shape[1])
-    rows, shown = np.zeros((len(x.a) + len(x.b), width), np.uint8), np.zeros((len(x.a) + len(x.b), width), bool)
-    for ids, at, table, group, mark in ((x.a, at_a, a_table, x.group_a, b"|"), (x.b, at_b, b_table, x.group_b, b";")):
-        w = table.digits.shape[1]
-        rows[at, width - w :], shown[at, width - w :] = table.digits[ids], table.shown[ids]
-        rows[at[last(group)], -1] = mark[0]
+    ids = np.empty(len(x.a) + len(x.b), np.int64)  # of both in order, those of B behind all of A's
+    ids[at_a], ids[at_b] = x.a, x.b + len(a_table.size)
+    rows, shown = digits.take(ids, 0), seen.take(ids, 0)
+    rows[at_a[last(x.group_a)], -1], rows[at_b[last(x.group_b)], -1] = ord("|"), ord(";")
     text = rows[shown].tobytes()
-    edge = np.append(0, np.cumsum(shown.sum(1)))[x.first_a + x.first_b].tolist()
+    edge = np.append(0, np.cumsum(length.take(ids)))[x.first_a + x.first_b].tolist()
     return n_groups, [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(edge, edge[1:], strict=False)]
 
 
@@ -422,6 +429,7 @@ def _looked_up(tokens: DataFrame, index, counts, best, a_file: str, b_file: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *_, a_table, b_table = _tools(a_file, b_file)
         own, count, top = index.value, counts.value, best.value
+        decimals = _decimals(a_table, b_table)
         for p in W.pieces(batches, 0, SLICE):
             x = aligned(p.column(0), p.column(1), a_table, b_table)
             n = p.num_rows
@@ -432,7 +440,7 @@ def _looked_up(tokens: DataFrame, index, counts, best, a_file: str, b_file: str,
                 doc, times, at = doc[mine], times[mine], own.of(pair[mine])
                 np.add.at(n_best, doc, times * top[at])
                 np.add.at(total, doc, times * count[at])
-            n_groups, sha = _described(x, a_table, b_table)
+            n_groups, sha = _described(x, a_table, b_table, decimals)
             made = [np.diff(x.first_a), np.diff(x.first_b), n_groups, n_links, n_best, total]
             yield pa.RecordBatch.from_arrays([*p.columns[2:], *(pa.array(c.astype(np.int64)) for c in made), pa.array(sha, pa.string())], schema=kind)
 
