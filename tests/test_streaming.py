@@ -1,5 +1,7 @@
 """Streams end with what batches give; late rows are dropped."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from scanweave.operators import tracking as tr
@@ -96,6 +98,8 @@ def test_point_files_as_they_arrive(spark, tmp_path):
         (tmp_path / "in" / f"scan_{100 + k}.pcd").write_bytes(f"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nPOINTS {10 + k}\nDATA binary\n".encode() + body)
     (tmp_path / "in" / "scan_200.pcd").write_bytes(b"damaged")
     (tmp_path / "in" / "scan_900.pcd").write_bytes(b"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nPOINTS 1\nDATA binary\n" + struct.pack("<3f", 9, 9, 9))
+    for k, f in enumerate(sorted((tmp_path / "in").iterdir())):  # files come in order of their times
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
     s = live.point_stream(spark, str(tmp_path / "in"), max_files=2)
     got = run(s, "files", tmp_path)
     assert sorted((r.x, r.point_id) for r in got.collect()) == sorted([(float(k), j) for k in range(6) for j in range(10 + k)] + [(9.0, 0)])
