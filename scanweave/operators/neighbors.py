@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,11 +59,85 @@ def own_pairs(points: DataFrame, keys: list[str], r: float) -> DataFrame:
     return one.withColumn("d2", square("a", "b")).where(F.col("d2") <= r * r).select(*keys, "a", "b", "d2")
 
 
+#: Pairs of points of two cells that are looked at one by one, as a pair of cells costs about as much as some thousands of these; beyond it the cells are
+#: halved, so many times at most.
+FEW_PAIRS, HALVINGS = 65_536, 12
+
+
+def _boxes(points: DataFrame, keys: list[str], side: float, name: str) -> DataFrame:
+    """Cells of ``side`` that hold points: the cell as ``name``, how many points it holds, and their bounds."""
+    at = F.struct(*(cell(a, side).alias(a) for a in "xyz")).alias(name)
+    bounds = [f(a).alias(f"{name}{a}{n}") for a in "xyz" for f, n in ((F.min, 0), (F.max, 1))]
+    return points.groupBy(*keys, at).agg(F.count("*").alias(f"{name}n"), *bounds)
+
+
+def _judged(pairs: DataFrame, keys: list[str], r: float) -> DataFrame:
+    """Pairs of cells ``q``, ``c`` that may hold near points; ``inside`` tells that all of theirs are near, by the same sums as for points.
+
+    Rounding keeps order, so bounds never say of two points what their own distance would not.
+    """
+    gap = {a: F.greatest(F.col(f"q{a}0") - F.col(f"c{a}1"), F.col(f"c{a}0") - F.col(f"q{a}1"), F.lit(0.0)) for a in "xyz"}
+    reach = {a: F.greatest(F.col(f"q{a}1") - F.col(f"c{a}0"), F.col(f"c{a}1") - F.col(f"q{a}0")) for a in "xyz"}
+    near, far = ((d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]) <= r * r for d in (gap, reach))
+    return pairs.where(near).select(*keys, "q", "c", "qn", "cn", far.alias("inside"))
+
+
+def cell_pairs(left: DataFrame, right: DataFrame, keys: list[str], r: float) -> tuple[DataFrame, DataFrame]:
+    """Cells of ``left`` against cells of ``right``, of sides ``r / 2 ** level``: ``keys, level, q, n``, where all of ``n`` points are within ``r`` of all
+    points of ``q``, and ``keys, level, q, c``, pairs at the rim whose points are left to compare. Each pair of points within ``r`` is in one of them once.
+
+    It begins with neighbouring cells of side ``r``. A pair of cells is settled by the bounds of their points, is left to compare if it has few pairs of
+    points, and else goes on as the pairs of their halves, 64 at most. So where points are dense they are counted as cells, but for those at the rim.
+    """
+    q, c = _boxes(left, keys, r, "q"), _boxes(right, keys, r, "c")
+    there = spread(c.withColumns({f"__c{a}": F.col(f"c.{a}") for a in "xyz"}), _CELLS, _STEPS)
+    pairs = q.withColumns({f"__c{a}": F.col(f"q.{a}") for a in "xyz"}).join(there, [*keys, *_CELLS])
+    inside, rim = [], []
+    for level in range(HALVINGS + 1):
+        judged = written(_judged(pairs, keys, r), "cells")
+        few = F.lit(level == HALVINGS) | (F.col("qn") * F.col("cn") <= FEW_PAIRS)
+        of = F.lit(level).alias("level")
+        inside.append(judged.where("inside").groupBy(*keys, of, "q").agg(F.sum("cn").alias("n")))
+        rim.append(judged.where(~F.col("inside") & few).select(*keys, of, "q", "c"))
+        open_ = judged.where(~F.col("inside") & ~few).select(*keys, F.col("q").alias("__q"), F.col("c").alias("__c"))
+        if level == HALVINGS or open_.isEmpty():
+            break
+        half = r / 2 ** (level + 1)
+        of_both = {n: F.struct(*(F.shiftright(f"{n}.{a}", 1).alias(a) for a in "xyz")) for n in "qc"}
+        halves = {n: _boxes(p, keys, half, n).withColumn(f"__{n}", of_both[n]) for n, p in (("q", left), ("c", right))}
+        pairs = open_.join(halves["q"], [*keys, "__q"]).join(halves["c"], [*keys, "__c"])
+    whole = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return whole(inside), whole(rim)
+
+
+def neighbour_counts(left: DataFrame, right: DataFrame, keys: list[str], r: float) -> DataFrame:
+    """``keys, point_id, n``: how many points of ``right`` are within ``r`` (included) of a point of ``left``, where there are any.
+
+    Points in cells that are wholly within reach are counted by cells, others are compared one by one; the counts are exact. What is shuffled are points, a
+    few times each, cells, and pairs of cells; no cell, however crowded, is one task's. Points that are not finite are near nothing.
+    """
+    placed = lambda p, name: written(finite(p).select(*keys, "point_id", *"xyz"), name)
+    own = placed(left, "asking")
+    other = own if left is right else placed(right, "counted")
+    inside, rim = cell_pairs(own, other, keys, r)
+
+    def at(points: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        used = [row[0] for row in pairs.select("level").distinct().collect()]  # as many as halvings
+        points = points.withColumn("level", F.explode(F.lit(used).cast("array<int>")))
+        side = F.lit(r) / F.pow(F.lit(2.0), F.col("level"))
+        return points.withColumn(name, F.struct(*(F.floor(F.col(a) / side).cast("long").alias(a) for a in "xyz")))
+
+    by_cell = at(own, inside, "q").join(inside, [*keys, "level", "q"]).select(*keys, "point_id", "n")
+    asked = at(own, rim, "q").withColumnsRenamed({a: f"a{a}" for a in "xyz"}).join(rim, [*keys, "level", "q"])
+    both = asked.join(at(other, rim, "c").drop("point_id").withColumnsRenamed({a: f"b{a}" for a in "xyz"}), [*keys, "level", "c"])
+    by_point = both.where(square("a", "b") <= r * r).groupBy(*keys, "point_id").agg(F.count("*").alias("n"))
+    return by_cell.unionByName(by_point).groupBy(*keys, "point_id").agg(F.sum("n").alias("n"))
+
+
 def local_density(points: DataFrame, keys: list[str], r: float) -> DataFrame:
     """Neighbours within ``r``, the point itself included."""
-    ends = own_pairs(points, keys, r).select(*keys, F.explode(F.array("a", "b")).alias("point_id"))
-    near = ends.groupBy(*keys, "point_id").agg(F.count("*").alias("n"))
-    return finite(points).select(*keys, "point_id").join(near, [*keys, "point_id"], "left").select(*keys, "point_id", (F.coalesce("n", F.lit(0)) + 1).alias("neighbours"))
+    near = neighbour_counts(points, points, keys, r)
+    return finite(points).select(*keys, "point_id").join(near, [*keys, "point_id"], "left").select(*keys, "point_id", F.coalesce("n", F.lit(1)).alias("neighbours"))
 
 
 #: Sides of the cells that points are counted in, as powers of two: 3 cm to 64 m.

@@ -53,6 +53,52 @@ def test_nearest_in_an_uneven_cloud(spark, monkeypatch):
     assert rounds["uneven"] <= rounds["even"] + 4 and pairs["uneven"] < 20 * pairs["even"]
 
 
+def _compared(rim, p, r):
+    """How many pairs of points are looked at one by one."""
+    n = 0
+    held = {}
+    for row in rim.collect():
+        if row.level not in held:
+            cells, counts = np.unique(np.floor(p / (r / 2**row.level)), axis=0, return_counts=True)
+            held[row.level] = {tuple(c): k for c, k in zip(cells.tolist(), counts.tolist(), strict=True)}
+        n += held[row.level][tuple(row.q)] * held[row.level][tuple(row.c)]
+    return n
+
+
+@pytest.mark.parametrize("few", [300, nb.FEW_PAIRS])
+def test_counts_of_neighbours_in_crowded_cells(spark, monkeypatch, few):
+    """A heap, a plane, copies of one point and a thin part, in two clouds: as brute force; crowded cells are counted as cells."""
+    monkeypatch.setattr(nb, "FEW_PAIRS", few)
+    rng = np.random.default_rng(8)
+    clouds = {0: np.vstack([rng.random((700, 3)) * 0.2 - 0.1, rng.random((300, 3)) * [4, 4, 0] - 2, np.full((200, 3), 0.75), rng.random((200, 3)) * 20 - 10]), 1: rng.random((900, 3)) * 0.6}
+    rows = [(k * 10_000 + i, k, *map(float, q)) for k, p in clouds.items() for i, q in enumerate(p)] + [(-1, 0, float("nan"), 0.0, 0.0), (-2, 0, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "point_id long, k int, x double, y double, z double").repartition(3)
+    got = {r.point_id: r.neighbours for r in nb.local_density(df, ["k"], 0.25).collect()}
+    some = {r.point_id: r.n for r in nb.neighbour_counts(df.where("point_id % 3 = 0"), df.where("point_id % 2 = 0"), ["k"], 0.25).collect()}
+    want, apart = {}, {}
+    for k, p in clouds.items():
+        d = p[:, None] - p[None]
+        near = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2] <= 0.25 * 0.25
+        ids = k * 10_000 + np.arange(len(p))
+        want |= dict(zip(ids.tolist(), near.sum(1).tolist(), strict=True))
+        apart |= {i: n for i, n in zip(ids.tolist(), near[:, ids % 2 == 0].sum(1).tolist(), strict=True) if i % 3 == 0 and n}
+    assert got == want and some == apart
+    assert nb.local_density(df.limit(0), ["k"], 0.25).count() == 0
+
+
+def test_dense_clouds_are_counted_without_all_pairs(spark, monkeypatch):
+    """Eight times the density is 64 times the pairs of points; those looked at one by one, and the pairs of cells, grow by clearly less."""
+    monkeypatch.setattr(nb, "FEW_PAIRS", 16)
+    looked, cells = [], []
+    for n in (500, 4000):
+        p, df = cloud(spark, n, seed=3, size=1.0)
+        inside, rim = nb.cell_pairs(df, df, ["k"], 0.4)
+        looked.append(_compared(rim, p, 0.4))
+        cells.append(rim.count())
+        assert inside.agg(F.sum("n")).first()[0] > 0
+    assert looked[1] < 48 * looked[0] and cells[1] < 48 * cells[0]
+
+
 def test_own_pairs_are_each_pair_once(spark):
     p, df = cloud(spark)
     d2 = ((p[:, None] - p[None]) ** 2).sum(-1)
