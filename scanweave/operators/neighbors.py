@@ -82,22 +82,27 @@ def _judged(pairs: DataFrame, keys: list[str], r: float) -> DataFrame:
     return pairs.where(near).select(*keys, "q", "c", "qn", "cn", far.alias("inside"))
 
 
-def cell_pairs(left: DataFrame, right: DataFrame, keys: list[str], r: float) -> tuple[DataFrame, DataFrame]:
+def cell_pairs(left: DataFrame, right: DataFrame, keys: list[str], r: float) -> tuple[DataFrame, DataFrame, int]:
     """Cells of ``left`` against cells of ``right``, of sides ``r / 2 ** level``: ``keys, level, q, n``, where all of ``n`` points are within ``r`` of all
-    points of ``q``, and ``keys, level, q, c``, pairs at the rim whose points are left to compare. Each pair of points within ``r`` is in one of them once.
+    points of ``q``; ``keys, level, q, c``, pairs at the rim whose points are left to compare; and the number of levels. Each pair of points within ``r`` is
+    in one of them once; at the rim of a table with itself, ``q`` is at most ``c``, and a pair stands for both of its orders.
 
     It begins with neighbouring cells of side ``r``. A pair of cells is settled by the bounds of their points, is left to compare if it has few pairs of
     points, and else goes on as the pairs of their halves, 64 at most. So where points are dense they are counted as cells, but for those at the rim.
     """
+    once = left is right
     q, c = _boxes(left, keys, r, "q"), _boxes(right, keys, r, "c")
-    there = spread(c.withColumns({f"__c{a}": F.col(f"c.{a}") for a in "xyz"}), _CELLS, _STEPS)
+    steps = [t for t in _STEPS if t <= (0, 0, 0)] if once else _STEPS
+    there = spread(c.withColumns({f"__c{a}": F.col(f"c.{a}") for a in "xyz"}), _CELLS, steps)
     pairs = q.withColumns({f"__c{a}": F.col(f"q.{a}") for a in "xyz"}).join(there, [*keys, *_CELLS])
+    one, other = (F.struct(F.col(x).alias("q"), F.col(n).alias("n")) for x, n in (("q", "cn"), ("c", "qn")))
+    ends = F.when(F.col("q") == F.col("c"), F.array(one)).otherwise(F.array(one, other)) if once else F.array(one)
     inside, rim = [], []
     for level in range(HALVINGS + 1):
         judged = written(_judged(pairs, keys, r), "cells")
         few = F.lit(level == HALVINGS) | (F.col("qn") * F.col("cn") <= FEW_PAIRS)
         of = F.lit(level).alias("level")
-        inside.append(judged.where("inside").groupBy(*keys, of, "q").agg(F.sum("cn").alias("n")))
+        inside.append(judged.where("inside").select(*keys, F.explode(ends).alias("e")).groupBy(*keys, of, "e.q").agg(F.sum("e.n").alias("n")))
         rim.append(judged.where(~F.col("inside") & few).select(*keys, of, "q", "c"))
         open_ = judged.where(~F.col("inside") & ~few).select(*keys, F.col("q").alias("__q"), F.col("c").alias("__c"))
         if level == HALVINGS or open_.isEmpty():
@@ -106,31 +111,41 @@ def cell_pairs(left: DataFrame, right: DataFrame, keys: list[str], r: float) ->
         of_both = {n: F.struct(*(F.shiftright(f"{n}.{a}", 1).alias(a) for a in "xyz")) for n in "qc"}
         halves = {n: _boxes(p, keys, half, n).withColumn(f"__{n}", of_both[n]) for n, p in (("q", left), ("c", right))}
         pairs = open_.join(halves["q"], [*keys, "__q"]).join(halves["c"], [*keys, "__c"])
+        if once:
+            pairs = pairs.where("__q <> __c or q <= c")
     whole = lambda parts: functools.reduce(DataFrame.unionByName, parts)
-    return whole(inside), whole(rim)
+    return whole(inside), whole(rim), len(rim)
 
 
 def neighbour_counts(left: DataFrame, right: DataFrame, keys: list[str], r: float) -> DataFrame:
-    """``keys, point_id, n``: how many points of ``right`` are within ``r`` (included) of a point of ``left``, where there are any.
+    """``keys, point_id, n``: how many points of ``right`` are within ``r`` (included) of a point of ``left``, where there are any; ids are distinct.
 
-    Points in cells that are wholly within reach are counted by cells, others are compared one by one; the counts are exact. What is shuffled are points, a
-    few times each, cells, and pairs of cells; no cell, however crowded, is one task's. Points that are not finite are near nothing.
+    Points in cells that are wholly within reach are counted by cells, others are compared one by one, a table with itself in one order; the counts are
+    exact. What is shuffled are points, a few times each, cells, and pairs of cells; no cell, however crowded, is one task's. Points that are not finite are
+    near nothing.
     """
     placed = lambda p, name: written(finite(p).select(*keys, "point_id", *"xyz"), name)
     own = placed(left, "asking")
     other = own if left is right else placed(right, "counted")
-    inside, rim = cell_pairs(own, other, keys, r)
+    inside, rim, levels = cell_pairs(own, other, keys, r)
 
-    def at(points: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        used = [row[0] for row in pairs.select("level").distinct().collect()]  # as many as halvings
-        points = points.withColumn("level", F.explode(F.lit(used).cast("array<int>")))
+    def at(points: DataFrame, name: str) -> DataFrame:
+        points = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
         side = F.lit(r) / F.pow(F.lit(2.0), F.col("level"))
         return points.withColumn(name, F.struct(*(F.floor(F.col(a) / side).cast("long").alias(a) for a in "xyz")))
 
-    by_cell = at(own, inside, "q").join(inside, [*keys, "level", "q"]).select(*keys, "point_id", "n")
-    asked = at(own, rim, "q").withColumnsRenamed({a: f"a{a}" for a in "xyz"}).join(rim, [*keys, "level", "q"])
-    both = asked.join(at(other, rim, "c").drop("point_id").withColumnsRenamed({a: f"b{a}" for a in "xyz"}), [*keys, "level", "c"])
-    by_point = both.where(square("a", "b") <= r * r).groupBy(*keys, "point_id").agg(F.count("*").alias("n"))
+    by_cell = at(own, "q").join(inside, [*keys, "level", "q"]).select(*keys, "point_id", "n")
+    named = lambda points, cell_, x: at(points, cell_).withColumnsRenamed({"point_id": x} | {a: f"{x}{a}" for a in "xyz"})
+    # few bytes, but much to compare: by a stated number, which the planner does not merge into one task
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = named(own, "q", "a").join(rim, [*keys, "level", "q"]).repartition(tasks, *keys, "level", "c")
+    both = asked.join(named(other, "c", "b"), [*keys, "level", "c"])
+    ends = F.array("a")
+    if left is right:
+        both = both.where("q <> c or a <= b")
+        ends = F.when(F.col("a") == F.col("b"), ends).otherwise(F.array("a", "b"))
+    near = both.where(square("a", "b") <= r * r).select(*keys, F.explode(ends).alias("point_id"))
+    by_point = near.groupBy(*keys, "point_id").agg(F.count("*").alias("n"))
     return by_cell.unionByName(by_point).groupBy(*keys, "point_id").agg(F.sum("n").alias("n"))
 
 

@@ -92,7 +92,7 @@ def test_dense_clouds_are_counted_without_all_pairs(spark, monkeypatch):
     looked, cells = [], []
     for n in (500, 4000):
         p, df = cloud(spark, n, seed=3, size=1.0)
-        inside, rim = nb.cell_pairs(df, df, ["k"], 0.4)
+        inside, rim, _ = nb.cell_pairs(df, df, ["k"], 0.4)
         looked.append(_compared(rim, p, 0.4))
         cells.append(rim.count())
         assert inside.agg(F.sum("n")).first()[0] > 0
