@@ -19,9 +19,13 @@ def cell(axis: str, r: float, shift: Column | int = 0) -> Column:
     return (F.floor(F.col(axis) / r) + shift).cast("long")
 
 
+#: Coordinates from here on, in metres, are damage, as infinite ones are: numbers of their cells would not fit.
+FARTHEST = 1e12
+
+
 def finite(points: DataFrame) -> DataFrame:
-    """Points whose coordinates are numbers; others are near nothing."""
-    return points.where(" and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < double('infinity')" for a in "xyz"))
+    """Points whose coordinates are numbers below ``FARTHEST``; others are near nothing."""
+    return points.where(" and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < {FARTHEST}D" for a in "xyz"))
 
 
 def spread(rows: DataFrame, columns: list[str], steps: list[tuple[int, int, int]], names: list[str] | None = None) -> DataFrame:

@@ -108,11 +108,11 @@ def test_own_pairs_are_each_pair_once(spark):
 
 def test_points_that_are_not_finite_are_near_nothing(spark):
     _, df = cloud(spark, 40)
-    bad = df.union(spark.createDataFrame([(100, 0, float("nan"), 1.0, 1.0), (101, 0, None, 1.0, 1.0), (102, 0, float("inf"), 1.0, 1.0)], df.schema))
+    bad = df.union(spark.createDataFrame([(100, 0, float("nan"), 1.0, 1.0), (101, 0, None, 1.0, 1.0), (102, 0, float("inf"), 1.0, 1.0), (103, 0, -1e300, 1.0, 1.0)], df.schema))
     assert nb.k_nearest(bad, bad, ["k"], 3).where("a >= 100 or b >= 100").count() == 0 and nb.k_nearest(bad, bad, ["k"], 3).count() == 120
     assert nb.local_density(bad, ["k"], 0.5).count() == 40
     got = sc.clusters(bad, ["k"], 0.5, 2)
-    assert got.count() == 43 and {r.cluster_id for r in got.where("point_id >= 100").collect()} == {-1}
+    assert got.count() == 44 and {r.cluster_id for r in got.where("point_id >= 100").collect()} == {-1}
 
 
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.65, 0.95, 1.0])
