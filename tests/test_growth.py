@@ -52,3 +52,12 @@ def test_suppression_follows_a_chain(spark):
     """Each point is near the next alone, so every other one is kept, round by round."""
     df = spark.createDataFrame([(i, 0, i * 0.1, 0.0, 0.0) for i in range(12)] + [(99, 0, float("nan"), 0.0, 0.0)], SCHEMA)
     assert sorted(r.point_id for r in mo.suppressed(df, ["k"], 0.15).collect()) == [0, 2, 4, 6, 8, 10, 99]
+
+
+def test_links_of_cells_shrink_to_what_components_need(spark):
+    """All pairs of 60 nodes in two groups, and pairs across that are not sure: a tree a group is left, and pairs across alone are still to ask."""
+    from scanweave.operators import scene as sc
+
+    links = [(i, j, i % 2 == j % 2) for i in range(60) for j in range(i)] + [(i, j, False) for i in range(0, 60, 2) for j in range(0, i, 2)]
+    rows = sc._spanning(spark.createDataFrame(links, "a long, b long, sure boolean").coalesce(1)).collect()
+    assert sum(r.sure for r in rows) == 58 and all((r.a + r.b) % 2 for r in rows if not r.sure) and sum(not r.sure for r in rows) == 900
