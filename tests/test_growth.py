@@ -61,3 +61,10 @@ def test_links_of_cells_shrink_to_what_components_need(spark):
     links = [(i, j, i % 2 == j % 2) for i in range(60) for j in range(i)] + [(i, j, False) for i in range(0, 60, 2) for j in range(0, i, 2)]
     rows = sc._spanning(spark.createDataFrame(links, "a long, b long, sure boolean").coalesce(1)).collect()
     assert sum(r.sure for r in rows) == 58 and all((r.a + r.b) % 2 for r in rows if not r.sure) and sum(not r.sure for r in rows) == 900
+
+
+def test_points_of_an_enclosed_void_are_not_gathered(spark):
+    from scanweave.operators import scene as sc
+
+    df = spark.createDataFrame([(0, 0, 0, 0, 0)], "point_id long, k int, gx long, gy long, gz long")
+    assert "Broadcast" not in plan(sc.in_voxels(df, df, ["k"])) and "Broadcast" not in plan(sc.enclosed_voxels(df, ["k"]))
