@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from scanweave.functions.scratch import written
 from scanweave.schema import Params
 
+from .neighbors import merged
+
 
 def in_order(rows: DataFrame, group: list[str], order: list[str], columns: list[str], schema: str, start: Callable[[], Callable[[tuple], tuple]]) -> DataFrame:
     """``group`` and what a function that ``start`` makes for each group returns of each row's ``columns``, row by row in ``order``."""
@@ -96,7 +98,7 @@ def basic_tracks(detections: DataFrame, keys: list[str], p: Params = Params()) -
     found = in_order(own, group, ["ts", "camera", "det_seq", "det_id"], ["det_id", "ts", "camera", "__u", "__v", "cx", "cy", "cz", "det_seq"], "det_id BIGINT, local BIGINT", start)
     kept = found.groupBy(*group, "local").agg(F.count("*").alias("n")).where("n >= 2")
     number = kept.withColumn("track_id", F.row_number().over(Window.partitionBy(*keys).orderBy("segment_id", "local")) - 1).drop("n")
-    return detections.join(found.join(number, [*group, "local"]).select(*keys, "det_id", "track_id"), [*keys, "det_id"])
+    return detections.join(merged(found.join(merged(number), [*group, "local"]).select(*keys, "det_id", "track_id")), [*keys, "det_id"])
 
 
 def near_median(points: np.ndarray, sigmas: float = 2.0) -> np.ndarray:
@@ -229,14 +231,14 @@ def accumulating_tracks(detections: DataFrame, keys: list[str], p: Params = Para
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = made.groupBy(*stretch, "track_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= 2).select(*stretch, "track_id")
     first = opened.select(*stretch, before.alias("__first"))
-    return made.join(kept.join(first, stretch), [*stretch, "track_id"]).withColumn("track_id", F.col("track_id") + F.col("__first")).drop("__stretch", "__first")
+    return made.join(merged(kept.join(merged(first), stretch)), [*stretch, "track_id"]).withColumn("track_id", F.col("track_id") + F.col("__first")).drop("__stretch", "__first")
 
 
 def model_summary(accumulated: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
     """Of each track of ``accumulating_tracks`` its detections, accumulated points, centre, size, duration, cameras, and quality
     min(1, points / 100 * detections / 5)."""
     last = F.max_by(F.struct("n_points", *MODEL), "det_ordinal").alias("m")
-    when = accumulated.join(detections.select(*keys, "det_id", "ts", "camera"), [*keys, "det_id"])
+    when = accumulated.join(merged(detections.select(*keys, "det_id", "ts", "camera")), [*keys, "det_id"])
     got = when.groupBy(*keys, "track_id").agg(
         F.count("*").alias("n_detections"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"), last
     )

@@ -68,3 +68,11 @@ def test_points_of_an_enclosed_void_are_not_gathered(spark):
 
     df = spark.createDataFrame([(0, 0, 0, 0, 0)], "point_id long, k int, gx long, gy long, gz long")
     assert "Broadcast" not in plan(sc.in_voxels(df, df, ["k"])) and "Broadcast" not in plan(sc.enclosed_voxels(df, ["k"]))
+
+
+def test_model_summaries_gather_no_detections(spark):
+    from scanweave.operators import tracking as tr
+
+    made = spark.createDataFrame([(0, 1, 0, 1, 8, *[0.0] * 9)], "k int, det_id long, track_id long, det_ordinal long, n_points long, " + ", ".join(f"{c} double" for c in tr.MODEL))
+    seen = spark.createDataFrame([(0, 1, 0.0, "cam0")], "k int, det_id long, ts double, camera string")
+    assert "Broadcast" not in plan(tr.model_summary(made, seen, ["k"]))
