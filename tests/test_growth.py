@@ -76,3 +76,21 @@ def test_model_summaries_gather_no_detections(spark):
     made = spark.createDataFrame([(0, 1, 0, 1, 8, *[0.0] * 9)], "k int, det_id long, track_id long, det_ordinal long, n_points long, " + ", ".join(f"{c} double" for c in tr.MODEL))
     seen = spark.createDataFrame([(0, 1, 0.0, "cam0")], "k int, det_id long, ts double, camera string")
     assert "Broadcast" not in plan(tr.model_summary(made, seen, ["k"]))
+
+
+def test_small_clouds_find_their_nearest_as_one_row(spark, monkeypatch):
+    """Beside a cloud that goes by cells; ties go by id, and the mean distances of outliers take no cells at all."""
+    rng = np.random.default_rng(7)
+    p = {k: rng.integers(0, 6, (n, 3)) / 4 for k, n in ((0, 40), (1, 300), (2, 3))}
+    rows = [(1000 * k + len(c) - 1 - i, k, *map(float, q)) for k, c in p.items() for i, q in enumerate(c)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = set()
+    for k, c in p.items():
+        c = c[::-1]
+        d2 = ((c[:, None] - c[None]) ** 2).sum(-1)
+        want |= {(k, 1000 * k + i, 1000 * k + int(j), r + 1) for i in range(len(c)) for r, j in enumerate(np.lexsort((np.arange(len(c)), d2[i]))[:6])}
+    for queries, mine in ((df, want), (df.where("point_id % 3 = 0"), {w for w in want if w[1] % 3 == 0})):
+        assert {(r.k, r.a, r.b, r.rank) for r in nb.k_nearest(queries, df, ["k"], 6, whole=100).collect()} == mine
+    monkeypatch.setattr(nb, "_near", None)
+    made = nb.statistical_outliers(df, ["k"], k=5, sigmas=100.0).collect()
+    assert len(made) == 343 and "Window" not in plan(nb.k_nearest(df, df, ["k"], 6, whole=300))
