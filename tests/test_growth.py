@@ -94,3 +94,22 @@ def test_small_clouds_find_their_nearest_as_one_row(spark, monkeypatch):
     monkeypatch.setattr(nb, "_near", None)
     made = nb.statistical_outliers(df, ["k"], k=5, sigmas=100.0).collect()
     assert len(made) == 343 and "Window" not in plan(nb.k_nearest(df, df, ["k"], 6, whole=300))
+
+
+def test_scalars_of_clouds_are_gathered_and_not_their_points(spark):
+    """Few points of many bytes, so that either side of the join is below the planner's threshold."""
+    from scanweave.operators import filters as fl
+
+    _, df = cloud(spark)
+    for made in (fl.with_cloud(df, ["k"], *(f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", "min"), ("hi", "max")) for f in [getattr(nb.F, f)])), fl.range_outliers(df, ["k"], 0.9)):
+        assert "BroadcastHashJoin" in plan(made) and "BuildRight" in plan(made) and "BuildLeft" not in plan(made)
+
+
+def test_components_gather_no_edges(spark, monkeypatch):
+    from scanweave.operators import graph
+
+    seen = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: seen.append(plan(df)) or keep(df, name))
+    rows = graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()
+    assert {(r.node, r.label) for r in rows} == {(i, 0) for i in range(10)} and not any("Broadcast" in p for p in seen)
